@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 from evalspark.plans import queries_perf  # noqa: F401
+from evalspark.plans import queries_prep  # noqa: F401

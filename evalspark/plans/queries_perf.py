@@ -52,3 +52,87 @@ GROUP BY prompt_kind, mode
 @register("m3_request_summary", SUMMARY_SQL, ["requests"])
 def m3_request_summary(spark, sf):
     return finish(perf.summarise_requests(V.requests(spark, sf)))
+
+
+@register("m1_ttft_percentiles", """
+SELECT round(coalesce(quantile_cont(ttft_s, 0.5), 0.0), 6) AS p50,
+       round(coalesce(quantile_cont(ttft_s, 0.95), 0.0), 6) AS p95,
+       round(coalesce(quantile_cont(ttft_s, 0.99), 0.0), 6) AS p99
+FROM requests WHERE ttft_s IS NOT NULL AND NOT isnan(ttft_s)""", ["requests"])
+def m1_ttft_percentiles(spark, sf):
+    return finish(perf.percentiles(V.requests(spark, sf), "ttft_s"))
+
+
+def _box_sql(col: str, where: str) -> str:
+    qs = ", ".join(f"round(quantile_cont({col}, {p}), 6) AS {n}" for p, n in
+                   [(0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")])
+    return f"SELECT prompt_kind, count({col}) AS n, {qs} FROM requests WHERE {where} GROUP BY prompt_kind"
+
+
+@register("m6_wall_box", _box_sql("wall_s", "status = 'ok' AND wall_s IS NOT NULL"), ["requests"])
+def m6_wall_box(spark, sf):
+    return finish(perf.latency_box(V.requests(spark, sf), "wall_s"))
+
+
+@register("m6_ttft_box", _box_sql("ttft_s", "status = 'ok' AND mode = 'stream' AND ttft_s IS NOT NULL"), ["requests"])
+def m6_ttft_box(spark, sf):
+    return finish(perf.latency_box(V.requests(spark, sf), "ttft_s", stream_only=True))
+
+
+@register("m6_wall_hist", """
+SELECT prompt_kind, CAST(floor(wall_s / 1.0) AS BIGINT) AS bin, round(CAST(floor(wall_s / 1.0) AS BIGINT) * 1.0, 6) AS bin_start,
+       count(*) AS n
+FROM requests WHERE status = 'ok' AND wall_s IS NOT NULL GROUP BY ALL""", ["requests"])
+def m6_wall_hist(spark, sf):
+    return finish(perf.latency_hist(V.requests(spark, sf), "wall_s", 1.0))
+
+
+@register("m7_gpu_join", """
+SELECT r.idx, count(*) AS n_samples, round(avg(g.util_gpu), 6) AS util_mean, round(max(g.util_gpu), 6) AS util_max
+FROM requests r JOIN gpu g ON g.timestamp >= r.started_at AND g.timestamp <= r.ended_at
+GROUP BY r.idx""", ["requests", "gpu"])
+def m7_gpu_join(spark, sf):
+    return finish(perf.join_gpu(V.requests(spark, sf), V.gpu(spark, sf), 60.0))
+
+
+@register("m8_speedup", """
+WITH per AS (
+  SELECT mode, count(*) AS n, max(ended_at) - min(started_at) AS pass_wall_s,
+         avg(wall_s) AS mean_wall_s, max(wall_s) AS max_wall_s
+  FROM requests GROUP BY mode)
+SELECT mode, n, round(pass_wall_s, 6) AS pass_wall_s, round(mean_wall_s, 6) AS mean_wall_s,
+       round(max_wall_s, 6) AS max_wall_s,
+       round((SELECT pass_wall_s FROM per WHERE mode = 'generate') / (SELECT pass_wall_s FROM per WHERE mode = 'stream'), 6)
+         AS speedup
+FROM per""", ["requests"])
+def m8_speedup(spark, sf):
+    return finish(perf.speedup(V.requests(spark, sf), "mode", "generate", "stream"))
+
+
+@register("a14_run_rollup", """
+SELECT prompt_kind, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS ok,
+       count(*) FILTER (WHERE status <> 'ok') AS failed,
+       round(max(ended_at) - min(started_at), 6) AS wall_s,
+       round(CASE WHEN max(ended_at) - min(started_at) > 0 THEN count(*) / (max(ended_at) - min(started_at)) END, 6)
+         AS throughput_rps
+FROM requests GROUP BY prompt_kind""", ["requests"])
+def a14_run_rollup(spark, sf):
+    return finish(perf.run_rollup(V.requests(spark, sf), "prompt_kind"))
+
+
+_CHUNKS_SQL = """chunks AS (
+  SELECT request_id, ts, coalesce(json_extract_string(substr(value, 7), '$.choices[0].text'), '') AS delta
+  FROM sse_lines WHERE starts_with(value, 'data: ') AND trim(substr(value, 7)) <> '[DONE]')"""
+
+
+@register("l13_fold_chunks", f"""
+, {_CHUNKS_SQL}
+SELECT request_id, round(min(ts), 6) AS started_at, round(max(ts), 6) AS ended_at,
+  round(min(ts) FILTER (WHERE delta <> '') - min(ts), 6) AS ttft_s,
+  round(max(ts) - min(ts), 6) AS wall_s,
+  CAST(coalesce(sum(CASE WHEN delta <> '' THEN greatest(1, len(list_filter(regexp_split_to_array(delta, '\\s+'), lambda x: x <> ''))) ELSE 0 END), 0) AS BIGINT) AS output_tokens,
+  count(*) AS n_chunks
+FROM chunks GROUP BY request_id""", ["sse_lines"])
+def l13_fold_chunks(spark, sf):
+    chunks = perf.parse_sse_lines(V.sse_lines(spark, sf))
+    return finish(perf.fold_chunks(chunks))

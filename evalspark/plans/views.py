@@ -219,3 +219,21 @@ def qa_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("prompt").alias("question"),
         F.array_join(F.slice(words, 1, 3), " ").alias("answer"),
     )
+
+
+def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Server-sent-event lines of token streams, one per event: request = user, time = ts.
+
+    Views are keep-alive comments, errors are the ``[DONE]`` marker, other events
+    carry a JSON chunk whose text is the event type (``purchase`` an empty delta).
+    """
+    ev = read_table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    text = F.when(et == "purchase", F.lit("")).otherwise(
+        F.concat(et, F.lit(" "), (F.col("event_id") % 3).cast("string")))
+    line = (
+        F.when(et == "view", F.lit(": keep-alive"))
+        .when(et == "error", F.lit("data: [DONE]"))
+        .otherwise(F.concat(F.lit('data: {"choices": [{"text": "'), text, F.lit('", "finish_reason": null}]}')))
+    )
+    return ev.select(F.col("user_id").alias("request_id"), _epoch_seconds(F.col("ts")).alias("ts"), line.alias("value"))

@@ -64,7 +64,7 @@ VIEWS: dict[str, str] = {
   SELECT ind, option, ending, unnest(toks) AS token,
          CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos, len(toks) AS n_tok
   FROM (SELECT ind, option, ending,
-               list_filter(regexp_split_to_array(ctx || ' ' || ending, '\\s+'), x -> x <> '') AS toks
+               list_filter(regexp_split_to_array(ctx || ' ' || ending, '\\s+'), lambda x: x <> '') AS toks
         FROM options)),
 lp_long AS (
   SELECT ind, option, ending, token, pos, n_tok,
@@ -93,7 +93,7 @@ lp_long AS (
   FROM orders)""",
     "qa_items": """qa_items AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, prompt AS question,
-         array_to_string(list_filter(regexp_split_to_array(output, '\\s+'), x -> x <> '')[1:3], ' ') AS answer
+         array_to_string(list_filter(regexp_split_to_array(output, '\\s+'), lambda x: x <> '')[1:3], ' ') AS answer
   FROM generations)""",
 }
 
@@ -117,4 +117,17 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(VIEWS[n] for n in order) + "\n" + sql
+    head = "WITH " + ",\n".join(VIEWS[n] for n in order) + "\n"
+    body = sql.lstrip()
+    if body.startswith("WITH "):
+        body = ", " + body[5:]
+    return head + body
+
+VIEWS["sse_lines"] = """sse_lines AS (
+  SELECT user_id AS request_id, epoch_us(ts) / 1e6 AS ts,
+    CASE WHEN event_type = 'view' THEN ': keep-alive'
+         WHEN event_type = 'error' THEN 'data: [DONE]'
+         ELSE 'data: {"choices": [{"text": "' ||
+              CASE WHEN event_type = 'purchase' THEN '' ELSE event_type || ' ' || CAST(event_id % 3 AS VARCHAR) END
+              || '", "finish_reason": null}]}' END AS value
+  FROM events)"""
