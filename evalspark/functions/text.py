@@ -63,7 +63,7 @@ def truncate_at_stops(text, stops) -> Column:
     return F.aggregate(
         F.coalesce(_c(stops), F.array().cast("array<string>")),
         _c(text),
-        lambda t, s: F.when(s == "", F.lit("")).otherwise(F.substring_index(t, s, 1)),
+        lambda t, s: F.when(s == "", F.lit("")).otherwise(F.call_function("substring_index", t, s, F.lit(1))),
     )
 
 
