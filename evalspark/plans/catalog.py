@@ -3,3 +3,4 @@
 from evalspark.plans import queries_perf  # noqa: F401
 from evalspark.plans import queries_prep  # noqa: F401
 from evalspark.plans import queries_scoring  # noqa: F401
+from evalspark.plans import queries_compare  # noqa: F401
