@@ -14,8 +14,8 @@ from evalspark.plans.registry import finish, register
 
 
 @register("a1_a2_accuracy", """
-SELECT lang, count(*) AS n, round(avg(CAST(baseline AS DOUBLE)), 6) AS acc,
-       round(coalesce(stddev_samp(CAST(baseline AS DOUBLE)) / sqrt(count(*)), 0.0), 6) AS acc_stderr
+SELECT lang, count(*) AS n, round(avg(CAST(baseline AS DOUBLE)), 9) AS acc,
+       round(coalesce(stddev_samp(CAST(baseline AS DOUBLE)) / sqrt(count(*)), 0.0), 9) AS acc_stderr
 FROM pairs GROUP BY lang""", ["pairs"])
 def a1_a2_accuracy(spark, sf):
     return finish(compare.accuracy(V.pairs(spark, sf), ["lang"], "baseline"))
@@ -26,9 +26,9 @@ WITH sub AS (
   SELECT lang, source, count(*) AS n, avg(CAST(improved AS DOUBLE)) AS acc,
          coalesce(stddev_samp(CAST(improved AS DOUBLE)) / sqrt(count(*)), 0.0) AS se
   FROM pairs GROUP BY lang, source)
-SELECT lang, source, n, round(acc, 6) AS acc, round(se, 6) AS acc_stderr, 'subtask' AS level FROM sub
+SELECT lang, source, n, round(acc, 9) AS acc, round(se, 9) AS acc_stderr, 'subtask' AS level FROM sub
 UNION ALL
-SELECT lang, NULL, CAST(sum(n) AS BIGINT), round(sum(acc * n) / sum(n), 6), round(sqrt(sum(n * n * se * se)) / sum(n), 6),
+SELECT lang, NULL, CAST(sum(n) AS BIGINT), round(sum(acc * n) / sum(n), 9), round(sqrt(sum(n * n * se * se)) / sum(n), 9),
        'group' FROM sub GROUP BY lang""", ["pairs"])
 def a3_group_rollup(spark, sf):
     return finish(compare.group_rollup(V.pairs(spark, sf), "lang", "source", "improved"))
@@ -77,9 +77,9 @@ boot AS (
   FROM c JOIN st ON c.{key} = st.{key})"""
 
 
-_BOOT_COLS = """n, round(baseline_acc, 6) AS baseline_acc, round(improved_acc, 6) AS improved_acc,
-  round(diff_acc, 6) AS diff_acc, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,
-  round(p_value, 6) AS p_value, CAST(resamples AS BIGINT) AS resamples"""
+_BOOT_COLS = """n, round(baseline_acc, 9) AS baseline_acc, round(improved_acc, 9) AS improved_acc,
+  round(diff_acc, 9) AS diff_acc, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high,
+  round(p_value, 9) AS p_value, CAST(resamples AS BIGINT) AS resamples"""
 
 
 @register("a8_bootstrap_portable", f"""
@@ -133,8 +133,8 @@ cmp AS (
 
 @register("a10_compare_variants", f"""
 WITH {_CMP_SQL}
-SELECT variant, n, round(acc, 6) AS acc, round(acc_stderr, 6) AS acc_stderr, round(delta, 6) AS delta,
-  round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value,
+SELECT variant, n, round(acc, 9) AS acc, round(acc_stderr, 9) AS acc_stderr, round(delta, 9) AS delta,
+  round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_value, 9) AS p_value,
   coalesce(n_paired, 0) AS n_paired, CAST(coalesce(resamples, 0) AS BIGINT) AS resamples, verdict
 FROM cmp""", ["lp_tokens"])
 def a10_compare_variants(spark, sf):
@@ -162,7 +162,7 @@ WITH usage AS (
   SELECT 'clean_prompt', {Q.word_count(Q.strip_artifacts('ctx', 'activity_label') + " || ' ' || ending")} FROM options),
 tot AS (SELECT variant, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM usage GROUP BY variant)
 SELECT variant, total_tokens,
-  round(total_tokens / (SELECT total_tokens FROM tot WHERE variant = 'baseline'), 6) AS cost_multiplier
+  round(total_tokens / (SELECT total_tokens FROM tot WHERE variant = 'baseline'), 9) AS cost_multiplier
 FROM tot""", ["options"])
 def a12_token_cost(spark, sf):
     items = V.items(spark, sf)

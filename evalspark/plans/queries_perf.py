@@ -8,7 +8,7 @@ from evalspark.operators import perf
 from evalspark.plans import views as V
 from evalspark.plans.registry import finish, register
 
-R6 = "round({0}, 6) AS {1}"
+R6 = "round({0}, 9) AS {1}"
 
 _TPOT_SQL = """CASE WHEN output_tokens <= 0 OR wall_s <= 0 THEN 0.0
   WHEN ttft_s > 0 AND ttft_s < wall_s THEN output_tokens / (wall_s - ttft_s)
@@ -16,13 +16,13 @@ _TPOT_SQL = """CASE WHEN output_tokens <= 0 OR wall_s <= 0 THEN 0.0
 
 
 @register("m2_tpot", f"""
-SELECT idx, round({_TPOT_SQL}, 6) AS tpot FROM requests""", ["requests"])
+SELECT idx, round({_TPOT_SQL}, 9) AS tpot FROM requests""", ["requests"])
 def m2_tpot(spark, sf):
     return finish(V.requests(spark, sf).select("idx", perf.tpot().alias("tpot")))
 
 
 def _q(expr: str, p: float, where: str) -> str:
-    return f"round(coalesce(quantile_cont({expr}, {p}) FILTER (WHERE {where}), 0.0), 6)"
+    return f"round(coalesce(quantile_cont({expr}, {p}) FILTER (WHERE {where}), 0.0), 9)"
 
 
 _OKW = "status = 'ok' AND wall_s IS NOT NULL AND NOT isnan(wall_s)"
@@ -33,16 +33,16 @@ SUMMARY_SQL = f"""
 SELECT prompt_kind, mode, count(*) AS n,
   count(*) FILTER (WHERE status = 'ok') AS ok,
   count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') AS errors,
-  round(count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') / count(*), 6) AS error_rate,
+  round(count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') / count(*), 9) AS error_rate,
   {_q('wall_s', 0.5, _OKW)} AS wall_s_p50, {_q('wall_s', 0.95, _OKW)} AS wall_s_p95,
   {_q('wall_s', 0.99, _OKW)} AS wall_s_p99,
   {_q('ttft_s', 0.5, _OKT)} AS ttft_s_p50, {_q('ttft_s', 0.95, _OKT)} AS ttft_s_p95,
   {_q('ttft_s', 0.99, _OKT)} AS ttft_s_p99,
-  round(coalesce(avg(tpot) FILTER (WHERE {_OKP}), 0.0), 6) AS tpot_mean,
+  round(coalesce(avg(tpot) FILTER (WHERE {_OKP}), 0.0), 9) AS tpot_mean,
   {_q('tpot', 0.5, _OKP)} AS tpot_p50,
   round(CASE WHEN max(ended_at) FILTER (WHERE status = 'ok') - min(started_at) FILTER (WHERE status = 'ok') > 0
         THEN count(*) FILTER (WHERE status = 'ok')
-             / (max(ended_at) FILTER (WHERE status = 'ok') - min(started_at) FILTER (WHERE status = 'ok')) END, 6)
+             / (max(ended_at) FILTER (WHERE status = 'ok') - min(started_at) FILTER (WHERE status = 'ok')) END, 9)
     AS throughput_rps
 FROM (SELECT *, {_TPOT_SQL} AS tpot FROM requests)
 GROUP BY prompt_kind, mode
@@ -55,16 +55,16 @@ def m3_request_summary(spark, sf):
 
 
 @register("m1_ttft_percentiles", """
-SELECT round(coalesce(quantile_cont(ttft_s, 0.5), 0.0), 6) AS p50,
-       round(coalesce(quantile_cont(ttft_s, 0.95), 0.0), 6) AS p95,
-       round(coalesce(quantile_cont(ttft_s, 0.99), 0.0), 6) AS p99
+SELECT round(coalesce(quantile_cont(ttft_s, 0.5), 0.0), 9) AS p50,
+       round(coalesce(quantile_cont(ttft_s, 0.95), 0.0), 9) AS p95,
+       round(coalesce(quantile_cont(ttft_s, 0.99), 0.0), 9) AS p99
 FROM requests WHERE ttft_s IS NOT NULL AND NOT isnan(ttft_s)""", ["requests"])
 def m1_ttft_percentiles(spark, sf):
     return finish(perf.percentiles(V.requests(spark, sf), "ttft_s"))
 
 
 def _box_sql(col: str, where: str) -> str:
-    qs = ", ".join(f"round(quantile_cont({col}, {p}), 6) AS {n}" for p, n in
+    qs = ", ".join(f"round(quantile_cont({col}, {p}), 9) AS {n}" for p, n in
                    [(0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")])
     return f"SELECT prompt_kind, count({col}) AS n, {qs} FROM requests WHERE {where} GROUP BY prompt_kind"
 
@@ -80,7 +80,7 @@ def m6_ttft_box(spark, sf):
 
 
 @register("m6_wall_hist", """
-SELECT prompt_kind, CAST(floor(wall_s / 1.0) AS BIGINT) AS bin, round(CAST(floor(wall_s / 1.0) AS BIGINT) * 1.0, 6) AS bin_start,
+SELECT prompt_kind, CAST(floor(wall_s / 1.0) AS BIGINT) AS bin, round(CAST(floor(wall_s / 1.0) AS BIGINT) * 1.0, 9) AS bin_start,
        count(*) AS n
 FROM requests WHERE status = 'ok' AND wall_s IS NOT NULL GROUP BY ALL""", ["requests"])
 def m6_wall_hist(spark, sf):
@@ -88,7 +88,7 @@ def m6_wall_hist(spark, sf):
 
 
 @register("m7_gpu_join", """
-SELECT r.idx, count(*) AS n_samples, round(avg(g.util_gpu), 6) AS util_mean, round(max(g.util_gpu), 6) AS util_max
+SELECT r.idx, count(*) AS n_samples, round(avg(g.util_gpu), 9) AS util_mean, round(max(g.util_gpu), 9) AS util_max
 FROM requests r JOIN gpu g ON g.timestamp >= r.started_at AND g.timestamp <= r.ended_at
 GROUP BY r.idx""", ["requests", "gpu"])
 def m7_gpu_join(spark, sf):
@@ -100,9 +100,9 @@ WITH per AS (
   SELECT mode, count(*) AS n, max(ended_at) - min(started_at) AS pass_wall_s,
          avg(wall_s) AS mean_wall_s, max(wall_s) AS max_wall_s
   FROM requests GROUP BY mode)
-SELECT mode, n, round(pass_wall_s, 6) AS pass_wall_s, round(mean_wall_s, 6) AS mean_wall_s,
-       round(max_wall_s, 6) AS max_wall_s,
-       round((SELECT pass_wall_s FROM per WHERE mode = 'generate') / (SELECT pass_wall_s FROM per WHERE mode = 'stream'), 6)
+SELECT mode, n, round(pass_wall_s, 9) AS pass_wall_s, round(mean_wall_s, 9) AS mean_wall_s,
+       round(max_wall_s, 9) AS max_wall_s,
+       round((SELECT pass_wall_s FROM per WHERE mode = 'generate') / (SELECT pass_wall_s FROM per WHERE mode = 'stream'), 9)
          AS speedup
 FROM per""", ["requests"])
 def m8_speedup(spark, sf):
@@ -112,8 +112,8 @@ def m8_speedup(spark, sf):
 @register("a14_run_rollup", """
 SELECT prompt_kind, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS ok,
        count(*) FILTER (WHERE status <> 'ok') AS failed,
-       round(max(ended_at) - min(started_at), 6) AS wall_s,
-       round(CASE WHEN max(ended_at) - min(started_at) > 0 THEN count(*) / (max(ended_at) - min(started_at)) END, 6)
+       round(max(ended_at) - min(started_at), 9) AS wall_s,
+       round(CASE WHEN max(ended_at) - min(started_at) > 0 THEN count(*) / (max(ended_at) - min(started_at)) END, 9)
          AS throughput_rps
 FROM requests GROUP BY prompt_kind""", ["requests"])
 def a14_run_rollup(spark, sf):
@@ -127,9 +127,9 @@ _CHUNKS_SQL = """chunks AS (
 
 @register("l13_fold_chunks", f"""
 , {_CHUNKS_SQL}
-SELECT request_id, round(min(ts), 6) AS started_at, round(max(ts), 6) AS ended_at,
-  round(min(ts) FILTER (WHERE delta <> '') - min(ts), 6) AS ttft_s,
-  round(max(ts) - min(ts), 6) AS wall_s,
+SELECT request_id, round(min(ts), 9) AS started_at, round(max(ts), 9) AS ended_at,
+  round(min(ts) FILTER (WHERE delta <> '') - min(ts), 9) AS ttft_s,
+  round(max(ts) - min(ts), 9) AS wall_s,
   CAST(coalesce(sum(CASE WHEN delta <> '' THEN greatest(1, len(list_filter(regexp_split_to_array(delta, '\\s+'), lambda x: x <> ''))) ELSE 0 END), 0) AS BIGINT) AS output_tokens,
   count(*) AS n_chunks
 FROM chunks GROUP BY request_id""", ["sse_lines"])

@@ -72,7 +72,7 @@ def p6_qa_contract(spark, sf):
 
 @register("p7_sanity_gate", """
 WITH syn AS (SELECT count(*) FILTER (WHERE starts_with(ind, 'syn-')) AS synthetic FROM items)
-SELECT source, count(*) AS n, round(avg(CAST(baseline AS DOUBLE)), 6) AS accuracy,
+SELECT source, count(*) AS n, round(avg(CAST(baseline AS DOUBLE)), 9) AS accuracy,
        (bool_and(baseline = 1) OR NOT bool_or(baseline = 1)) AS degenerate, syn.synthetic
 FROM pairs, syn GROUP BY source, syn.synthetic""", ["items", "pairs"])
 def p7_sanity_gate(spark, sf):

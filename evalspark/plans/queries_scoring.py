@@ -47,7 +47,7 @@ def l2_cont_len(spark, sf):
 @register("l4_l5_loglikelihood", f"""
 WITH {_SC_SQL}, x AS (SELECT *, greatest(0, n_full - n_ctx) AS n_cont FROM lp)
 SELECT ind, CAST(option AS BIGINT) AS option, CAST(n_cont AS BIGINT) AS n_cont,
-  round(CASE WHEN n_cont = 0 THEN 0.0 ELSE coalesce(sum(lp) FILTER (WHERE pos >= n_tok - n_cont), 0.0) END, 6) AS ll,
+  round(CASE WHEN n_cont = 0 THEN 0.0 ELSE coalesce(sum(lp) FILTER (WHERE pos >= n_tok - n_cont), 0.0) END, 9) AS ll,
   CASE WHEN n_cont = 0 THEN true
        ELSE coalesce(bool_and(lp >= alt_lp) FILTER (WHERE pos >= n_tok - n_cont AND pos > 0), true) END AS is_greedy
 FROM x GROUP BY ind, option, n_cont""", ["lp_tokens"])
@@ -56,7 +56,7 @@ def l4_l5_loglikelihood(spark, sf):
 
 
 @register("l6_rolling_loglikelihood", """
-SELECT ind, CAST(option AS BIGINT) AS option, round(coalesce(sum(lp), 0.0), 6) AS rolling_ll, count(*) AS n_tokens
+SELECT ind, CAST(option AS BIGINT) AS option, round(coalesce(sum(lp), 0.0), 9) AS rolling_ll, count(*) AS n_tokens
 FROM lp_long GROUP BY ind, option""", ["lp_tokens"])
 def l6_rolling_loglikelihood(spark, sf):
     p = V.logprob_payloads(spark, sf)
@@ -79,8 +79,8 @@ modes AS (
 
 @register("l7_option_scores", f"""
 WITH {_ABL_SQL}
-SELECT ind, CAST(option AS BIGINT) AS option, CAST(n_cont AS BIGINT) AS n_cont, round(score_sum, 6) AS score_sum,
-       round(score_length_norm, 6) AS score_length_norm, round(score_byte_norm, 6) AS score_byte_norm
+SELECT ind, CAST(option AS BIGINT) AS option, CAST(n_cont AS BIGINT) AS n_cont, round(score_sum, 9) AS score_sum,
+       round(score_length_norm, 9) AS score_length_norm, round(score_byte_norm, 9) AS score_byte_norm
 FROM modes""", ["lp_tokens"])
 def l7_option_scores(spark, sf):
     return finish(scoring.option_scores(V.logprob_payloads(spark, sf)))
@@ -128,8 +128,8 @@ def l10_truncate_stops(spark, sf):
 
 @register("l11_effective_params", """
 SELECT conv_id, turn,
-  round(coalesce(CASE WHEN model = 'model-1' THEN 0.9 END, CASE WHEN conv_id % 2 = 1 THEN 0.2 END, 0.0), 6) AS temperature,
-  round(coalesce(CASE WHEN model = 'model-2' THEN 0.95 END, NULL, 1.0), 6) AS top_p,
+  round(coalesce(CASE WHEN model = 'model-1' THEN 0.9 END, CASE WHEN conv_id % 2 = 1 THEN 0.2 END, 0.0), 9) AS temperature,
+  round(coalesce(CASE WHEN model = 'model-2' THEN 0.95 END, NULL, 1.0), 9) AS top_p,
   CAST(coalesce(NULL, CASE WHEN conv_id % 5 = 0 THEN 16 END, 256) AS BIGINT) AS max_tokens
 FROM generations""", ["generations"])
 def l11_effective_params(spark, sf):
@@ -160,8 +160,8 @@ def l12_total_tokens(spark, sf):
 WITH em AS (
   SELECT g.model, {Q.normalise_answer(_trunc_sql('g.output'))} = {Q.normalise_answer('q.answer')} AS hit
   FROM generations g JOIN qa_items q ON CAST(g.conv_id AS VARCHAR) || '-' || CAST(g.turn AS VARCHAR) = q.qid)
-SELECT model, count(*) AS n, round(avg(CAST(hit AS INTEGER)), 6) AS exact_match,
-       round(coalesce(stddev_samp(CAST(hit AS INTEGER)) / sqrt(count(*)), 0.0), 6) AS exact_match_stderr
+SELECT model, count(*) AS n, round(avg(CAST(hit AS INTEGER)), 9) AS exact_match,
+       round(coalesce(stddev_samp(CAST(hit AS INTEGER)) / sqrt(count(*)), 0.0), 9) AS exact_match_stderr
 FROM em GROUP BY model""", ["qa_items"])
 def l14_exact_match(spark, sf):
     g = V.generations(spark, sf)
@@ -183,9 +183,9 @@ WITH per AS (
          max(strlen(o.ctx || ' ' || o.ending)) AS n_bytes
   FROM lp_long l JOIN options o ON l.ind = o.ind AND l.option = o.option
   WHERE o.option = 0 GROUP BY o.activity_label, o.ind)
-SELECT task, round(exp(-sum(ll) / sum(n_words)), 6) AS word_perplexity,
-       round(exp(-sum(ll) / sum(n_bytes)), 6) AS byte_perplexity,
-       round(-sum(ll) / (sum(n_bytes) * ln(2.0)), 6) AS bits_per_byte
+SELECT task, round(exp(-sum(ll) / sum(n_words)), 9) AS word_perplexity,
+       round(exp(-sum(ll) / sum(n_bytes)), 9) AS byte_perplexity,
+       round(-sum(ll) / (sum(n_bytes) * ln(2.0)), 9) AS bits_per_byte
 FROM per GROUP BY task""", ["lp_tokens"])
 def l15_perplexity(spark, sf):
     p = V.logprob_payloads(spark, sf).filter(F.col("option") == 0)

@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None, views: Sequence[str] = ()):
     return deco
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
+def finish(df: DataFrame, digits: int = 9) -> DataFrame:
     """Comparable output: doubles rounded, integral columns as BIGINT."""
     cols = []
     for f in df.schema.fields:

@@ -237,3 +237,31 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('data: {"choices": [{"text": "'), text, F.lit('", "finish_reason": null}]}')))
     )
     return ev.select(F.col("user_id").alias("request_id"), _epoch_seconds(F.col("ts")).alias("ts"), line.alias("value"))
+
+
+def task_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-task metric dictionaries (D16) in long form, one task per order.
+
+    Four shapes by ``o_orderkey % 4``: accuracy with stderr and a normalised
+    accuracy; exact match under a non-preferred filter name plus a preferred
+    one; a perplexity trio (no preferred name); and only a string alias.
+    """
+    o = read_table(spark, sf_dir, "orders")
+    p = F.col("o_totalprice")
+
+    def m(pos, name, value):
+        return F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("metric"), value.cast("double").alias("value"))
+
+    alias = m(0, "alias", F.lit(None))
+    kind = F.col("o_orderkey") % 4
+    rows = (
+        F.when(kind == 0, F.array(alias, m(1, "acc,none", p / 1e6), m(2, "acc_stderr,none", p / 1e8),
+                                  m(3, "acc_norm,none", p / 2e6), m(4, "acc_norm_stderr,none", p / 2e8)))
+        .when(kind == 1, F.array(alias, m(1, "exact_match,strict-match", p / 1e6),
+                                 m(2, "exact_match_stderr,strict-match", p / 1e8), m(3, "exact_match,none", p / 3e6)))
+        .when(kind == 2, F.array(alias, m(1, "word_perplexity,none", p / 1e3), m(2, "byte_perplexity,none", p / 1e4),
+                                 m(3, "bits_per_byte,none", p / 1e5)))
+        .otherwise(F.array(alias))
+    )
+    return o.select(F.concat(F.lit("task-"), F.col("o_orderkey").cast("string")).alias("task"),
+                    F.explode(rows).alias("r")).select("task", "r.pos", "r.metric", "r.value")

@@ -131,3 +131,15 @@ VIEWS["sse_lines"] = """sse_lines AS (
               CASE WHEN event_type = 'purchase' THEN '' ELSE event_type || ' ' || CAST(event_id % 3 AS VARCHAR) END
               || '", "finish_reason": null}]}' END AS value
   FROM events)"""
+
+VIEWS["task_metrics"] = """task_metrics AS (
+  SELECT 'task-' || CAST(o_orderkey AS VARCHAR) AS task, 0 AS pos, 'alias' AS metric, CAST(NULL AS DOUBLE) AS value FROM orders
+  UNION ALL SELECT 'task-' || CAST(o_orderkey AS VARCHAR), m.pos, m.metric, o_totalprice / m.div FROM orders,
+    (VALUES (1, 'acc,none', 1e6), (2, 'acc_stderr,none', 1e8), (3, 'acc_norm,none', 2e6), (4, 'acc_norm_stderr,none', 2e8))
+      m(pos, metric, div) WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT 'task-' || CAST(o_orderkey AS VARCHAR), m.pos, m.metric, o_totalprice / m.div FROM orders,
+    (VALUES (1, 'exact_match,strict-match', 1e6), (2, 'exact_match_stderr,strict-match', 1e8), (3, 'exact_match,none', 3e6))
+      m(pos, metric, div) WHERE o_orderkey % 4 = 1
+  UNION ALL SELECT 'task-' || CAST(o_orderkey AS VARCHAR), m.pos, m.metric, o_totalprice / m.div FROM orders,
+    (VALUES (1, 'word_perplexity,none', 1e3), (2, 'byte_perplexity,none', 1e4), (3, 'bits_per_byte,none', 1e5))
+      m(pos, metric, div) WHERE o_orderkey % 4 = 2)"""
