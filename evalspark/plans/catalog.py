@@ -5,3 +5,4 @@ from evalspark.plans import queries_prep  # noqa: F401
 from evalspark.plans import queries_scoring  # noqa: F401
 from evalspark.plans import queries_compare  # noqa: F401
 from evalspark.plans import queries_runlog  # noqa: F401
+from evalspark.plans import queries_guard  # noqa: F401
