@@ -7,3 +7,4 @@ from evalspark.plans import queries_compare  # noqa: F401
 from evalspark.plans import queries_runlog  # noqa: F401
 from evalspark.plans import queries_guard  # noqa: F401
 from evalspark.plans import queries_cache  # noqa: F401
+from evalspark.plans import queries_retrieval  # noqa: F401
