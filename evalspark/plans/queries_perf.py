@@ -136,3 +136,16 @@ FROM chunks GROUP BY request_id""", ["sse_lines"])
 def l13_fold_chunks(spark, sf):
     chunks = perf.parse_sse_lines(V.sse_lines(spark, sf))
     return finish(perf.fold_chunks(chunks))
+
+
+@register("z2_windowed_summary", """
+SELECT CAST(floor(started_at / 3600) * 3600 AS BIGINT) AS window_start, prompt_kind, count(*) AS n,
+  count(*) FILTER (WHERE status = 'ok') AS ok,
+  round(coalesce(quantile_cont(wall_s, 0.5) FILTER (WHERE status = 'ok'), 0.0), 9) AS wall_s_p50,
+  round(coalesce(quantile_cont(wall_s, 0.95) FILTER (WHERE status = 'ok'), 0.0), 9) AS wall_s_p95,
+  round(coalesce(quantile_cont(wall_s, 0.99) FILTER (WHERE status = 'ok'), 0.0), 9) AS wall_s_p99
+FROM requests GROUP BY ALL""", ["requests"])
+def z2_windowed_summary(spark, sf):
+    from evalspark.streaming.requests import windowed_summary
+
+    return finish(windowed_summary(V.requests(spark, sf), 3600, ["prompt_kind"]))

@@ -37,6 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -60,6 +61,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``evalspark`` importable in Python workers (``addPyFile`` of a zip).
+
+    Pandas functions defined in the package (model stand-ins, retrieval cells)
+    are pickled by reference, so executors must be able to import it; Spark
+    distributes the zip to every executor. Done once per application.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="evalspark-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "evalspark"), "zip", os.path.dirname(pkg), "evalspark")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def apply_session_conf(spark: SparkSession) -> None:
     """Set the settings results depend on (time zone, AQE) on an existing session."""
     for k, v in REQUIRED_CONF.items():
