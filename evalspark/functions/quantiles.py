@@ -12,6 +12,9 @@ Here the exact, linearly interpolated percentile (numpy's default, DuckDB's
 3. the exact order statistics ``floor(h)`` and ``ceil(h)``, ``h = p·(n-1)``,
    are read from the sorted band and interpolated.
 
+Passes 2 and 3 are one aggregation with one column per percentile, so the
+input is not duplicated per percentile.
+
 The sketch's rank error is at most ``n / accuracy``, and the margin is three
 times that, so the band always contains both order statistics; were it ever
 not to, the value would come out null, never wrong. Groups no larger than a
@@ -39,6 +42,16 @@ def _pname(p: float) -> str:
     return f"p{s}"
 
 
+def _interp(sorted_values: Column, offset: Column, p: float) -> Column:
+    """Linear interpolation between order statistics floor(h) and ceil(h), h = p·(n-1),
+    read from a sorted array that starts at global rank ``offset``."""
+    h = F.lit(float(p)) * (F.col("_n") - 1)
+    fl, ce = F.floor(h), F.ceil(h)
+    lo_v = F.try_element_at(sorted_values, (fl - offset + 1).cast("int"))
+    hi_v = F.try_element_at(sorted_values, (ce - offset + 1).cast("int"))
+    return lo_v + (h - fl) * (hi_v - lo_v)
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,6 +73,16 @@ def exact_percentiles(
         base = base.withColumn("_all", F.lit(0))
     base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
 
+    # A cheap first pass: the largest group size (one number to the driver).
+    # When every group fits the small-group bound, one aggregation reads each
+    # group whole; otherwise the sketch + band passes below run.
+    bound = SMALL_GROUP_FACTOR * accuracy
+    max_n = base.groupBy(*gkeys).count().agg(F.max("count")).first()[0] or 0
+    if max_n <= bound:
+        whole = base.groupBy(*gkeys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("_x")).alias("_whole"))
+        out = whole.select(*gkeys, *[_interp(F.col("_whole"), F.lit(0), p).alias(prefix + _pname(p)) for p in ps])
+        return out.drop("_all") if not keys else out
+
     eps = 3.0 / accuracy
     probes: list[float] = []
     for p in ps:
@@ -70,46 +93,37 @@ def exact_percentiles(
         F.max("_x").alias("_max"),
         F.percentile_approx("_x", probes, accuracy).alias("_probe"),
     )
-    # One row per (group, percentile) with the band bounds and the target rank.
-    per_p = stats.select(
-        *gkeys,
-        "_n",
-        F.explode(
-            F.array(*[
-                F.struct(
-                    F.lit(i).alias("pi"),
-                    F.lit(float(p)).alias("p"),
-                    (F.col("_min") if probes[2 * i] == 0.0 else F.try_element_at("_probe", F.lit(2 * i + 1))).alias("lo"),
-                    (F.col("_max") if probes[2 * i + 1] == 1.0 else F.try_element_at("_probe", F.lit(2 * i + 2))).alias("hi"),
-                )
-                for i, p in enumerate(ps)
-            ])
-        ).alias("_b"),
-    ).select(*gkeys, "_n", "_b.*")
-
-    # The bounds table has one row per group and percentile: AQE turns this join
-    # into a broadcast from its measured size, and splits skewed groups otherwise.
-    joined = join_keys(base, per_p, gkeys).select(*gkeys, "pi", "p", "_n", "lo", "hi", "_x")
-    # Groups of at most SMALL_GROUP_FACTOR * accuracy values are read whole (as
-    # bounded as the sketch itself); larger ones only inside the band.
+    # Band bounds per percentile, as columns (one row per group).
+    bounds = [
+        (F.col("_min") if probes[2 * i] == 0.0 else F.try_element_at("_probe", F.lit(2 * i + 1))).alias(f"_lo{i}")
+        for i in range(len(ps))
+    ] + [
+        (F.col("_max") if probes[2 * i + 1] == 1.0 else F.try_element_at("_probe", F.lit(2 * i + 2))).alias(f"_hi{i}")
+        for i in range(len(ps))
+    ]
+    per_group = stats.select(*gkeys, "_n", *bounds)
+
+    # The bounds table has one row per group: AQE broadcasts it from its
+    # measured size (and splits skewed partitions of the big side otherwise).
+    joined = join_keys(base, per_group, gkeys)
+    # Groups of at most SMALL_GROUP_FACTOR * accuracy values are read whole
+    # (as bounded as the sketch itself), once for all percentiles; larger
+    # groups keep only the values inside each percentile's band.
     small = F.col("_n") <= F.lit(SMALL_GROUP_FACTOR * accuracy)
-    in_band = small | ((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
-    band = joined.groupBy(*gkeys, "pi", "p", "_n").agg(
-        F.count_if(~small & (F.col("_x") < F.col("lo"))).alias("_below"),
-        F.array_sort(F.collect_list(F.when(in_band, F.col("_x")))).alias("_band"),
-    )
-    h = F.col("p") * (F.col("_n") - 1)
-    fl = F.floor(h)
-    ce = F.ceil(h)
-    lo_v = F.try_element_at("_band", (fl - F.col("_below") + 1).cast("int"))
-    hi_v = F.try_element_at("_band", (ce - F.col("_below") + 1).cast("int"))
-    val = band.select(
-        *gkeys, "pi",
-        (lo_v + (h - fl) * (hi_v - lo_v)).alias("_v"),
-    )
-    out = val.groupBy(*gkeys).agg(
-        *[F.max(F.when(F.col("pi") == i, F.col("_v"))).alias(prefix + _pname(p)) for i, p in enumerate(ps)]
-    )
+    x = F.col("_x")
+    aggs = [F.array_sort(F.collect_list(F.when(small, x))).alias("_whole")]
+    for i in range(len(ps)):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        aggs.append(F.count_if(~small & (x < lo)).alias(f"_below{i}"))
+        aggs.append(F.array_sort(F.collect_list(F.when(~small & (x >= lo) & (x <= hi), x))).alias(f"_band{i}"))
+    band = joined.groupBy(*gkeys, "_n").agg(*aggs)
+
+    def pick(i: int, p: float) -> Column:
+        arr = F.when(small, F.col("_whole")).otherwise(F.col(f"_band{i}"))
+        off = F.when(small, F.lit(0)).otherwise(F.col(f"_below{i}"))
+        return _interp(arr, off, p).alias(prefix + _pname(p))
+
+    out = band.select(*gkeys, *[pick(i, p) for i, p in enumerate(ps)])
     if not keys:
         out = out.drop("_all")
     return out

@@ -128,13 +128,21 @@ def topk_cosine(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool
     return out.select(F.col("qid").alias(query_id), "rank", F.col("pid").alias(pool_id), "score")
 
 
-def _terms(text: Column) -> Column:
-    """Lower-cased word tokens and the bigrams of consecutive tokens."""
-    toks = F.regexp_extract_all(F.lower(text), F.lit(TFIDF_TOKEN), 0)
-    n = F.size(toks)
-    m = F.greatest(n - 1, F.lit(0))
-    bigrams = F.zip_with(F.slice(toks, 1, m), F.slice(toks, 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(toks, bigrams)
+def _tokens(text: Column) -> Column:
+    """Lower-cased word tokens (two or more letters, digits or underscores)."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TFIDF_TOKEN), 0)
+
+
+def _with_terms(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
+    """``(id, terms)``: tokens plus the bigrams of consecutive tokens.
+
+    Tokens are computed in their own projection first, so the regex runs once
+    per text (the bigram expression references the tokens several times).
+    """
+    t = df.select(id_col, _tokens(text).alias("_t"))
+    m = F.greatest(F.size("_t") - 1, F.lit(0))
+    bigrams = F.zip_with(F.slice("_t", 1, m), F.slice("_t", 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return t.select(t.columns[0], F.concat("_t", bigrams).alias("terms"))
 
 
 def tfidf_fit(pool: DataFrame, pool_id: str, text: str, max_features: int = TFIDF_MAX_FEATURES):
@@ -145,7 +153,8 @@ def tfidf_fit(pool: DataFrame, pool_id: str, text: str, max_features: int = TFID
     are ``tf·idf`` normalised to unit length. The vocabulary is bounded by
     ``max_features`` rows; the pool vectors stay distributed.
     """
-    terms = pool.select(F.col(pool_id).cast("bigint").alias("pid"), F.explode(_terms(F.col(text))).alias("term"))
+    terms = _with_terms(pool, F.col(pool_id).cast("bigint").alias("pid"), F.col(text)).select(
+        "pid", F.explode("terms").alias("term"))
     tf = terms.groupBy("pid", "term").agg(F.count("*").alias("tf"))
     n = pool.count()
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
@@ -203,7 +212,7 @@ def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int, query_id: str, query
                 w_out.append(ww[o].tolist())
             yield pd.DataFrame({"qid": pdf["qid"], "idx": idx_out, "w": w_out})
 
-    qterms = queries.select(F.col(query_id).alias("qid"), _terms(F.col(query_text)).alias("terms"))
+    qterms = _with_terms(queries, F.col(query_id).alias("qid"), F.col(query_text))
     qtype = qterms.schema["qid"].dataType.simpleString()
     qv = qterms.mapInPandas(to_sparse, f"qid {qtype}, idx array<int>, w array<double>")
     pv = pool_vec.select("pid", F.transform("sv", lambda s: s.getField("idx")).alias("idx"),

@@ -14,7 +14,23 @@ from evalspark import schemas
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base parquet table of a data folder (``<dir>/<name>.parquet``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return with_min_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def with_min_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A single small file (one row group) is read by one task, and every narrow
+    step after it (tokenising, hashing) would run on one core. Such inputs get
+    a round-robin repartition to the default parallelism; inputs that already
+    have enough partitions (any large, multi-file table) are returned as they
+    are, so no shuffle is added at scale. Filters and column pruning still
+    reach the scan through the repartition.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
