@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+              broadcast_right: bool = False) -> DataFrame:
     """Null-safe equi-join on ``keys``; the output carries the keys once.
 
     Right-side keys are renamed first, so frames derived from the same source
@@ -19,6 +20,8 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
     ren = {k: f"__r_{i}" for i, k in enumerate(keys)}
     r = right.select(*[F.col(f"`{c}`").alias(ren.get(c, c)) for c in right.columns])
+    if broadcast_right:
+        r = F.broadcast(r)
     cond = [F.col(f"`{k}`").eqNullSafe(F.col(ren[k])) for k in keys]
     out = left.join(r, cond, how)
     if how in ("right", "right_outer"):
@@ -28,3 +31,21 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         for k in keys:
             out = out.withColumn(k, F.coalesce(F.col(f"`{k}`"), F.col(ren[k])))
     return out.drop(*ren.values())
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
+               max_rows: int | None = None, known_rows: int | None = None) -> DataFrame:
+    """Join ``big`` to a side expected to be small, broadcasting it only behind a size check.
+
+    ``small`` is typically an aggregate of ``big`` (one row per group); it is
+    cached, counted (or ``known_rows`` is used) and broadcast when it has at
+    most ``max_rows`` rows, else joined by shuffle (where AQE can still split
+    skewed keys).
+    """
+    from evalspark.functions.indexing import BROADCAST_MAX_ROWS
+
+    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    if known_rows is None:
+        small = small.cache()
+        known_rows = small.count()
+    return join_keys(big, small, keys, how, broadcast_right=known_rows <= limit)

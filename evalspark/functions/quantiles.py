@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.joins import join_keys
+from evalspark.functions.joins import join_small
 
 DEFAULT_ACCURACY = 100_000
 # The sketch's answer for p may sit one rank off the interpolation ranks
@@ -77,7 +77,8 @@ def exact_percentiles(
     # When every group fits the small-group bound, one aggregation reads each
     # group whole; otherwise the sketch + band passes below run.
     bound = SMALL_GROUP_FACTOR * accuracy
-    max_n = base.groupBy(*gkeys).count().agg(F.max("count")).first()[0] or 0
+    sizes = base.groupBy(*gkeys).count().agg(F.max("count"), F.count("*")).first()
+    max_n, n_groups = (sizes[0] or 0), sizes[1]
     if max_n <= bound:
         whole = base.groupBy(*gkeys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("_x")).alias("_whole"))
         out = whole.select(*gkeys, *[_interp(F.col("_whole"), F.lit(0), p).alias(prefix + _pname(p)) for p in ps])
@@ -103,9 +104,9 @@ def exact_percentiles(
     ]
     per_group = stats.select(*gkeys, "_n", *bounds)
 
-    # The bounds table has one row per group: AQE broadcasts it from its
-    # measured size (and splits skewed partitions of the big side otherwise).
-    joined = join_keys(base, per_group, gkeys)
+    # The bounds table has one row per group: broadcast when the group count
+    # is small, a shuffle join (with AQE skew splitting) otherwise.
+    joined = join_small(base, per_group, gkeys, known_rows=n_groups)
     # Groups of at most SMALL_GROUP_FACTOR * accuracy values are read whole
     # (as bounded as the sketch itself), once for all percentiles; larger
     # groups keep only the values inside each percentile's band.

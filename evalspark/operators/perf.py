@@ -47,12 +47,10 @@ def percentiles(df: DataFrame, value: str, keys: Sequence[str] = (), ps: Sequenc
     With no keys the result is exactly one row, also for an empty input.
     """
     got = exact_percentiles(df, keys, value, ps, prefix=prefix)
-    names = [c for c in got.columns if c not in keys]
     if keys:
         return got
-    one = df.sparkSession.range(1).select(F.lit(0).alias("_one"))
-    got = got.withColumn("_one", F.lit(0))
-    return one.join(got, "_one", "left").select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names])
+    # At most one row; a global aggregate turns "no row" into one row of zeros.
+    return got.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in got.columns])
 
 
 def _ok(status: str = "status") -> Column:
@@ -174,11 +172,12 @@ def speedup(df: DataFrame, pass_col: str, sequential: str, concurrent: str) -> D
         (F.max("ended_at") - F.min("started_at")).alias("pass_wall_s"),
         F.avg("wall_s").alias("mean_wall_s"),
         F.max("wall_s").alias("max_wall_s"),
-    )
-    seq = per.filter(F.col(pass_col) == sequential).select(F.col("pass_wall_s").alias("_seq"), F.lit(1).alias("_k"))
-    con = per.filter(F.col(pass_col) == concurrent).select(F.col("pass_wall_s").alias("_con"), F.lit(1).alias("_k"))
-    ratio = seq.join(con, "_k").select("_k", F.try_divide("_seq", "_con").alias("speedup"))
-    return per.withColumn("_k", F.lit(1)).join(F.broadcast(ratio), "_k", "left").drop("_k")
+    ).cache()
+    # Two rows (one per pass): the ratio is computed from their two walls.
+    walls = {r[pass_col]: r["pass_wall_s"] for r in per.select(pass_col, "pass_wall_s").collect()}
+    seq, con = walls.get(sequential), walls.get(concurrent)
+    ratio = seq / con if seq is not None and con else None
+    return per.withColumn("speedup", F.lit(ratio).cast("double"))
 
 
 def run_rollup(df: DataFrame, run_col: str) -> DataFrame:

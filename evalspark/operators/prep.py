@@ -99,21 +99,17 @@ def assert_contract(violations: DataFrame) -> None:
         raise ContractError("; ".join(f"{r['rule']}: {r['violations']}" for r in bad))
 
 
-def sanity_gate(items: DataFrame, results: DataFrame | None = None, by: str = "variant",
-                synthetic_prefix: str = "syn-") -> DataFrame:
-    """Smoke-data and degenerate-accuracy gates.
+def synthetic_ids(items: DataFrame, synthetic_prefix: str = "syn-") -> DataFrame:
+    """P7 (data gate): number of ids that look like smoke data (one global aggregate)."""
+    return items.agg(F.count_if(F.col("ind").cast("string").startswith(synthetic_prefix)).alias("synthetic"),
+                     F.count("*").alias("n_items"))
 
-    ``synthetic`` counts ids starting with the synthetic prefix; per group of
-    ``results`` (``correct`` column), ``degenerate`` is true when accuracy is
-    exactly 0 or exactly 1.
-    """
-    syn = items.agg(F.count_if(F.col("ind").cast("string").startswith(synthetic_prefix)).alias("synthetic"))
-    if results is None:
-        return syn
-    acc = results.groupBy(by).agg(
+
+def degenerate_accuracy(results: DataFrame, by: str = "variant") -> DataFrame:
+    """P7 (result gate): per group, accuracy and whether it is exactly 0 or exactly 1."""
+    c = F.col("correct").cast("boolean")
+    return results.groupBy(by).agg(
         F.count("*").alias("n"),
-        F.avg(F.col("correct").cast("double")).alias("accuracy"),
-        (F.bool_and(F.col("correct").cast("boolean")) | ~F.bool_or(F.col("correct").cast("boolean"))).alias("degenerate"),
+        F.avg(c.cast("double")).alias("accuracy"),
+        (F.bool_and(c) | ~F.bool_or(c)).alias("degenerate"),
     )
-    one = F.lit(1).alias("_one")
-    return acc.select("*", one).join(F.broadcast(syn.select("*", one)), "_one").drop("_one")

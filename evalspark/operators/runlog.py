@@ -95,12 +95,12 @@ def append_results(log: DataFrame, new: DataFrame, order: Sequence[str], commit:
 
     ``order`` fixes the numbering of the new rows; the timestamp is the current
     UTC time unless given; newlines in text become spaces and text is trimmed.
-    The next id comes from a single max aggregate (a one-row frame joined on a
-    constant key), the per-row offset from a distributed contiguous index.
+    The next id comes from a single max aggregate (one number), the per-row
+    offset from a distributed contiguous index.
     """
-    start = log.agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("_max")).withColumn("_k", F.lit(1))
-    idx = with_row_index(new, list(order), "_i").withColumn("_k", F.lit(1))
-    j = idx.join(F.broadcast(start), "_k")
+    # The next id is one number (as the log format itself reads it).
+    start = log.agg(F.max("run_id")).first()[0] or 0
+    j = with_row_index(new, list(order), "_i").withColumn("_max", F.lit(start).cast("bigint"))
     ts = timestamp if timestamp is not None else F.current_timestamp()
     clean = lambda c: F.trim(F.regexp_replace(F.col(c), "\n", " "))
     cols = []

@@ -70,14 +70,19 @@ def p6_qa_contract(spark, sf):
     return finish(prep.check_contract(V.qa_items(spark, sf)))
 
 
-@register("p7_sanity_gate", """
-WITH syn AS (SELECT count(*) FILTER (WHERE starts_with(ind, 'syn-')) AS synthetic FROM items)
+@register("p7_degenerate_accuracy", """
 SELECT source, count(*) AS n, round(avg(CAST(baseline AS DOUBLE)), 9) AS accuracy,
-       (bool_and(baseline = 1) OR NOT bool_or(baseline = 1)) AS degenerate, syn.synthetic
-FROM pairs, syn GROUP BY source, syn.synthetic""", ["items", "pairs"])
-def p7_sanity_gate(spark, sf):
+       (bool_and(baseline = 1) OR NOT bool_or(baseline = 1)) AS degenerate
+FROM pairs GROUP BY source""", ["pairs"])
+def p7_degenerate_accuracy(spark, sf):
     res = V.pairs(spark, sf).select("source", (F.col("baseline") == 1).alias("correct"))
-    return finish(prep.sanity_gate(V.items(spark, sf), res, by="source"))
+    return finish(prep.degenerate_accuracy(res, by="source"))
+
+
+@register("p7_synthetic_ids", """
+SELECT count(*) FILTER (WHERE starts_with(ind, 'syn-')) AS synthetic, count(*) AS n_items FROM items""", ["items"])
+def p7_synthetic_ids(spark, sf):
+    return finish(prep.synthetic_ids(V.items(spark, sf)))
 
 
 @register("t1_strip_artifacts", f"""
