@@ -149,3 +149,58 @@ def z2_windowed_summary(spark, sf):
     from evalspark.streaming.requests import windowed_summary
 
     return finish(windowed_summary(V.requests(spark, sf), 3600, ["prompt_kind"]))
+
+
+def _raw_requests(spark, sf):
+    """The request log as text fields (as read from CSV), with some corrupt numbers."""
+    r = V.requests(spark, sf)
+    s = lambda c: F.col(c).cast("string")
+    return r.select(
+        s("idx").alias("idx"), "prompt_kind", s("prompt_chars").alias("prompt_chars"),
+        s("max_tokens").alias("max_tokens"), "mode",
+        F.when(F.col("idx") % 97 == 0, F.lit("oops")).otherwise(s("wall_s")).alias("wall_s"),
+        F.coalesce(s("ttft_s"), F.lit("")).alias("ttft_s"),
+        F.when(F.col("idx") % 89 == 0, F.lit("")).otherwise(s("output_tokens")).alias("output_tokens"),
+        "status", "error", s("started_at").alias("started_at"), s("ended_at").alias("ended_at"))
+
+
+@register("m5_coerce_requests", """
+SELECT idx, round(CASE WHEN idx % 97 = 0 THEN NULL ELSE wall_s END, 9) AS wall_s, round(ttft_s, 9) AS ttft_s,
+  CAST(CASE WHEN idx % 89 = 0 THEN 0 ELSE output_tokens END AS BIGINT) AS output_tokens
+FROM requests""", ["requests"])
+def m5_coerce_requests(spark, sf):
+    from evalspark.sources.readers import coerce_requests
+
+    c = coerce_requests(_raw_requests(spark, sf))
+    return finish(c.select("idx", "wall_s", "ttft_s", "output_tokens"))
+
+
+def _gpu_lines(spark, sf):
+    from evalspark.sources.readers import read_table
+
+    ev = read_table(spark, sf, "events")
+    v = F.col("value").cast("string")
+    util = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(v)
+    line = F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.concat_ws(
+        ", ", (F.col("user_id") % 4).cast("string"), util, (F.col("value") / 2).cast("string"),
+        (F.col("event_id") % 16000).cast("string"), F.lit("16000"), (40 + F.col("user_id") % 50).cast("string"),
+        (F.col("value") * 0.5).cast("string")))
+    return ev.select("event_id", line.alias("value"))
+
+
+@register("s10_gpu_text", """
+WITH l AS (
+  SELECT event_id, CASE WHEN event_type = 'view' THEN '' ELSE concat_ws(', ', CAST(user_id % 4 AS VARCHAR),
+    CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END, CAST(value / 2 AS VARCHAR),
+    CAST(event_id % 16000 AS VARCHAR), '16000', CAST(40 + user_id % 50 AS VARCHAR), CAST(value * 0.5 AS VARCHAR)) END AS line
+  FROM events),
+p AS (SELECT event_id, string_split(trim(line), ',') AS f FROM l WHERE trim(line) <> '')
+SELECT event_id, CAST(TRY_CAST(trim(f[1]) AS INTEGER) AS BIGINT) AS "index",
+  round(TRY_CAST(trim(f[2]) AS DOUBLE), 9) AS util_gpu, round(TRY_CAST(trim(f[3]) AS DOUBLE), 9) AS util_mem,
+  round(TRY_CAST(trim(f[4]) AS DOUBLE), 9) AS mem_used, round(TRY_CAST(trim(f[5]) AS DOUBLE), 9) AS mem_total,
+  round(TRY_CAST(trim(f[6]) AS DOUBLE), 9) AS temp, round(TRY_CAST(trim(f[7]) AS DOUBLE), 9) AS power
+FROM p""")
+def s10_gpu_text(spark, sf):
+    from evalspark.sources.readers import parse_gpu_samples
+
+    return finish(parse_gpu_samples(_gpu_lines(spark, sf), keep=["event_id"]))

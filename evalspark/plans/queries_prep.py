@@ -147,3 +147,14 @@ def t5_fewshot_pairs(spark, sf):
     items, pool = V.items(spark, sf), V.pool(spark, sf)
     pairs = prompts.fewshot_pairs(items, prompts.fewshot_random(items, pool, 5, seed=42), pool)
     return finish(pairs.select("ind", "option", F.md5("prompt").alias("prompt_md5"), "continuation"))
+
+
+@register("p3_require_rows", f"""
+WITH {_NORM_SQL}
+SELECT count(*) AS available, CAST(300 AS BIGINT) AS needed, count(*) >= 300 AS ok
+FROM norm WHERE label >= 0 AND len(endings) > 0""", ["raw_items"])
+def p3_require_rows(spark, sf):
+    """P3 as a table: labelled rows available vs the split's need (the gate raises on ``ok = false``)."""
+    lab = prep.labelled(prep.normalise_items(V.raw_items(spark, sf)))
+    return finish(lab.agg(F.count("*").alias("available")).select(
+        "available", F.lit(300).cast("bigint").alias("needed"), (F.col("available") >= 300).alias("ok")))

@@ -198,3 +198,22 @@ def l15_perplexity(spark, sf):
 
 
 __all__ = ["as_continuation"]
+
+
+@register("l3_parse_payload", """
+SELECT ind, CAST(option AS BIGINT) AS option,
+  CAST(CASE WHEN option = 3 THEN 0 ELSE count(*) END AS BIGINT) AS n_tokens,
+  round(CASE WHEN option = 3 THEN 0.0 ELSE coalesce(sum(lp), 0.0) END, 9) AS sum_lp,
+  CAST(CASE WHEN option = 3 THEN 0 ELSE count(alt_lp) END AS BIGINT) AS n_top
+FROM lp_long GROUP BY ind, option""", ["lp_tokens"])
+def l3_parse_payload(spark, sf):
+    """Raw responses (JSON text) parsed back into payload arrays; option 3 has no log-prob block."""
+    p = V.logprob_payloads(spark, sf)
+    block = F.struct("tokens", "token_logprobs", "top_logprobs")
+    raw = F.when(F.col("option") == 3, F.lit('{"choices": [{"text": ""}]}')).otherwise(
+        F.to_json(F.struct(F.array(F.struct(F.lit("").alias("text"), block.alias("logprobs"))).alias("choices"))))
+    parsed = p.select("ind", "option", LP.parse_payload(raw).alias("pl"))
+    return finish(parsed.select(
+        "ind", "option", F.size("pl.tokens").cast("bigint").alias("n_tokens"),
+        LP.sum_nonnull("pl.token_logprobs").alias("sum_lp"),
+        F.size(F.filter("pl.top_logprobs", lambda m: m.isNotNull())).cast("bigint").alias("n_top")))

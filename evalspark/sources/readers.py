@@ -131,16 +131,20 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_gpu_samples(lines: DataFrame, text_col: str = "value", ts_col: str | None = None) -> DataFrame:
-    """GPU sampler text (``", "``-separated, 7 fields) into typed rows; blank lines dropped."""
+def parse_gpu_samples(lines: DataFrame, text_col: str = "value", ts_col: str | None = None,
+                      keep: list[str] | None = None) -> DataFrame:
+    """GPU sampler text (``", "``-separated, 7 fields) into typed rows; blank lines dropped.
+
+    Unparseable fields become null; ``keep`` carries other columns along.
+    """
     parts = F.split(F.trim(F.col(text_col)), r",\s*")
     fields = ["index", "util_gpu", "util_mem", "mem_used", "mem_total", "temp", "power"]
     types = ["int"] + ["double"] * 6
     cols = [F.expr(f"try_cast(trim(element_at(_parts, {i + 1})) as {t})").alias(f)
             for i, (f, t) in enumerate(zip(fields, types))]
     base = lines.filter(F.trim(F.col(text_col)) != "").withColumn("_parts", parts)
-    keep = ([F.col(ts_col).alias("timestamp")] if ts_col else [])
-    return base.select(*keep, *cols)
+    carried = [F.col(c) for c in (keep or [])] + ([F.col(ts_col).alias("timestamp")] if ts_col else [])
+    return base.select(*carried, *cols)
 
 
 def read_gpu_samples(spark: SparkSession, path: str) -> DataFrame:
