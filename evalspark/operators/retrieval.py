@@ -1,12 +1,14 @@
 """Exemplar retrieval: exact top-k by cosine similarity (T8) and TF-IDF.
 
-Exact top-k needs every (query, pool) score, but never as rows: queries are
-split into chunks and the pool into blocks, each (chunk, block) cell is one
+Exact top-k needs every (query, pool) score, but never as rows. A pool that
+fits a byte budget (checked) is broadcast and each query partition is scored
+in place (``mapInPandas``, no shuffle of the queries). A larger pool is split
+into blocks and the queries into chunks; each (chunk, block) cell is one
 ``cogroup`` task that multiplies two bounded matrices in numpy and keeps only
 its top-k per query; a final window keeps the top-k of ``k × blocks``
 candidates per query. Work is ``O(Q·P)`` flops (inherent to exact search),
-memory per task is bounded by the chunk and block sizes, and no query or pool
-row ever goes through the driver.
+memory per task is bounded by the block sizes, and the queries never go
+through the driver.
 
 Tie rule: higher score first (scores compared after rounding to 1e-9), then
 the lower pool id (pool order).
@@ -49,7 +51,7 @@ def _topk_rows(qids: np.ndarray, pids: np.ndarray, sims: np.ndarray, k: int, exc
         sims = np.where(same, -np.inf, sims)
     r = np.round(sims, SCORE_DIGITS)
     kk = min(k, sims.shape[1])
-    out_q, out_p, out_s = [], [], []
+    out_q, out_p, out_s, out_r = [], [], [], []
     # Sort by (-rounded score, pool id): lexsort keys are given last-major.
     order_p = np.argsort(pids, kind="stable")
     r_sorted = r[:, order_p]
@@ -61,26 +63,52 @@ def _topk_rows(qids: np.ndarray, pids: np.ndarray, sims: np.ndarray, k: int, exc
         out_q.append(np.full(len(c), qids[i]))
         out_p.append(pids[c])
         out_s.append(sims[i, c])
+        out_r.append(np.arange(1, len(c) + 1, dtype=np.int32))
     if not out_q:
-        return np.array([], dtype=qids.dtype), np.array([], dtype=pids.dtype), np.array([], dtype=float)
-    return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_s)
+        return (np.array([], dtype=qids.dtype), np.array([], dtype=pids.dtype), np.array([], dtype=float),
+                np.array([], dtype=np.int32))
+    return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_s), np.concatenate(out_r)
 
 
-def _blocked_topk(queries: DataFrame, pool: DataFrame, k: int, score_fn, row_bytes: int,
+def _blocked_topk(queries: DataFrame, pool: DataFrame, k: int, prep_pool, score, row_bytes: int,
                   exclude_self: bool) -> DataFrame:
     """Shared driver of T8 / T9: ``queries(qid, ...)``, ``pool(pid bigint, ...)`` → top-k rows.
 
-    ``score_fn(q_pdf, p_pdf) -> (qids, pids, sims matrix)`` works on one cell;
-    the other columns of both frames are its payload.
+    ``prep_pool(pool_pdf) -> (pids, matrix)`` runs once per task and block;
+    ``score(query_pdf, matrix) -> (qids, sims)`` runs per query sub-batch.
+
+    A pool within ``POOL_BLOCK_BYTES`` (checked from its row count and row
+    size) is broadcast once and the queries are scored where they are, in
+    ``mapInPandas``: no shuffle of the queries, and the per-task top-k is final.
+    A larger pool is split into blocks and scored by ``cogroup`` cells of
+    (query chunk, pool block), whose candidates a window reduces to the top-k.
     """
     spark = queries.sparkSession
     qtype = queries.schema["qid"].dataType.simpleString()
-    n_q = queries.count()
+    schema = f"qid {qtype}, pid bigint, score double, rank int"
     n_p = pool.count()
-    if n_q == 0 or n_p == 0 or k <= 0:
-        return spark.createDataFrame([], f"qid {qtype}, pid bigint, score double, rank int")
+    if n_p == 0 or k <= 0:
+        return spark.createDataFrame([], schema)
     block_rows = max(1, POOL_BLOCK_BYTES // max(1, row_bytes))
     n_blocks = max(1, math.ceil(n_p / block_rows))
+
+    def topk_frames(qpdf: pd.DataFrame, pids, mat):
+        for s in range(0, len(qpdf), SUB_BATCH):
+            qids, sims = score(qpdf.iloc[s:s + SUB_BATCH], mat)
+            a, b, c, r = _topk_rows(qids, pids, sims, k, exclude_self)
+            yield pd.DataFrame({"qid": a, "pid": b, "score": c, "rank": r})
+
+    if n_blocks == 1:
+        bc = spark.sparkContext.broadcast(pool.toPandas())  # at most POOL_BLOCK_BYTES of vectors
+
+        def run(batches):
+            pids, mat = prep_pool(bc.value)  # once per task
+            for qpdf in batches:
+                yield from topk_frames(qpdf, pids, mat)
+
+        return queries.mapInPandas(run, schema)
+
+    n_q = queries.count()
     n_chunks = max(spark.sparkContext.defaultParallelism, math.ceil(n_q / QUERY_CHUNK_ROWS))
     q = queries.select(
         F.pmod(F.xxhash64("qid"), F.lit(n_chunks)).alias("c"), *queries.columns,
@@ -91,25 +119,22 @@ def _blocked_topk(queries: DataFrame, pool: DataFrame, k: int, score_fn, row_byt
 
     def cell(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or ppdf.empty:
-            return pd.DataFrame({"qid": [], "pid": [], "score": []})
-        parts = []
-        for s in range(0, len(qpdf), SUB_BATCH):
-            sub = qpdf.iloc[s:s + SUB_BATCH]
-            qids, pids, sims = score_fn(sub, ppdf)
-            a, b, c = _topk_rows(qids, pids, sims, k, exclude_self)
-            parts.append(pd.DataFrame({"qid": a, "pid": b, "score": c}))
-        return pd.concat(parts, ignore_index=True)
-
-    cand = q.groupBy("c", "b").cogroup(p.groupBy("c", "b")).applyInPandas(
-        cell, f"qid {qtype}, pid bigint, score double")
+            return pd.DataFrame({"qid": [], "pid": [], "score": [], "rank": []})
+        pids, mat = prep_pool(ppdf)
+        return pd.concat(list(topk_frames(qpdf, pids, mat)), ignore_index=True)
+
+    cand = q.groupBy("c", "b").cogroup(p.groupBy("c", "b")).applyInPandas(cell, schema).drop("rank")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("pid"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _dense_score(qpdf: pd.DataFrame, ppdf: pd.DataFrame):
+def _dense_prep(ppdf: pd.DataFrame):
+    return ppdf["pid"].to_numpy(), np.vstack(ppdf["payload"].to_numpy()).astype(np.float64)
+
+
+def _dense_score(qpdf: pd.DataFrame, mat: np.ndarray):
     qm = np.vstack(qpdf["payload"].to_numpy()).astype(np.float64)
-    pm = np.vstack(ppdf["payload"].to_numpy()).astype(np.float64)
-    return qpdf["qid"].to_numpy(), ppdf["pid"].to_numpy(), qm @ pm.T
+    return qpdf["qid"].to_numpy(), qm @ mat.T
 
 
 def topk_cosine(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool_id: str, vector: str,
@@ -124,7 +149,7 @@ def topk_cosine(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool
     qn = queries.select(F.col(query_id).alias("qid"), l2_normalize(vector).alias("payload"))
     pn = pool.select(F.col(pool_id).cast("bigint").alias("pid"), l2_normalize(vector).alias("payload"))
     dim = len(pool.select(vector).first()[0] or []) if k > 0 else 1
-    out = _blocked_topk(qn, pn, k, _dense_score, 8 * max(1, dim), exclude_self)
+    out = _blocked_topk(qn, pn, k, _dense_prep, _dense_score, 8 * max(1, dim), exclude_self)
     return out.select(F.col("qid").alias(query_id), "rank", F.col("pid").alias(pool_id), "score")
 
 
@@ -225,10 +250,13 @@ def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int, query_id: str, query
                 m[r, np.asarray(ii, dtype=np.int64)] = np.asarray(ww, dtype=np.float64)
         return m
 
-    def score(qpdf: pd.DataFrame, ppdf: pd.DataFrame):
-        return qpdf["qid"].to_numpy(), ppdf["pid"].to_numpy(), densify(qpdf) @ densify(ppdf).T
+    def prep(ppdf: pd.DataFrame):
+        return ppdf["pid"].to_numpy(), densify(ppdf)
+
+    def score(qpdf: pd.DataFrame, mat: np.ndarray):
+        return qpdf["qid"].to_numpy(), densify(qpdf) @ mat.T
 
-    out = _blocked_topk(qv, pv, k, score, 8 * v_size, exclude_self=False)
+    out = _blocked_topk(qv, pv, k, prep, score, 8 * v_size, exclude_self=False)
     return out.select(F.col("qid").alias(query_id), "rank", F.col("pid").alias(pool_id), "score")
 
 
