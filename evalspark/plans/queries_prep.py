@@ -39,11 +39,15 @@ def p2_labelled_items(spark, sf):
 
 
 @register("p4_split_items", """
-SELECT ind, CAST(rank AS BIGINT) AS rank, CASE WHEN rank < 200 THEN 'eval' ELSE 'pool' END AS split
-FROM (SELECT ind, row_number() OVER (ORDER BY md5('42:' || ind), ind) - 1 AS rank FROM items)
-WHERE rank < 300""", ["items"])
+WITH sizes AS (SELECT count(*) // 5 AS n_eval, count(*) // 10 AS n_pool FROM items)
+SELECT ind, CAST(rank AS BIGINT) AS rank, CASE WHEN rank < n_eval THEN 'eval' ELSE 'pool' END AS split
+FROM (SELECT ind, row_number() OVER (ORDER BY md5('42:' || ind), ind) - 1 AS rank FROM items), sizes
+WHERE rank < n_eval + n_pool""", ["items"])
 def p4_split_items(spark, sf):
-    s = prep.split_items(V.items(spark, sf), n_eval=200, n_pool=100, seed=42)
+    """Split sizes are fractions of the table: 20 % eval, 10 % pool."""
+    items = V.items(spark, sf)
+    n = items.count()
+    s = prep.split_items(items, n_eval=n // 5, n_pool=n // 10, seed=42, check=False)
     return finish(s.select("ind", "rank", "split"))
 
 
