@@ -73,17 +73,9 @@ def exact_percentiles(
         base = base.withColumn("_all", F.lit(0))
     base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
 
-    # A cheap first pass: the largest group size (one number to the driver).
-    # When every group fits the small-group bound, one aggregation reads each
-    # group whole; otherwise the sketch + band passes below run.
+    # Pass 1 (one row per group, cached): size, range and the sketch. Its
+    # largest group decides the plan of pass 2, so the input is read twice.
     bound = SMALL_GROUP_FACTOR * accuracy
-    sizes = base.groupBy(*gkeys).count().agg(F.max("count"), F.count("*")).first()
-    max_n, n_groups = (sizes[0] or 0), sizes[1]
-    if max_n <= bound:
-        whole = base.groupBy(*gkeys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("_x")).alias("_whole"))
-        out = whole.select(*gkeys, *[_interp(F.col("_whole"), F.lit(0), p).alias(prefix + _pname(p)) for p in ps])
-        return out.drop("_all") if not keys else out
-
     eps = 3.0 / accuracy
     probes: list[float] = []
     for p in ps:
@@ -93,7 +85,15 @@ def exact_percentiles(
         F.min("_x").alias("_min"),
         F.max("_x").alias("_max"),
         F.percentile_approx("_x", probes, accuracy).alias("_probe"),
-    )
+    ).cache()
+    sizes = stats.agg(F.max("_n"), F.count("*")).first()
+    max_n, n_groups = (sizes[0] or 0), sizes[1]
+    if max_n <= bound:
+        # Every group is within the sketch's own memory bound: read groups whole.
+        whole = base.groupBy(*gkeys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("_x")).alias("_whole"))
+        out = whole.select(*gkeys, *[_interp(F.col("_whole"), F.lit(0), p).alias(prefix + _pname(p)) for p in ps])
+        return out.drop("_all") if not keys else out
+
     # Band bounds per percentile, as columns (one row per group).
     bounds = [
         (F.col("_min") if probes[2 * i] == 0.0 else F.try_element_at("_probe", F.lit(2 * i + 1))).alias(f"_lo{i}")
