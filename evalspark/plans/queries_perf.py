@@ -120,9 +120,13 @@ def a14_run_rollup(spark, sf):
     return finish(perf.run_rollup(V.requests(spark, sf), "prompt_kind"))
 
 
-_CHUNKS_SQL = """chunks AS (
-  SELECT request_id, ts, coalesce(json_extract_string(substr(value, 7), '$.choices[0].text'), '') AS delta
-  FROM sse_lines WHERE starts_with(value, 'data: ') AND trim(substr(value, 7)) <> '[DONE]')"""
+_CHUNKS_SQL = """data_lines AS (
+  SELECT request_id, ts, trim(substr(value, 7)) AS p,
+         min(CASE WHEN trim(substr(value, 7)) = '[DONE]' THEN ts END) OVER (PARTITION BY request_id) AS done_at
+  FROM sse_lines WHERE starts_with(value, 'data: ')),
+chunks AS (
+  SELECT request_id, ts, coalesce(json_extract_string(p, '$.choices[0].text'), '') AS delta
+  FROM data_lines WHERE done_at IS NULL OR ts < done_at)"""
 
 
 @register("l13_fold_chunks", f"""

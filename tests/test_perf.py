@@ -126,6 +126,7 @@ def test_fold_chunks(spark):
         (1, 11.0, ": keep-alive"),
         (1, 11.5, 'data: {"choices": [{"text": "!"}]}'),
         (1, 12.0, "data: [DONE]"),
+        (1, 13.0, 'data: {"choices": [{"text": "after done"}]}'),
     ], "request_id long, ts double, value string")
     chunks = perf.parse_sse_lines(lines)
     r = perf.fold_chunks(chunks).first()
