@@ -186,3 +186,10 @@ FROM cmp""", ["lp_tokens"])
 def a13_journal(spark, sf):
     summary = compare.compare_variants(_results(spark, sf), resamples=200, portable=True)
     return finish(compare.journal_entries(summary))
+
+
+@register("a10_compare_variants_scale")
+def a10_compare_variants_scale(spark, sf):
+    """A10 on the scale path: multinomial bootstrap, B = 10 000 (no SQL equivalent of numpy's draws)."""
+    out = compare.compare_variants(_results(spark, sf), resamples=10_000, portable=False)
+    return finish(out.fillna(0, ["n_paired", "resamples"]))

@@ -21,7 +21,7 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(E.queries()) >= 75
+    assert len(E.queries()) >= 80
 
 
 @pytest.mark.parametrize("name", ["m3_request_summary", "l7_option_scores", "a10_compare_variants",
