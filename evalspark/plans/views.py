@@ -155,25 +155,22 @@ def logprob_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt / output pairs: each user turn with the assistant turn that follows it."""
-    from pyspark.sql import Window
+    """Prompt / output pairs: each user turn with the assistant turn that follows it.
 
+    Turns are numbered consecutively per conversation, so the next turn is an
+    equi-join on ``(conv_id, turn + 1)``: no conversation, however long, is
+    gathered into one task (as a window over the conversation would).
+    """
     c = read_table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (
-        c.select(
-            "conv_id", "turn", "role", "text",
-            F.lead("role").over(w).alias("next_role"),
-            F.lead("text").over(w).alias("next_text"),
-        )
-        .filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-        .select(
-            "conv_id",
-            "turn",
-            F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string")).alias("model"),
-            F.col("text").alias("prompt"),
-            F.col("next_text").alias("output"),
-        )
+    user = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    nxt = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
+    return user.join(nxt, ["conv_id", "turn"]).select(
+        "conv_id",
+        "turn",
+        F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string")).alias("model"),
+        "prompt",
+        "output",
     )
 
 

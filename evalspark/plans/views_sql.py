@@ -72,12 +72,9 @@ lp_long AS (
     CASE WHEN pos > 0 THEN -{_md5_bucket("ind || ':' || CAST(option AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':alt'", 1000)} / 100.0 END AS alt_lp
   FROM lp_tokens)""",
     "generations": """generations AS (
-  SELECT conv_id, turn, 'model-' || CAST(conv_id % 3 AS VARCHAR) AS model, text AS prompt, next_text AS output
-  FROM (SELECT conv_id, turn, role, text,
-               lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-               lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
-        FROM conversations)
-  WHERE role = 'user' AND next_role = 'assistant')""",
+  SELECT u.conv_id, u.turn, 'model-' || CAST(u.conv_id % 3 AS VARCHAR) AS model, u.text AS prompt, a.text AS output
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')""",
     "repeats": """repeats AS (SELECT source AS prompt, doc_id AS run, lang AS text FROM documents)""",
     "runs": """runs AS (
   SELECT o_orderkey AS run_id, o_orderdate AS timestamp, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7) AS commit,

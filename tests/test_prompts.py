@@ -99,3 +99,11 @@ def test_variant_registry(spark):
 def test_qa_prompt(spark):
     p = _one(spark, prompts.qa_prompt(F.col("a")), "What is 2+2?", None)
     assert p.endswith("Question: What is 2+2?\nAnswer:")
+
+
+def test_split_large_path_matches_top_n(spark, monkeypatch):
+    items = spark.range(200).select(F.col("id").cast("string").alias("ind"))
+    small = sorted(map(tuple, prep.split_items(items, 30, 20, seed=5).select("ind", "rank", "split").collect()))
+    monkeypatch.setattr(prep, "TOP_N_MAX", 10)
+    large = sorted(map(tuple, prep.split_items(items, 30, 20, seed=5).select("ind", "rank", "split").collect()))
+    assert small == large
