@@ -241,15 +241,13 @@ def parse_sse_lines(lines: DataFrame, text_col: str = "value", request: str = "r
 
     Keeps lines starting with ``data: `` that come before the request's first
     ``[DONE]`` marker (in ``order``), and parses ``choices[0].text`` /
-    ``finish_reason``. Other columns are carried along. The marker time is a
-    window minimum per request (a request's lines are bounded by its tokens).
+    ``finish_reason``. Other columns are carried along. Marker times are a
+    partial aggregate over the marker lines only, joined back by request.
     """
-    from pyspark.sql import Window
-
     payload = F.trim(F.substring(F.col(text_col), 7, F.lit(1 << 30)))
     d = lines.filter(F.col(text_col).startswith("data: ")).withColumn("_p", payload)
-    done_at = F.min(F.when(F.col("_p") == "[DONE]", F.col(order))).over(Window.partitionBy(request))
-    d = d.withColumn("_done", done_at).filter(F.col("_done").isNull() | (F.col(order) < F.col("_done")))
-    d = d.drop("_done")
+    done = d.filter(F.col("_p") == "[DONE]").groupBy(request).agg(F.min(order).alias("_done"))
+    d = join_keys(d, done, [request], "left")
+    d = d.filter(F.col("_done").isNull() | (F.col(order) < F.col("_done"))).drop("_done")
     return d.withColumn("delta", F.coalesce(F.get_json_object("_p", "$.choices[0].text"), F.lit(""))) \
             .withColumn("finish_reason", F.get_json_object("_p", "$.choices[0].finish_reason")).drop("_p")
