@@ -144,3 +144,16 @@ def test_gpu_sample_parsing(spark):
     assert rows[0]["util_gpu"] == 85.0 and rows[0]["power"] == pytest.approx(220.4)
     assert rows[1]["util_gpu"] is None
     assert not math.isnan(rows[0]["temp"])
+
+
+def test_summary_approx_close_to_exact(spark):
+    import random
+    rnd = random.Random(0)
+    rows = [("k", "stream", rnd.uniform(0.1, 5.0), rnd.uniform(0.01, 0.09), 50, "ok", 100.0 + i, 101.0 + i)
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, ROW)
+    ex = perf.summarise_requests(df).first()
+    ap = perf.summarise_requests(df, exact=False).first()
+    for c in ("wall_s_p50", "wall_s_p95", "ttft_s_p99", "tpot_p50"):
+        assert ap[c] == pytest.approx(ex[c], rel=0.02)
+    assert (ap["n"], ap["ok"], ap["throughput_rps"]) == (ex["n"], ex["ok"], ex["throughput_rps"])
