@@ -208,3 +208,31 @@ def s10_gpu_text(spark, sf):
     from evalspark.sources.readers import parse_gpu_samples
 
     return finish(parse_gpu_samples(_gpu_lines(spark, sf), keep=["event_id"]))
+
+
+_GAP_S = 12 * 3600
+
+
+@register("z1_session_fold", f"""
+WITH data_lines AS (
+  SELECT request_id, event_ts, ts, trim(substr(value, 7)) AS p,
+         min(CASE WHEN trim(substr(value, 7)) = '[DONE]' THEN ts END) OVER (PARTITION BY request_id) AS done_at
+  FROM sse_lines WHERE starts_with(value, 'data: ')),
+chunks AS (
+  SELECT request_id, epoch_us(event_ts) AS us, coalesce(json_extract_string(p, '$.choices[0].text'), '') AS delta
+  FROM data_lines WHERE done_at IS NULL OR ts < done_at),
+s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY request_id ORDER BY us) < CAST({_GAP_S} AS BIGINT) * 1000000 THEN 0 ELSE 1 END
+                AS new_s FROM chunks),
+t AS (SELECT *, sum(new_s) OVER (PARTITION BY request_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM s)
+SELECT request_id, round(min(us) / 1e6, 9) AS started_at, round(max(us) / 1e6, 9) AS ended_at,
+  round((min(us) FILTER (WHERE delta <> '') - min(us)) / 1e6, 9) AS ttft_s, round((max(us) - min(us)) / 1e6, 9) AS wall_s,
+  CAST(coalesce(sum(CASE WHEN delta <> '' THEN greatest(1, len(list_filter(regexp_split_to_array(delta, '\\s+'), lambda x: x <> ''))) ELSE 0 END), 0) AS BIGINT) AS output_tokens,
+  count(*) AS n_chunks
+FROM t GROUP BY request_id, sid""", ["sse_lines"])
+def z1_session_fold(spark, sf):
+    """Z1's session-window fold run as a batch query (the streaming form is tested in tests/)."""
+    from evalspark.streaming.requests import fold_chunk_stream
+
+    chunks = perf.parse_sse_lines(V.sse_lines(spark, sf)).select(
+        "request_id", F.col("event_ts").alias("ts"), "delta")
+    return finish(fold_chunk_stream(chunks, gap=f"{_GAP_S} seconds", watermark="1 hour"))

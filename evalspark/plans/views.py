@@ -233,7 +233,8 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(et == "error", F.lit("data: [DONE]"))
         .otherwise(F.concat(F.lit('data: {"choices": [{"text": "'), text, F.lit('", "finish_reason": null}]}')))
     )
-    return ev.select(F.col("user_id").alias("request_id"), _epoch_seconds(F.col("ts")).alias("ts"), line.alias("value"))
+    return ev.select(F.col("user_id").alias("request_id"), _epoch_seconds(F.col("ts")).alias("ts"),
+                     F.col("ts").cast("timestamp").alias("event_ts"), line.alias("value"))
 
 
 def task_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def with_views(sql: str, *names: str) -> str:
     return head + body
 
 VIEWS["sse_lines"] = """sse_lines AS (
-  SELECT user_id AS request_id, epoch_us(ts) / 1e6 AS ts,
+  SELECT user_id AS request_id, epoch_us(ts) / 1e6 AS ts, ts AS event_ts,
     CASE WHEN event_type = 'view' THEN ': keep-alive'
          WHEN event_type = 'error' THEN 'data: [DONE]'
          ELSE 'data: {"choices": [{"text": "' ||
