@@ -236,3 +236,14 @@ def z1_session_fold(spark, sf):
     chunks = perf.parse_sse_lines(V.sse_lines(spark, sf)).select(
         "request_id", F.col("event_ts").alias("ts"), "delta")
     return finish(fold_chunk_stream(chunks, gap=f"{_GAP_S} seconds", watermark="1 hour"))
+
+
+@register("m6_tpot_box", f"""
+WITH t AS (SELECT prompt_kind, status, {_TPOT_SQL} AS tpot FROM requests)
+SELECT prompt_kind, count(tpot) AS n, round(quantile_cont(tpot, 0.0), 9) AS min, round(quantile_cont(tpot, 0.25), 9) AS q1,
+  round(quantile_cont(tpot, 0.5), 9) AS median, round(quantile_cont(tpot, 0.75), 9) AS q3,
+  round(quantile_cont(tpot, 1.0), 9) AS max
+FROM t WHERE status = 'ok' AND tpot IS NOT NULL GROUP BY prompt_kind""", ["requests"])
+def m6_tpot_box(spark, sf):
+    d = V.requests(spark, sf).withColumn("tpot", perf.tpot())
+    return finish(perf.latency_box(d, "tpot"))

@@ -6,7 +6,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from evalspark.sources import readers, writers
 
@@ -84,4 +83,3 @@ def test_task_metrics_and_meta(spark, scratch):
     writers.write_run_meta(spark, {"model": "m", "seed": 42, "limit": None}, os.path.join(scratch, "meta"))
     meta = spark.read.json(os.path.join(scratch, "meta")).first()
     assert (meta["model"], meta["seed"], meta["limit"]) == ("m", "42", "")
-    assert F is not None
