@@ -108,21 +108,44 @@ def exact_percentiles(
     # is small, a shuffle join (with AQE skew splitting) otherwise.
     joined = join_small(base, per_group, gkeys, known_rows=n_groups)
     # Groups of at most SMALL_GROUP_FACTOR * accuracy values are read whole
-    # (as bounded as the sketch itself), once for all percentiles; larger
-    # groups keep only the values inside each percentile's band.
+    # (as bounded as the sketch itself), once for all percentiles. Larger
+    # groups keep, per percentile, the count below the band, the counts equal
+    # to each bound, and only the values strictly inside the band: ties at
+    # the bounds (even a group of identical values) never enter the array.
     small = F.col("_n") <= F.lit(SMALL_GROUP_FACTOR * accuracy)
     x = F.col("_x")
     aggs = [F.array_sort(F.collect_list(F.when(small, x))).alias("_whole")]
     for i in range(len(ps)):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        aggs.append(F.count_if(~small & (x < lo)).alias(f"_below{i}"))
-        aggs.append(F.array_sort(F.collect_list(F.when(~small & (x >= lo) & (x <= hi), x))).alias(f"_band{i}"))
+        big = ~small
+        aggs += [
+            F.first(lo).alias(f"_lo{i}"),
+            F.first(hi).alias(f"_hi{i}"),
+            F.count_if(big & (x < lo)).alias(f"_below{i}"),
+            F.count_if(big & (x == lo)).alias(f"_eqlo{i}"),
+            F.count_if(big & (x == hi) & (hi > lo)).alias(f"_eqhi{i}"),
+            F.array_sort(F.collect_list(F.when(big & (x > lo) & (x < hi), x))).alias(f"_in{i}"),
+        ]
     band = joined.groupBy(*gkeys, "_n").agg(*aggs)
 
+    def order_stat(i: int, r: Column) -> Column:
+        """Value of 0-based rank ``r`` from (below, =lo, inside, =hi); null outside the band."""
+        rel = r - F.col(f"_below{i}")
+        eq_lo, eq_hi, inner = F.col(f"_eqlo{i}"), F.col(f"_eqhi{i}"), F.col(f"_in{i}")
+        n_in = F.size(inner)
+        return (
+            F.when(rel < 0, F.lit(None).cast("double"))
+            .when(rel < eq_lo, F.col(f"_lo{i}"))
+            .when(rel < eq_lo + n_in, F.try_element_at(inner, (rel - eq_lo + 1).cast("int")))
+            .when(rel < eq_lo + n_in + eq_hi, F.col(f"_hi{i}"))
+        )
+
     def pick(i: int, p: float) -> Column:
-        arr = F.when(small, F.col("_whole")).otherwise(F.col(f"_band{i}"))
-        off = F.when(small, F.lit(0)).otherwise(F.col(f"_below{i}"))
-        return _interp(arr, off, p).alias(prefix + _pname(p))
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        fl, ce = F.floor(h), F.ceil(h)
+        lo_b, hi_b = order_stat(i, fl), order_stat(i, ce)
+        banded = lo_b + (h - fl) * (hi_b - lo_b)
+        return F.when(small, _interp(F.col("_whole"), F.lit(0), p)).otherwise(banded).alias(prefix + _pname(p))
 
     out = band.select(*gkeys, *[pick(i, p) for i, p in enumerate(ps)])
     if not keys:

@@ -157,3 +157,12 @@ def test_summary_approx_close_to_exact(spark):
     for c in ("wall_s_p50", "wall_s_p95", "ttft_s_p99", "tpot_p50"):
         assert ap[c] == pytest.approx(ex[c], rel=0.02)
     assert (ap["n"], ap["ok"], ap["throughput_rps"]) == (ex["n"], ex["ok"], ex["throughput_rps"])
+
+
+def test_exact_percentiles_band_with_heavy_ties(spark):
+    # A large group of three distinct values: the band keeps tie counts, not the tied values.
+    n = 450_000
+    df = spark.range(n).select((F.col("id") % 3).cast("double").alias("x"), F.lit("g").alias("k"))
+    got = exact_percentiles(df, ["k"], "x", [0.1, 0.5, 0.9, 0.99]).first()
+    ref = np.percentile((np.arange(n) % 3).astype(float), [10, 50, 90, 99])
+    assert [got["p10"], got["p50"], got["p90"], got["p99"]] == pytest.approx(list(ref))
