@@ -11,13 +11,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings a job relies on for correct results (UTC epoch arithmetic) and for
-# runtime re-planning at scale (AQE coalescing, skew-join splitting).
+# Settings a job relies on for correct results (UTC epoch arithmetic), for
+# runtime re-planning at scale (AQE coalescing, skew-join splitting), and for
+# bounded Python-worker memory (Arrow batches capped by bytes as well as rows,
+# so whole long documents cannot make a batch arbitrarily large).
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
