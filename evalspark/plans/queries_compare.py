@@ -60,11 +60,11 @@ c AS (
     count(*) FILTER (WHERE improved - baseline = 1) AS n_plus,
     sum(baseline) AS sum_baseline, sum(improved) AS sum_improved
   FROM bpairs GROUP BY {key}),
-draws AS (SELECT {key}, n, n_minus, n_plus, r.b, unnest(range(n)) AS i FROM c CROSS JOIN range({b}) r(b)),
+draws AS (SELECT {key}, n, n_minus, n_plus, r.b, unnest(range((n + 3) // 4)) AS j FROM c CROSS JOIN range({b}) r(b)),
+hashed AS (SELECT *, md5('42:' || CAST(b AS VARCHAR) || ':' || CAST(j AS VARCHAR)) AS h FROM draws),
 per_b AS (
-  SELECT {key}, b, sum(CASE WHEN pos < n_minus THEN -1 WHEN pos >= n - n_plus THEN 1 ELSE 0 END) AS s
-  FROM (SELECT *, {Q.md5_u32("'42:' || CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)")} % n AS pos FROM draws)
-  GROUP BY {key}, b),
+  SELECT {key}, b, sum(CASE WHEN j * 4 + 0 < n THEN (CASE WHEN CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % n < n_minus THEN -1 WHEN CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % n >= n - n_plus THEN 1 ELSE 0 END) ELSE 0 END + CASE WHEN j * 4 + 1 < n THEN (CASE WHEN CAST(('0x' || substr(h, 9, 8)) AS BIGINT) % n < n_minus THEN -1 WHEN CAST(('0x' || substr(h, 9, 8)) AS BIGINT) % n >= n - n_plus THEN 1 ELSE 0 END) ELSE 0 END + CASE WHEN j * 4 + 2 < n THEN (CASE WHEN CAST(('0x' || substr(h, 17, 8)) AS BIGINT) % n < n_minus THEN -1 WHEN CAST(('0x' || substr(h, 17, 8)) AS BIGINT) % n >= n - n_plus THEN 1 ELSE 0 END) ELSE 0 END + CASE WHEN j * 4 + 3 < n THEN (CASE WHEN CAST(('0x' || substr(h, 25, 8)) AS BIGINT) % n < n_minus THEN -1 WHEN CAST(('0x' || substr(h, 25, 8)) AS BIGINT) % n >= n - n_plus THEN 1 ELSE 0 END) ELSE 0 END) AS s
+  FROM hashed GROUP BY {key}, b),
 st AS (
   SELECT {key}, list_sort(list(s)) AS ss, count(*) FILTER (WHERE s <= 0) AS le0,
          count(*) FILTER (WHERE s >= 0) AS ge0
