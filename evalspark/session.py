@@ -45,10 +45,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only when unset.
+    """Return the cluster's checkpoint folder; create a scratch one only for local runs.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and is
-    used as is. Only an unset value (local tests) gets a fresh scratch folder.
+    used as is. When it is unset, a scratch folder is created only for a
+    local master (tests, benchmarks); a cluster job without the setting fails
+    with a clear message instead of checkpointing to a machine-local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -58,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's distributed "
+                           "file system): model outputs and row indexes are checkpointed there")
     path = tempfile.mkdtemp(prefix="evalspark-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
