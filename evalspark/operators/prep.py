@@ -126,3 +126,10 @@ def degenerate_accuracy(results: DataFrame, by: str = "variant") -> DataFrame:
         F.avg(c.cast("double")).alias("accuracy"),
         (F.bool_and(c) | ~F.bool_or(c)).alias("degenerate"),
     )
+
+
+def sanity_gate(items: DataFrame, results: DataFrame, by: str = "variant", synthetic_prefix: str = "syn-") -> DataFrame:
+    """P7, both gates in one table: per group accuracy and ``degenerate``, plus the
+    number of synthetic-looking ids (one number, attached as a literal)."""
+    syn = synthetic_ids(items, synthetic_prefix).first()["synthetic"]
+    return degenerate_accuracy(results, by).withColumn("synthetic", F.lit(syn).cast("bigint"))
