@@ -5,7 +5,8 @@ one buffer, so a group holding a third of a 100 TB log would land in one task.
 Here the exact, linearly interpolated percentile (numpy's default, DuckDB's
 ``quantile_cont``) is computed in three distributed passes:
 
-1. per group: ``count`` and ``percentile_approx`` at ``p ± margin`` (a
+1. per group: ``count``, ``min``, ``max``; when some group exceeds the
+   small-group bound, also ``percentile_approx`` at ``p ± margin`` (a
    bounded-memory sketch that merges map-side);
 2. per group and percentile: rows below the lower bound are counted, and only
    values inside ``[lo, hi]`` (about ``2·margin·n`` values) are kept;
@@ -73,27 +74,27 @@ def exact_percentiles(
         base = base.withColumn("_all", F.lit(0))
     base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
 
-    # Pass 1 (one row per group, cached): size, range and the sketch. Its
-    # largest group decides the plan of pass 2, so the input is read twice.
+    # Pass 1 (one row per group, cached): size and range. Its largest group
+    # decides the plan: groups that all fit the small-group bound are read
+    # whole in one more pass; otherwise a sketch pass bounds each band.
     bound = SMALL_GROUP_FACTOR * accuracy
-    eps = 3.0 / accuracy
-    probes: list[float] = []
-    for p in ps:
-        probes += [max(0.0, p - eps), min(1.0, p + eps)]
-    stats = base.groupBy(*gkeys).agg(
-        F.count("*").alias("_n"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
-        F.percentile_approx("_x", probes, accuracy).alias("_probe"),
-    ).cache()
-    sizes = stats.agg(F.max("_n"), F.count("*")).first()
+    sizes_df = base.groupBy(*gkeys).agg(
+        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).cache()
+    sizes = sizes_df.agg(F.max("_n"), F.count("*")).first()
     max_n, n_groups = (sizes[0] or 0), sizes[1]
     if max_n <= bound:
-        # Every group is within the sketch's own memory bound: read groups whole.
         whole = base.groupBy(*gkeys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("_x")).alias("_whole"))
         out = whole.select(*gkeys, *[_interp(F.col("_whole"), F.lit(0), p).alias(prefix + _pname(p)) for p in ps])
         return out.drop("_all") if not keys else out
 
+    # Pass 2: a bounded-memory sketch per group at p ± 3/accuracy.
+    eps = 3.0 / accuracy
+    probes: list[float] = []
+    for p in ps:
+        probes += [max(0.0, p - eps), min(1.0, p + eps)]
+    sketch = base.groupBy(*gkeys).agg(F.percentile_approx("_x", probes, accuracy).alias("_probe"))
+    stats = join_small(sizes_df, sketch, gkeys, known_rows=n_groups)
+
     # Band bounds per percentile, as columns (one row per group).
     bounds = [
         (F.col("_min") if probes[2 * i] == 0.0 else F.try_element_at("_probe", F.lit(2 * i + 1))).alias(f"_lo{i}")
