@@ -117,18 +117,25 @@ def coerce_result_log(raw: DataFrame) -> DataFrame:
 
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """Outputs JSONL for validation. ``output`` is coerced to a string, missing → ''.
+    """Outputs JSONL for validation; ``output`` becomes text as Python's ``str`` would print it.
 
-    The line index (input order) is the position within the file set, carried
-    as ``index`` so reports can keep input order.
+    Strings stay as they are, ``true``/``false`` become ``True``/``False``, a
+    JSON ``null`` becomes ``None``, numbers keep their JSON text, and a missing
+    key gives ``''`` (lists and objects keep their JSON text). The line's
+    position in the file set (input order) is carried as ``index``.
     """
     txt = spark.read.text(path).filter(F.trim("value") != "")
-    # Coerce any JSON value to its text: strings stay as is, others keep their JSON text.
-    out = F.get_json_object("value", "$.output")
-    return txt.select(
-        F.monotonically_increasing_id().alias("index"),
-        F.coalesce(out, F.lit("")).alias("output"),
+    v = F.try_parse_json("value")
+    o = F.variant_get(v, "$.output", "variant")
+    kind = F.schema_of_variant(o)
+    out = (
+        F.when(o.isNull(), F.lit(""))
+        .when(F.is_variant_null(o), F.lit("None"))
+        .when(kind == "BOOLEAN", F.when(F.variant_get(o, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+        .when(kind == "STRING", F.variant_get(o, "$", "string"))
+        .otherwise(F.to_json(o))
     )
+    return txt.select(F.monotonically_increasing_id().alias("index"), out.alias("output"))
 
 
 def parse_gpu_samples(lines: DataFrame, text_col: str = "value", ts_col: str | None = None,

@@ -59,9 +59,10 @@ def test_request_csv_roundtrip(spark, scratch):
 
 def test_outputs_coerced_to_text(spark, scratch):
     p = os.path.join(scratch, "outputs.jsonl")
-    _write(p, [json.dumps({"output": "Paris"}), json.dumps({"output": 3}), json.dumps({"other": 1}), ""])
+    _write(p, [json.dumps({"output": "Paris"}), json.dumps({"output": 3}), json.dumps({"other": 1}), "",
+               json.dumps({"output": True}), json.dumps({"output": None}), json.dumps({"output": 0.5})])
     rows = readers.read_outputs(spark, p).orderBy("index").collect()
-    assert [r["output"] for r in rows] == ["Paris", "3", ""]
+    assert [r["output"] for r in rows] == ["Paris", "3", "", "True", "None", "0.5"]
 
 
 def test_example_results_partitioned_by_variant(spark, scratch):
