@@ -15,7 +15,11 @@ from evalspark.sources.readers import read_table
 
 
 def _repr_sql(v: str) -> str:
-    return f"CASE WHEN strpos({v}, '''') > 0 THEN '\"' || {v} || '\"' ELSE '''' || {v} || '''' END"
+    # DuckDB string literals take backslashes literally; '' is one single quote.
+    esc = (f"replace(replace(replace(replace({v}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), "
+           f"chr(9), '\\t')")
+    return (f"CASE WHEN strpos({v}, '''') > 0 AND strpos({v}, '\"') = 0 THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END")
 
 
 _LETTER = "upper(substr(output, 1, 1)) || CASE WHEN turn % 2 = 0 THEN '.' ELSE '' END"
