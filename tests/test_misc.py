@@ -99,3 +99,11 @@ def test_ensemble_and_extraction(spark):
     df = spark.createDataFrame([("The answer is: Paris.",), ("",)], "t string")
     got = [r[0] for r in df.select(extras.extract_answer("t", r"answer is:\s*([A-Za-z]+)")).collect()]
     assert got == ["Paris", ""]
+
+
+def test_row_index_contiguous_across_partitions(spark):
+    from evalspark.functions.indexing import with_row_index
+    df = spark.range(5000).repartition(7).select((F.col("id") * 7919 % 5000).alias("k"))
+    rows = with_row_index(df, [F.desc("k")], "i").orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(5000))
+    assert [r["k"] for r in rows] == sorted(range(5000), reverse=True)
