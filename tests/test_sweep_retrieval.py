@@ -82,3 +82,20 @@ def test_tfidf_empty_pool_and_k0(spark):
     pool = spark.createDataFrame([], "pool_id long, ctx string")
     q = spark.createDataFrame([(0, "x y")], "qid long, text string")
     assert retrieval.tfidf_topk(q, pool, 2, "qid", "text", "pool_id", "ctx").count() == 0
+
+
+def test_topk_capped_at_pool_size(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, v array<double>")
+    p = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0])], "pid long, v array<double>")
+    out = retrieval.topk_cosine(q, p, 5, "qid", "pid", "v").orderBy("rank").collect()
+    assert [(r["rank"], r["pid"]) for r in out] == [(1, 10), (2, 11)]
+
+
+def test_tfidf_vocabulary_cap(spark):
+    pool = spark.createDataFrame([(1, "aa aa bb cc"), (2, "aa bb dd")], "pool_id long, ctx string")
+    vocab, vec, n = retrieval.tfidf_fit(pool, "pool_id", "ctx", max_features=3)
+    terms = sorted(r["term"] for r in vocab.collect())
+    # pool term frequencies: aa=3, bb=2, "aa bb"=2 (a bigram of both texts); the others occur once
+    assert terms == ["aa", "aa bb", "bb"] and n == 2
+    capped = sorted(r["term"] for r in retrieval.tfidf_fit(pool, "pool_id", "ctx", max_features=4)[0].collect())
+    assert capped == ["aa", "aa aa", "aa bb", "bb"]  # the 1-count tie is broken by term order
