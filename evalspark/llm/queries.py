@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import common, embeddings, simhash
+from evalspark.llm import common, embeddings, langid, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,24 @@ def op1(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    """Language of every document; profiles from documents whose crc32 remainder isn't 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    profiles = langid.fit(docs, ~held_out)
+    return langid.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    """Toxicity of every document; the model learns from labels whose crc32 remainder isn't 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.train_labels(table(spark, sf_dir, "labels")))
+    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     """SimHash of 3-word shingles, linked at 3 or fewer differing bits."""
