@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import common, embeddings, langid, simhash, toxicity
+from evalspark.llm import common, embeddings, langid, mixing, secrets, sentencepiece_codec, simhash, toxicity
+
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +60,43 @@ def op1(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def _op2_sql() -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    cut, weak = [], []
+    for o, k in enumerate(secrets.KINDS):
+        ok = f"length(g) >= {k.least}" if not k.also else " AND ".join(f"regexp_matches(w, {quoted(p)})" for p in k.also)
+        cut.append(f"""SELECT doc_id, '{k.name}' AS kind, {o} AS o, '{k.role}' AS role, i, length(b) AS before, length(w) AS size, {ok} AS ok
+  FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS w, unnest(g) AS g, unnest(s[1:len(m)]) AS b
+    FROM (SELECT doc_id, regexp_extract_all(t, {quoted(k.pattern)}, 0) AS m, regexp_extract_all(t, {quoted(k.pattern)}, {k.group}) AS g,
+      string_split_regex(t, {quoted(k.pattern)}) AS s FROM d))""")
+        near = " AND ".join(f"EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.role = '{r}' AND abs(q.s - p.s) <= {secrets.SCOPE})" for r in k.needs)
+        if k.needs:
+            weak.append(f"(p.kind = '{k.name}' AND {near})")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS ({" UNION ALL ".join(cut)}),
+p AS (SELECT doc_id, kind, o, role, e - size AS s, e FROM (
+  SELECT *, sum(before + size) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM c) WHERE ok),
+f AS (SELECT doc_id, kind, o, s, e, o < {len(secrets.BASE)} AS base FROM p
+  WHERE o < {len(secrets.BASE)} OR {" OR ".join(weak)}),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) FILTER (base) AS b,
+  string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+@query("op2_secret_scan", _op2_sql())
+def op2(spark, sf_dir):
+    """Secrets of every document: base spans, and weak parts linked to their complements."""
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("found", "th")
+
+
 @query("op3_language_id")
 def op3(spark, sf_dir):
     """Language of every document; profiles from documents whose crc32 remainder isn't 2."""
@@ -76,6 +115,19 @@ def op5(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
 
 
+@query("op6_source_mixing")
+def op6(spark, sf_dir):
+    """Every document's raked weight, probability and draw, with flattened marginals as targets."""
+    drawn = mixing.draw(table(spark, sf_dir, "documents"))
+    return drawn.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "weight", "prob", "sampled")
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf_dir):
+    """Piece ids of every document, with round trip and parity."""
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.read_model(spark, MODEL_PATH))
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     """SimHash of 3-word shingles, linked at 3 or fewer differing bits."""

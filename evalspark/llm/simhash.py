@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import block_pairs, group_runs, linked_labels, run_bounds, text_slices
+from evalspark.llm.common import block_pairs, group_runs, linked_labels, materialise, run_bounds, text_slices
 from evalspark.llm.components import connected_components
 
 BLOCK_ROWS = 512
@@ -129,8 +129,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed:
     passed over when the smallest is taken (null if it's alone). An empty
     table gives an empty result; other columns are ignored.
     """
-    from evalspark.llm.common import materialise
-
     rows = materialise(fingerprints(docs, shingle, seed))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = connected_components(links(least.select("fp"), max_bits))
@@ -139,3 +137,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed:
     ids = classed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classed.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """One document of each near-duplicate group, the smallest doc_id, with all its columns.
+
+    Rows without doc_id aren't told apart: all of them stay. Of rows that
+    repeat a kept doc_id one stays.
+    """
+    classes = materialise(near_duplicates(docs.select("doc_id", "text"), shingle, max_bits))
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
+    if classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        known = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
+        left = known.unionByName(left.filter("doc_id is null"))
+    return left

@@ -167,6 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     return Model(float(theta[-1]), {f: float(w) for f, w in zip(features, theta) if abs(w) > 1e-6})
 
 
+def _scores(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, list[list[dict]]]:
+    """Noisy-or score of every text, and its offending sentences."""
+    n = len(texts)
+    scores, spans = np.zeros(n), [[] for _ in range(n)]
+    bags = _Bags(texts)
+    if model and len(bags.starts):
+        w = model.weights
+        own = np.fromiter((sum(w.get(f, 0.0) for f in _features(x)) for x in bags.words), float, len(bags.words))
+        z = model.bias + np.add.reduceat(own[bags.codes], bags.starts)
+        scores = np.clip(-np.expm1(-np.bincount(bags.doc, _softplus(z), minlength=n)), 0.0, 1.0)
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        for s in np.flatnonzero(p >= OFFENDING):
+            first = bags.offsets[bags.doc[s]]
+            spans[bags.doc[s]].append({"start": int(bags.starts[s] - first), "end": int(bags.ends[s] - first), "score": float(p[s])})
+    return scores, spans
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted, offending) of every row of ``docs`` (doc_id, text).
 
@@ -178,22 +195,10 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
     kind = "array<struct<start:int,end:int,score:double>>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = model.weights if model else {}
         for part in text_slices(batches):
-            bags = _Bags(part.column("text"))
-            n = part.num_rows
-            probs, spans = np.zeros(n), [[] for _ in range(n)]
-            if model and len(bags.starts):
-                own = np.fromiter((sum(weights.get(f, 0.0) for f in _features(w)) for w in bags.words), float, len(bags.words))
-                z = model.bias + np.add.reduceat(own[bags.codes], bags.starts)
-                probs = -np.expm1(-np.bincount(bags.doc, _softplus(z), minlength=n))
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                for s in np.flatnonzero(p >= OFFENDING):
-                    first = bags.offsets[bags.doc[s]]
-                    spans[bags.doc[s]].append({"start": int(bags.starts[s] - first), "end": int(bags.ends[s] - first), "score": float(p[s])})
-            probs = np.clip(probs, 0.0, 1.0)
+            scores, spans = _scores(part.column("text"), model)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(probs), pa.array((probs >= threshold).astype(np.int32)),
+                [part.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))],
                 ["doc_id", "score", "predicted", "offending"])
 
@@ -201,6 +206,18 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
             .mapInArrow(run, f"doc_id long, score double, predicted int, offending {kind}"))
 
 
+def clean(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``threshold``, with all their columns."""
+    row = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            scores, _ = _scores(part.column("text"), model)
+            yield part.select(["row"]).filter(pa.array(scores < threshold))
+
+    return row.mapInArrow(run, row.select("row").schema).select("row.*")
+
+
 def train_labels(labels: DataFrame) -> DataFrame:
     """Labelled rows that may be learned from: crc32(doc_id as text) mod 4 is not 2."""
     return labels.filter(crc_mod(F.col("doc_id"), 4) != 2)
