@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import common, embeddings, langid, mixing, secrets, sentencepiece_codec, simhash, toxicity
+from evalspark.llm import common, edit_embedding, embeddings, langid, mixing, secrets, sentencepiece_codec, simhash, toxicity
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -122,6 +122,12 @@ def op6(spark, sf_dir):
     return drawn.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "weight", "prob", "sampled")
 
 
+@query("op8_edit_fingerprints")
+def op8(spark, sf_dir):
+    """Edit-embedding fingerprints of every document and of its edited text."""
+    return edit_embedding.with_next(table(spark, sf_dir, "documents"))
+
+
 @query("op9_sentencepiece")
 def op9(spark, sf_dir):
     """Piece ids of every document, with round trip and parity."""
