@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import common, edit_embedding, embeddings, langid, mixing, secrets, sentencepiece_codec, simhash, toxicity
+from evalspark.llm import common, edit_embedding, embeddings, langid, mixing, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -106,6 +106,29 @@ def op3(spark, sf_dir):
     return langid.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+low AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN low USING (s) WHERE d < doc_id),
+lists AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE
+    list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(js, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lists ON w.doc_id = lists.doc_id
+"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def op4(spark, sf_dir):
+    """Words of every document that no 13-word window of a smaller doc_id covers."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     """Toxicity of every document; the model learns from labels whose crc32 remainder isn't 2."""
