@@ -11,7 +11,9 @@ hot key is one entry per slice, so no group grows with a key's frequency.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import SLICE_BYTES, materialise, text_slices
+from evalspark.session import ensure_checkpoint_dir
 
 ENTRIES = 1_000_000      # wanted entries of a key range
 LEAST_RANGES = 48
+BUCKET_ROWS = 2000       # documents in a bucket of the slice table, about
 ROW_KIND = "slice long, bucket int, keys binary, vals array<binary>"
 ROW_NAMES = ["slice", "bucket", "keys", "vals"]
 
@@ -51,11 +55,20 @@ def unsqueeze_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(data).view(np.uint64), dtype=np.uint64)
 
 
-def cut_slices(docs: DataFrame, max_bytes: int = SLICE_BYTES) -> DataFrame:
+class Corpus(NamedTuple):
+    """The slice table, bucketed by ``slice`` so that replies join it without moving the texts."""
+
+    slices: DataFrame
+    buckets: int
+
+
+def cut_slices(docs: DataFrame, max_bytes: int = SLICE_BYTES) -> Corpus:
     """Written table (slice, ids, sizes, z, raw): runs of documents with their texts compressed (null: empty).
 
     ``sizes`` are the UTF-8 lengths of the texts in ``z``, ``raw`` their sum.
-    A slice has about ``max_bytes`` of text, or one longer document.
+    A slice has about ``max_bytes`` of text, or one longer document. The
+    files are in the checkpoint folder; the session's catalog gets a table
+    name for them, which is how Spark knows about buckets.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -69,8 +82,14 @@ def cut_slices(docs: DataFrame, max_bytes: int = SLICE_BYTES) -> DataFrame:
                  pa.array([pack(b"".join(texts))], pa.binary()), pa.array([sum(sizes)])], ["slice", "ids", "sizes", "z", "raw"])
             at += 1
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-                       .mapInArrow(run, "slice long, ids array<long>, sizes array<long>, z binary, raw long"))
+    spark = docs.sparkSession
+    buckets = max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET_ROWS)
+    name = f"llm_slices_{uuid.uuid4().hex}"
+    cut = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+           .mapInArrow(run, "slice long, ids array<long>, sizes array<long>, z binary, raw long"))
+    (cut.write.option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}").option("compression", "none")
+     .bucketBy(min(buckets, 100_000), "slice").saveAsTable(name))
+    return Corpus(spark.table(name), min(buckets, 100_000))
 
 
 def slice_texts(row: dict) -> list[bytes]:
@@ -87,9 +106,9 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def ranges_for(slices: DataFrame, keys_per_byte: float) -> int:
+def ranges_for(corpus: Corpus, keys_per_byte: float) -> int:
     """Number of key ranges such that each has about ENTRIES entries."""
-    raw = slices.agg(F.sum("raw")).first()[0] or 0
+    raw = corpus.slices.agg(F.sum("raw")).first()[0] or 0
     return max(LEAST_RANGES, int(raw * keys_per_byte / ENTRIES) + 1)
 
 
@@ -103,13 +122,14 @@ def send(slice_id: int, keys: np.ndarray, values: list[np.ndarray], ranges: int)
          pa.array([[squeeze(v[a:b]) for v in values] for _, a, b in spans], pa.list_(pa.binary()))], ROW_NAMES)
 
 
-def totals(rows: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], extra=None) -> DataFrame:
+def totals(rows: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
     """Written table (slice, bucket, out): what ``reduce`` makes of each range, back in each row's order.
 
     ``reduce(keys, values)`` gets the entries of all slices of a range and
     returns integer arrays aligned with them.
     """
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slice")  # the order of entries doesn't depend on the shuffle
         keys = [unsqueeze_keys(k) for k in table.column("keys").to_pylist()]
         vals = [[unsqueeze(v) for v in row] for row in table.column("vals").to_pylist()]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
@@ -122,10 +142,11 @@ def totals(rows: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], lis
     return materialise(rows.groupBy("bucket").applyInArrow(run, "slice long, bucket int, out array<binary>"))
 
 
-def with_reply(slices: DataFrame, reply: DataFrame, name: str) -> DataFrame:
-    """``slices`` with the rows of ``reply`` that belong to them, as array ``name`` (null: none)."""
-    got = reply.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "out"))).alias(name))
-    return slices.join(got, "slice", "left")
+def with_reply(corpus: Corpus, reply: DataFrame, name: str) -> Corpus:
+    """``corpus`` with the rows of ``reply`` that belong to each slice, as array ``name`` (null: none)."""
+    got = (reply.repartition(corpus.buckets, "slice").groupBy("slice")
+           .agg(F.sort_array(F.collect_list(F.struct("bucket", "out"))).alias(name)))
+    return Corpus(corpus.slices.join(got, "slice", "left"), corpus.buckets)
 
 
 def received(row: dict, name: str, arrays: int) -> list[np.ndarray]:

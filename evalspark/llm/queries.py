@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import common, edit_embedding, embeddings, langid, mixing, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity
+from evalspark.llm import common, edit_embedding, embeddings, katz, langid, mixing, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -145,6 +145,12 @@ def op6(spark, sf_dir):
     return drawn.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "weight", "prob", "sampled")
 
 
+@query("op7_katz_lm")
+def op7(spark, sf_dir):
+    """Katz bigram score and unigram base score of every document."""
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 @query("op8_edit_fingerprints")
 def op8(spark, sf_dir):
     """Edit-embedding fingerprints of every document and of its edited text."""

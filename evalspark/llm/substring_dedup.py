@@ -174,20 +174,20 @@ def compact(segments: DataFrame) -> DataFrame:
             .select("slice", "row", "start", "size", "s.*"))
 
 
-def repeated_spans(slices: DataFrame, k: int = K) -> DataFrame:
+def repeated_spans(corpus: packed.Corpus, k: int = K) -> DataFrame:
     """Spans of windows whose word sequence also starts in a document with a smaller doc_id.
 
     ``start`` and ``size`` count windows: the words covered are start to
     start + size + k - 2. ``source``, ``source_start``: where its first
     window occurs first.
     """
-    rows = slices.mapInArrow(_send_minimizers(k, r := packed.ranges_for(slices, 0.04)), packed.ROW_KIND)
-    seen = packed.totals(rows, _count)
-    once = packed.with_reply(slices, seen, "seen")
-    edges = once.mapInArrow(_send_edges(k, r), packed.ROW_KIND)
+    r = packed.ranges_for(corpus, 0.04)
+    seen = packed.totals(corpus.slices.mapInArrow(_send_minimizers(k, r), packed.ROW_KIND), _count)
+    once = packed.with_reply(corpus, seen, "seen")
+    edges = once.slices.mapInArrow(_send_edges(k, r), packed.ROW_KIND)
     source = packed.totals(edges, _sources)
     twice = packed.with_reply(once, source, "source")
-    return compact(twice.mapInArrow(_segments(k), "slice long, row int, start long, size long, source long, source_start long, u long, v long"))
+    return compact(twice.slices.mapInArrow(_segments(k), "slice long, row int, start long, size long, source long, source_start long, u long, v long"))
 
 
 def dedup(docs: DataFrame, k: int = K) -> DataFrame:
@@ -203,9 +203,9 @@ def dedup(docs: DataFrame, k: int = K) -> DataFrame:
     table gives an empty result; other columns aren't read. ``spans`` are
     the removed word ranges (end exclusive).
     """
-    slices = packed.cut_slices(docs)
-    spans = repeated_spans(slices, k)
-    lists = spans.groupBy("slice").agg(F.collect_list(F.struct("row", "start", "size")).alias("spans"))
+    corpus = packed.cut_slices(docs)
+    spans = repeated_spans(corpus, k)
+    lists = spans.repartition(corpus.buckets, "slice").groupBy("slice").agg(F.collect_list(F.struct("row", "start", "size")).alias("spans"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in packed.rows_of(batches):
@@ -235,5 +235,5 @@ def dedup(docs: DataFrame, k: int = K) -> DataFrame:
                  pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return (slices.join(lists, "slice", "left")
+    return (corpus.slices.join(lists, "slice", "left")
             .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"))
