@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import packed
 from evalspark.llm.common import hash_words, materialise, mix64, tokenise
-from evalspark.llm.components import connected_components
+from evalspark.llm.components import path_ends
 
 K = 13
 PIECE = 5
@@ -155,8 +155,9 @@ def compact(segments: DataFrame) -> DataFrame:
 
     A node branches if distinct source stretches enter or leave it in more
     than one way. Two segments of a document meet when one starts at the
-    window after the other's last; chains of meetings are connected through
-    Spark joins (pointer jumping), and each chain becomes one span.
+    window after the other's last; chains of meetings are followed to their
+    ends through Spark joins (pointer doubling), and each chain becomes one
+    span.
     """
     named = materialise(segments.withColumn("id", F.xxhash64("slice", "row", "start")))
     kinds = named.select("u", "v", "source", "source_start").distinct()
@@ -166,8 +167,8 @@ def compact(segments: DataFrame) -> DataFrame:
     left = named.join(plain, named.v == plain.plain, "left_semi").select(
         "slice", "row", (F.col("start") + F.col("size")).alias("start"), F.col("id").alias("a"))
     meets = left.join(named.select("slice", "row", "start", F.col("id").alias("b")), ["slice", "row", "start"]).select("a", "b")
-    roots = connected_components(meets)
-    return (named.join(roots, named.id == roots.node, "left").withColumn("path", F.coalesce("root", "id"))
+    ends = path_ends(meets)
+    return (named.join(ends, named.id == ends.node, "left").withColumn("path", F.coalesce("last", "id"))
             .groupBy("slice", "row", "path")
             .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("size")) - F.min("start")).alias("size"),
                  F.min_by(F.struct("source", "source_start"), "start").alias("s"))
