@@ -66,12 +66,12 @@ WITH agg AS (
     count(*) FILTER (WHERE answer IS NULL OR {Q.strip_ws('answer')} = '') AS blank_answer,
     count(*) FILTER (WHERE {Q.word_count('answer')} > 3) AS long_answer
   FROM qa_items)
-SELECT 'row_count' AS rule, CAST(0 AS BIGINT) AS violations FROM agg
+SELECT 'row_count' AS rule, CAST(abs(rows - 100) AS BIGINT) AS violations FROM agg
 UNION ALL SELECT 'blank_question', blank_question FROM agg
 UNION ALL SELECT 'blank_answer', blank_answer FROM agg
 UNION ALL SELECT 'long_answer', long_answer FROM agg""", ["qa_items"])
 def p6_qa_contract(spark, sf):
-    return finish(prep.check_contract(V.qa_items(spark, sf)))
+    return finish(prep.check_contract(V.qa_items(spark, sf), expected_rows=100))
 
 
 @register("p7_degenerate_accuracy", """

@@ -182,13 +182,13 @@ WITH per AS (
   SELECT o.activity_label AS task, coalesce(sum(l.lp), 0.0) AS ll, max(l.n_tok) AS n_words,
          max(strlen(o.ctx || ' ' || o.ending)) AS n_bytes
   FROM lp_long l JOIN options o ON l.ind = o.ind AND l.option = o.option
-  WHERE o.option = 0 GROUP BY o.activity_label, o.ind)
+  GROUP BY o.activity_label, o.ind, o.option)
 SELECT task, round(exp(-sum(ll) / sum(n_words)), 9) AS word_perplexity,
        round(exp(-sum(ll) / sum(n_bytes)), 9) AS byte_perplexity,
        round(-sum(ll) / (sum(n_bytes) * ln(2.0)), 9) AS bits_per_byte
 FROM per GROUP BY task""", ["lp_tokens"])
 def l15_perplexity(spark, sf):
-    p = V.logprob_payloads(spark, sf).filter(F.col("option") == 0)
+    p = V.logprob_payloads(spark, sf)
     it = V.items(spark, sf).select("ind", F.col("activity_label").alias("task"))
     per = p.join(it, "ind").select(
         "task", LP.rolling_loglikelihood("token_logprobs").alias("ll"), F.size("tokens").alias("n_words"),

@@ -74,32 +74,39 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pieces(text: Column, n: int) -> list[Column]:
+    """The whole text in ``n`` consecutive parts of equal length (the last ones may be one character longer)."""
+    size = F.char_length(text)
+    at = [F.floor(size * i / n).cast("int") for i in range(n + 1)]
+    return [F.substring(text, at[i] + 1, at[i + 1] - at[i]) for i in range(n)]
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiple-choice items (D1) from ``documents``: 120-char context, four 40-char endings."""
+    """Multiple-choice items (D1): a document's first fifth is the context, the others are the endings."""
     d = read_table(spark, sf_dir, "documents")
-    t = F.col("text")
+    p = pieces(F.col("text"), 5)
     return d.select(
         F.col("doc_id").cast("string").alias("ind"),
         F.concat(F.lit("["), F.col("lang"), F.lit("] "), F.col("source"), F.lit(": "),
-                 F.substring(t, 1, 120)).alias("ctx"),
+                 p[0]).alias("ctx"),
         F.col("source").alias("activity_label"),
-        F.array(*[F.substring(t, 121 + 40 * i, 40) for i in range(4)]).alias("endings"),
+        F.array(*p[1:]).alias("endings"),
         (F.col("doc_id") % 4).cast("int").alias("label"),
     )
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw items (D2): ctx sometimes missing, split ctx_a / ctx_b, string labels."""
+    """Raw items (D2): ctx sometimes missing, split ctx_a / ctx_b, string labels; the parts are a document's sixths."""
     d = read_table(spark, sf_dir, "documents")
-    t = F.col("text")
+    p = pieces(F.col("text"), 6)
     return d.select(
         F.col("doc_id").alias("ind"),
         F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 1, F.lit(""))
-        .otherwise(F.substring(t, 1, 60)).alias("ctx"),
-        F.substring(t, 1, 60).alias("ctx_a"),
-        F.substring(t, 61, 60).alias("ctx_b"),
+        .otherwise(p[0]).alias("ctx"),
+        p[0].alias("ctx_a"),
+        p[1].alias("ctx_b"),
         F.col("source").alias("activity_label"),
-        F.array(*[F.substring(t, 121 + 40 * i, 40) for i in range(4)]).alias("endings"),
+        F.array(*p[2:]).alias("endings"),
         F.when(F.col("doc_id") % 7 == 0, F.lit(""))
         .when(F.col("doc_id") % 7 == 1, F.lit(None))
         .otherwise((F.col("doc_id") % 4).cast("string")).alias("label"),
@@ -107,14 +114,14 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exemplar pool from ``benchmark``: 100-char context, four 30-char endings."""
+    """Exemplar pool from ``benchmark``: the first fifth is the context, the others are the endings."""
     b = read_table(spark, sf_dir, "benchmark")
-    t = F.col("text")
+    p = pieces(F.col("text"), 5)
     return b.select(
         F.col("item_id").alias("pool_id"),
-        F.substring(t, 1, 100).alias("ctx"),
+        p[0].alias("ctx"),
         F.lit("bench").alias("activity_label"),
-        F.array(*[F.substring(t, 101 + 30 * i, 30) for i in range(4)]).alias("endings"),
+        F.array(*p[1:]).alias("endings"),
         (F.col("item_id") % 4).cast("int").alias("label"),
     )
 
@@ -175,9 +182,9 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated generations: prompt = source, run = doc_id, text = lang."""
+    """Repeated generations: prompt = source, run = doc_id, text = the whole document."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("prompt"), F.col("doc_id").alias("run"), F.col("lang").alias("text"))
+    return d.select(F.col("source").alias("prompt"), F.col("doc_id").alias("run"), "text", "lang")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,13 +215,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QA items (D3): question = a user turn, answer = first three words of the reply."""
+    """QA items (D3): question = a user turn, answer = the whole reply."""
     g = generations(spark, sf_dir)
-    words = F.filter(F.split(F.col("output"), r"\s+"), lambda x: x != "")
     return g.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
         F.col("prompt").alias("question"),
-        F.array_join(F.slice(words, 1, 3), " ").alias("answer"),
+        F.col("output").alias("answer"),
     )
 
 
@@ -234,7 +240,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('data: {"choices": [{"text": "'), text, F.lit('", "finish_reason": null}]}')))
     )
     return ev.select(F.col("user_id").alias("request_id"), _epoch_seconds(F.col("ts")).alias("ts"),
-                     F.col("ts").cast("timestamp").alias("event_ts"), line.alias("value"))
+                     F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_id").alias("seq"), line.alias("value"))
 
 
 def task_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,14 @@ def _md5_bucket(key_sql: str, n: int) -> str:
     return f"(CAST(('0x' || substr(md5({key_sql}), 1, 8)) AS BIGINT) % {n})"
 
 
+def _pieces(n: int) -> list[str]:
+    """``views.pieces`` of ``text``."""
+    at = [f"CAST(floor(length(text) * {i} / {n}.0) AS INTEGER)" for i in range(n + 1)]
+    return [f"substr(text, {at[i]} + 1, {at[i + 1]} - {at[i]})" for i in range(n)]
+
+
+P5, P6 = _pieces(5), _pieces(6)
+
 VIEWS: dict[str, str] = {
     "requests": f"""requests AS (
   SELECT event_id AS idx,
@@ -36,23 +44,23 @@ VIEWS: dict[str, str] = {
     "pairs": """pairs AS (
   SELECT l.doc_id AS ind, l.quality AS baseline, 1 - l.toxic AS improved, d.lang, d.source
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)""",
-    "items": """items AS (
+    "items": f"""items AS (
   SELECT CAST(doc_id AS VARCHAR) AS ind,
-    '[' || lang || '] ' || source || ': ' || substr(text, 1, 120) AS ctx,
+    '[' || lang || '] ' || source || ': ' || {P5[0]} AS ctx,
     source AS activity_label,
-    [substr(text, 121, 40), substr(text, 161, 40), substr(text, 201, 40), substr(text, 241, 40)] AS endings,
+    [{", ".join(P5[1:])}] AS endings,
     CAST(doc_id % 4 AS INTEGER) AS label
   FROM documents)""",
-    "raw_items": """raw_items AS (
+    "raw_items": f"""raw_items AS (
   SELECT doc_id AS ind,
-    CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE substr(text, 1, 60) END AS ctx,
-    substr(text, 1, 60) AS ctx_a, substr(text, 61, 60) AS ctx_b, source AS activity_label,
-    [substr(text, 121, 40), substr(text, 161, 40), substr(text, 201, 40), substr(text, 241, 40)] AS endings,
+    CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE {P6[0]} END AS ctx,
+    {P6[0]} AS ctx_a, {P6[1]} AS ctx_b, source AS activity_label,
+    [{", ".join(P6[2:])}] AS endings,
     CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN NULL ELSE CAST(doc_id % 4 AS VARCHAR) END AS label
   FROM documents)""",
-    "pool": """pool AS (
-  SELECT item_id AS pool_id, substr(text, 1, 100) AS ctx, 'bench' AS activity_label,
-    [substr(text, 101, 30), substr(text, 131, 30), substr(text, 161, 30), substr(text, 191, 30)] AS endings,
+    "pool": f"""pool AS (
+  SELECT item_id AS pool_id, {P5[0]} AS ctx, 'bench' AS activity_label,
+    [{", ".join(P5[1:])}] AS endings,
     CAST(item_id % 4 AS INTEGER) AS label
   FROM benchmark)""",
     # Long form of the scoring payloads: one row per (item, option, token position).
@@ -75,7 +83,7 @@ lp_long AS (
   SELECT u.conv_id, u.turn, 'model-' || CAST(u.conv_id % 3 AS VARCHAR) AS model, u.text AS prompt, a.text AS output
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')""",
-    "repeats": """repeats AS (SELECT source AS prompt, doc_id AS run, lang AS text FROM documents)""",
+    "repeats": """repeats AS (SELECT source AS prompt, doc_id AS run, text, lang FROM documents)""",
     "runs": """runs AS (
   SELECT o_orderkey AS run_id, o_orderdate AS timestamp, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7) AS commit,
     'm' || CAST(o_custkey % 3 AS VARCHAR) AS model, o_orderpriority AS task, o_orderstatus AS method,
@@ -89,8 +97,7 @@ lp_long AS (
     CASE WHEN o_orderkey % 11 = 0 THEN 'line one' || chr(10) || 'line two' ELSE '' END AS notes
   FROM orders)""",
     "qa_items": """qa_items AS (
-  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, prompt AS question,
-         array_to_string(list_filter(regexp_split_to_array(output, '\\s+'), lambda x: x <> '')[1:3], ' ') AS answer
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, prompt AS question, output AS answer
   FROM generations)""",
 }
 
@@ -121,7 +128,7 @@ def with_views(sql: str, *names: str) -> str:
     return head + body
 
 VIEWS["sse_lines"] = """sse_lines AS (
-  SELECT user_id AS request_id, epoch_us(ts) / 1e6 AS ts, ts AS event_ts,
+  SELECT user_id AS request_id, epoch_us(ts) / 1e6 AS ts, ts AS event_ts, event_id AS seq,
     CASE WHEN event_type = 'view' THEN ': keep-alive'
          WHEN event_type = 'error' THEN 'data: [DONE]'
          ELSE 'data: {"choices": [{"text": "' ||
