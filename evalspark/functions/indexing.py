@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 # (exemplar pools, variant registries, grids); above the bound the planner's
 # shuffle join is used instead.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows; returns (frame, row count)."""
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
+def rows_and_bytes(df: DataFrame) -> tuple[int, int]:
+    """Row count and size of the rows as JSON text, from one aggregate."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, total = df.agg(F.count("*"), size).first()
+    return n, total or 0
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, int]:
+    """Broadcast ``df`` when it's within both bounds; returns (frame, row count)."""
+    n, size = rows_and_bytes(df)
+    return (F.broadcast(df) if n <= max_rows and size <= max_bytes else df), n
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "_idx") -> DataFrame:

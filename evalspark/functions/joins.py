@@ -39,13 +39,15 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
 
     ``small`` is typically an aggregate of ``big`` (one row per group); it is
     cached, counted (or ``known_rows`` is used) and broadcast when it has at
-    most ``max_rows`` rows, else joined by shuffle (where AQE can still split
+    most ``max_rows`` rows and a bounded number of bytes, else joined by shuffle (where AQE can still split
     skewed keys).
     """
-    from evalspark.functions.indexing import BROADCAST_MAX_ROWS
+    from evalspark.functions.indexing import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, rows_and_bytes
 
     limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     if known_rows is None:
         small = small.cache()
-        known_rows = small.count()
-    return join_keys(big, small, keys, how, broadcast_right=known_rows <= limit)
+        known_rows, size = rows_and_bytes(small)
+    else:  # rows of keys and numbers
+        size = 0
+    return join_keys(big, small, keys, how, broadcast_right=known_rows <= limit and size <= BROADCAST_MAX_BYTES)

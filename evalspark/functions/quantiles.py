@@ -145,7 +145,8 @@ def exact_percentiles(
         h = F.lit(float(p)) * (F.col("_n") - 1)
         fl, ce = F.floor(h), F.ceil(h)
         lo_b, hi_b = order_stat(i, fl), order_stat(i, ce)
-        banded = lo_b + (h - fl) * (hi_b - lo_b)
+        banded = F.coalesce(lo_b + (h - fl) * (hi_b - lo_b),
+                            F.raise_error(F.lit("a percentile fell outside its band; raise the accuracy")).cast("double"))
         return F.when(small, _interp(F.col("_whole"), F.lit(0), p)).otherwise(banded).alias(prefix + _pname(p))
 
     out = band.select(*gkeys, *[pick(i, p) for i, p in enumerate(ps)])

@@ -176,7 +176,8 @@ def join_gpu(requests: DataFrame, samples: DataFrame, bin_s: float = 60.0) -> Da
     Range join ``started_at <= ts <= ended_at`` as an equi-join on time bins: each
     request is exploded to the bins its interval covers (a handful, since bins
     are wider than requests), each sample sits in one bin, then the exact range
-    predicate filters. Returns per request: sample count, mean and max utilisation.
+    predicate filters. Returns one row per request: sample count (0 if no
+    sample fell into it), mean and max utilisation.
     """
     b = F.lit(float(bin_s))
     req = requests.select(
@@ -189,11 +190,12 @@ def join_gpu(requests: DataFrame, samples: DataFrame, bin_s: float = 60.0) -> Da
         F.floor(F.col("timestamp") / b).cast("bigint").alias("_bin"),
     )
     j = req.join(smp, "_bin").filter((F.col("_ts") >= F.col("started_at")) & (F.col("_ts") <= F.col("ended_at")))
-    return j.groupBy("idx").agg(
+    got = j.groupBy("idx").agg(
         F.count("*").alias("n_samples"),
         F.avg("util_gpu").alias("util_mean"),
         F.max("util_gpu").alias("util_max"),
     )
+    return requests.select("idx").join(got, "idx", "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
 
 
 def speedup(df: DataFrame, pass_col: str, sequential: str, concurrent: str) -> DataFrame:
@@ -256,16 +258,19 @@ def fold_chunks(chunks: DataFrame, starts: DataFrame | None = None) -> DataFrame
     )
 
 
-def fold_text(chunks: DataFrame) -> DataFrame:
+def fold_text(chunks: DataFrame, arrival: str | None = None) -> DataFrame:
     """L13 text: deltas concatenated in time order per request.
 
+    Chunks of one time follow the column ``arrival`` (their sequence number
+    in the stream); without one their order is by text.
+
     Text is the one output that needs every delta of a request together; a
     request's chunk count is bounded by its max_tokens, so the list is small.
     """
     return chunks.groupBy("request_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("ts", F.coalesce("delta", F.lit(""))))),
-                        lambda s: s.getField("col2")), "").alias("text")
+            F.transform(F.array_sort(F.collect_list(F.struct("ts", *([arrival] if arrival else []), F.coalesce("delta", F.lit("")).alias("_d")))),
+                        lambda s: s.getField("_d")), "").alias("text")
     )
 
 

@@ -9,7 +9,6 @@ from evalspark.functions.hashing import seeded_key
 from evalspark.functions.indexing import with_row_index
 
 # Above this many rows a split is ranked by a distributed sort instead of a top-n merge.
-TOP_N_MAX = 100_000
 from evalspark.functions.text import strip_ws, word_count
 
 
@@ -54,24 +53,16 @@ def split_items(items: DataFrame, n_eval: int, n_pool: int, seed: int = 42, chec
     """Seeded shuffle; the first ``n_eval`` rows are ``eval``, the next ``n_pool`` ``pool``.
 
     The shuffle order is ``md5(seed:ind)`` then ``ind``: deterministic,
-    independent of partitioning, and the two splits are disjoint. Only the
-    first ``n_eval + n_pool`` rows are kept: a top-n when that is small, a
-    distributed sort with a contiguous index otherwise. The result carries
+    independent of partitioning, and the two splits are disjoint. The rows
+    themselves get a contiguous index from a range-partitioned sort, so a
+    repeated or null ``ind`` is counted row by row. The result carries
     ``split`` and ``rank`` (0-based position in the shuffle).
     """
     if check:
         require_rows(items, n_eval + n_pool)
-    n = n_eval + n_pool
     key = F.md5(seeded_key(seed, F.col("ind")))
-    if n <= TOP_N_MAX:
-        # A distributed top-n: each task keeps n rows, the final merge sees n per task.
-        top = items.withColumn("_key", key).orderBy("_key", "ind").limit(n)
-        ranked = top.withColumn("rank", (F.row_number().over(Window.orderBy("_key", "ind")) - 1).cast("int"))
-    else:
-        # A large split: a range-partitioned sort and a contiguous index (no single-task merge).
-        idx = with_row_index(items.select("ind", key.alias("_key")), ["_key", "ind"], "_rank")
-        keep = idx.filter(F.col("_rank") < n).select("ind", F.col("_rank").cast("int").alias("rank"))
-        ranked = items.join(keep, "ind").withColumn("_key", F.lit(None))
+    placed = with_row_index(items.withColumn("_key", key), ["_key", "ind"], "rank")
+    ranked = placed.filter(F.col("rank") < n_eval + n_pool).withColumn("rank", F.col("rank").cast("int"))
     return ranked.withColumn("split", F.when(F.col("rank") < n_eval, "eval").otherwise("pool")).drop("_key")
 
 

@@ -7,7 +7,6 @@ one row per (item, option) with ``prompt`` and ``continuation``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,41 +104,28 @@ def qa_prompt(question: Column | str = "question") -> Column:
     return F.concat(F.lit(QA_INSTRUCTION + "\n\nQuestion: "), q, F.lit("\nAnswer:"))
 
 
-@dataclass(frozen=True)
-class Variant:
-    """One ablation cell: prompt kind × scoring mode × number of demos."""
-
-    name: str
-    kind: str  # baseline | clean | fewshot_random | fewshot_semantic
-    scoring: str  # sum | length_norm | byte_norm
-    k: int = 0
-
-
-# The ablation variants (name, prompt kind, scoring, k).
-VARIANTS: tuple[Variant, ...] = (
-    Variant("baseline", "baseline", "sum"),
-    Variant("length_norm", "baseline", "length_norm"),
-    Variant("byte_norm", "baseline", "byte_norm"),
-    Variant("clean_prompt", "clean", "sum"),
-    Variant("clean_length_norm", "clean", "length_norm"),
-    Variant("fewshot_random_5", "fewshot_random", "length_norm", 5),
-    Variant("fewshot_semantic_5", "fewshot_semantic", "length_norm", 5),
+# The prompt variants as (variant, prompt kind, score mode, demonstrations).
+VARIANTS = (
+    ("baseline", "baseline", "sum", 0),
+    ("length_norm", "baseline", "length_norm", 0),
+    ("byte_norm", "baseline", "byte_norm", 0),
+    ("clean_prompt", "clean", "sum", 0),
+    ("clean_length_norm", "clean", "length_norm", 0),
+    ("fewshot_random_5", "fewshot_random", "length_norm", 5),
+    ("fewshot_semantic_5", "fewshot_semantic", "length_norm", 5),
 )
-KINDS = ("baseline", "clean", "fewshot_random", "fewshot_semantic")
+VARIANT_KIND = "variant string, kind string, scoring string, k int"
 
 
-def variant(name: str) -> Variant:
-    for v in VARIANTS:
-        if v.name == name:
-            return v
-    raise KeyError(f"unknown variant: {name}")
+def variant_rows(names: Sequence[str] | None = None) -> list[tuple]:
+    """Registry rows of the named variants (all by default); an unknown name is a KeyError."""
+    by_name = {row[0]: row for row in VARIANTS}
+    return [by_name[n] for n in (by_name if names is None else names)]
 
 
 def variants_frame(spark, names: Sequence[str] | None = None) -> DataFrame:
     """The variant registry (D21) as a small DataFrame."""
-    vs = [variant(n) for n in names] if names else list(VARIANTS)
-    return spark.createDataFrame([(v.name, v.kind, v.scoring, v.k) for v in vs],
-                                 "variant string, kind string, scoring string, k int")
+    return spark.createDataFrame(variant_rows(names), VARIANT_KIND)
 
 
 def build_ladder(items: DataFrame, pool: DataFrame, names: Sequence[str] | None = None, seed: int = 42,
@@ -150,9 +136,9 @@ def build_ladder(items: DataFrame, pool: DataFrame, names: Sequence[str] | None
     variants that share them, so scoring modes of one kind reuse the same
     prompts. Output: ``variant, kind, scoring, ind, option, prompt, continuation``.
     """
-    vs = [variant(n) for n in names] if names else list(VARIANTS)
+    chosen = variant_rows(names or None)
     frames = []
-    for kind, k in sorted({(v.kind, v.k) for v in vs}):
+    for kind, k in sorted({(row[1], row[3]) for row in chosen}):
         if kind == "baseline":
             pairs = baseline_pairs(items)
         elif kind == "clean":
@@ -169,6 +155,6 @@ def build_ladder(items: DataFrame, pool: DataFrame, names: Sequence[str] | None
     allp = frames[0]
     for f in frames[1:]:
         allp = allp.unionByName(f)
-    reg = F.broadcast(variants_frame(items.sparkSession, [v.name for v in vs]))
+    reg = F.broadcast(variants_frame(items.sparkSession, [row[0] for row in chosen]))
     return allp.join(reg, ["kind", "k"]).select(
         "variant", "kind", "scoring", "ind", "option", "prompt", "continuation")

@@ -148,7 +148,7 @@ def topk_cosine(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool
     """
     qn = queries.select(F.col(query_id).alias("qid"), l2_normalize(vector).alias("payload"))
     pn = pool.select(F.col(pool_id).cast("bigint").alias("pid"), l2_normalize(vector).alias("payload"))
-    dim = len(pool.select(vector).first()[0] or []) if k > 0 else 1
+    dim = pool.agg(F.max(F.size(vector))).first()[0] or 1 if k > 0 else 1
     out = _blocked_topk(qn, pn, k, _dense_prep, _dense_score, 8 * max(1, dim), exclude_self)
     return out.select(F.col("qid").alias(query_id), "rank", F.col("pid").alias(pool_id), "score")
 

@@ -47,7 +47,7 @@ def primary_metric(metrics: DataFrame) -> DataFrame:
     :func:`tasks_without_metric`). Small literal maps replace a join; the
     per-task reduction is a partial ``min_by`` aggregate.
     """
-    num = metrics.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    num = metrics.filter(F.col("value").isNotNull())  # NaN is a number here, as in the summary and the check
     pref = F.element_at(_pref_map(METRIC_PREFERENCE), F.col("metric"))
     spref = F.element_at(_pref_map(STDERR_PREFERENCE), F.col("metric"))
     rank = F.coalesce(pref, F.lit(len(METRIC_PREFERENCE)) + F.col("pos"))
@@ -124,7 +124,7 @@ def to_csv_columns(log: DataFrame) -> DataFrame:
     for f in schemas.RESULT_LOG.fields:
         c = F.col(f.name)
         if f.dataType.simpleString() == "double":
-            s = F.format_string("%.6f", c)
+            s = fixed(c, 6)
         elif f.dataType.simpleString() == "boolean":
             s = F.when(c, "true").when(~c, "false")
         elif f.dataType.simpleString() == "timestamp":

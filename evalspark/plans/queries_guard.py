@@ -124,7 +124,8 @@ WITH f AS (SELECT prompt, count(*) AS n_runs, arg_min(text, run) AS first_text F
 d AS (SELECT r.prompt, min(r.run) FILTER (WHERE r.text IS DISTINCT FROM f.first_text) AS first_divergence_at
       FROM repeats r JOIN f ON r.prompt = f.prompt GROUP BY r.prompt)
 SELECT f.prompt, f.n_runs, f.first_text, d.first_divergence_at IS NULL AS identical,
-       coalesce(d.first_divergence_at, -1) AS first_divergence_at,
+       CASE WHEN d.first_divergence_at IS NULL THEN -1 ELSE (SELECT count(*) FROM repeats q
+         WHERE q.prompt = f.prompt AND q.run < d.first_divergence_at) END AS first_divergence_at,
        coalesce(CASE WHEN f.n_runs < 2 THEN 'requires n_runs >= 2' END, '') AS error
 FROM f JOIN d ON f.prompt = d.prompt"""
 
@@ -140,11 +141,11 @@ def g5_determinism(spark, sf):
 
 
 @register("g5_determinism_by_lang", _DET_SQL.replace("FROM repeats", "FROM repeats_l").replace(
-    "WITH f AS", "WITH repeats_l AS (SELECT prompt || '/' || text AS prompt, run, text FROM repeats),\nf AS"),
+    "WITH f AS", "WITH repeats_l AS (SELECT prompt || '/' || lang AS prompt, run, text FROM repeats),\nf AS"),
           ["repeats"])
 def g5_determinism_by_lang(spark, sf):
     r = V.repeats(spark, sf)
-    return _det(r.select(F.concat_ws("/", "prompt", "text").alias("prompt"), "run", "text"))
+    return _det(r.select(F.concat_ws("/", "prompt", "lang").alias("prompt"), "run", "text"))
 
 
 @register("g6_prediction_gate", f"""
@@ -154,5 +155,4 @@ SELECT variant, count(*) AS total, count(*) FILTER (WHERE predicted BETWEEN 0 AN
   round(count(*) FILTER (WHERE predicted BETWEEN 0 AND 3) / count(*), 9) AS valid_rate
 FROM results GROUP BY variant""", ["lp_tokens"])
 def g6_prediction_gate(spark, sf):
-    rec = guard.validate(_results(spark, sf), "predicted", "hellaswag_option_index")
-    return finish(guard.validation_summary(rec, ["variant"]))
+    return finish(guard.validation_summary(guard.gate_predictions(_results(spark, sf)), ["variant"]))

@@ -88,8 +88,8 @@ def m6_wall_hist(spark, sf):
 
 
 @register("m7_gpu_join", """
-SELECT r.idx, count(*) AS n_samples, round(avg(g.util_gpu), 9) AS util_mean, round(max(g.util_gpu), 9) AS util_max
-FROM requests r JOIN gpu g ON g.timestamp >= r.started_at AND g.timestamp <= r.ended_at
+SELECT r.idx, count(g.timestamp) AS n_samples, round(avg(g.util_gpu), 9) AS util_mean, round(max(g.util_gpu), 9) AS util_max
+FROM requests r LEFT JOIN gpu g ON g.timestamp >= r.started_at AND g.timestamp <= r.ended_at
 GROUP BY r.idx""", ["requests", "gpu"])
 def m7_gpu_join(spark, sf):
     return finish(perf.join_gpu(V.requests(spark, sf), V.gpu(spark, sf), 60.0))

@@ -20,8 +20,7 @@ from evalspark.plans.queries_scoring import _ABL_SQL, QA_STOPS, _trunc_sql
 from evalspark.plans.registry import finish, register
 
 # The default sweep grid: 3 temperatures × 3 nucleus thresholds × top-k off.
-CELLS = sweep.build_grid(sweep.parse_floats("0.0,0.3,0.7"), sweep.parse_floats("0.9,0.95,1.0"),
-                         sweep.parse_ints("0"))
+GRID = {"temperatures": "0.0,0.3,0.7", "top_ps": "0.9,0.95,1.0", "top_ks": "0"}
 PREFIX = "Repeat: "
 
 
@@ -42,13 +41,14 @@ def _repeat_model(batches):
         yield pd.DataFrame({"key": pdf["key"], "response": out})
 
 
-_CELLS_SQL = ", ".join(f"('{c.label}', {c.temperature!r}::DOUBLE, {c.top_p!r}::DOUBLE, {c.top_k})" for c in CELLS)
+_CELLS_SQL = """SELECT 'sweep_t' || t || '_p' || p || '_k0' AS cell, t::DOUBLE AS temperature, p::DOUBLE AS top_p, 0 AS top_k
+  FROM (VALUES ('0'), ('0.3'), ('0.7')) a(t) CROSS JOIN (VALUES ('0.9'), ('0.95'), ('1')) b(p)"""
 
 
 @register("w4_sweep", f"""
 WITH q AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, output, answer
            FROM generations JOIN qa_items ON CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) = qa_items.qid),
-cells AS (SELECT * FROM (VALUES {_CELLS_SQL}) c(cell, temperature, top_p, top_k)),
+cells AS ({_CELLS_SQL}),
 x AS (SELECT q.*, c.* FROM q CROSS JOIN cells c),
 gen AS (SELECT *, array_to_string({Q.words('output')}[1:greatest(1, 3 - CAST(floor(temperature * 3) AS INTEGER))], ' ')
                   || CASE WHEN top_p < 1 THEN '.' ELSE '' END AS text FROM x),
@@ -63,7 +63,7 @@ def w4_sweep(spark, sf):
     g = V.generations(spark, sf).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), "output")
     items = g.join(V.qa_items(spark, sf).select("qid", "answer"), "qid")
-    x = sweep.expand_cells(items, CELLS)
+    x = sweep.with_cells(items, **GRID)
     params = F.struct(F.lit(16).alias("max_tokens"), F.array(*[F.lit(s) for s in QA_STOPS]).alias("stop"),
                       F.col("temperature").alias("temperature"), F.col("top_k").alias("top_k"),
                       F.col("top_p").alias("top_p"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark import schemas
+from evalspark.functions.indexing import with_row_index
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +23,12 @@ def with_min_parallelism(df: DataFrame) -> DataFrame:
 
     A single small file (one row group) is read by one task, and every narrow
     step after it (tokenising, hashing) would run on one core. Such inputs get
-    a round-robin repartition to the default parallelism; inputs that already
-    have enough partitions (any large, multi-file table) are returned as they
-    are, so no shuffle is added at scale. Filters and column pruning still
+    a round-robin repartition to the default parallelism; inputs of several
+    splits are returned as they are, so no shuffle is added at scale. Filters and column pruning still
     reach the scan through the repartition.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if df.rdd.getNumPartitions() == 1:
         return df.repartition(target)
     return df
 
@@ -121,8 +121,8 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
 
     Strings stay as they are, ``true``/``false`` become ``True``/``False``, a
     JSON ``null`` becomes ``None``, numbers keep their JSON text, and a missing
-    key gives ``''`` (lists and objects keep their JSON text). The line's
-    position in the file set (input order) is carried as ``index``.
+    key gives ``''`` (lists and objects keep their JSON text). ``index`` is the
+    line's 0-based position among the non-blank lines, in input order.
     """
     txt = spark.read.text(path).filter(F.trim("value") != "")
     v = F.try_parse_json("value")
@@ -135,7 +135,8 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
         .when(kind == "STRING", F.variant_get(o, "$", "string"))
         .otherwise(F.to_json(o))
     )
-    return txt.select(F.monotonically_increasing_id().alias("index"), out.alias("output"))
+    placed = txt.select(F.monotonically_increasing_id().alias("_at"), out.alias("output"))
+    return with_row_index(placed, ["_at"], "index").select("index", "output")
 
 
 def parse_gpu_samples(lines: DataFrame, text_col: str = "value", ts_col: str | None = None,

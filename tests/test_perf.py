@@ -116,7 +116,7 @@ def test_join_gpu_range(spark):
     smp = spark.createDataFrame([(120.0, 50.0), (125.0, 70.0), (180.0, 10.0)], "timestamp double, util_gpu double")
     out = {r["idx"]: r for r in perf.join_gpu(req, smp, 60.0).collect()}
     assert out[1]["n_samples"] == 2 and out[1]["util_mean"] == pytest.approx(60.0)
-    assert 2 not in out
+    assert (out[2]["n_samples"], out[2]["util_mean"]) == (0, None)
 
 
 def test_fold_chunks(spark):
@@ -136,6 +136,11 @@ def test_fold_chunks(spark):
     assert perf.fold_text(chunks).first()["text"] == "Hello world!"
 
 
+def test_fold_text_keeps_the_arrival_order_of_one_time(spark):
+    chunks = spark.createDataFrame([(1, 5.0, 2, "a "), (1, 5.0, 1, "z "), (1, 4.0, 3, None)], "request_id long, ts double, seq int, delta string")
+    assert perf.fold_text(chunks, "seq").first()["text"] == "z a "
+
+
 def test_gpu_sample_parsing(spark):
     lines = spark.createDataFrame([("0, 85, 20, 7800, 16000, 72, 220.4",), ("",), ("1, x, 1, 2, 3, 4, 5",)], "value string")
     from evalspark.sources.readers import parse_gpu_samples

@@ -88,7 +88,7 @@ def test_fewshot_random_distinct_and_seeded(spark):
 def test_variant_registry(spark):
     assert len(prompts.VARIANTS) == 7
     with pytest.raises(KeyError):
-        prompts.variant("nope")
+        prompts.variant_rows(["nope"])
     items = spark.createDataFrame([("q", "[h] The cat", "", ["a", "b"], 0)], ITEM)
     lad = prompts.build_ladder(items, items.limit(0).select(F.lit(1).cast("long").alias("pool_id"), "*"),
                                ["baseline", "clean_prompt", "length_norm"])
@@ -101,9 +101,14 @@ def test_qa_prompt(spark):
     assert p.endswith("Question: What is 2+2?\nAnswer:")
 
 
-def test_split_large_path_matches_top_n(spark, monkeypatch):
-    items = spark.range(200).select(F.col("id").cast("string").alias("ind"))
-    small = sorted(map(tuple, prep.split_items(items, 30, 20, seed=5).select("ind", "rank", "split").collect()))
-    monkeypatch.setattr(prep, "TOP_N_MAX", 10)
-    large = sorted(map(tuple, prep.split_items(items, 30, 20, seed=5).select("ind", "rank", "split").collect()))
-    assert small == large
+def test_split_counts_repeated_and_null_ids_row_by_row(spark):
+    import hashlib
+
+    ids = [str(i) for i in range(40)] + ["7", "7"]
+    items = spark.createDataFrame([(x, n) for n, x in enumerate([*ids, None])], "ind string, n int").repartition(3)
+    got = prep.split_items(items, 15, 20, seed=5).collect()
+    assert sorted(r["rank"] for r in got) == list(range(35))
+    assert sum(r["split"] == "eval" for r in got) == 15
+    order = sorted(ids, key=lambda x: (hashlib.md5(f"5:{x}".encode()).hexdigest(), x))
+    known = [r["ind"] for r in sorted(got, key=lambda r: r["rank"]) if r["ind"] is not None]
+    assert known == order[:len(known)]

@@ -13,22 +13,23 @@ PAYLOAD = "tokens array<string>, token_logprobs array<double>, top_logprobs arra
 
 
 def _payload(spark):
-    toks = ["the", "quick", "brown", "fox"]
-    lps = [None, -0.5, -0.25, -1.0]
-    tops = [None, {"quick": -0.5, "slow": -2.0}, {"brown": -0.25, "red": -3.0}, {"fox": -1.0, "dog": -2.0}]
-    return spark.createDataFrame([(toks, lps, tops)], PAYLOAD)
+    """Five positions; the model's first choice differs from the text at position 2 only."""
+    steps = [("snow", None, None), ("fell", -1.5, "lay"), ("all", -2.25, "over"), ("night", -0.125, "day"), ("long", -0.375, "through")]
+    tops = [None if lp is None else {tok: lp, other: -2.0 if tok == "all" else lp - 3} for tok, lp, other in steps]
+    return spark.createDataFrame([([t for t, _, _ in steps], [lp for _, lp, _ in steps], tops)], PAYLOAD)
 
 
 def test_tail_sum_and_greedy(spark):
     df = _payload(spark)
     r = df.select(LP.loglikelihood("token_logprobs", 2).alias("ll"),
                   LP.is_greedy("tokens", "top_logprobs", 2).alias("g")).first()
-    assert r["ll"] == pytest.approx(-1.25) and r["g"] is True
+    assert r["ll"] == pytest.approx(-0.5) and r["g"] is True
+    assert df.select(LP.is_greedy("tokens", "top_logprobs", 3)).first()[0] is False
 
 
 def test_tail_longer_than_list_takes_all(spark):
     r = _payload(spark).select(LP.loglikelihood("token_logprobs", 10)).first()[0]
-    assert r == pytest.approx(-1.75)
+    assert r == pytest.approx(-4.25)
 
 
 def test_not_greedy(spark):
@@ -48,10 +49,13 @@ def test_rolling_constant_logprobs(spark):
         assert df.select(LP.rolling_loglikelihood("lp")).first()[0] == pytest.approx(expected)
 
 
-@pytest.mark.parametrize("mode,expected", [("sum", -6.0), ("length_norm", -2.0), ("byte_norm", -1.0)])
-def test_score_modes(spark, mode, expected):
-    df = spark.createDataFrame([([-1.0, -2.0, -3.0], " a b c")], "lp array<double>, c string")
-    assert df.select(LP.score(mode, F.col("lp"), F.col("c"))).first()[0] == pytest.approx(expected)
+def test_score_modes_differ_by_their_divisor(spark):
+    lps, continuation = [-0.5, -4.5, -2.0, -1.0], " snow fell late"
+    df = spark.createDataFrame([(lps, continuation)], "lp array<double>, c string")
+    got = df.select(*[LP.score(m, F.col("lp"), F.col("c")).alias(m) for m in LP.SCORING_MODES]).first()
+    assert got["sum"] == pytest.approx(sum(lps))
+    assert got["length_norm"] == pytest.approx(sum(lps) / len(lps))
+    assert got["byte_norm"] == pytest.approx(sum(lps) / len(continuation.encode()))
 
 
 def test_score_empty_and_unknown(spark):

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from evalspark.operators import extras, retrieval, sweep
 
 
-def test_grid_and_labels():
-    g = sweep.build_grid([0.0, 0.7], [1.0, 0.9], [0, 40])
-    assert len(g) == 8 and len({c.label for c in g}) == 8
-    assert g[0].label == "sweep_t0_p1_k0"
+def test_grid_and_labels(spark):
+    rows = sweep.with_cells(spark.range(1), "0.1, 0.8,", "0.5,1.0", "0,25").collect()
+    assert {(r.cell, r.temperature, r.top_p, r.top_k) for r in rows} >= {("sweep_t0.1_p1_k25", 0.1, 1.0, 25), ("sweep_t0.8_p0.5_k0", 0.8, 0.5, 0)}
+    assert len({r.cell for r in rows}) == len(rows) == 8
     with pytest.raises(sweep.SweepError):
         sweep.check_task("hellaswag")
     sweep.check_task("hellaswag", force=True)
@@ -21,7 +21,7 @@ def test_grid_and_labels():
 
 def test_expand_cells(spark):
     items = spark.range(3).select(F.col("id").alias("i"))
-    x = sweep.expand_cells(items, sweep.build_grid([0.0, 0.3], [1.0], [0]))
+    x = sweep.with_cells(items, "0.0,0.3", "1.0", "0")
     assert x.count() == 6 and set(x.columns) >= {"cell", "temperature", "top_p", "top_k"}
 
 
