@@ -9,3 +9,4 @@ from evalspark.plans import queries_guard  # noqa: F401
 from evalspark.plans import queries_cache  # noqa: F401
 from evalspark.plans import queries_retrieval  # noqa: F401
 from evalspark.plans import queries_sweep  # noqa: F401
+from evalspark.plans import queries_io  # noqa: F401

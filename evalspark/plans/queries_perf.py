@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalspark.functions.quantiles import exact_percentiles
 from evalspark.operators import perf
 from evalspark.plans import views as V
 from evalspark.plans.registry import finish, register
@@ -63,6 +64,15 @@ def m1_ttft_percentiles(spark, sf):
     return finish(perf.percentiles(V.requests(spark, sf), "ttft_s"))
 
 
+@register("m1_wall_percentiles_banded", """
+SELECT prompt_kind, round(quantile_cont(wall_s, 0.5), 9) AS p50, round(quantile_cont(wall_s, 0.95), 9) AS p95,
+       round(quantile_cont(wall_s, 0.99), 9) AS p99
+FROM requests WHERE wall_s IS NOT NULL AND NOT isnan(wall_s) GROUP BY prompt_kind""", ["requests"])
+def m1_wall_percentiles_banded(spark, sf):
+    """The sketch-and-band path: at this accuracy no group counts as small."""
+    return finish(exact_percentiles(V.requests(spark, sf), ["prompt_kind"], "wall_s", [0.5, 0.95, 0.99], accuracy=500))
+
+
 def _box_sql(col: str, where: str) -> str:
     qs = ", ".join(f"round(quantile_cont({col}, {p}), 9) AS {n}" for p, n in
                    [(0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")])
