@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark import schemas
 from evalspark.functions.text import word_count
@@ -24,7 +25,9 @@ def _c(c) -> Column:
 
 def parse_payload(raw) -> Column:
     """L3: the ``choices[0].logprobs`` block of a raw JSON response; missing → empty arrays."""
-    block = F.from_json(F.get_json_object(_c(raw), "$.choices[0].logprobs"), schemas.LOGPROB_PAYLOAD)
+    choice = T.StructType([T.StructField("logprobs", schemas.LOGPROB_PAYLOAD)])
+    whole = F.from_json(_c(raw), T.StructType([T.StructField("choices", T.ArrayType(choice))]))
+    block = F.get(whole.getField("choices"), F.lit(0)).getField("logprobs")
     return F.struct(
         F.coalesce(block.getField("tokens"), F.array().cast("array<string>")).alias("tokens"),
         F.coalesce(block.getField("token_logprobs"), F.array().cast("array<double>")).alias("token_logprobs"),

@@ -109,7 +109,8 @@ def score_with_cache(requests: DataFrame, cache: DataFrame, fn: ScoreFn, batch_i
 
     ``requests`` carry ``key, model, prompt, params``; ``fn`` maps batches of
     ``(key, model, prompt, params)`` to ``(key, response)`` and runs once per
-    distinct missing key, in parallel over partitions (``mapInPandas``).
+    distinct missing key, in parallel over partitions (``mapInPandas``); the
+    request's columns travel with it, so the misses are planned once.
     Returns ``(results, new_cache)``: every request with its ``response`` and
     ``source`` (cache / computed), and the upserted cache to snapshot.
     """
@@ -118,9 +119,14 @@ def score_with_cache(requests: DataFrame, cache: DataFrame, fn: ScoreFn, batch_i
     # reliable checkpoint in the cluster's checkpoint folder), so the write-back
     # and the result join never call the model twice, and a lost executor does
     # not send the requests again.
-    computed = todo.mapInPandas(fn, "key string, response string").checkpoint(eager=True)
+    def carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for got in fn(iter([batch])):
+                yield batch.merge(got[["key", "response"]], on="key")
+
+    computed = todo.mapInPandas(carried, "key string, model string, prompt string, params string, response string").checkpoint(eager=True)
     ts = created_at if created_at is not None else F.unix_micros(F.current_timestamp()) / F.lit(1e6)
-    new_rows = computed.join(todo, "key").select(
+    new_rows = computed.select(
         "key", "model", "prompt", "params", "response", ts.cast("double").alias("created_at"),
         F.lit(batch_id).cast("bigint").alias("batch_id"))
     new_cache = upsert(cache, new_rows)

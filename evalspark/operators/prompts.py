@@ -51,11 +51,12 @@ def fewshot_random(items: DataFrame, pool: DataFrame, k: int, seed: int = 42) ->
     """``min(k, |pool|)`` distinct pool rows per item, seeded.
 
     The pool is put in a seeded order (``md5(seed:pool_id)``) and indexed
-    0..P-1; item ``ind`` takes the ``k`` consecutive positions starting at
-    ``md5(seed:ind) mod P`` (mod P). Positions are distinct, so the demos are
-    distinct rows, and the choice is a pure function of (seed, ind, pool):
-    no cross product of items and pool is formed, only ``k`` rows per item
-    joined on the position. Returns ``(ind, j, pool_id)``, ``j`` = demo order.
+    0..P-1; item ``ind`` draws a uniform ``k``-subset of the positions by
+    Floyd's method: for p from P-k to P-1 it takes ``md5(seed:ind:p) mod (p+1)``,
+    or p itself if that position is taken. The choice is a pure function of
+    (seed, ind, pool): no cross product of items and pool is formed, only
+    ``k`` rows per item joined on the position. Returns ``(ind, j, pool_id)``,
+    ``j`` = demo order.
     """
     if k <= 0:
         return items.sparkSession.createDataFrame([], "ind string, j int, pool_id bigint")
@@ -67,12 +68,13 @@ def fewshot_random(items: DataFrame, pool: DataFrame, k: int, seed: int = 42) ->
     if n_pool == 0:
         return items.sparkSession.createDataFrame([], "ind string, j int, pool_id bigint")
     kk = min(k, n_pool)
-    picks = items.select(
-        "ind",
-        md5_u32(seeded_key(seed, F.col("ind"))).alias("_off"),
-        F.explode(F.sequence(F.lit(0), F.lit(kk - 1))).alias("j"),
-    ).select("ind", F.col("j").cast("int").alias("j"),
-             F.pmod(F.col("_off") + F.col("j"), F.lit(n_pool)).alias("_pos"))
+    def taken(chosen: Column, p: Column) -> Column:
+        drawn = F.pmod(md5_u32(seeded_key(seed, F.col("ind"), p)), p + 1)
+        return F.array_append(chosen, F.when(F.array_contains(chosen, drawn), p).otherwise(drawn))
+
+    places = F.sequence(F.lit(n_pool - kk).cast("bigint"), F.lit(n_pool - 1).cast("bigint"))
+    drawn = F.aggregate(places, F.array().cast("array<bigint>"), taken)
+    picks = items.select("ind", F.posexplode(drawn).alias("j", "_pos"))
     return picks.join(pool_side, "_pos").select("ind", "j", "pool_id")
 
 

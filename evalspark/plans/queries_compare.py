@@ -197,16 +197,20 @@ def a12_token_cost(spark, sf):
 @register("a13_journal", f"""
 WITH {_CMP_SQL}
 SELECT variant, chr(10) || '## ' || variant || ' — hellaswag' || chr(10)
+  || '- **When:** 2026-01-02T03:04+00:00' || chr(10) || '- **Commit:** `abc1234`' || chr(10)
+  || '- **Task / limit / seed:** hellaswag / ' || n || ' / 42' || chr(10)
+  || '- **Model:** `model-0` (mock_backend=False)' || chr(10)
   || '- **Accuracy:** ' || printf('%.4f', acc) || chr(10)
   || '- **Delta vs baseline:** ' || coalesce(printf('%+.4f', delta), 'n/a (baseline)') || chr(10)
   || '- **95% CI (paired bootstrap, ' || coalesce(CAST(resamples AS VARCHAR), '-') || '):** '
   || CASE WHEN ci_low IS NULL THEN 'n/a (baseline)' ELSE printf('[%+.4f, %+.4f]', ci_low, ci_high) END || chr(10)
   || '- **Two-sided p-value:** ' || coalesce(printf('%.4f', p_value), 'n/a (baseline)') || chr(10)
-  || '- **Significance:** ' || verdict || chr(10) AS entry
+  || '- **Significance:** ' || verdict || chr(10)
+  || '- **Wall time:** 12.5s' || chr(10) || '- **Notes:** (none)' || chr(10) AS entry
 FROM cmp""", ["lp_tokens"])
 def a13_journal(spark, sf):
     summary = compare.compare_variants(_results(spark, sf), resamples=200, portable=True)
-    return finish(compare.journal_entries(summary))
+    return finish(compare.journal_entries(summary, when="2026-01-02T03:04+00:00", commit="abc1234", model="model-0", wall_s=12.5))
 
 
 @register("a10_compare_variants_scale", f"""

@@ -165,6 +165,20 @@ def z2_windowed_summary(spark, sf):
     return finish(windowed_summary(V.requests(spark, sf), 3600, ["prompt_kind"]))
 
 
+@register("z2_sliding_summary", """
+SELECT CAST(floor(started_at / 900) * 900 - 900 * k AS BIGINT) AS window_start, prompt_kind, count(*) AS n,
+  count(*) FILTER (WHERE status = 'ok') AS ok,
+  round(coalesce(quantile_cont(wall_s, 0.5) FILTER (WHERE status = 'ok'), 0.0), 9) AS wall_s_p50,
+  round(coalesce(quantile_cont(wall_s, 0.95) FILTER (WHERE status = 'ok'), 0.0), 9) AS wall_s_p95,
+  round(coalesce(quantile_cont(wall_s, 0.99) FILTER (WHERE status = 'ok'), 0.0), 9) AS wall_s_p99
+FROM (SELECT *, unnest(range(4)) AS k FROM requests) GROUP BY ALL""", ["requests"])
+def z2_sliding_summary(spark, sf):
+    """Hour windows that start every quarter."""
+    from evalspark.streaming.requests import windowed_summary
+
+    return finish(windowed_summary(V.requests(spark, sf), 3600, ["prompt_kind"], slide_s=900))
+
+
 def _raw_requests(spark, sf):
     """The request log as text fields (as read from CSV), with some corrupt numbers."""
     r = V.requests(spark, sf)

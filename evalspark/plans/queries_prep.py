@@ -118,12 +118,27 @@ def t6_qa_prompt(spark, sf):
     return finish(qa.select("qid", prompts.qa_prompt().alias("prompt"), F.col("answer").alias("target")))
 
 
+def _draws() -> str:
+    at = "(p - least(5, p) + {0})"
+    return "".join(f", {Q.md5_u32(f"'42:' || i.ind || ':' || CAST({at.format(j)} AS VARCHAR)")} % ({at.format(j)} + 1) AS t{j}" for j in range(5))
+
+
+def _taken() -> str:
+    """Floyd's method: a position that's taken already gives way to the last one."""
+    out = ["taken0 AS (SELECT *, t0 AS s0 FROM drawn)"]
+    for j in range(1, 5):
+        before = ", ".join(f"s{i}" for i in range(j))
+        out.append(f"taken{j} AS (SELECT *, CASE WHEN t{j} IN ({before}) THEN p - k + {j} ELSE t{j} END AS s{j} FROM taken{j - 1})")
+    return ",\n".join(out)
+
+
 _PICKS_SQL = f"""pool_idx AS (
   SELECT pool_id, row_number() OVER (ORDER BY md5('42:' || CAST(pool_id AS VARCHAR)), pool_id) - 1 AS pos FROM pool),
 np AS (SELECT count(*) AS p FROM pool),
+drawn AS (SELECT i.ind, p, least(5, p) AS k{_draws()} FROM items i CROSS JOIN np),
+{_taken()},
 picks AS (
-  SELECT i.ind, CAST(r.j AS INTEGER) AS j, ({Q.md5_u32("'42:' || i.ind")} + r.j) % np.p AS pos
-  FROM items i CROSS JOIN np CROSS JOIN range(5) r(j) WHERE r.j < np.p),
+  SELECT ind, CAST(r.j AS INTEGER) AS j, [s0, s1, s2, s3, s4][r.j + 1] AS pos FROM taken4 CROSS JOIN range(5) r(j) WHERE r.j < k),
 chosen AS (SELECT picks.ind, picks.j, pool_idx.pool_id FROM picks JOIN pool_idx ON picks.pos = pool_idx.pos)"""
 
 

@@ -59,8 +59,11 @@ def fold_chunk_stream(chunks: DataFrame, gap: str = "30 seconds", watermark: str
 
 
 def live_summary(requests: DataFrame, window: str = "5 minutes", watermark: str = "10 minutes",
-                 keys: Sequence[str] = ("prompt_kind", "mode"), ts: str = "ts", accuracy: int = 10_000) -> DataFrame:
-    """Per tumbling window and key, request counts and approximate latency percentiles.
+                 keys: Sequence[str] = ("prompt_kind", "mode"), ts: str = "ts", accuracy: int = 10_000,
+                 slide: str | None = None) -> DataFrame:
+    """Per window and key, request counts and approximate latency percentiles.
+
+    Windows are tumbling, or sliding by ``slide``.
 
     Streams keep bounded state per window, hence ``approx_percentile``; the
     batch form :func:`windowed_summary` computes exact percentiles.
@@ -68,7 +71,7 @@ def live_summary(requests: DataFrame, window: str = "5 minutes", watermark: str
     ok = F.col("status") == "ok"
     return (
         requests.withWatermark(ts, watermark)
-        .groupBy(F.window(ts, window).alias("w"), *keys)
+        .groupBy(F.window(ts, window, slide).alias("w"), *keys)
         .agg(
             F.count("*").alias("n"),
             F.count_if(ok).alias("ok"),
@@ -80,10 +83,17 @@ def live_summary(requests: DataFrame, window: str = "5 minutes", watermark: str
     )
 
 
-def windowed_summary(requests: DataFrame, window_s: int = 3600, keys: Sequence[str] = ("prompt_kind",)) -> DataFrame:
-    """Z2 batch form: per tumbling window of ``started_at`` (epoch s) and key, exact percentiles."""
-    w = (F.floor(F.col("started_at") / F.lit(window_s)) * F.lit(window_s)).cast("bigint")
-    d = requests.withColumn("window_start", w)
+def windowed_summary(requests: DataFrame, window_s: int = 3600, keys: Sequence[str] = ("prompt_kind",),
+                     slide_s: int | None = None) -> DataFrame:
+    """Z2 batch form: per window of ``started_at`` (epoch s) and key, exact percentiles.
+
+    Windows start at multiples of ``slide_s`` (the window length if not given);
+    a request counts in each window that covers its start.
+    """
+    step = slide_s or window_s
+    last = (F.floor(F.col("started_at") / F.lit(step)) * F.lit(step)).cast("bigint")
+    first = ((F.floor((F.col("started_at") - window_s) / F.lit(step)) + 1) * F.lit(step)).cast("bigint")
+    d = requests.withColumn("window_start", last if step == window_s else F.explode(F.sequence(first, last, F.lit(step).cast("bigint"))))
     k = ["window_start", *keys]
     ok = F.col("status") == "ok"
     counts = d.groupBy(*k).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"))
