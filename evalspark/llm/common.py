@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from evalspark.session import apply_session_conf, ensure_checkpoint_dir, ship_package
 
 SLICE_BYTES = 4 << 20
+# Texts travel in small Arrow batches: two tasks share an executor's memory outside the heap.
+ARROW_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Characters that separate words in every word contract: space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> None:
     """Session settings, checkpoint folder and package on the executors."""
     apply_session_conf(spark)
+    for k, v in ARROW_CONF.items():
+        spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     ship_package(spark)
 

@@ -35,6 +35,7 @@ BANDS, BAND_DIGITS = 8, 6
 RANGE_ROWS = 4096            # documents in a range of doc_ids, about
 MAX_RANGES = 10_000
 BLOCK_ROWS = 256
+ROWS_AT_ONCE = 256           # documents that are unpacked and walked at a time
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -198,7 +199,7 @@ def with_next(docs: DataFrame, seed: int = 7, range_rows: int = RANGE_ROWS) -> D
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
-        for part in text_slices(batches):
+        for part in text_slices(batches, max_bytes=1 << 20):
             k = part.column("k").to_numpy()
             z = [pack((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
             own = np.searchsorted(bounds, k, side="right")
@@ -216,8 +217,8 @@ def with_next(docs: DataFrame, seed: int = 7, range_rows: int = RANGE_ROWS) -> D
         unpack = zstandard.ZstdDecompressor().decompress
         held: list[tuple] = []
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
                 held += zip(part.column("extra").to_pylist(), part.column("doc_id").to_pylist(),
                             (unpack(z).decode("utf-8", "surrogatepass") for z in part.column("z").to_pylist()))
                 yield from compare(held)
