@@ -163,7 +163,9 @@ def compact(segments: DataFrame) -> DataFrame:
     kinds = named.select("u", "v", "source", "source_start").distinct()
     inward = kinds.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"))
     outward = kinds.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"))
-    plain = inward.join(outward, "node").filter("n_in = 1 and n_out = 1").select(F.col("node").alias("plain"))
+    # Written, so that the next join has plain exchanges on both sides: a passage that very many
+    # documents share ends in one node, and Spark can then split that node's segments.
+    plain = materialise(inward.join(outward, "node").filter("n_in = 1 and n_out = 1").select(F.col("node").alias("plain")))
     left = named.join(plain, named.v == plain.plain, "left_semi").select(
         "slice", "row", (F.col("start") + F.col("size")).alias("start"), F.col("id").alias("a"))
     meets = left.join(named.select("slice", "row", "start", F.col("id").alias("b")), ["slice", "row", "start"]).select("a", "b")
