@@ -25,7 +25,7 @@ from evalspark.llm.components import connected_components
 
 SAMPLE_ROWS = 8192      # vectors that the centroids are fitted on, at most
 MAX_CELLS = 256
-CELL_ROWS = 1500        # wanted representatives per cell
+CELL_ROWS = 20_000      # wanted representatives per cell: copies to neighbouring cells cost more than small cells save
 BLOCK_ROWS = 1024       # rows of a block in the products
 ROUNDS = 8
 
