@@ -66,7 +66,7 @@ class _Windows:
         low = hashes[self.at] if len(self.at) else np.zeros(0, np.uint64)
         for j in range(1, self.k - piece + 1):
             low = np.minimum(low, hashes[self.at + j])
-        return low
+        return mix64(low)  # smallest hashes are small: scrambled, they fill all key ranges alike
 
     def hashes(self, of: np.ndarray, k: int, factor: np.uint64 = KEY, shift: int = 0) -> np.ndarray:
         return _rolling(self.words, k, factor)[self.at[of] + shift] if len(of) else np.zeros(0, np.uint64)
