@@ -9,15 +9,24 @@ walked in blocks of 512 characters, each for three steps per character; every
 block had ended). The digits of all blocks, as hexadecimal text, are the
 fingerprint of the whole text; likeness is the share of equal digits.
 
+These blocks start at fixed offsets, so an insertion shifts all later blocks
+and is paid for in each. The content fingerprint walks blocks that the text
+itself cuts: after 8 characters whose hash says so (one place in 256), or 512
+characters after the last cut. Blocks after an edit are the same again;
+content likeness aligns the blocks of two texts and compares their digits.
+
 Near duplicates: bands of sampled digits propose candidates, and the likeness
-of the whole fingerprints verifies them.
+of the whole content fingerprints verifies them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +45,7 @@ RANGE_ROWS = 4096            # documents in a range of doc_ids, about
 MAX_RANGES = 10_000
 BLOCK_ROWS = 256
 ROWS_AT_ONCE = 256           # documents that are unpacked and walked at a time
+CUT_EVERY, CUT_DOUBLINGS = 256, 3   # a content cut after one place in 256, by the hash of its last 2^3 characters
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -104,6 +114,99 @@ def from_text(text: str) -> np.ndarray:
     return np.where(x >= 97, x - 87, x - 48).astype(np.uint8)
 
 
+def _content_starts(points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every content block in the joined texts, and each text's number of blocks."""
+    size = np.array([len(p) for p in points], np.int64)
+    begin = np.cumsum(size) - size
+    within = np.arange(size.sum()) - np.repeat(begin, size)
+    h, factor = mix64(np.concatenate(points).astype(np.uint64)), 0x9E3779B97F4A7C15
+    for i in range(CUT_DOUBLINGS):
+        h[1 << i:] = h[1 << i:] + h[:-(1 << i)] * np.uint64(factor)
+        factor = factor * factor % (1 << 64)
+    cut = (mix64(h) % np.uint64(CUT_EVERY) == 0) & (within >= (1 << CUT_DOUBLINGS) - 1)
+    start = np.union1d(begin[size > 0], np.flatnonzero(cut) + 1)
+    start = start[start < len(h)]
+    n = -(-np.diff(start, append=len(h)) // BLOCK)
+    start = np.repeat(start, n) + BLOCK * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return start, np.diff(np.searchsorted(start, np.append(begin, len(h))))
+
+
+def content_prints(texts: list[str], seed: int = 7) -> list[str]:
+    """Content fingerprint of every text: the first block's extra digits, then the digits of each block, joined by dots.
+
+    Digits as in ``embed``, but three steps for each character that a block
+    has, without zeros at the end. An empty text has the empty fingerprint.
+    """
+    move, steps, is_later, digit, _ = _walk_tables(seed)
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    if not any(map(len, points)):
+        return [""] * len(texts)
+    start, blocks = _content_starts(points)
+    total = sum(map(len, points))
+    size = np.diff(start, append=total)
+    number = np.arange(len(start))
+    flat = np.zeros(total + len(start), np.uint8)
+    flat[np.arange(total) + np.repeat(number, size)] = _classes(np.concatenate(points))
+    order = np.argsort(-size, kind="stable")
+    pointer = (start + number)[order]
+    ends = np.searchsorted(-3 * size[order], -np.arange(3 * int(size.max())))  # blocks with more than 3 j steps
+    out = np.zeros((len(start), len(steps)), np.uint8)
+    sampled = {int(x): k for k, x in enumerate(steps)}
+    for j, m in enumerate(ends.tolist()):
+        c = flat[pointer[:m]]
+        k = sampled.get(j)
+        if k is not None:
+            out[:m, k] = digit[k][c]
+        pointer[:m] += move[j][c]
+    back = np.empty_like(order)
+    back[order] = number
+    last = np.cumsum(blocks)
+    own, extra = to_text(out[back][:, is_later].ravel()), out[back[(last - blocks)[blocks > 0]]][:, ~is_later]
+    heads = iter(to_text(row).rstrip("0") for row in extra)
+    bodies = [own[a:a + SAMPLES].rstrip("0") for a in range(0, len(own), SAMPLES)]
+    return [".".join([next(heads), *bodies[b - n:b]]) if n else "" for n, b in zip(blocks.tolist(), last.tolist())]
+
+
+def _aligned(x: list[str], y: list[str]) -> Iterator[tuple[str, str]]:
+    """Pairs of blocks: those that both have just once, in the longest common order; what lies between, from both ends."""
+    count_x, count_y = Counter(x), Counter(y)
+    where = {b: j for j, b in enumerate(y) if count_y[b] == 1}
+    tails: list[int] = []
+    ends: list[tuple] = []  # per length: (i, j, chain before)
+    for i, b in enumerate(x):
+        j = where.get(b, -1) if count_x[b] == 1 else -1
+        if j >= 0:
+            k = bisect_left(tails, j)
+            link = (i, j, ends[k - 1] if k else None)
+            tails[k:k + 1], ends[k:k + 1] = [j], [link]
+    anchors, link = [(len(x), len(y))], ends[-1] if ends else None
+    while link:
+        anchors.append(link[:2])
+        link = link[2]
+    i = j = 0
+    for p, q in reversed(anchors):
+        a, b = x[i:p], y[j:q]
+        least = min(len(a), len(b))
+        head = next((k for k in range(least) if a[k] != b[k]), least)
+        tail = next((k for k in range(least - head) if a[-1 - k] != b[-1 - k]), least - head)
+        yield from zip(a[:head], b[:head])
+        yield from zip_longest(a[head:len(a) - tail], b[head:len(b) - tail], fillvalue="")
+        yield from zip(a[len(a) - tail:], b[len(b) - tail:])
+        if p < len(x):
+            yield x[p], y[q]
+        i, j = p + 1, q + 1
+
+
+def content_likeness(a: str, b: str) -> float:
+    """``likeness`` of two content fingerprints whose blocks are aligned first."""
+    if a == b:
+        return 1.0
+    a, b = sorted((a, b))
+    (head_a, *x), (head_b, *y) = a.split("."), b.split(".")
+    pairs = [(p, q, max(len(p), len(q))) for p, q in [(head_a, head_b), *_aligned(x, y)]]
+    return likeness(from_text("".join(p.ljust(n, "0") for p, _, n in pairs)), from_text("".join(q.ljust(n, "0") for _, q, n in pairs)))
+
+
 def band_keys(digits: np.ndarray, seed: int = 7) -> list[int]:
     """One key per band: hash of its sampled digits of the first block (none for an empty text)."""
     bands = _walk_tables(seed)[4]
@@ -116,31 +219,32 @@ def band_keys(digits: np.ndarray, seed: int = 7) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, fingerprint, bands) of every row of ``docs`` (doc_id, text); null is an empty text.
+    """(doc_id, fingerprint, content_fingerprint, bands) of every row of ``docs`` (doc_id, text); null is an empty text.
 
     Equal texts have equal fingerprints; an empty text has the empty one and
     no bands. One row per input row; other columns aren't read.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            digits = embed([t or "" for t in part.column("text").to_pylist()], seed)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            digits = embed(texts, seed)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(map(to_text, digits), pa.string()),
-                 pa.array([band_keys(d, seed) for d in digits], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "bands"])
+                [part.column("doc_id"), pa.array(map(to_text, digits), pa.string()), pa.array(content_prints(texts, seed), pa.string()),
+                 pa.array([band_keys(d, seed) for d in digits], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "content_fingerprint", "bands"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, fingerprint string, bands array<long>"))
+            .mapInArrow(run, "doc_id long, fingerprint string, content_fingerprint string, bands array<long>"))
 
 
 def near_duplicates(prints: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, component_id) of every row of ``prints`` (doc_id, fingerprint, bands).
+    """(doc_id, component_id) of every row of ``prints`` (doc_id, content_fingerprint, bands).
 
-    Fingerprints that share a band and have a likeness of ``threshold`` or
+    Fingerprints that share a band and have a content likeness of ``threshold`` or
     more link; component_id is the smallest doc_id reachable. Equal
     fingerprints are one node; empty ones belong together. Every candidate
     of a band is compared, in blocks of bounded size.
     """
-    rows = prints.select("doc_id", "fingerprint", "bands", F.xxhash64("fingerprint").alias("fh"))
+    rows = prints.select("doc_id", F.col("content_fingerprint").alias("fingerprint"), "bands", F.xxhash64("content_fingerprint").alias("fh"))
     nodes = materialise(rows.groupBy("fingerprint", "fh").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
     keys = ["key", "_bi", "_bj"]
     units = block_pairs(nodes.select("fingerprint", "fh", F.explode("bands").alias("key")), ["key"], F.col("fh"), block_rows)
@@ -151,11 +255,11 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.8, block_rows: int =
             ids, prints_ = table.column("fh").to_numpy(), table.column("fingerprint")
             a_, b_ = [], []
             for a, b in zip(bounds, bounds[1:]):
-                digits = [from_text(x.as_py()) for x in prints_.slice(a, b - a)]
+                own = prints_.slice(a, b - a).to_pylist()
                 near = np.eye(b - a, dtype=bool)
                 for i in range(b - a):
                     for j in range(i):
-                        near[i, j] = near[j, i] = likeness(digits[i], digits[j]) >= threshold
+                        near[i, j] = near[j, i] = content_likeness(own[i], own[j]) >= threshold
                 root = linked_labels(near)
                 far = np.flatnonzero(root != np.arange(b - a))
                 a_.append(ids[a:b][far])
@@ -174,7 +278,9 @@ def with_next(docs: DataFrame, seed: int = 7, range_rows: int = RANGE_ROWS) -> D
     """Fingerprints of every document, of its edited text, and their likeness.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, bands. The edited text has its last
+    near_edited, near_next, bands, and the same four by content blocks:
+    content_fingerprint, edited_content_fingerprint, content_near_edited,
+    content_near_next. The edited text has its last
     floor(n_chars / 4) code points replaced by the first as many (or all) of
     the next document by doc_id (after the last: the first; rows of one
     doc_id by the hash of their texts, a null doc_id before all others).
@@ -234,18 +340,24 @@ def with_next(docs: DataFrame, seed: int = 7, range_rows: int = RANGE_ROWS) -> D
             cut = len(texts[i]) // 4
             edited.append(texts[i][:len(texts[i]) - cut] + texts[i + 1][:cut])
         prints, new = embed(texts, seed), embed(edited, seed)
+        content, new_content = content_prints(texts, seed), content_prints(edited, seed)
         yield pa.RecordBatch.from_arrays([
             pa.array([rows[i][1] for i in at], pa.int64()), pa.array([len(texts[i]) for i in at], pa.int64()),
             pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
             pa.array([to_text(prints[i]) for i in at]), pa.array([to_text(d) for d in new]),
             pa.array([likeness(prints[i], d) for i, d in zip(at, new)]),
             pa.array([likeness(prints[i], prints[i + 1]) for i in at]),
-            pa.array([band_keys(prints[i], seed) for i in at], pa.list_(pa.int64()))],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands"])
+            pa.array([band_keys(prints[i], seed) for i in at], pa.list_(pa.int64())),
+            pa.array([content[i] for i in at]), pa.array(new_content),
+            pa.array([content_likeness(content[i], d) for i, d in zip(at, new_content)]),
+            pa.array([content_likeness(content[i], content[i + 1]) for i in at])],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands",
+             "content_fingerprint", "edited_content_fingerprint", "content_near_edited", "content_near_next"])
 
     text = F.col("text").cast("string")
     dealt = (docs.select(F.col("doc_id").cast("long"), key.alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
              .mapInArrow(deal, "pid int, extra boolean, k long, h long, doc_id long, z binary"))
     return (dealt.repartition("pid").sortWithinPartitions("pid", "extra", "k", "h").select("extra", "doc_id", "z")
             .mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-                              "near_edited double, near_next double, bands array<long>"))
+                              "near_edited double, near_next double, bands array<long>, content_fingerprint string,"
+                              "edited_content_fingerprint string, content_near_edited double, content_near_next double"))
