@@ -15,8 +15,10 @@ itself cuts: after 8 characters whose hash says so (one place in 256), or 512
 characters after the last cut. Blocks after an edit are the same again;
 content likeness aligns the blocks of two texts and compares their digits.
 
-Near duplicates: bands of sampled digits propose candidates, and the likeness
-of the whole content fingerprints verifies them.
+Near duplicates: bands of digits propose candidates, and the likeness of the
+whole content fingerprints verifies them. Bands are sampled digits of the
+first block, and all runs of eight digits of every content block, wherever in
+the text the block is.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ BLOCK = 512
 STEPS = 3 * BLOCK
 SAMPLES = STEPS // 32        # sampled steps of every block
 FIRST = 32                   # more of them in the first 128 steps of a text
-BANDS, BAND_DIGITS = 8, 6
+BANDS, BAND_DIGITS = 8, 6    # of the first block
+RUN_DIGITS, LEAST_DIGITS = 8, 4   # of every content block: runs of eight digits; a block of four or more is one run
 RANGE_ROWS = 4096            # documents in a range of doc_ids, about
 MAX_RANGES = 10_000
 BLOCK_ROWS = 256
@@ -207,15 +210,28 @@ def content_likeness(a: str, b: str) -> float:
     return likeness(from_text("".join(p.ljust(n, "0") for p, _, n in pairs)), from_text("".join(q.ljust(n, "0") for _, q, n in pairs)))
 
 
-def band_keys(digits: np.ndarray, seed: int = 7) -> list[int]:
-    """One key per band: hash of its sampled digits of the first block (none for an empty text)."""
+def band_keys(digits: np.ndarray, content: str, seed: int = 7) -> list[int]:
+    """Distinct keys of a text's bands (none for an empty text).
+
+    One per band of sampled digits of the first block (``digits`` as from
+    ``embed``), and one for each run of digits of every block of its
+    ``content`` fingerprint; a block's number is no part of the key.
+    """
+    import xxhash
+
     bands = _walk_tables(seed)[4]
     if not len(digits):
         return []
     value = np.zeros(len(bands), np.uint64)
     for column in digits[bands].T:
         value = value * np.uint64(16) + column
-    return mix64(value + (np.arange(len(bands), dtype=np.uint64) << np.uint64(32))).view(np.int64).tolist()
+    keys = mix64(value + (np.arange(len(bands), dtype=np.uint64) << np.uint64(32))).view(np.int64).tolist()
+    runs = set()
+    for block in set(content.split(".")[1:]):
+        last = max(0, len(block) - RUN_DIGITS)
+        if len(block) >= LEAST_DIGITS:
+            runs.update(f"{k}:{block[k:k + RUN_DIGITS]}" for k in [*range(0, last, RUN_DIGITS), last])
+    return list(dict.fromkeys(keys + np.array([xxhash.xxh64_intdigest(r, seed) for r in sorted(runs)], np.uint64).view(np.int64).tolist()))
 
 
 def fingerprints(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -227,10 +243,10 @@ def fingerprints(docs: DataFrame, seed: int = 7) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            digits = embed(texts, seed)
+            digits, content = embed(texts, seed), content_prints(texts, seed)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(map(to_text, digits), pa.string()), pa.array(content_prints(texts, seed), pa.string()),
-                 pa.array([band_keys(d, seed) for d in digits], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "content_fingerprint", "bands"])
+                [part.column("doc_id"), pa.array(map(to_text, digits), pa.string()), pa.array(content, pa.string()),
+                 pa.array([band_keys(d, c, seed) for d, c in zip(digits, content)], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "content_fingerprint", "bands"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .mapInArrow(run, "doc_id long, fingerprint string, content_fingerprint string, bands array<long>"))
@@ -242,12 +258,17 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.8, block_rows: int =
     Fingerprints that share a band and have a content likeness of ``threshold`` or
     more link; component_id is the smallest doc_id reachable. Equal
     fingerprints are one node; empty ones belong together. Every candidate
-    of a band is compared, in blocks of bounded size.
+    of a band is compared, in blocks of bounded size; bands that hold the
+    same fingerprints (near copies share most of theirs) are compared once.
     """
     rows = prints.select("doc_id", F.col("content_fingerprint").alias("fingerprint"), "bands", F.xxhash64("content_fingerprint").alias("fh"))
     nodes = materialise(rows.groupBy("fingerprint", "fh").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
     keys = ["key", "_bi", "_bj"]
-    units = block_pairs(nodes.select("fingerprint", "fh", F.explode("bands").alias("key")), ["key"], F.col("fh"), block_rows)
+    posts = nodes.select("fh", F.explode("bands").alias("key"))
+    held = posts.groupBy("key").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64({i}, fh))").alias(f"s{i}") for i in (1, 2)]).filter("n > 1")
+    picked = held.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    members = materialise(posts.join(picked, "key")).join(nodes.select("fh", "fingerprint"), "fh")
+    units = block_pairs(members, ["key"], F.col("fh"), block_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in group_runs(batches, keys):
@@ -347,7 +368,7 @@ def with_next(docs: DataFrame, seed: int = 7, range_rows: int = RANGE_ROWS) -> D
             pa.array([to_text(prints[i]) for i in at]), pa.array([to_text(d) for d in new]),
             pa.array([likeness(prints[i], d) for i, d in zip(at, new)]),
             pa.array([likeness(prints[i], prints[i + 1]) for i in at]),
-            pa.array([band_keys(prints[i], seed) for i in at], pa.list_(pa.int64())),
+            pa.array([band_keys(prints[i], content[i], seed) for i in at], pa.list_(pa.int64())),
             pa.array([content[i] for i in at]), pa.array(new_content),
             pa.array([content_likeness(content[i], d) for i, d in zip(at, new_content)]),
             pa.array([content_likeness(content[i], content[i + 1]) for i in at])],

@@ -66,3 +66,17 @@ def test_next_document_with_an_inserted_sentence_is_near(spark):
     for r in got.values():
         assert r.content_near_edited == ee.content_likeness(r.content_fingerprint, r.edited_content_fingerprint)
         assert r.content_fingerprint == ee.content_prints([rows[r.doc_id - 1][1]])[0]
+
+
+def test_near_copies_meet_wherever_they_differ(spark):
+    t = prose(7, 900)
+    half = len(t) // 2
+    rows = [(1, t), (2, "Another title, 3 May. " + t[200:]), (3, t[:half] + " put in the middle " + t[half:]), (4, "Header\n" * 5 + t[:half] + t[half + 30:])]
+    same = t[:600]  # one opening, different texts
+    rows += [(10 + i, same + prose(20 + i, 900)) for i in range(6)] + [(20, prose(40, 900)), (21, "Date: today. " + prose(40, 900))]
+    prints = ee.fingerprints(docs(spark, [(i, x, None, None, None) for i, x in rows]))
+    held = {r.doc_id: r for r in prints.collect()}
+    assert all(len(r.bands) == len(set(r.bands)) for r in held.values())
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 20: 20, 21: 20} | {10 + i: 10 + i for i in range(6)}
+    for block_rows in (3, 256):
+        assert {r.doc_id: r.component_id for r in ee.near_duplicates(prints, block_rows=block_rows).collect()} == want
