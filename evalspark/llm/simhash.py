@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import block_pairs, group_runs, linked_labels, materialise, run_bounds, text_slices
@@ -48,6 +48,23 @@ def _fingerprint(text: bytes, shingle: int, seed: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _prints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, th, fp) of every row: th is the text's hash, it tells rows of one doc_id apart."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            texts = pc.ascii_lower(pc.fill_null(part.column("text"), "")).cast(pa.binary()).to_pylist()
+            fps = np.array([_fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(fps)], ["doc_id", "th", "fp"])
+
+    text = F.col("text").cast("string")
+    return (docs.select(F.col("doc_id").cast("long"), _text_hash(text).alias("th"), text.alias("text"))
+            .mapInArrow(run, "doc_id long, th long, fp long"))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long): SimHash of every whole text.
 
@@ -57,13 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     null) has fingerprint 0. Bit i is 1 if it's set in over half the XXH64
     values. One row per input row; other columns are not read.
     """
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            texts = pc.ascii_lower(pc.fill_null(part.column("text"), "")).cast(pa.binary()).to_pylist()
-            fps = np.array([_fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return _prints(docs, shingle, seed).select("doc_id", "fp")
 
 
 def _masks(max_bits: int) -> list[int]:
@@ -129,26 +140,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed:
     passed over when the smallest is taken (null if it's alone). An empty
     table gives an empty result; other columns are ignored.
     """
-    rows = materialise(fingerprints(docs, shingle, seed))
+    return _classes(docs, shingle, max_bits, seed).select("doc_id", "fp", "component_id")
+
+
+def _classes(docs: DataFrame, shingle: int, max_bits: int, seed: int = 42) -> DataFrame:
+    """(doc_id, th, fp, root, component_id) of every row; root is the group itself."""
+    rows = materialise(_prints(docs, shingle, seed))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = connected_components(links(least.select("fp"), max_bits))
     classed = (least.join(roots, least.fp == roots.node, "left")
                .select("fp", "low", F.coalesce("root", "fp").alias("root")))
     ids = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classed.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classed.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """One document of each near-duplicate group, the smallest doc_id, with all its columns.
 
-    Rows without doc_id aren't told apart: all of them stay. Of rows that
-    repeat a kept doc_id one stays.
+    Rows without doc_id aren't told apart: all of them stay. A row goes only
+    for its own fingerprint's group: of rows that repeat a doc_id, one stays
+    for each group whose smallest doc_id it is (the smallest fingerprint).
     """
-    classes = materialise(near_duplicates(docs.select("doc_id", "text"), shingle, max_bits))
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
-    if classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        known = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    classes = materialise(_classes(docs.select("doc_id", "text"), shingle, max_bits))
+    gone = classes.filter("doc_id <> component_id").select("doc_id", "th")
+    repeats = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if repeats:
+        own = classes.filter("doc_id = component_id")
+        first = own.groupBy("doc_id", "root").agg(F.min(F.struct("fp", "th")).alias("first"))
+        gone = gone.union(own.join(first, ["doc_id", "root"]).filter(F.struct("fp", "th") != F.col("first")).select("doc_id", "th"))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
+    left = docs.join(gone, (docs.doc_id.cast("long") == gone["_gone"]) & (_text_hash(docs.text) == gone["_th"]), "left_anti")
+    if repeats:
+        known = left.filter("doc_id is not null").withColumn("_th", _text_hash(F.col("text"))).dropDuplicates(["doc_id", "_th"]).drop("_th")
         left = known.unionByName(left.filter("doc_id is null"))
     return left
