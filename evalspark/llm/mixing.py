@@ -10,6 +10,7 @@ sample have the target marginals.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -69,7 +70,8 @@ def rake(cells: DataFrame, flatten: Mapping[str, float] = FLATTEN, targets: Mapp
     ``cells`` (s, l, t, n) may have several rows for a cell; they're summed
     first. Cells, targets and factors stay tables. Returns None if there are
     no tokens. Stops when no marginal is off by more than ``tolerance`` (or
-    after ``max_sweeps``, when targets contradict each other).
+    after ``max_sweeps``, when targets contradict each other: then a warning
+    gives the largest difference of shares that is left in each dimension).
     """
     cells = materialise(cells.groupBy("s", "l", "t").agg(F.sum("n").alias("n")))
     total = cells.agg(F.sum("n")).first()[0] or 0
@@ -103,6 +105,15 @@ def rake(cells: DataFrame, flatten: Mapping[str, float] = FLATTEN, targets: Mapp
             off = max(off, factors[i].agg(F.max("off")).first()[0] or 0.0)
         if off <= tolerance:
             break
+    else:
+        left = {}
+        for i, (k, d) in enumerate(zip(keys, DIMENSIONS)):
+            sums = product(None).groupBy(k).agg(F.sum("w").alias("have"))
+            diff = F.abs(F.col("have") - F.coalesce("share", F.lit(0.0)))
+            left[d] = sums.join(share[i], k, "left").agg(F.max(diff)).first()[0] or 0.0
+        if max(left.values()) > tolerance:
+            warnings.warn(f"targets not met after {max_sweeps} sweeps; shares are off by up to "
+                          + ", ".join(f"{d} {x:.3g}" for d, x in left.items()), RuntimeWarning, stacklevel=2)
     top = (product(None).filter("n > 0").agg(F.max(F.col("w") * total / F.col("n"))).first()[0])
     return [f.select(k, "f") for f, k in zip(factors, keys)], float(top)
 
@@ -113,7 +124,8 @@ def draw(docs: DataFrame, topic: Column | None = None, fraction: float = 1.0, se
     ``row`` is the input row (doc_id, text, source, lang, whatever else).
     weight is the product of the factors of its cell; prob = fraction *
     weight / largest weight, so no probability passes 1 and expected token
-    shares are the targets exactly. ``sampled`` compares prob with a uniform
+    shares are the raked ones: the targets, if they don't contradict each
+    other (else ``rake`` warns, and only topic meets its). ``sampled`` compares prob with a uniform
     number made from doc_id and ``seed`` (rows that repeat a doc_id share
     it). Null source or lang is a category of its own; a null or empty text
     has no tokens and follows its cell (weight 0 if a whole source, language
