@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import common, edit_embedding, embeddings, katz, langid, mixing, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity
+from evalspark.llm import common, edit_embedding, embeddings, katz, langid, mixing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -168,3 +168,56 @@ def op10(spark, sf_dir):
     """SimHash of 3-word shingles, linked at 3 or fewer differing bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _op13_sql() -> str:
+    top = f"length(bin(v)) - {quality.FINE.bit_length()}"
+    bucket = f"CASE WHEN v < {2 * quality.FINE} THEN v ELSE ({top}) * {quality.FINE} + (v >> ({top})) END"
+    power = f"b // {quality.FINE} - 1"
+    low = f"CASE WHEN b < {2 * quality.FINE} THEN b ELSE (b - {quality.FINE} * ({power})) << ({power}) END"
+    high = f"CASE WHEN b < {2 * quality.FINE} THEN b ELSE ((b - {quality.FINE} * ({power}) + 1) << ({power})) - 1 END"
+    values = " UNION ALL ".join(
+        f"SELECT r, lang, source, base_failed, '{m.name}' AS measure, {m.least} AS least, {m.low} AS two_sided, "
+        f"({m.scale} * {m.part}) // greatest({m.whole}, 1) AS v FROM counted" for m in quality.MEASURES)
+
+    def quartiles(keys: str) -> str:
+        by = f"{keys}, measure" if keys else "measure"
+        return f"""SELECT {by}, max(docs) AS docs, min(CASE WHEN seen >= (25 * docs + 99) // 100 THEN {low} END) AS q1,
+  min(CASE WHEN seen >= (75 * docs + 99) // 100 THEN {high} END) AS q3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {by}) AS docs, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS seen
+    FROM (SELECT {by}, b, count(*) AS n FROM cells GROUP BY ALL)) GROUP BY ALL"""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+win AS (SELECT r, i, array_to_string(ws[i:i + {quality.WINDOW - 1}], ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + {quality.WINDOW})) AS j FROM twice) GROUP BY r),
+counted AS (SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^{quality.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+  len(ws) < {quality.LEAST_WORDS} OR 100 * coalesce(rep.n, 0) > {quality.MOST_REPEATED} * len(ws) AS base_failed
+  FROM w LEFT JOIN rep ON rep.r = w.r),
+measured AS ({values}),
+cells AS (SELECT lang, source, measure, least, {bucket} AS b FROM measured WHERE NOT base_failed),
+own AS ({quartiles('lang, source')}),
+langs AS ({quartiles('lang')}),
+every AS ({quartiles('')}),
+chosen AS (SELECT own.lang, own.source, own.measure,
+  CASE WHEN own.docs >= {quality.LEAST_DOCS} THEN own.q1 WHEN langs.docs >= {quality.LEAST_DOCS} THEN langs.q1 ELSE every.q1 END AS q1,
+  CASE WHEN own.docs >= {quality.LEAST_DOCS} THEN own.q3 WHEN langs.docs >= {quality.LEAST_DOCS} THEN langs.q3 ELSE every.q3 END AS q3
+  FROM own JOIN langs ON own.lang IS NOT DISTINCT FROM langs.lang AND own.measure = langs.measure JOIN every ON every.measure = own.measure),
+bad AS (SELECT r, count(*) AS n FROM measured m JOIN chosen c
+  ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure
+  WHERE v > q3 + {quality.REACH} * greatest(q3 - q1, least) OR (two_sided AND v < q1 - {quality.REACH} * greatest(q3 - q1, least)) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+  NOT base_failed AND bad.r IS NULL AS kept
+FROM counted LEFT JOIN bad ON bad.r = counted.r
+"""
+
+
+@query("op13_quality_rules", _op13_sql())
+def op13(spark, sf_dir):
+    """Quality measures of every document, the base rules, and the verdict by adaptive fences."""
+    return quality.judge(table(spark, sf_dir, "documents")).drop("failed")
