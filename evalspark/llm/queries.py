@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import common, edit_embedding, embeddings, katz, langid, mixing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity
+from evalspark.llm import collocations, common, edit_embedding, embeddings, katz, langid, mixing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity, whitening
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -170,6 +170,40 @@ def op10(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}') AS t FROM documents),
+p AS (SELECT doc_id, lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda z: z <> '') AS ws
+  FROM (SELECT doc_id, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+sizes AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a, min(doc_id) AS first_doc_id
+  FROM (SELECT doc_id, lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, range(1, 6) AS z(m)) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (
+  SELECT lang, a, array_to_string(ws[i:i + z.k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM c, range(2, 5) AS z(k) WHERE k < m) z) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT k.lang, k.phrase, k.m, k.a, k.first_doc_id, k.k, l.a AS l, r.a AS r, s.n,
+    (1000 * k.a::HUGEINT * s.n::HUGEINT) // (l.a::HUGEINT * r.a::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) k
+  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ') JOIN sizes s ON s.lang = k.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, m::INT AS words, a, l, r, n::BIGINT AS n, score::BIGINT AS score, first_doc_id
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_mining", OP11_SQL)
+def op11(spark, sf_dir):
+    """Each language's 2,000 best phrases of two to five words with 100 occurrences or more."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    """Whitened coordinates of every usable vector for the four leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _op13_sql() -> str:
     top = f"length(bin(v)) - {quality.FINE.bit_length()}"
     bucket = f"CASE WHEN v < {2 * quality.FINE} THEN v ELSE ({top}) * {quality.FINE} + (v >> ({top})) END"
@@ -188,8 +222,10 @@ def _op13_sql() -> str:
     FROM (SELECT {by}, b, count(*) AS n FROM cells GROUP BY ALL)) GROUP BY ALL"""
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS ws,
-  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM d),
 win AS (SELECT r, i, array_to_string(ws[i:i + {quality.WINDOW - 1}], ' ') AS g
   FROM (SELECT r, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) AS i FROM w)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
