@@ -1,268 +1,18 @@
-"""Exemplar retrieval: exact top-k by cosine similarity (T8) and TF-IDF.
-
-Exact top-k needs every (query, pool) score, but never as rows. A pool that
-fits a byte budget (checked) is broadcast and each query partition is scored
-in place (``mapInPandas``, no shuffle of the queries). A larger pool is split
-into blocks and the queries into chunks; each (chunk, block) cell is one
-``cogroup`` task that multiplies two bounded matrices in numpy and keeps only
-its top-k per query; a final window keeps the top-k of ``k × blocks``
-candidates per query. Work is ``O(Q·P)`` flops (inherent to exact search),
-memory per task is bounded by the block sizes, and the queries never go
-through the driver.
-
-Tie rule: higher score first (scores compared after rounding to 1e-9), then
-the lower pool id (pool order).
-"""
+"""Exemplar retrieval: exact top-k by cosine similarity (T8, pivot cells) and TF-IDF (T9, inverted index)."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.indexing import broadcast_if_small
-
-SCORE_DIGITS = 9
-QUERY_CHUNK_ROWS = 20_000
-POOL_BLOCK_BYTES = 64 << 20
-SUB_BATCH = 512
-
-# TF-IDF settings of the retrieval fallback (vocabulary size,
-# word pattern of two or more letters / digits / underscores, 1-2 word n-grams).
-TFIDF_MAX_FEATURES = 8192
-TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"
-
-
-def l2_normalize(vec: Column | str) -> Column:
-    """Unit-length copy of a numeric array (zero vectors stay zero)."""
-    v = F.col(vec) if isinstance(vec, str) else vec
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
-
-
-def _topk_rows(qids: np.ndarray, pids: np.ndarray, sims: np.ndarray, k: int, exclude_self: bool):
-    """Top-k per row of ``sims`` with the tie rule; yields (qid, pid, score) arrays."""
-    if exclude_self:
-        same = qids[:, None] == pids[None, :]
-        sims = np.where(same, -np.inf, sims)
-    r = np.round(sims, SCORE_DIGITS)
-    kk = min(k, sims.shape[1])
-    out_q, out_p, out_s, out_r = [], [], [], []
-    # Sort by (-rounded score, pool id): lexsort keys are given last-major.
-    order_p = np.argsort(pids, kind="stable")
-    r_sorted = r[:, order_p]
-    idx = np.argsort(-r_sorted, axis=1, kind="stable")[:, :kk]
-    cols = order_p[idx]
-    for i in range(sims.shape[0]):
-        keep = np.isfinite(r[i, cols[i]])  # drops excluded self matches
-        c = cols[i][keep]
-        out_q.append(np.full(len(c), qids[i]))
-        out_p.append(pids[c])
-        out_s.append(sims[i, c])
-        out_r.append(np.arange(1, len(c) + 1, dtype=np.int32))
-    if not out_q:
-        return (np.array([], dtype=qids.dtype), np.array([], dtype=pids.dtype), np.array([], dtype=float),
-                np.array([], dtype=np.int32))
-    return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_s), np.concatenate(out_r)
-
-
-def _blocked_topk(queries: DataFrame, pool: DataFrame, k: int, prep_pool, score, row_bytes: int,
-                  exclude_self: bool) -> DataFrame:
-    """Shared driver of T8 / T9: ``queries(qid, ...)``, ``pool(pid bigint, ...)`` → top-k rows.
-
-    ``prep_pool(pool_pdf) -> (pids, matrix)`` runs once per task and block;
-    ``score(query_pdf, matrix) -> (qids, sims)`` runs per query sub-batch.
-
-    A pool within ``POOL_BLOCK_BYTES`` (checked from its row count and row
-    size) is broadcast once and the queries are scored where they are, in
-    ``mapInPandas``: no shuffle of the queries, and the per-task top-k is final.
-    A larger pool is split into blocks and scored by ``cogroup`` cells of
-    (query chunk, pool block), whose candidates a window reduces to the top-k.
-    """
-    spark = queries.sparkSession
-    qtype = queries.schema["qid"].dataType.simpleString()
-    schema = f"qid {qtype}, pid bigint, score double, rank int"
-    n_p = pool.count()
-    if n_p == 0 or k <= 0:
-        return spark.createDataFrame([], schema)
-    block_rows = max(1, POOL_BLOCK_BYTES // max(1, row_bytes))
-    n_blocks = max(1, math.ceil(n_p / block_rows))
-
-    def topk_frames(qpdf: pd.DataFrame, pids, mat):
-        for s in range(0, len(qpdf), SUB_BATCH):
-            qids, sims = score(qpdf.iloc[s:s + SUB_BATCH], mat)
-            a, b, c, r = _topk_rows(qids, pids, sims, k, exclude_self)
-            yield pd.DataFrame({"qid": a, "pid": b, "score": c, "rank": r})
-
-    if n_blocks == 1:
-        bc = spark.sparkContext.broadcast(pool.toPandas())  # at most POOL_BLOCK_BYTES of vectors
-
-        def run(batches):
-            pids, mat = prep_pool(bc.value)  # once per task
-            for qpdf in batches:
-                yield from topk_frames(qpdf, pids, mat)
-
-        return queries.mapInPandas(run, schema)
-
-    n_q = queries.count()
-    n_chunks = max(spark.sparkContext.defaultParallelism, math.ceil(n_q / QUERY_CHUNK_ROWS))
-    q = queries.select(
-        F.pmod(F.xxhash64("qid"), F.lit(n_chunks)).alias("c"), *queries.columns,
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    p = pool.select(
-        F.pmod(F.xxhash64("pid"), F.lit(n_blocks)).alias("b"), *pool.columns,
-        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("c"))
-
-    def cell(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or ppdf.empty:
-            return pd.DataFrame({"qid": [], "pid": [], "score": [], "rank": []})
-        pids, mat = prep_pool(ppdf)
-        return pd.concat(list(topk_frames(qpdf, pids, mat)), ignore_index=True)
-
-    cand = q.groupBy("c", "b").cogroup(p.groupBy("c", "b")).applyInPandas(cell, schema).drop("rank")
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("pid"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _dense_prep(ppdf: pd.DataFrame):
-    return ppdf["pid"].to_numpy(), np.vstack(ppdf["payload"].to_numpy()).astype(np.float64)
-
-
-def _dense_score(qpdf: pd.DataFrame, mat: np.ndarray):
-    qm = np.vstack(qpdf["payload"].to_numpy()).astype(np.float64)
-    return qpdf["qid"].to_numpy(), qm @ mat.T
-
-
-def topk_cosine(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool_id: str, vector: str,
-                exclude_self: bool = False) -> DataFrame:
-    """The ``k`` pool rows most cosine-similar to each query (``k`` capped at the pool size).
-
-    Vectors are normalised once in Spark; similarity is a dot product of unit
-    vectors. Returns ``query_id, rank (1-based), pool_id, score``. An empty pool
-    or ``k <= 0`` gives no rows. With ``exclude_self`` a row is never its own
-    neighbour (for self-similarity over one table).
-    """
-    qn = queries.select(F.col(query_id).alias("qid"), l2_normalize(vector).alias("payload"))
-    pn = pool.select(F.col(pool_id).cast("bigint").alias("pid"), l2_normalize(vector).alias("payload"))
-    dim = pool.agg(F.max(F.size(vector))).first()[0] or 1 if k > 0 else 1
-    out = _blocked_topk(qn, pn, k, _dense_prep, _dense_score, 8 * max(1, dim), exclude_self)
-    return out.select(F.col("qid").alias(query_id), "rank", F.col("pid").alias(pool_id), "score")
-
-
-def _tokens(text: Column) -> Column:
-    """Lower-cased word tokens (two or more letters, digits or underscores)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TFIDF_TOKEN), 0)
-
-
-def _with_terms(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
-    """``(id, terms)``: tokens plus the bigrams of consecutive tokens.
-
-    Tokens are computed in their own projection first, so the regex runs once
-    per text (the bigram expression references the tokens several times).
-    """
-    t = df.select(id_col, _tokens(text).alias("_t"))
-    m = F.greatest(F.size("_t") - 1, F.lit(0))
-    bigrams = F.zip_with(F.slice("_t", 1, m), F.slice("_t", 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
-    return t.select(t.columns[0], F.concat("_t", bigrams).alias("terms"))
-
-
-def tfidf_fit(pool: DataFrame, pool_id: str, text: str, max_features: int = TFIDF_MAX_FEATURES):
-    """T9 fit on the pool only: vocabulary (``term, idx, idf``) and unit pool vectors.
-
-    Vocabulary = the ``max_features`` terms with the highest pool term
-    frequency (ties: term order); ``idf = ln((1+n)/(1+df)) + 1``; pool vectors
-    are ``tf·idf`` normalised to unit length. The vocabulary is bounded by
-    ``max_features`` rows; the pool vectors stay distributed.
-    """
-    terms = _with_terms(pool, F.col(pool_id).cast("bigint").alias("pid"), F.col(text)).select(
-        "pid", F.explode("terms").alias("term"))
-    tf = terms.groupBy("pid", "term").agg(F.count("*").alias("tf"))
-    n = pool.count()
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    vocab = (
-        stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-        .select("term", F.row_number().over(Window.orderBy("term")).alias("idx"),
-                (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-        .withColumn("idx", F.col("idx") - 1)
-    )
-    vocab_b, _ = broadcast_if_small(vocab, max_features)
-    w = tf.join(vocab_b, "term").select("pid", "idx", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy("pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vec = (
-        w.join(norms, "pid")
-        .groupBy("pid")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("w") / F.col("norm")).alias("w")))).alias("sv"))
-    )
-    # Pool rows without any vocabulary term keep a zero vector (they still fill top-k).
-    all_pool = pool.select(F.col(pool_id).cast("bigint").alias("pid"))
-    vec = all_pool.join(vec, "pid", "left").select(
-        "pid", F.coalesce("sv", F.array().cast("array<struct<idx:int,w:double>>")).alias("sv"))
-    return vocab, vec, n
-
-
-def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int, query_id: str, query_text: str, pool_id: str,
-               pool_text: str, max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
-    """Top-k pool rows per query by TF-IDF cosine (fit on the pool; unseen terms dropped).
-
-    Query term counts are taken per document inside a ``mapInPandas`` (no
-    shuffle of the query corpus), against the bounded, broadcast vocabulary;
-    scoring is the blocked exact top-k. Zero-similarity rows still fill ``k``
-    in pool order. Returns ``query_id, rank, pool_id, score``.
-    """
-    spark = queries.sparkSession
-    vocab, pool_vec, _ = tfidf_fit(pool, pool_id, pool_text, max_features)
-    vocab_rows = vocab.collect()  # at most max_features rows
-    v_size = max(1, len(vocab_rows))
-    bc = spark.sparkContext.broadcast({r["term"]: (int(r["idx"]), float(r["idf"])) for r in vocab_rows})
-
-    def to_sparse(batches):
-        table = bc.value
-        for pdf in batches:
-            idx_out, w_out = [], []
-            for toks in pdf["terms"]:
-                cnt = Counter(t for t in toks if t in table)
-                if not cnt:
-                    idx_out.append([])
-                    w_out.append([])
-                    continue
-                ii = np.fromiter((table[t][0] for t in cnt), dtype=np.int32, count=len(cnt))
-                ww = np.fromiter((c * table[t][1] for t, c in cnt.items()), dtype=np.float64, count=len(cnt))
-                ww = ww / math.sqrt(float(np.dot(ww, ww)))
-                o = np.argsort(ii)
-                idx_out.append(ii[o].tolist())
-                w_out.append(ww[o].tolist())
-            yield pd.DataFrame({"qid": pdf["qid"], "idx": idx_out, "w": w_out})
-
-    qterms = _with_terms(queries, F.col(query_id).alias("qid"), F.col(query_text))
-    qtype = qterms.schema["qid"].dataType.simpleString()
-    qv = qterms.mapInPandas(to_sparse, f"qid {qtype}, idx array<int>, w array<double>")
-    pv = pool_vec.select("pid", F.transform("sv", lambda s: s.getField("idx")).alias("idx"),
-                         F.transform("sv", lambda s: s.getField("w")).alias("w"))
-
-    def densify(pdf: pd.DataFrame) -> np.ndarray:
-        m = np.zeros((len(pdf), v_size))
-        for r, (ii, ww) in enumerate(zip(pdf["idx"], pdf["w"])):
-            if ii is not None and len(ii):
-                m[r, np.asarray(ii, dtype=np.int64)] = np.asarray(ww, dtype=np.float64)
-        return m
-
-    def prep(ppdf: pd.DataFrame):
-        return ppdf["pid"].to_numpy(), densify(ppdf)
-
-    def score(qpdf: pd.DataFrame, mat: np.ndarray):
-        return qpdf["qid"].to_numpy(), densify(qpdf) @ mat.T
+from evalspark.operators.cosine_index import CosineIndex, l2_normalize, topk_cosine
+from evalspark.operators.term_index import tfidf_fit, tfidf_topk
 
-    out = _blocked_topk(qv, pv, k, prep, score, 8 * v_size, exclude_self=False)
-    return out.select(F.col("qid").alias(query_id), "rank", F.col("pid").alias(pool_id), "score")
+__all__ = ["CosineIndex", "l2_normalize", "semantic_picks", "tfidf_fit", "tfidf_topk", "topk_cosine"]
 
 
 def semantic_picks(query_text: str = "ctx", pool_text: str = "ctx"):
     """T10 hook: few-shot picks ``(ind, j, pool_id)`` by TF-IDF similarity of contexts."""
-    def picks(items: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    def picks(items, pool, k: int):
         q = items.select(F.col("ind"), F.col(query_text).alias("_qt"))
         top = tfidf_topk(q, pool, k, "ind", "_qt", "pool_id", pool_text)
         return top.select("ind", (F.col("rank") - 1).cast("int").alias("j"), "pool_id")

@@ -14,18 +14,31 @@ from evalspark.sources.readers import read_table
 K = 5
 
 
-@register("t8_topk_cosine", f"""
+_COSINE_SQL = f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS pool_id, list_dot_product(a.v, b.v) / (a.norm * b.norm) AS score
       FROM n a JOIN n b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pool_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS BIGINT) AS rank, pool_id, round(score, 9) AS score FROM r WHERE rank <= {K}""")
-def t8_topk_cosine(spark, sf):
+SELECT query_id, CAST(rank AS BIGINT) AS rank, pool_id, round(score, 9) AS score FROM r WHERE rank <= {K}"""
+
+
+def _cosine(spark, sf, **sizes):
     e = read_table(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     p = e.select(F.col("vec_id").alias("pool_id"), "embedding")
-    return finish(retrieval.topk_cosine(q, p, K, "query_id", "pool_id", "embedding", exclude_self=True))
+    return finish(retrieval.topk_cosine(q, p, K, "query_id", "pool_id", "embedding", exclude_self=True, **sizes))
+
+
+@register("t8_topk_cosine", _COSINE_SQL)
+def t8_topk_cosine(spark, sf):
+    return _cosine(spark, sf)
+
+
+@register("t8_topk_cosine_cells", _COSINE_SQL)
+def t8_topk_cosine_cells(spark, sf):
+    """T8 as on a large pool: many cells, blocks and chunks."""
+    return _cosine(spark, sf, cell_rows=32, chunk_rows=100)
 
 
 def _tok(x: str) -> str:
@@ -36,14 +49,14 @@ def _terms_sql(t: str) -> str:
     return f"list_concat({t}, list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
 
 
-def tfidf_sql(queries_cte: str, k: int = K) -> str:
+def tfidf_sql(queries_cte: str, k: int = K, limit: str = "LIMIT 8192") -> str:
     """CTEs ending in ``topk(qid, rank, pid, score)``; ``queries_cte`` defines ``q(qid, text)``."""
     return f"""{queries_cte},
 ptok AS (SELECT pool_id AS pid, {_tok('ctx')} AS t FROM pool),
 ptf AS (SELECT pid, term, count(*) AS tf FROM (SELECT pid, unnest({_terms_sql('t')}) AS term FROM ptok) GROUP BY ALL),
 stats AS (SELECT term, sum(tf) AS total, count(*) AS df FROM ptf GROUP BY term),
 vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM pool)) / (1 + df)) + 1 AS idf
-          FROM stats ORDER BY total DESC, term LIMIT 8192),
+          FROM stats ORDER BY total DESC, term {limit}),
 pw AS (SELECT pid, term, tf * idf AS w FROM ptf JOIN vocab USING (term)),
 pn AS (SELECT pid, term, w / sqrt(sum(w * w) OVER (PARTITION BY pid)) AS w FROM pw),
 qtok AS (SELECT qid, {_tok('text')} AS t FROM q),
@@ -68,6 +81,16 @@ def t9_tfidf_topk(spark, sf):
     return finish(out)
 
 
+@register("t9_tfidf_full_vocabulary", f"""
+WITH {tfidf_sql("q AS (SELECT doc_id AS qid, text FROM documents)", limit="")}
+SELECT qid AS doc_id, CAST(rank AS BIGINT) AS rank, pid AS pool_id, round(score, 9) AS score FROM topk""", ["pool"])
+def t9_tfidf_full_vocabulary(spark, sf):
+    """T9 with every term of the pool, and floors from one term per query."""
+    docs = read_table(spark, sf, "documents")
+    out = retrieval.tfidf_topk(docs, V.pool(spark, sf), K, "doc_id", "text", "pool_id", "ctx", max_features=None, seeds=1)
+    return finish(out)
+
+
 _SEM_PICKS_SQL = tfidf_sql("q AS (SELECT ind AS qid, ctx AS text FROM items)") + """,
 sem_chosen AS (SELECT qid AS ind, CAST(rank - 1 AS INTEGER) AS j, pid AS pool_id FROM topk)"""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,17 +58,86 @@ def test_topk_cosine_brute_force(spark):
     assert len(got) == 90
 
 
-def test_topk_cosine_small_blocks_same_answer(spark, monkeypatch):
-    rng = np.random.default_rng(2)
-    v = rng.normal(size=(40, 4))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
-    base = sorted(map(tuple, retrieval.topk_cosine(df, df.withColumnRenamed("id", "pid"), 4, "id", "pid", "v",
-                                                   exclude_self=True).select("id", "rank", "pid").collect()))
-    monkeypatch.setattr(retrieval, "POOL_BLOCK_BYTES", 8 * 4 * 7)  # 7 rows per block → 6 blocks
-    blocked = sorted(map(tuple, retrieval.topk_cosine(df, df.withColumnRenamed("id", "pid"), 4, "id", "pid", "v",
-                                                      exclude_self=True).select("id", "rank", "pid").collect()))
-    assert base == blocked
-    assert all(r[0] != r[2] for r in base)
+def top_by_hand(q, p, k, exclude_self):
+    """All pairs in numpy: rows (qid, rank, pid, score), rounded scores first, then lower pool ids."""
+    ok = lambda v: v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)
+    unit = lambda v: np.array(v, float) / (np.linalg.norm(v) or 1)
+    out = []
+    for i, v in q:
+        if not ok(v):
+            continue
+        scores = sorted((-round(float(unit(v) @ unit(w)), 9), j) for j, w in p if ok(w) and len(w) == len(v) and not (exclude_self and i == j))
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+    return {(i, r): (j, pytest.approx(s, abs=1e-8)) for i, r, j, s in out}
+
+
+def vectors(seed, n, dim=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, dim))
+    rows = [(i, (centres[i % 8] + rng.normal(size=dim) * 0.2).tolist()) for i in range(n)]
+    rows += [(n + i, rows[3][1]) for i in range(40)]                                   # copies
+    return rows + [(2000, None), (2001, []), (2002, [0.0] * dim), (2003, [None] + rows[0][1][1:]), (2004, [float("nan")] * dim),
+                   (2005, [1.0, 2.0]), (2006, [2.0, 1.0]), (2007, [0.0] * dim), (2008, [-x for x in rows[0][1]])]
+
+
+@pytest.mark.parametrize("cell_rows,chunk_rows,exclude_self,k", [(4096, 20_000, True, 5), (10, 7, True, 5), (10, 7, False, 3), (3, 50, True, 400)])
+def test_cosine_cells_equal_all_pairs(spark, cell_rows, chunk_rows, exclude_self, k):
+    rows = vectors(2, 160)
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = retrieval.topk_cosine(df, df.withColumnRenamed("id", "pid"), k, "id", "pid", "v", exclude_self, cell_rows, chunk_rows).collect()
+    assert len({(r.id, r.rank) for r in got}) == len(got)
+    assert {(r.id, r.rank): (r.pid, r.score) for r in got} == top_by_hand(rows, rows, k, exclude_self)
+
+
+def test_cells_leave_most_pairs_out(spark):
+    df = spark.createDataFrame([r for r in vectors(4, 400) if r[0] < 400], "id long, v array<double>")
+    index = retrieval.CosineIndex(df.withColumnRenamed("id", "pid"), 5, "pid", "v", cell_rows=20)
+    assert 0 < index.share_scored(df, "id", "v", True) < 0.5
+
+
+def test_cosine_query_of_string_ids_and_empty_pool(spark):
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "q string, v array<float>")
+    p = spark.createDataFrame([(1, [0.5, 0.5]), (2, [1.0, 0.1])], "p long, v array<float>")
+    assert [tuple(r)[:3] for r in retrieval.topk_cosine(q, p, 1, "q", "p", "v").collect()] == [("a", 1, 2)]
+    assert retrieval.topk_cosine(q, p.limit(0), 1, "q", "p", "v").count() == 0
+    assert retrieval.topk_cosine(q, p, 0, "q", "p", "v").count() == 0
+
+
+def tfidf_by_hand(queries, pool, k, features):
+    terms = lambda t: (lambda w: w + [f"{a} {b}" for a, b in zip(w, w[1:])])(re.findall(r"\w{2,}", (t or "").lower()))
+    tf = {i: Counter(terms(t)) for i, t in pool}
+    total, df = Counter(), Counter()
+    for c in tf.values():
+        total.update(c)
+        df.update(c.keys())
+    vocab = {t: np.log((1 + len(pool)) / (1 + df[t])) + 1 for t in sorted(total, key=lambda t: (-total[t], t))[:features]}
+
+    def unit(c):
+        w = {t: n * vocab[t] for t, n in c.items() if t in vocab}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    vecs = {i: unit(c) for i, c in tf.items()}
+    out = {}
+    for i, t in queries:
+        q = unit(Counter(terms(t)))
+        scores = sorted((-round(sum(x * v.get(t, 0) for t, x in q.items()), 9), j) for j, v in vecs.items())
+        out |= {(i, r): (j, pytest.approx(-s, abs=1e-8)) for r, (s, j) in enumerate(scores[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("k,features,seeds", [(5, 8192, 4), (5, None, 1), (3, 12, 2), (70, None, 1)])
+def test_tfidf_index_equals_all_pairs(spark, k, features, seeds):
+    rng = np.random.default_rng(6)
+    words = ["the", "of"] * 6 + [f"w{i}" for i in range(25)] + ["rare", "x"]
+    text = lambda: " ".join(rng.choice(words, rng.integers(0, 25)))
+    pool = [(100 + i, text()) for i in range(50)] + [(200, None), (201, ""), (202, "the of"), (203, "the of")]
+    queries = [(i, text()) for i in range(40)] + [(90, None), (91, "unseen words"), (92, "the"), (93, "rare rare the")]
+    q = spark.createDataFrame(queries, "qid long, text string")
+    p = spark.createDataFrame(pool, "pool_id long, ctx string")
+    got = retrieval.tfidf_topk(q, p, k, "qid", "text", "pool_id", "ctx", features, seeds).collect()
+    assert len({(r.qid, r.rank) for r in got}) == len(got)
+    assert {(r.qid, r.rank): (r.pool_id, r.score) for r in got} == tfidf_by_hand(queries, pool, k, features)
 
 
 def test_tfidf_prefers_shared_words_and_fills_k(spark):
