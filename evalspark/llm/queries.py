@@ -71,7 +71,11 @@ def _op2_sql() -> str:
   FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS w, unnest(g) AS g, unnest(s[1:len(m)]) AS b
     FROM (SELECT doc_id, regexp_extract_all(t, {quoted(k.pattern)}, 0) AS m, regexp_extract_all(t, {quoted(k.pattern)}, {k.group}) AS g,
       string_split_regex(t, {quoted(k.pattern)}) AS s FROM d))""")
-        near = " AND ".join(f"EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.role = '{r}' AND abs(q.s - p.s) <= {secrets.SCOPE})" for r in k.needs)
+        names = [f"q{i}" for i in range(len(k.needs))]
+        inside = [f"{q}.doc_id = p.doc_id AND {q}.role = '{r}' AND abs({q}.s - p.s) <= {secrets.SCOPE} AND ({q}.e <= p.s OR {q}.s >= p.e)"
+                  for q, r in zip(names, k.needs)]
+        inside += [f"({a}.e <= {b}.s OR {b}.e <= {a}.s)" for i, b in enumerate(names) for a in names[:i]]
+        near = f"EXISTS (SELECT 1 FROM {', '.join(f'p {q}' for q in names)} WHERE {' AND '.join(inside)})"
         if k.needs:
             weak.append(f"(p.kind = '{k.name}' AND {near})")
     return f"""

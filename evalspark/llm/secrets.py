@@ -4,13 +4,15 @@ Positions come from cutting a text at the matches of a pattern: the lengths
 of the pieces and of the matches add up to the start of each match. Strong
 parts (base kinds) are always reported. Weak parts (an identifier, a random
 looking key, an endpoint) prove nothing alone: an interval join looks for
-complementary parts whose start lies within the scope of theirs, and only
-then are they reported.
-
-The interval join deals parts to bins as wide as the scope. Of all parts of a
-role in a bin only the first and last start can matter for a candidate in
-another bin, so bins are pre-aggregated and the join gives a few rows per
-candidate, however many parts a document has.
+complementary parts whose start lies within the scope of theirs and that
+share no character with them, and only then are they reported. One string is
+never its own complement: an endpoint's identifier and secret don't overlap
+either.
+
+The interval join deals parts to bins as wide as the scope. Matches of a kind
+don't overlap and have a least length, so a bin holds a bounded number of
+parts per role, in one array; a candidate meets three bins of each role it
+needs, however many parts a document has.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import materialise
+
 SCOPE = 400      # code points between the starts of parts that belong together
 
 
@@ -81,25 +85,46 @@ def parts(docs: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Strong parts, and the weak ones whose complementary roles start within ``scope`` of their start."""
+    """Strong parts, and the weak ones whose complements are in scope.
+
+    A complement has the needed role, starts within ``scope`` of the
+    candidate's start and doesn't overlap it; where two roles are needed, the
+    parts found for them don't overlap each other.
+    """
     roles = F.create_map(*[x for k in KINDS for x in (F.lit(k.name), F.lit(k.role))])
     found = found.withColumn("bin", F.floor(F.col("start") / scope))
     bins = (found.groupBy("doc_id", "th", roles[F.col("kind")].alias("role"), "bin")
-            .agg(F.min("start").alias("first"), F.max("start").alias("last"))
-            .select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("role"), F.col("bin").alias("at"), "first", "last"))
+            .agg(F.collect_set(F.struct("start", "end")).alias("parts"))
+            .select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("role"), F.col("bin").alias("at"), "parts"))
     strong = [k.name for k in KINDS if not k.needs]
     needs = F.create_map(*[x for k in KINDS if k.needs for x in (F.lit(k.name), F.array(*map(F.lit, k.needs)))])
     weak = (found.filter(~F.col("kind").isin(strong))
             .withColumn("need", F.explode(needs[F.col("kind")]))
             .withColumn("near", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))))
-    inside = ((F.col("at") == F.col("bin")) | ((F.col("at") < F.col("bin")) & (F.col("last") >= F.col("start") - scope))
-              | ((F.col("at") > F.col("bin")) & (F.col("first") <= F.col("start") + scope)))
-    met = (weak.join(bins, weak.doc_id.eqNullSafe(bins.d) & (weak.th == bins.h) & (weak.need == bins.role)
-                     & (weak.near == bins["at"]) & inside)
-           .groupBy("doc_id", "th", "kind", "start", "end").agg(F.count_distinct("need").alias("n")))
-    enough = F.create_map(*[x for k in KINDS if k.needs for x in (F.lit(k.name), F.lit(len(k.needs)))])
-    return (found.filter(F.col("kind").isin(strong)).select("doc_id", "th", "kind", "start", "end")
-            .union(met.filter(F.col("n") >= enough[F.col("kind")]).select("doc_id", "th", "kind", "start", "end")))
+    fits = F.filter("parts", lambda p: (F.abs(p["start"] - F.col("start")) <= scope)
+                    & ((p["end"] <= F.col("start")) | (p["start"] >= F.col("end"))))
+    one = ["doc_id", "th", "kind", "start", "end"]
+    met = (weak.join(bins, weak.doc_id.eqNullSafe(bins.d) & (weak.th == bins.h) & (weak.need == bins.role) & (weak.near == bins["at"]))
+           .select(*one, "need", fits.alias("fits")).filter(F.size("fits") > 0)
+           .select(*one, "need", F.array_min(F.col("fits.end")).alias("ends"), F.array_max(F.col("fits.start")).alias("starts")))
+    # two sets of intervals have members apart from each other if the first end of one is before the last start of the other
+    sides = {r: (F.min(F.when(F.col("need") == r, F.col("ends"))).alias(f"{r}_ends"), F.max(F.when(F.col("need") == r, F.col("starts"))).alias(f"{r}_starts"))
+             for r in sorted({n for k in KINDS for n in k.needs})}
+    met = met.groupBy(*one).agg(*[c for pair in sides.values() for c in pair])
+
+    def apart(x: str, y: str) -> Column:
+        return (F.col(f"{x}_ends") <= F.col(f"{y}_starts")) | (F.col(f"{y}_ends") <= F.col(f"{x}_starts"))
+
+    proven = F.lit(False)
+    for k in KINDS:
+        if k.needs:
+            rule = F.col("kind") == k.name
+            for i, r in enumerate(k.needs):
+                rule &= F.col(f"{r}_ends").isNotNull()
+                for q in k.needs[:i]:
+                    rule &= apart(q, r)
+            proven |= rule
+    return found.filter(F.col("kind").isin(strong)).select(*one).union(met.filter(proven).select(*one))
 
 
 def _text_form(spans: Column) -> Column:
@@ -114,7 +139,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text, spans ''. Rows that repeat a doc_id each get a row, from their own
     text. An empty table gives an empty result; other columns aren't read.
     """
-    hits = linked(parts(docs), scope)
+    hits = linked(materialise(parts(docs)), scope)
     order = F.create_map(*[x for n, i in ORDER.items() for x in (F.lit(n), F.lit(i))])
     lists = hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("o"), "kind", "end"))).alias("found"))
     lists = lists.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "found")
@@ -129,27 +154,39 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
                       _text_form(F.col("found")).alias("spans"), "found", "th")
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(d, h, s): each text's spans (start, end) in order, overlapping ones as one."""
+    before = Window.partitionBy("doc_id", "th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True))
+    groups = spans.withColumn("fresh", fresh.cast("int")).withColumn("group", F.sum("fresh").over(upto))
+    return (groups.groupBy("doc_id", "th", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+            .groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+            .select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "s"))
+
+
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``mask``; overlapping spans are one.
 
     All columns are kept, whatever they're called; n_chars, if there, is the
     length of the new text. Texts without any hint of a part pass unchanged,
-    without a shuffle.
+    without a shuffle. A text is cut once, in UTF-32, where a span's
+    place follows from its code points: the time grows with the text, not with
+    text times spans.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hinted = F.greatest(*[text.rlike(k.hint) for k in KINDS])
     rest, hit = docs.filter(~hinted), docs.filter(hinted)
-    spans = linked(parts(hit), scope).groupBy("doc_id", "th").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s")).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "s")
+    spans = _merged(linked(materialise(parts(hit)), scope).select("doc_id", "th", "start", "end").distinct())
     packed = hit.select(F.struct("*").alias("row"), text.alias("t"), F.xxhash64(text).alias("th"))
     both = packed.join(spans, F.col("row.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    walk = F.aggregate("s", start, lambda a, s: F.when(s["start"] >= a["at"], F.struct(
-        F.concat(a["out"], F.substring(F.col("t"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("out"),
-        s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))))
-    new = F.when(F.col("s").isNull(), F.col("row.text")).otherwise(
-        F.concat(F.col("w.out"), F.substring(F.col("t"), (F.col("w.at") + 1).cast("int"), F.char_length("t"))))
-    done = both.withColumn("w", walk).select("row", new.alias("new"))
+    from_ = F.concat(F.array(F.lit(0).cast("long")), F.col("s.end"))
+    to = F.concat(F.col("s.start"), F.array(F.octet_length("wide") / 4))
+    # a leading letter keeps the decoder from taking a piece's first character for a byte order mark
+    piece = lambda a, b: F.substring(F.decode(F.concat(F.lit(bytearray(b"\0\0\0A")), F.call_function(
+        "substring", F.col("wide"), (4 * a + 1).cast("int"), (4 * (b - a)).cast("int"))), "UTF-32"), 2, 2**31 - 1)
+    new = F.when(F.col("s").isNull(), F.col("row.text")).otherwise(F.array_join(F.zip_with(from_, to, piece), mask))
+    done = both.withColumn("wide", F.encode("t", "UTF-32")).select("row", new.alias("new"))
     swap = {"text": F.col("new"), "n_chars": F.char_length("new")}
     columns = [(swap[c].cast(docs.schema[c].dataType) if c in swap else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     return rest.unionByName(done.select(*columns))

@@ -1,4 +1,6 @@
+import itertools
 import re
+import time
 from hashlib import sha256
 
 from llm_cases import awkward_docs, docs, prose, with_clashes
@@ -18,8 +20,13 @@ def brute(text, scope=secrets.SCOPE):
     strong = [(m.start(), NAMES.index(k), k, m.end()) for k, p, ok in BASE for m in p.finditer(text) if ok(m)]
     mixed = lambda k, m: k != "key" or all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))
     weak = [(m.start(), NAMES.index(k), k, m.end(), need) for k, p, need in WEAK for m in p.finditer(text) if mixed(k, m)]
-    parts = [(x[0], ROLE[x[2]]) for x in strong + weak]
-    met = [x[:4] for x in weak if all(any(r == need and abs(s - x[0]) <= scope for s, r in parts) for need in x[4])]
+    parts = [(x[0], x[3], ROLE[x[2]]) for x in strong + weak]
+    apart = lambda a, b: a[1] <= b[0] or b[1] <= a[0]
+    met = []
+    for x in weak:
+        found = [[(s, e) for s, e, r in parts if r == need and abs(s - x[0]) <= scope and (e <= x[0] or s >= x[3])] for need in sorted(x[4])]
+        if any(all(apart(a, b) for a, b in itertools.combinations(pick, 2)) for pick in itertools.product(*found)):
+            met.append(x[:4])
     form = lambda xs: ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(xs))
     return [sum(x[2] == k for x in strong) for k in ("assign", "access", "hex")], sha256(form(strong).encode()).hexdigest(), form(strong + met), sorted(strong + met)
 
@@ -30,6 +37,8 @@ TEXTS = [
     f"{AKIA}{'Z' * 9} AKIASHORT AKIAAKIA{'0' * 14}", f"client_id=alice77 {KEY}", f"client_id=alice77 {'x ' * 300} {KEY}", f"{KEY}", f"https://db.example.com:5432 client_id: bob.smith {KEY}",
     f"https://db.example.com client_id: bob.smith", f"ASIA{'Q' * 12} {'y' * 380} passwd:letmein0", "f" * 23 + " " + "f" * 24, "PASSWORD = = =======", "token:" + "a" * 5000,
     f"TOKEN ſecret paſſword:abcdefgh {HEX}\n{HEX}", f"{'z ' * 5000}{AKIA} https://h.example {HEX}", "deadbeef" * 4 + "ABCDEF", "x" * 399 + HEX + "client_id=abcd",
+    "client_id=" + "Abcd1234" * 4, "AKIA" + "ABCD1234" * 2 + "xy12" * 6, "client_id=" + "Abcd1234" * 4 + f" {KEY}", f"token=AKIA{'ABCD1234' * 2} https://a.example",
+    f"client_id={'Abcd1234' * 4} https://a.example", f"token=AKIA{'ABCD1234' * 2} https://a.example {HEX}", f"\ufefftoken=abcdefgh \ufeffé {AKIA}\ufeff🎉 secret=abcdef\ufeff",
 ]
 
 
@@ -66,6 +75,30 @@ def test_redact_masks_reported_spans_only(spark):
     assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(i, masked(t)) for i, t, *_ in rows()], key=str)
 
 
+def test_one_string_is_no_complement_of_itself(spark):
+    alone = ["client_id=" + "Abcd1234" * 4, "AKIA" + "ABCD1234" * 2 + "xy12" * 6, f"client_id={'Abcd1234' * 4} https://a.example"]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, [(i, t, None, None, None) for i, t in enumerate(alone)])).collect()}
+    assert got == {0: "", 1: "access:0:20", 2: ""}
+
+
+def test_patterns_run_once(spark):
+    """Links read the written parts: the texts are matched when they're written, and hashed once more."""
+    plan = secrets.scan(docs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+def test_redact_is_linear_in_the_spans(spark):
+    def seconds(n):
+        df = docs(spark, [(1, "x y z token=abcdef " * n, None, None, None)])
+        t = time.time()
+        (r,) = secrets.redact(df).collect()
+        assert r.text.count("[SECRET]") == n
+        return time.time() - t
+
+    seconds(10)
+    assert seconds(16000) < 8 * max(seconds(2000), 1.0)
+
+
 def test_many_parts_in_one_document(spark):
     text = " ".join(f"client_id=user{i:05d} {prose(i, 3)} " + (KEY if i % 7 == 0 else "") for i in range(1500))
     (r,) = secrets.scan(docs(spark, [(1, text, None, None, None)])).collect()
