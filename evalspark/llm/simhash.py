@@ -169,9 +169,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
         own = classes.filter("doc_id = component_id")
         first = own.groupBy("doc_id", "root").agg(F.min(F.struct("fp", "th")).alias("first"))
         gone = gone.union(own.join(first, ["doc_id", "root"]).filter(F.struct("fp", "th") != F.col("first")).select("doc_id", "th"))
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
-    left = docs.join(gone, (docs.doc_id.cast("long") == gone["_gone"]) & (_text_hash(docs.text) == gone["_th"]), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    # rows travel whole in one struct, so no column of theirs can clash with the operator's
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash(F.col("text")).alias("th"))
+    left = packed.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
     if repeats:
-        known = left.filter("doc_id is not null").withColumn("_th", _text_hash(F.col("text"))).dropDuplicates(["doc_id", "_th"]).drop("_th")
-        left = known.unionByName(left.filter("doc_id is null"))
-    return left
+        left = left.filter("id is not null").dropDuplicates(["id", "th"]).unionByName(left.filter("id is null"))
+    return left.select("row.*")

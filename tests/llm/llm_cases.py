@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 DOC_KIND = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ("row", "fp", "key", "th", "s", "l", "t", "n", "k", "h", "u", "v", "slice", "f", "w", "node", "root", "rep", "_n", "label_")
+CLASHES = ("row", "fp", "key", "th", "s", "l", "t", "n", "k", "h", "u", "v", "slice", "f", "w", "node", "root", "rep", "_n", "label_", "_th", "_gone", "gone_id", "id", "wide", "group", "x", "measure", "low", "high")
 
 
 def prose(seed: int, n: int, words: str = "ab cd ef gh ij kl mn op qr st uv wx yz the of and to in") -> str:
