@@ -14,10 +14,14 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
     Right-side keys are renamed first, so frames derived from the same source
     (aggregates of one input joined back together) join without ambiguity.
+    Without keys the right side is a global aggregate: more than one row of
+    it is an error, not a cross join.
     """
     keys = list(keys)
     if not keys:
-        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+        if right.limit(2).count() > 1:
+            raise ValueError("a join without keys needs a right side of one row")
+        return left.join(F.broadcast(right), how=how) if how != "inner" else left.crossJoin(F.broadcast(right))
     ren = {k: f"__r_{i}" for i, k in enumerate(keys)}
     r = right.select(*[F.col(f"`{c}`").alias(ren.get(c, c)) for c in right.columns])
     if broadcast_right:
@@ -34,20 +38,16 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-               max_rows: int | None = None, known_rows: int | None = None) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """Join ``big`` to a side expected to be small, broadcasting it only behind a size check.
 
-    ``small`` is typically an aggregate of ``big`` (one row per group); it is
-    cached, counted (or ``known_rows`` is used) and broadcast when it has at
-    most ``max_rows`` rows and a bounded number of bytes, else joined by shuffle (where AQE can still split
-    skewed keys).
+    ``small`` is typically an aggregate of ``big`` (one row per group), stored
+    or cheap to make again: its rows and bytes are measured, and it's
+    broadcast when both are bounded, else joined by shuffle (where AQE can
+    still split skewed keys).
     """
     from evalspark.functions.indexing import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, rows_and_bytes
 
-    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    if known_rows is None:
-        small = small.cache()
-        known_rows, size = rows_and_bytes(small)
-    else:  # rows of keys and numbers
-        size = 0
-    return join_keys(big, small, keys, how, broadcast_right=known_rows <= limit and size <= BROADCAST_MAX_BYTES)
+    rows, size = rows_and_bytes(small)
+    fits = rows <= (BROADCAST_MAX_ROWS if max_rows is None else max_rows) and size <= BROADCAST_MAX_BYTES
+    return join_keys(big, small, keys, how, broadcast_right=fits)

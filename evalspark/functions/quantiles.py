@@ -1,41 +1,39 @@
-"""Exact percentiles that never gather a whole group into one task.
+"""Exact percentiles in fixed memory, by repeated histogram refinement.
 
-Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
-one buffer, so a group holding a third of a 100 TB log would land in one task.
+Spark's exact ``percentile`` keeps every distinct value of a group in one
+buffer, so a group that holds a third of a large log would land in one task.
 Here the exact, linearly interpolated percentile (numpy's default, DuckDB's
-``quantile_cont``) is computed in three distributed passes:
-
-1. per group: ``count``, ``min``, ``max``; when some group exceeds the
-   small-group bound, also ``percentile_approx`` at ``p ± margin`` (a
-   bounded-memory sketch that merges map-side);
-2. per group and percentile: rows below the lower bound are counted, and only
-   values inside ``[lo, hi]`` (about ``2·margin·n`` values) are kept;
-3. the exact order statistics ``floor(h)`` and ``ceil(h)``, ``h = p·(n-1)``,
-   are read from the sorted band and interpolated.
-
-Passes 2 and 3 are one aggregation with one column per percentile, so the
-input is not duplicated per percentile.
-
-The sketch's rank error is at most ``n / accuracy``, and the margin is three
-times that, so the band always contains both order statistics; were it ever
-not to, the value would come out null, never wrong. Groups no larger than a
-few sketch sizes are read whole (the same bound as the sketch's memory).
+``quantile_cont``) is selected:
+
+1. per group: count, smallest and largest value. They settle p = 0, p = 1 and
+   groups of one distinct value;
+2. an interval of values that holds a wanted rank is cut into CELLS
+   sub-intervals, and one aggregation gives every sub-interval's count,
+   smallest and largest value. Running sums of the counts tell which holds the
+   rank; its smallest and largest value are the next interval. Two neighbouring
+   ranks in different sub-intervals are settled at once: one is the largest
+   value of its sub-interval, the other the smallest of the next;
+3. when no interval holds more than LIMIT values, those are collected and the
+   ranks read from them.
+
+A value lies in one interval at most, so a pass is one scan with at most one
+row per value, and no buffer holds more than LIMIT values whatever the size of
+a group. Sub-intervals shrink to the values they hold, so ties, gaps and
+outliers cost a round, not memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.joins import join_small
 
-DEFAULT_ACCURACY = 100_000
-# The sketch's answer for p may sit one rank off the interpolation ranks
-# floor/ceil(p·(n-1)); a margin of 3·n/accuracy ranks covers that once
-# n > 4·accuracy. Smaller groups are read whole.
-SMALL_GROUP_FACTOR = 4
+CELLS = 1024
+LIMIT = 4096
+LARGEST = 1.7976931348623157e308
 
 
 def _pname(p: float) -> str:
@@ -43,14 +41,21 @@ def _pname(p: float) -> str:
     return f"p{s}"
 
 
-def _interp(sorted_values: Column, offset: Column, p: float) -> Column:
-    """Linear interpolation between order statistics floor(h) and ceil(h), h = p·(n-1),
-    read from a sorted array that starts at global rank ``offset``."""
-    h = F.lit(float(p)) * (F.col("_n") - 1)
-    fl, ce = F.floor(h), F.ceil(h)
-    lo_v = F.try_element_at(sorted_values, (fl - offset + 1).cast("int"))
-    hi_v = F.try_element_at(sorted_values, (ce - offset + 1).cast("int"))
-    return lo_v + (h - fl) * (hi_v - lo_v)
+def _cell(cells: int) -> Column:
+    """Sub-interval of ``_x`` in [``_lo``, ``_hi``]; it rises with _x, and both ends are never in one.
+
+    Intervals within a factor of two are cut evenly, others by the logarithm
+    (mirrored for negative values), so values of very different size are told
+    apart in a few rounds.
+    """
+    finite = lambda c: F.least(F.greatest(F.col(c), F.lit(-LARGEST)), F.lit(LARGEST))
+    even = lambda c: finite(c) / 2
+    log = lambda c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.signum(finite(c)) * (F.log2(F.abs(finite(c))) + 1100))
+    narrow = ((F.col("_lo") > 0) & (even("_hi") <= finite("_lo"))) | ((F.col("_hi") < 0) & (even("_lo") >= finite("_hi")))
+    place = F.when(narrow, (even("_x") - even("_lo")) / F.nullif(even("_hi") - even("_lo"), F.lit(0.0))).otherwise(
+        (log("_x") - log("_lo")) / F.nullif(log("_hi") - log("_lo"), F.lit(0.0)))
+    inside = F.least(F.greatest(F.floor(place * cells).cast("long"), F.lit(0).cast("long")), F.lit(cells - 1).cast("long"))
+    return F.when(F.col("_x") == F.col("_lo"), F.lit(0).cast("long")).when(F.col("_x") == F.col("_hi"), F.lit(cells - 1).cast("long")).otherwise(inside)
 
 
 def exact_percentiles(
@@ -59,100 +64,68 @@ def exact_percentiles(
     value: str | Column,
     ps: Sequence[float],
     prefix: str = "",
-    accuracy: int = DEFAULT_ACCURACY,
+    limit: int = LIMIT,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Exact percentiles of ``value`` per ``keys`` group.
 
     Nulls and NaN are ignored. Returns one row per group that has at least one
-    value, with columns ``keys + [prefix + 'p50', ...]`` (DOUBLE).
+    value, with columns ``keys + [prefix + 'p50', ...]`` (DOUBLE). At most
+    ``limit`` values are ever collected in one place.
     """
     keys = list(keys)
-    gkeys = keys if keys else ["_all"]
+    g = [f"_k{i}" for i in range(len(keys))] or ["_all"]
     x = F.col(value) if isinstance(value, str) else value
-    base = df.select(*[F.col(k) for k in keys], x.cast("double").alias("_x"))
-    if not keys:
-        base = base.withColumn("_all", F.lit(0))
-    base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-
-    # Pass 1 (one row per group, cached): size and range. Its largest group
-    # decides the plan: groups that all fit the small-group bound are read
-    # whole in one more pass; otherwise a sketch pass bounds each band.
-    bound = SMALL_GROUP_FACTOR * accuracy
-    sizes_df = base.groupBy(*gkeys).agg(
-        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")).cache()
-    sizes = sizes_df.agg(F.max("_n"), F.count("*")).first()
-    max_n, n_groups = (sizes[0] or 0), sizes[1]
-    if max_n <= bound:
-        whole = base.groupBy(*gkeys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("_x")).alias("_whole"))
-        out = whole.select(*gkeys, *[_interp(F.col("_whole"), F.lit(0), p).alias(prefix + _pname(p)) for p in ps])
-        return out.drop("_all") if not keys else out
-
-    # Pass 2: a bounded-memory sketch per group at p ± 3/accuracy.
-    eps = 3.0 / accuracy
-    probes: list[float] = []
-    for p in ps:
-        probes += [max(0.0, p - eps), min(1.0, p + eps)]
-    sketch = base.groupBy(*gkeys).agg(F.percentile_approx("_x", probes, accuracy).alias("_probe"))
-    stats = join_small(sizes_df, sketch, gkeys, known_rows=n_groups)
-
-    # Band bounds per percentile, as columns (one row per group).
-    bounds = [
-        (F.col("_min") if probes[2 * i] == 0.0 else F.try_element_at("_probe", F.lit(2 * i + 1))).alias(f"_lo{i}")
-        for i in range(len(ps))
-    ] + [
-        (F.col("_max") if probes[2 * i + 1] == 1.0 else F.try_element_at("_probe", F.lit(2 * i + 2))).alias(f"_hi{i}")
-        for i in range(len(ps))
-    ]
-    per_group = stats.select(*gkeys, "_n", *bounds)
-
-    # The bounds table has one row per group: broadcast when the group count
-    # is small, a shuffle join (with AQE skew splitting) otherwise.
-    joined = join_small(base, per_group, gkeys, known_rows=n_groups)
-    # Groups of at most SMALL_GROUP_FACTOR * accuracy values are read whole
-    # (as bounded as the sketch itself), once for all percentiles. Larger
-    # groups keep, per percentile, the count below the band, the counts equal
-    # to each bound, and only the values strictly inside the band: ties at
-    # the bounds (even a group of identical values) never enter the array.
-    small = F.col("_n") <= F.lit(SMALL_GROUP_FACTOR * accuracy)
-    x = F.col("_x")
-    aggs = [F.array_sort(F.collect_list(F.when(small, x))).alias("_whole")]
-    for i in range(len(ps)):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        big = ~small
-        aggs += [
-            F.first(lo).alias(f"_lo{i}"),
-            F.first(hi).alias(f"_hi{i}"),
-            F.count_if(big & (x < lo)).alias(f"_below{i}"),
-            F.count_if(big & (x == lo)).alias(f"_eqlo{i}"),
-            F.count_if(big & (x == hi) & (hi > lo)).alias(f"_eqhi{i}"),
-            F.array_sort(F.collect_list(F.when(big & (x > lo) & (x < hi), x))).alias(f"_in{i}"),
-        ]
-    band = joined.groupBy(*gkeys, "_n").agg(*aggs)
-
-    def order_stat(i: int, r: Column) -> Column:
-        """Value of 0-based rank ``r`` from (below, =lo, inside, =hi); null outside the band."""
-        rel = r - F.col(f"_below{i}")
-        eq_lo, eq_hi, inner = F.col(f"_eqlo{i}"), F.col(f"_eqhi{i}"), F.col(f"_in{i}")
-        n_in = F.size(inner)
-        return (
-            F.when(rel < 0, F.lit(None).cast("double"))
-            .when(rel < eq_lo, F.col(f"_lo{i}"))
-            .when(rel < eq_lo + n_in, F.try_element_at(inner, (rel - eq_lo + 1).cast("int")))
-            .when(rel < eq_lo + n_in + eq_hi, F.col(f"_hi{i}"))
-        )
-
-    def pick(i: int, p: float) -> Column:
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        fl, ce = F.floor(h), F.ceil(h)
-        lo_b, hi_b = order_stat(i, fl), order_stat(i, ce)
-        banded = F.coalesce(lo_b + (h - fl) * (hi_b - lo_b),
-                            F.raise_error(F.lit("a percentile fell outside its band; raise the accuracy")).cast("double"))
-        return F.when(small, _interp(F.col("_whole"), F.lit(0), p)).otherwise(banded).alias(prefix + _pname(p))
-
-    out = band.select(*gkeys, *[pick(i, p) for i, p in enumerate(ps)])
-    if not keys:
-        out = out.drop("_all")
-    return out
+    names = [F.col(k).alias(n) for k, n in zip(keys, g)] or [F.lit(0).alias("_all")]
+    base = df.select(*names, x.cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+    sizes = base.groupBy(*g).agg(F.count("*").alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    last = F.col("_cnt") - 1
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * last).alias("_h")) for i, p in enumerate(ps)]))
+    none = F.lit(None).cast("double")
+    targets = (sizes.withColumn("_t", wanted).select(*g, "_t.*", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_cnt")
+               .withColumn("_r", F.floor("_h")).withColumn("_s", F.ceil("_h")))
+    first = F.when(F.col("_r") == 0, F.col("_lo")).when((F.col("_r") == last) | (F.col("_lo") == F.col("_hi")), F.col("_hi"))
+    second = F.when(F.col("_s") == last, F.col("_hi")).when((F.col("_s") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo"))
+    targets = targets.withColumn("_v", first).withColumn("_w", second)
+    settled = F.col("_v").isNotNull() & F.col("_w").isNotNull()
+    targets = targets.withColumn("_v", F.when(settled, F.col("_v"))).withColumn("_w", F.when(settled, F.col("_w"))).checkpoint()
+
+    def inside(intervals: DataFrame) -> DataFrame:
+        rows = join_small(base, intervals, g)
+        return rows.filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+
+    while not targets.filter(F.col("_v").isNull() & (F.col("_cnt") > limit)).isEmpty():
+        wide = F.col("_v").isNull() & (F.col("_cnt") > limit)
+        todo, done = targets.filter(wide), targets.filter(~wide)
+        counts = (inside(todo.select(*g, "_lo", "_hi", "_below").distinct()).groupBy(*g, "_lo", "_below", _cell(cells).alias("_cell"))
+                  .agg(F.count("*").alias("_c"), F.min("_x").alias("_a"), F.max("_x").alias("_b")))
+        before = Window.partitionBy(*g, "_lo").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_from", F.col("_below") + F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_below")
+        # a target has one row here, or two if its ranks fall apart
+        met = todo.alias("t").join(counts.alias("c"), [*[F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in g], F.col("t._lo") == F.col("c._lo")])
+        has = lambda r: (F.col(r) >= F.col("_from")) & (F.col(r) < F.col("_from") + F.col("_c"))
+        met = (met.filter(has("_r") | has("_s")).select(*[F.col(f"t.{k}").alias(k) for k in g], "_i", "_h", "_r", "_s", "_a", "_b", "_c", "_from",
+                                                        has("_r").alias("_one"), has("_s").alias("_two"))
+               .groupBy(*g, "_i", "_h", "_r", "_s")
+               .agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi"), F.min("_from").alias("_below"), F.sum("_c").alias("_cnt"),
+                    F.count("*").alias("_n"), F.max(F.when(F.col("_one"), F.col("_b"))).alias("_end"), F.min(F.when(F.col("_two"), F.col("_a"))).alias("_start")))
+        apart, equal = F.col("_n") == 2, F.col("_lo") == F.col("_hi")
+        met = met.select(*g, "_i", "_h", "_lo", "_hi", "_below", "_cnt", "_r", "_s",
+                         F.when(apart, F.col("_end")).when(equal, F.col("_lo")).alias("_v"),
+                         F.when(apart, F.col("_start")).when(equal, F.col("_lo")).alias("_w"))
+        targets = done.unionByName(met).checkpoint()
+
+    left = targets.filter("_v is null")
+    held = (inside(left.select(*g, "_lo", "_hi").distinct()).groupBy(*g, "_lo").agg(F.array_sort(F.collect_list("_x")).alias("_values")))
+    read = lambda r: F.try_element_at("_values", (F.col(r) - F.col("_below") + 1).cast("int"))
+    on = [*[F.col(f"t.{k}").eqNullSafe(F.col(f"h.{k}")) for k in g], F.col("t._lo") == F.col("h._lo")]
+    chosen = (targets.alias("t").join(held.alias("h"), on, "left")
+              .select(*[F.col(f"t.{k}").alias(k) for k in g], "_i", "_h", "_r", F.coalesce("_v", read("_r")).alias("_v"), F.coalesce("_w", read("_s")).alias("_w")))
+    part = F.col("_h") - F.col("_r")
+    answer = F.when(part == 0, F.col("_v")).otherwise(F.col("_v") + part * (F.col("_w") - F.col("_v")))
+    out = chosen.groupBy(*g).agg(*[F.max(F.when(F.col("_i") == i, answer)).alias(prefix + _pname(p)) for i, p in enumerate(ps)])
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, g)], *[prefix + _pname(p) for p in ps])
 
 
 def percentile_names(ps: Sequence[float], prefix: str = "") -> list[str]:

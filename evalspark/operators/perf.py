@@ -64,7 +64,8 @@ def summarise_requests(df: DataFrame, keys: Sequence[str] = ("prompt_kind", "mod
     n, ok, errors (every non-ok status, timeouts included), error_rate; wall and
     TTFT percentiles over ok rows; TPOT mean and median over ok rows (infinite
     and NaN values ignored); throughput = ok / (max end - min start) over ok rows
-    within the group, null when that window is not positive.
+    within the group, null when that window is not positive. Without keys the
+    result is one row, also for an empty log (error_rate null).
 
     ``exact=False`` computes the percentiles with ``percentile_approx`` in the
     same single aggregation (one scan, rank error ``n / accuracy``).
@@ -104,12 +105,12 @@ def summarise_requests(df: DataFrame, keys: Sequence[str] = ("prompt_kind", "mod
     return joined.select(
         *keys,
         "n", "ok", "errors",
-        (F.col("errors") / F.col("n")).alias("error_rate"),
+        F.try_divide("errors", "n").alias("error_rate"),
         z("wall_s_p50"), z("wall_s_p95"), z("wall_s_p99"),
         z("ttft_s_p50"), z("ttft_s_p95"), z("ttft_s_p99"),
         z("tpot_mean"), z("tpot_p50"),
         F.when(window > 0, F.col("ok") / window).alias("throughput_rps"),
-    ).orderBy(*keys)
+    ).orderBy(*(keys or ["n"]))
 
 
 def _summary_approx(d: DataFrame, keys: list[str], ok: Column, finite_tpot: Column, accuracy: int) -> DataFrame:
@@ -132,12 +133,12 @@ def _summary_approx(d: DataFrame, keys: list[str], ok: Column, finite_tpot: Colu
     z = lambda c: F.coalesce(c, F.lit(0.0))
     window = F.col("_end") - F.col("_start")
     return g.select(
-        *keys, "n", "ok", "errors", (F.col("errors") / F.col("n")).alias("error_rate"),
+        *keys, "n", "ok", "errors", F.try_divide("errors", "n").alias("error_rate"),
         *[z(F.col("_w")[i]).alias(f"wall_s_{n}") for i, n in enumerate(("p50", "p95", "p99"))],
         *[z(F.col("_t")[i]).alias(f"ttft_s_{n}") for i, n in enumerate(("p50", "p95", "p99"))],
         z(F.col("tpot_mean")).alias("tpot_mean"), z(F.col("tpot_p50")).alias("tpot_p50"),
         F.when(window > 0, F.col("ok") / window).alias("throughput_rps"),
-    ).orderBy(*keys)
+    ).orderBy(*(keys or ["n"]))
 
 
 def latency_box(df: DataFrame, value: str = "wall_s", keys: Sequence[str] = ("prompt_kind",),
@@ -170,32 +171,54 @@ def latency_hist(df: DataFrame, value: str = "wall_s", width: float = 1.0,
     )
 
 
+def _cover(first: Column, last: Column, levels: int) -> Column:
+    """array<struct<level, node>>: aligned blocks of 2^level bins that make up the bins ``first``..``last``.
+
+    At most two blocks per level: the range's left and right rest.
+    """
+    def at(level: Column) -> Column:
+        step = F.pow(F.lit(2.0), level).cast("long")
+        lo, hi = F.ceil(first / step), F.floor((last + 1) / step)
+        block = lambda node: F.struct(level.alias("level"), node.cast("long").alias("node"))
+        open_ = lo < hi
+        return F.array(F.when(open_ & (F.pmod(lo, F.lit(2)) == 1), block(lo)), F.when(open_ & (F.pmod(hi, F.lit(2)) == 1), block(hi - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))
+
+
 def join_gpu(requests: DataFrame, samples: DataFrame, bin_s: float = 60.0) -> DataFrame:
     """M7: attach GPU samples taken while each request ran.
 
-    Range join ``started_at <= ts <= ended_at`` as an equi-join on time bins: each
-    request is exploded to the bins its interval covers (a handful, since bins
-    are wider than requests), each sample sits in one bin, then the exact range
-    predicate filters. Returns one row per request: sample count (0 if no
-    sample fell into it), mean and max utilisation.
+    Range join ``started_at <= ts <= ended_at`` over a dyadic cover of time
+    bins: samples are added up per bin and per aligned block of 2, 4, 8, ...
+    bins; a request reads the blocks that make up its inner bins (at most two
+    per doubling of its length) and compares single samples only in its first
+    and last bin. Returns one row per request row (rows that repeat an ``idx``
+    each get their own): sample count (0 if no sample fell into it), mean and
+    max utilisation.
     """
     b = F.lit(float(bin_s))
-    req = requests.select(
-        "idx", "started_at", "ended_at",
-        F.explode(F.sequence(F.floor(F.col("started_at") / b).cast("bigint"),
-                             F.floor(F.col("ended_at") / b).cast("bigint"))).alias("_bin"),
-    )
-    smp = samples.select(
-        F.col("timestamp").alias("_ts"), "util_gpu",
-        F.floor(F.col("timestamp") / b).cast("bigint").alias("_bin"),
-    )
-    j = req.join(smp, "_bin").filter((F.col("_ts") >= F.col("started_at")) & (F.col("_ts") <= F.col("ended_at")))
-    got = j.groupBy("idx").agg(
-        F.count("*").alias("n_samples"),
-        F.avg("util_gpu").alias("util_mean"),
-        F.max("util_gpu").alias("util_max"),
-    )
-    return requests.select("idx").join(got, "idx", "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
+    span = ["started_at", "ended_at"]
+    bins = [F.floor(F.col(c) / b).cast("bigint").alias(n) for c, n in zip(span, ("_a", "_b"))]
+    spans = requests.select(*span).distinct().filter("started_at <= ended_at").select(*span, *bins)
+    smp = samples.select(F.col("timestamp").alias("_ts"), F.col("util_gpu").cast("double").alias("_u"),
+                         F.floor(F.col("timestamp") / b).cast("bigint").alias("_bin")).filter("_ts is not null")
+    measures = [F.sum("_n").alias("_n"), F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.max("_m").alias("_m")]
+    one = [F.lit(1).alias("_n"), F.col("_u").isNotNull().cast("int").alias("_c"), F.col("_u").alias("_s"), F.col("_u").alias("_m")]
+    longest = spans.agg(F.max(F.col("_b") - F.col("_a"))).first()[0] or 0
+    levels = max(0, int(longest).bit_length())
+    per_bin = smp.select("_bin", *one).groupBy("_bin").agg(*measures)
+    blocks = (per_bin.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+              .groupBy(F.col("_l").alias("_level"), F.floor(F.col("_bin") / F.pow(F.lit(2.0), F.col("_l"))).cast("bigint").alias("_node")).agg(*measures))
+    inner = (spans.withColumn("_t", F.explode(_cover(F.col("_a") + 1, F.col("_b") - 1, levels)))
+             .select(*span, F.col("_t.level").alias("_level"), F.col("_t.node").alias("_node")).join(blocks, ["_level", "_node"])
+             .select(*span, "_n", "_c", "_s", "_m"))
+    ends = (spans.withColumn("_bin", F.explode(F.array_distinct(F.array("_a", "_b")))).join(smp, "_bin")
+            .filter((F.col("_ts") >= F.col("started_at")) & (F.col("_ts") <= F.col("ended_at"))).select(*span, *one))
+    got = inner.unionByName(ends).groupBy(*span).agg(*measures).select(
+        *span, F.col("_n").alias("n_samples"), (F.col("_s") / F.nullif("_c", F.lit(0))).alias("util_mean"), F.col("_m").alias("util_max"))
+    out = join_keys(requests.select("idx", *span), got, span, "left")
+    return out.select("idx", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), "util_mean", "util_max")
 
 
 def speedup(df: DataFrame, pass_col: str, sequential: str, concurrent: str) -> DataFrame:
@@ -275,18 +298,23 @@ def fold_text(chunks: DataFrame, arrival: str | None = None) -> DataFrame:
 
 
 def parse_sse_lines(lines: DataFrame, text_col: str = "value", request: str = "request_id",
-                    order: str = "ts") -> DataFrame:
+                    order: str = "ts", arrival: str | None = None) -> DataFrame:
     """L13 input: server-sent-event lines → chunk rows.
 
-    Keeps lines starting with ``data: `` that come before the request's first
-    ``[DONE]`` marker (in ``order``), and parses ``choices[0].text`` /
-    ``finish_reason``. Other columns are carried along. Marker times are a
-    partial aggregate over the marker lines only, joined back by request.
+    Keeps lines starting with ``data: `` that arrive before the request's
+    first ``[DONE]`` marker, and parses ``choices[0].text`` /
+    ``finish_reason``. Lines arrive in ``order``, those of one time by the
+    column ``arrival`` (their number in the stream); without one, a chunk at the
+    marker's time counts as before it. Other columns are carried along.
+    Marker times are a partial aggregate over the marker lines only, joined
+    back by request.
     """
     payload = F.trim(F.substring(F.col(text_col), 7, F.lit(1 << 30)))
     d = lines.filter(F.col(text_col).startswith("data: ")).withColumn("_p", payload)
-    done = d.filter(F.col("_p") == "[DONE]").groupBy(request).agg(F.min(order).alias("_done"))
-    d = join_keys(d, done, [request], "left")
-    d = d.filter(F.col("_done").isNull() | (F.col(order) < F.col("_done"))).drop("_done")
+    place = F.struct(order, arrival) if arrival else F.struct(order)
+    done = d.filter(F.col("_p") == "[DONE]").groupBy(request).agg(F.min(place).alias("_done"))
+    d = join_keys(d, done, [request], "left").filter(F.col("_p") != "[DONE]")
+    before = place < F.col("_done") if arrival else place <= F.col("_done")
+    d = d.filter(F.col("_done").isNull() | before).drop("_done")
     return d.withColumn("delta", F.coalesce(F.get_json_object("_p", "$.choices[0].text"), F.lit(""))) \
             .withColumn("finish_reason", F.get_json_object("_p", "$.choices[0].finish_reason")).drop("_p")

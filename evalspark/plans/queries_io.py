@@ -105,10 +105,10 @@ def s12_task_metrics(spark, sf):
 
 
 @register("l13_fold_text", """
-WITH done AS (SELECT request_id, min(ts) AS d FROM sse_lines WHERE value = 'data: [DONE]' GROUP BY request_id),
+WITH done AS (SELECT request_id, min({'t': ts, 's': seq}) AS d FROM sse_lines WHERE value = 'data: [DONE]' GROUP BY request_id),
 c AS (SELECT l.request_id, l.ts, l.seq, coalesce(json_extract_string(substr(l.value, 7), '$.choices[0].text'), '') AS delta
   FROM sse_lines l LEFT JOIN done ON l.request_id = done.request_id
-  WHERE starts_with(l.value, 'data: ') AND l.value <> 'data: [DONE]' AND (done.d IS NULL OR l.ts < done.d))
+  WHERE starts_with(l.value, 'data: ') AND l.value <> 'data: [DONE]' AND (done.d IS NULL OR {'t': l.ts, 's': l.seq} < done.d))
 SELECT request_id, string_agg(delta, '' ORDER BY ts, seq) AS text FROM c GROUP BY request_id""", ["sse_lines"])
 def l13_fold_text(spark, sf):
-    return finish(perf.fold_text(perf.parse_sse_lines(V.sse_lines(spark, sf)), "seq"))
+    return finish(perf.fold_text(perf.parse_sse_lines(V.sse_lines(spark, sf), arrival="seq"), "seq"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.functions.quantiles import exact_percentiles
+from evalspark.functions.joins import join_keys
+from evalspark.functions.quantiles import exact_percentiles, percentile_names
 from evalspark.operators import perf
 from evalspark.plans import views as V
 from evalspark.plans.registry import finish, register
@@ -69,8 +70,8 @@ SELECT prompt_kind, round(quantile_cont(wall_s, 0.5), 9) AS p50, round(quantile_
        round(quantile_cont(wall_s, 0.99), 9) AS p99
 FROM requests WHERE wall_s IS NOT NULL AND NOT isnan(wall_s) GROUP BY prompt_kind""", ["requests"])
 def m1_wall_percentiles_banded(spark, sf):
-    """The sketch-and-band path: at this accuracy no group counts as small."""
-    return finish(exact_percentiles(V.requests(spark, sf), ["prompt_kind"], "wall_s", [0.5, 0.95, 0.99], accuracy=500))
+    """Several rounds of refinement: few sub-intervals, and little that may be collected."""
+    return finish(exact_percentiles(V.requests(spark, sf), ["prompt_kind"], "wall_s", [0.5, 0.95, 0.99], limit=8, cells=16))
 
 
 def _box_sql(col: str, where: str) -> str:
@@ -131,12 +132,12 @@ def a14_run_rollup(spark, sf):
 
 
 _CHUNKS_SQL = """data_lines AS (
-  SELECT request_id, ts, trim(substr(value, 7)) AS p,
-         min(CASE WHEN trim(substr(value, 7)) = '[DONE]' THEN ts END) OVER (PARTITION BY request_id) AS done_at
+  SELECT request_id, ts, seq, trim(substr(value, 7)) AS p,
+         min(CASE WHEN trim(substr(value, 7)) = '[DONE]' THEN {'t': ts, 's': seq} END) OVER (PARTITION BY request_id) AS done_at
   FROM sse_lines WHERE starts_with(value, 'data: ')),
 chunks AS (
-  SELECT request_id, ts, coalesce(json_extract_string(p, '$.choices[0].text'), '') AS delta
-  FROM data_lines WHERE done_at IS NULL OR ts < done_at)"""
+  SELECT request_id, ts, seq, coalesce(json_extract_string(p, '$.choices[0].text'), '') AS delta
+  FROM data_lines WHERE done_at IS NULL OR {'t': ts, 's': seq} < done_at)"""
 
 
 @register("l13_fold_chunks", f"""
@@ -148,7 +149,7 @@ SELECT request_id, round(min(ts), 9) AS started_at, round(max(ts), 9) AS ended_a
   count(*) AS n_chunks
 FROM chunks GROUP BY request_id""", ["sse_lines"])
 def l13_fold_chunks(spark, sf):
-    chunks = perf.parse_sse_lines(V.sse_lines(spark, sf))
+    chunks = perf.parse_sse_lines(V.sse_lines(spark, sf), arrival="seq")
     return finish(perf.fold_chunks(chunks))
 
 
@@ -179,6 +180,36 @@ def z2_sliding_summary(spark, sf):
     return finish(windowed_summary(V.requests(spark, sf), 3600, ["prompt_kind"], slide_s=900))
 
 
+@register("z2_rollup_sliding", """
+SELECT CAST(floor(started_at / 900) * 900 - 900 * k AS BIGINT) AS window_start, prompt_kind, count(*) AS n,
+  count(*) FILTER (WHERE status = 'ok') AS ok, true AS ranks_close
+FROM (SELECT *, unnest(range(4)) AS k FROM requests) GROUP BY ALL""", ["requests"])
+def z2_rollup_sliding(spark, sf):
+    """Hour windows that start every quarter, merged from stored sketches of a minute.
+
+    ``ranks_close``: each percentile lies between the exact values at ranks
+    2 % (and one row) to either side.
+    """
+    from evalspark.streaming.requests import latency_rollup, rollup_windows, windowed_summary
+
+    log = V.requests(spark, sf)
+    rollup = latency_rollup(log).checkpoint()       # what a job would store
+    got = rollup_windows(rollup, 3600, 900)
+    near = []
+    for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+        near.append((name, max(0.0, p - 0.02), min(1.0, p + 0.02)))
+    ps = sorted({x for _, lo, hi in near for x in (lo, hi)})
+    exact = windowed_summary(log, 3600, ["prompt_kind"], slide_s=900, ps=ps, prefix="at_").drop("n", "ok")
+    both = join_keys(got, exact, ["window_start", "prompt_kind"])
+    label = lambda x: percentile_names([x], "at_")[0]
+    few = F.col("ok") < 50      # a rank of a small window is more than 2 % of it
+    close = F.lit(True)
+    for name, lo, hi in near:
+        x = F.col(f"wall_s_{name}")
+        close &= few | x.isNull() | ((x >= F.col(f"`{label(lo)}`")) & (x <= F.col(f"`{label(hi)}`")))
+    return finish(both.select("window_start", "prompt_kind", "n", "ok", close.alias("ranks_close")))
+
+
 def _raw_requests(spark, sf):
     """The request log as text fields (as read from CSV), with some corrupt numbers."""
     r = V.requests(spark, sf)
@@ -239,12 +270,12 @@ _GAP_S = 12 * 3600
 
 @register("z1_session_fold", f"""
 WITH data_lines AS (
-  SELECT request_id, event_ts, ts, trim(substr(value, 7)) AS p,
-         min(CASE WHEN trim(substr(value, 7)) = '[DONE]' THEN ts END) OVER (PARTITION BY request_id) AS done_at
+  SELECT request_id, event_ts, ts, seq, trim(substr(value, 7)) AS p,
+         min(CASE WHEN trim(substr(value, 7)) = '[DONE]' THEN {{'t': ts, 's': seq}} END) OVER (PARTITION BY request_id) AS done_at
   FROM sse_lines WHERE starts_with(value, 'data: ')),
 chunks AS (
   SELECT request_id, epoch_us(event_ts) AS us, coalesce(json_extract_string(p, '$.choices[0].text'), '') AS delta
-  FROM data_lines WHERE done_at IS NULL OR ts < done_at),
+  FROM data_lines WHERE done_at IS NULL OR {{'t': ts, 's': seq}} < done_at),
 s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY request_id ORDER BY us) < CAST({_GAP_S} AS BIGINT) * 1000000 THEN 0 ELSE 1 END
                 AS new_s FROM chunks),
 t AS (SELECT *, sum(new_s) OVER (PARTITION BY request_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM s)
@@ -257,7 +288,7 @@ def z1_session_fold(spark, sf):
     """Z1's session-window fold run as a batch query (the streaming form is tested in tests/)."""
     from evalspark.streaming.requests import fold_chunk_stream
 
-    chunks = perf.parse_sse_lines(V.sse_lines(spark, sf)).select(
+    chunks = perf.parse_sse_lines(V.sse_lines(spark, sf), arrival="seq").select(
         "request_id", F.col("event_ts").alias("ts"), "delta")
     return finish(fold_chunk_stream(chunks, gap=f"{_GAP_S} seconds", watermark="1 hour"))
 

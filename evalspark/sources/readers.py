@@ -6,11 +6,11 @@ so a scan of a large folder is a single, pruned, pushed-down read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark import schemas
-from evalspark.functions.indexing import with_row_index
+from evalspark.functions.joins import join_small
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,9 +122,13 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
     Strings stay as they are, ``true``/``false`` become ``True``/``False``, a
     JSON ``null`` becomes ``None``, numbers keep their JSON text, and a missing
     key gives ``''`` (lists and objects keep their JSON text). ``index`` is the
-    line's 0-based position among the non-blank lines, in input order.
+    line's 0-based position among the non-blank lines, in input order: files
+    by path, a file's lines as they stand. Lines are counted per split (file
+    and block start), and a split's first index is the count of those before;
+    the texts aren't sorted.
     """
-    txt = spark.read.text(path).filter(F.trim("value") != "")
+    txt = (spark.read.text(path).filter(F.trim("value") != "")
+           .select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")))
     v = F.try_parse_json("value")
     o = F.variant_get(v, "$.output", "variant")
     kind = F.schema_of_variant(o)
@@ -135,20 +139,24 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
         .when(kind == "STRING", F.variant_get(o, "$", "string"))
         .otherwise(F.to_json(o))
     )
-    placed = txt.select(F.monotonically_increasing_id().alias("_at"), out.alias("output"))
-    return with_row_index(placed, ["_at"], "index").select("index", "output")
+    # a split's lines are read one after the other by one task, so the ids of a split have no gaps
+    placed = txt.select("_path", "_block", F.monotonically_increasing_id().alias("_at"), out.alias("output")).checkpoint()
+    splits = placed.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)   # one row per split
+    starts = splits.select("_path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return join_small(placed, starts, ["_path", "_block"]).select((F.col("_start") + F.col("_at") - F.col("_first")).alias("index"), "output")
 
 
 def parse_gpu_samples(lines: DataFrame, text_col: str = "value", ts_col: str | None = None,
                       keep: list[str] | None = None) -> DataFrame:
     """GPU sampler text (``", "``-separated, 7 fields) into typed rows; blank lines dropped.
 
-    Unparseable fields become null; ``keep`` carries other columns along.
+    Unparseable and missing fields become null; ``keep`` carries other columns along.
     """
     parts = F.split(F.trim(F.col(text_col)), r",\s*")
     fields = ["index", "util_gpu", "util_mem", "mem_used", "mem_total", "temp", "power"]
     types = ["int"] + ["double"] * 6
-    cols = [F.expr(f"try_cast(trim(element_at(_parts, {i + 1})) as {t})").alias(f)
+    cols = [F.expr(f"try_cast(trim(get(_parts, {i})) as {t})").alias(f)
             for i, (f, t) in enumerate(zip(fields, types))]
     base = lines.filter(F.trim(F.col(text_col)) != "").withColumn("_parts", parts)
     carried = [F.col(c) for c in (keep or [])] + ([F.col(ts_col).alias("timestamp")] if ts_col else [])

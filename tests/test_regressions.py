@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.formatting import fixed
 from evalspark.functions.indexing import broadcast_if_small
-from evalspark.functions.quantiles import exact_percentiles
 from evalspark.operators import compare, retrieval, runlog
 from evalspark.sources import readers
 
@@ -59,14 +58,6 @@ def test_bootstraps_check_their_input(spark):
             boot(bad, ["k"], 50).collect()
 
 
-def test_percentile_bands_and_their_misses(spark):
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=3000), np.zeros(2000)])
-    df = spark.createDataFrame([("a", float(v)) for v in x], "k string, v double")
-    got = exact_percentiles(df, ["k"], "v", [0.0, 0.25, 0.5, 0.99, 1.0], accuracy=100).first()
-    assert [got[c] for c in ("p0", "p25", "p50", "p99", "p100")] == pytest.approx(np.percentile(x, [0, 25, 50, 99, 100]).tolist())
-
-
 def test_broadcast_is_checked_by_bytes(spark):
     wide = spark.range(20).select(F.repeat(F.lit("x"), 1000).alias("t"))
     for limit, hinted in ((10_000, False), (100_000, True)):
@@ -81,3 +72,20 @@ def test_outputs_are_numbered_without_gaps(spark, scratch):
             f.write("".join(f'{{"output": "{part}-{i}"}}\n\n' for i in range(4)))
     rows = readers.read_outputs(spark, scratch).collect()
     assert sorted(r["index"] for r in rows) == list(range(12))
+
+
+def test_output_index_follows_input_order(spark, scratch):
+    """Files by path whatever their size, and the splits of a long file in their order."""
+    sizes = {"a": 1, "b": 5, "c": 4000, "d": 2}
+    for name, n in sizes.items():
+        with open(f"{scratch}/{name}.jsonl", "w") as f:
+            f.write("\n".join(f'{{"output": "{name}{i} {"x" * (i % 37)}"}}\n  ' for i in range(n)))
+    want = [f"{name}{i}" for name, n in sizes.items() for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("1024", "10000", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        rows = readers.read_outputs(spark, scratch).collect()
+        assert [r.output.split()[0] for r in sorted(rows, key=lambda r: r["index"])] == want
+        assert sorted(r["index"] for r in rows) == list(range(len(want)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert readers.read_outputs(spark, f"{scratch}/a.jsonl").first()["index"] == 0
