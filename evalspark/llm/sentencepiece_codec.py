@@ -23,17 +23,20 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import text_slices
 
 MARK = "▁"
-SLICE = 2 << 20
+SLICE = 8 << 20
 THREADS = 2
+WORDS_AT_ONCE = 2000
 VERIFY_EVERY = 1         # documents checked against the sentencepiece library: crc32(doc_id) mod this is 0 (1: all)
 
 
@@ -118,6 +121,11 @@ def _merges(m: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(pairs)]
 
 
+def splits_words(m: Model) -> bool:
+    """Whether no piece goes on over a space, so that words can be encoded on their own."""
+    return m.mark_spaces and not any(MARK in p.lstrip(MARK) for p, _, t in m.pieces if t in (1, 4))
+
+
 def build(m: Model):
     """The tokenizers pipeline of a model."""
     import tokenizers as tk
@@ -138,8 +146,7 @@ def build(m: Model):
     out = tk.Tokenizer(core)
     if steps:
         out.normalizer = tk.normalizers.Sequence(steps)
-    inner = any(MARK in p.lstrip(MARK) for p, _, t in m.pieces if t in (1, 4))
-    if m.mark_spaces and not inner:  # no piece goes on over a space: words can be encoded on their own
+    if splits_words(m):
         out.pre_tokenizer = tk.pre_tokenizers.Split(tk.Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     ends = [tk.decoders.Replace(MARK, " "), tk.decoders.ByteFallback(), tk.decoders.Fuse()]
     out.decoder = tk.decoders.Sequence(ends + ([tk.decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []))
@@ -180,7 +187,87 @@ def expected_text(model: Model, tokenizer, text: str) -> str:
     return text.replace(MARK, " ")
 
 
-def encode(docs: DataFrame, model: bytes, threads: int = THREADS, verify_every: int = VERIFY_EVERY) -> DataFrame:
+class _Encoded(NamedTuple):
+    """Ids of several texts, ``ids[cuts[i]:cuts[i + 1]]``, whether decoding gives each back, and whether the library agrees."""
+
+    ids: np.ndarray
+    cuts: np.ndarray
+    trip: np.ndarray
+    parity: np.ndarray
+
+
+def _encode_texts(texts: list[str], model: Model, tokenizer, library, threads: int) -> _Encoded:
+    """Whole texts by both libraries (``library`` None: parity isn't asked)."""
+    ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+    trip = [b == expected_text(model, tokenizer, t) for b, t in zip(back, texts)]
+    same = [a == b for a, b in zip(ids, library.encode(texts, num_threads=threads))] if library and texts else [False] * len(texts)
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int64)
+    return _Encoded(np.fromiter((x for row in ids for x in row), np.int32, cuts[-1]), cuts, np.array(trip, bool), np.array(same, bool))
+
+
+def _encode_words(words: list[str], starts: np.ndarray, model: Model, tokenizer, library, threads: int) -> _Encoded:
+    """Distinct words by both libraries, many at a time with spaces between.
+
+    A word's first piece is the one that begins with the space mark
+    (``starts``), so the pieces of a run of words fall apart into theirs. A
+    run that doesn't come out right as a whole (number of words, decoded text,
+    parity) is done word by word.
+    """
+    runs = [words[a:a + WORDS_AT_ONCE] for a in range(0, len(words), WORDS_AT_ONCE)]
+    texts = [" ".join(r) for r in runs]
+    ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+    wanted = library.encode(texts, num_threads=threads) if library else ids
+    parts = []
+    for run, text, row, plain, want in zip(runs, texts, ids, back, wanted):
+        flat = np.array(row, np.int32)
+        first = np.flatnonzero(starts[flat])
+        if len(first) != len(run) or plain != text or want != row:
+            parts.append(_encode_texts(run, model, tokenizer, library, threads))
+            continue
+        good = np.ones(len(run), bool)
+        parts.append(_Encoded(flat, np.append(first, len(flat)), good, good))
+    ends = np.cumsum([0] + [len(p.ids) for p in parts])
+    return _Encoded(np.concatenate([p.ids for p in parts]), np.concatenate([p.cuts[:-1] + e for p, e in zip(parts, ends)] + [ends[-1:]]),
+                    np.concatenate([p.trip for p in parts]), np.concatenate([p.parity for p in parts]))
+
+
+def _gather(source: _Encoded, codes: np.ndarray, offsets: np.ndarray) -> _Encoded:
+    """Texts put together from their words: text i has the words ``codes[offsets[i]:offsets[i + 1]]`` of ``source``."""
+    size = np.diff(source.cuts)[codes]
+    ends = np.cumsum(size)
+    at = np.repeat(source.cuts[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+    def all_of(ok: np.ndarray) -> np.ndarray:
+        return np.bincount(doc[~ok[codes]], minlength=len(offsets) - 1) == 0
+
+    return _Encoded(source.ids[at], np.concatenate([[0], ends])[offsets], all_of(source.trip), all_of(source.parity))
+
+
+def _by_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(which texts are words with single spaces between, distinct words, word codes and offsets of those texts).
+
+    The space mark and a second, a leading or a trailing space make a text
+    one that is encoded as a whole.
+    """
+    lists = pc.split_pattern(texts, " ")
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    coded = flat.dictionary_encode()
+    words = coded.dictionary
+    odd = pc.or_(pc.equal(words, ""), pc.match_substring(words, MARK)).to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy().astype(np.int64)
+    plain = np.bincount(doc[odd[codes]], minlength=len(texts)) == 0
+    codes = codes[plain[doc]]
+    used = np.bincount(codes, minlength=len(words)) > 0
+    codes = (np.cumsum(used) - 1)[codes]
+    return plain, words.filter(pa.array(used)), codes, np.concatenate([[0], np.cumsum(np.diff(offsets)[plain])])
+
+
+def encode(docs: DataFrame, model: bytes, threads: int = THREADS, verify_every: int = VERIFY_EVERY, by_words: bool = True) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, round_trip, parity) of every row of ``docs`` (doc_id, text).
 
     ``ids`` are the piece ids of the whole text (null: empty), without
@@ -190,29 +277,45 @@ def encode(docs: DataFrame, model: bytes, threads: int = THREADS, verify_every:
     same ids; it's asked for every document whose crc32(doc_id as text) is
     divisible by ``verify_every`` (1: all, 0: none), null for the rest. One
     row per input row; a null doc_id is kept; other columns aren't read.
+
+    If the model marks spaces, adds one in front, changes nothing else in a
+    text and has no piece that goes on over a space, a text's ids are those
+    of its words one after the other. Then (``by_words``) each distinct word
+    of a slice is encoded, decoded and compared once, and texts are put
+    together from their words. Texts with other than single spaces between
+    words are encoded as a whole.
     """
     kind = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file: its size doesn't depend on the data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed, tok = _tokenizer(shared.value, threads)
-        for part in text_slices(batches, max_bytes=SLICE):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            back = tok.decode_batch(ids, skip_special_tokens=False)
-            trip = [b == expected_text(parsed, tok, t) for b, t in zip(back, texts)]
-            ask = [i for i, c in enumerate(part.column("crc").to_pylist()) if verify_every and c % verify_every == 0]
-            parity = [None] * len(texts)
-            for i, want in zip(ask, _reference(shared.value).encode([texts[i] for i in ask], num_threads=threads) if ask else []):
-                parity[i] = want == ids[i]
-            flat = np.fromiter((x for row in ids for x in row), np.int32, sum(map(len, ids)))
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-            sha = [sha256(flat[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
-                 pa.array(np.diff(cuts)), pa.array(sha, pa.string()), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())],
+        library = _reference(shared.value) if verify_every else None
+        apart = (by_words and splits_words(parsed) and parsed.dummy_prefix and not parsed.squeeze and not parsed.charsmap
+                 and any(p == MARK for p, _, t in parsed.pieces if t in (1, 4)))
+
+        starts = np.array([p.startswith(MARK) for p, _, _ in parsed.pieces])
+
+        def rows(part: pa.RecordBatch, got: _Encoded) -> pa.RecordBatch:
+            asked = part.column("crc").to_numpy() % verify_every == 0 if verify_every else np.zeros(part.num_rows, bool)
+            little = got.ids.astype("<i4")
+            sha = [sha256(little[a:b].tobytes()).hexdigest() for a, b in zip(got.cuts, got.cuts[1:])]
+            return pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(got.cuts, pa.int32()), pa.array(got.ids)),
+                 pa.array(np.diff(got.cuts)), pa.array(sha, pa.string()), pa.array(got.trip), pa.array(got.parity, mask=~asked)],
                 ["doc_id", "ids", "n_tokens", "ids_sha256", "round_trip", "parity"])
 
+        for part in text_slices(batches, max_bytes=SLICE):
+            texts = pc.fill_null(part.column("text"), "")
+            whole = np.ones(part.num_rows, bool)
+            if apart:
+                plain, words, codes, offsets = _by_words(texts)
+                whole = ~plain
+                if plain.any():
+                    yield rows(part.filter(pa.array(plain)), _gather(_encode_words(words.to_pylist(), starts, parsed, tok, library, threads), codes, offsets))
+            if whole.any():
+                yield rows(part.filter(pa.array(whole)), _encode_texts(texts.filter(pa.array(whole)).to_pylist(), parsed, tok, library, threads))
+
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), crc.alias("crc")).mapInArrow(run, kind))
 
