@@ -10,10 +10,13 @@ Three passes over the texts; only fingerprints of what may still be frequent
 are shuffled, summed up in the task first:
 
 1. words and pairs of words;
-2. longer n-grams all of whose pairs are frequent;
+2. longer n-grams all of whose pairs are frequent (both as pieces: sorted
+   fingerprints and counts of one part of the key range, compressed, in one
+   row; rows are in proportion to the texts);
 3. every occurrence of a frequent fingerprint points into its slice and is
    compared with the text that the first one points at, so the counts of the
-   phrases, which only now become text, don't depend on the hash.
+   phrases, which only now become text, don't depend on the hash. A task sends
+   its phrases once, merged and compressed.
 
 Between passes the frequent fingerprints travel as a bit filter of fixed
 size. A bit that is set by mistake costs a row, never a result.
@@ -26,17 +29,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import SLICE_BYTES, UPPER, materialise, mix64, text_slices
+from evalspark.llm.packed import rows_of, squeeze, squeeze_keys, unsqueeze, unsqueeze_keys
 
 LEAST = 100              # occurrences of a candidate
 LONGEST = 5              # words of a candidate
 TOP = 2000               # candidates reported per language
 FILTER_BITS = 26         # the filter has 2^26 bits (8 MB)
-ENTRIES = 4 << 20        # fingerprints gathered in a task before they're summed up
+ENTRIES = 4 << 20        # fingerprints gathered in a task before they're summed up, and wanted in a part
+PART_BITS = 8            # first bits of a fingerprint that name its part of the key range
+PHRASE = ["lang", "phrase", "words", "c", "first_doc_id"]
+PIECE = "part long, m long, keys binary, counts binary"
 ROWS_AT_ONCE = 1 << 17
+PHRASES_AT_ONCE = 1 << 20
 BASE = 0x9E3779B97F4A7C15    # odd, so it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
 NO_ID = (1 << 63) - 1
@@ -176,34 +185,67 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c[order], first) if len(k) else c
 
 
-def _counted(grams: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, c) of the fingerprints of a task, summed up ENTRIES at a time."""
-    keys, counts, size = [], [], 0
+def _pieces(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, m, keys, counts): sorted fingerprints cut where their first ``bits`` bits change."""
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    edges = np.concatenate([[0], edges, [len(keys)]])
+    parts = np.flatnonzero(np.diff(edges))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(keys[edges[parts]] >> np.uint64(64 - bits)).cast(pa.int64()), pa.array(np.diff(edges)[parts]),
+         pa.array([squeeze_keys(keys[edges[i]:edges[i + 1]]) for i in parts], pa.binary()),
+         pa.array([squeeze(counts[edges[i]:edges[i + 1]]) for i in parts], pa.binary())], ["part", "m", "keys", "counts"])
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        k, c = _summed(keys, counts)
-        for a in range(0, len(k), ROWS_AT_ONCE):
-            yield pa.RecordBatch.from_arrays([pa.array(k[a:a + ROWS_AT_ONCE].view(np.int64)), pa.array(c[a:a + ROWS_AT_ONCE])], ["key", "c"])
 
+def _counted(grams: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of a task as pieces, summed up ENTRIES at a time."""
+    keys, size = [], 0
     for part in grams:
         keys.append(part)
-        counts.append(np.ones(len(part), np.int64))
         size += len(part)
         if size >= ENTRIES:
-            yield from rows()
-            keys, counts, size = [], [], 0
+            yield from _pieces(*_summed(keys, [np.ones(size, np.int64)]), PART_BITS)
+            keys, size = [], 0
     if size:
-        yield from rows()
+        yield from _pieces(*_summed(keys, [np.ones(size, np.int64)]), PART_BITS)
+
+
+def _split(pieces: DataFrame, bits: int) -> DataFrame:
+    """Pieces cut anew by their first ``bits`` bits."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            yield from _pieces(unsqueeze_keys(row["keys"]), unsqueeze(row["counts"]), bits)
 
+    return pieces.mapInArrow(run, PIECE)
 
-def _filter(counts: DataFrame, least: int, bits: int) -> Filter:
-    """The filter of the keys with ``least`` occurrences: at most 2^bits / 64 words reach the driver, however many keys pass."""
-    often = counts.repartition("key").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    at = F.shiftrightunsigned("key", 64 - bits)
-    cells = (often.select(F.shiftright(at, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-             .groupBy("cell").agg(F.bit_or("b").alias("b")).toArrow())
+
+def _filter(pieces: DataFrame, least: int, bits: int, part_entries: int = ENTRIES) -> Filter:
+    """The filter of the fingerprints with ``least`` occurrences.
+
+    Pieces meet by part of the key range; parts of more than
+    ``part_entries`` entries are cut finer first. At most 2^bits / 64 words
+    reach the driver, however many fingerprints pass.
+    """
+    entries = pieces.agg(F.sum("m")).first()[0] or 0
+    finer = PART_BITS
+    while entries >> finer > part_entries and finer < bits:
+        finer += 1
+    if finer > PART_BITS:
+        pieces = _split(pieces, finer)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, total = _summed([unsqueeze_keys(k) for k in table.column("keys").to_pylist()],
+                              [unsqueeze(c) for c in table.column("counts").to_pylist()])
+        at = keys[total >= least] >> np.uint64(64 - bits)
+        cell = (at >> np.uint64(6)).astype(np.int64)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+        return pa.table([pa.array(cell[first]), pa.array(mask.view(np.int64))], names=["cell", "mask"])
+
+    # a part's cells are its own (2^bits / 64 cells, more than parts), but for parts finer than a cell
+    cells = (pieces.groupBy("part").applyInArrow(run, "cell long, mask long")
+             .groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow())
     out = np.zeros(1 << bits - 6, np.uint64)
-    out[cells.column("cell").to_numpy()] = cells.column("b").to_numpy().view(np.uint64)
+    out[cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
     return Filter(bits, out)
 
 
@@ -233,7 +275,7 @@ def _strings(words: Words, first: np.ndarray, n: int) -> pa.Array:
 
 def _verified(prints: Prints, first: np.ndarray, keys: np.ndarray, n: int, names: list[str], lang: np.ndarray,
               ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, phrase, words, c, first_doc_id): occurrences that share a fingerprint and a text are one row."""
+    """Rows (part, lang, phrase, words, c, first_doc_id): occurrences that share a fingerprint and a text are one row."""
     words = prints.words
     order = np.argsort(keys, kind="stable")
     keys, first = keys[order], first[order]
@@ -247,8 +289,45 @@ def _verified(prints: Prints, first: np.ndarray, keys: np.ndarray, n: int, names
     count = np.diff(np.append(at, len(first)))
     low = np.minimum.reduceat(ids[doc], at)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(names).take(pa.array(lang[doc[at]])), _strings(words, first[at], n), pa.array(np.full(len(at), n, np.int32)),
-         pa.array(count), pa.array(low, mask=low == NO_ID)], ["lang", "phrase", "words", "c", "first_doc_id"])
+        [pa.array(keys[at] >> np.uint64(64 - PART_BITS)).cast(pa.int64()), pa.array(names).take(pa.array(lang[doc[at]])), _strings(words, first[at], n), pa.array(np.full(len(at), n, np.int32)),
+         pa.array(count), pa.array(low, mask=low == NO_ID)], ["part", *PHRASE])
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """Rows of equal (part, lang, phrase, words) as one."""
+    got = rows.group_by(["part", "lang", "phrase", "words"]).aggregate([("c", "sum"), ("first_doc_id", "min")])
+    return got.rename_columns(["part", *PHRASE])
+
+
+def _gathered(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, data): a task's phrases as compressed Arrow tables, one per part of the key range.
+
+    Equal phrases are merged, PHRASES_AT_ONCE rows at a time.
+    """
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.sort_by("part")
+        part = rows.column("part").to_numpy()
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+        data = []
+        for x, y in zip(edges, edges[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(x, y - x))
+            data.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.num_rows
+        if size >= PHRASES_AT_ONCE:
+            rows = _merged(pa.Table.from_batches(held))
+            held, size = rows.combine_chunks().to_batches(), rows.num_rows
+            if size >= PHRASES_AT_ONCE / 2:
+                yield from packed(rows)
+                held, size = [], 0
+    if size:
+        yield from packed(_merged(pa.Table.from_batches(held)))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
@@ -277,20 +356,24 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
                     yield p.of(p.runs(n), n)
 
         for b in _counted(grams()):
-            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.string()), *b.columns], ["lang", "key", "c"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
-                                         ["lang", "key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.string()), *b.columns], ["lang", *b.schema.names])
+        none = [pa.nulls(len(total), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), none[0], pa.array(list(total.values()), pa.int64()), *none[1:]],
+                                         ["lang", "part", "m", "keys", "counts"])
 
-    counted = materialise(rows.mapInArrow(short, "lang string, key long, c long"))
-    sizes = counted.filter("lang is not null").groupBy("lang").agg(F.sum("c").alias("n"))
-    pairs = spark.sparkContext.broadcast(_filter(counted.filter("lang is null"), least, bits))   # of fixed size
+    counted = materialise(rows.mapInArrow(short, f"lang string, {PIECE}"))
+    sizes = counted.filter("lang is not null").groupBy("lang").agg(F.sum("m").alias("n"))
+    pairs = spark.sparkContext.broadcast(_filter(counted.filter("lang is null").drop("lang"), least, bits))   # of fixed size
 
     def long(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _counted(p.of(first, n) for p, *_ in _prints_of(batches) for n, first in p.longer_runs(longest, pairs.value))
 
-    wide = spark.sparkContext.broadcast(_filter(rows.mapInArrow(long, "key long, c long"), least, bits))
+    wide = spark.sparkContext.broadcast(_filter(materialise(rows.mapInArrow(long, PIECE)), least, bits))
 
     def text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(occurrences(batches))
+
+    def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, *names in _prints_of(batches):
             runs = [(n, p.runs(n), pairs.value) for n in (1, 2)]
             for n, first, has in [*runs, *((n, first, wide.value) for n, first in p.longer_runs(longest, pairs.value))]:
@@ -299,9 +382,13 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
                 if ok.any():
                     yield from _verified(p, first[ok], keys[ok], n, *names)
 
-    found = rows.mapInArrow(text, "lang string, phrase string, words int, c long, first_doc_id long")
-    exact = (found.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"), F.min("first_doc_id").alias("first_doc_id"))
-             .filter(F.col("a") >= least).filter(F.col("words") <= longest))
+    def frequent(table: pa.Table) -> pa.Table:
+        rows = _merged(pa.concat_tables([pa.ipc.open_stream(d.as_buffer()).read_all() for d in table.column("data")]))
+        return rows.filter(pc.greater_equal(rows.column("c"), least)).select(PHRASE)
+
+    exact = (rows.mapInArrow(text, "part long, data binary").groupBy("part")
+             .applyInArrow(frequent, "lang string, phrase string, words int, c long, first_doc_id long")
+             .filter(F.col("words") <= longest).withColumnRenamed("c", "a"))
     return materialise(exact), sizes
 
 
@@ -319,8 +406,8 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     """
     known, sizes = phrases(docs, least, longest)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (scored(known, sizes).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-            .select("lang", "rank", "phrase", "words", "a", "l", "r", "n", "score", "first_doc_id"))
+    return (scored(known, sizes).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+            .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "words", "a", "l", "r", "n", "score", "first_doc_id"))
 
 
 def scored(known: DataFrame, sizes: DataFrame) -> DataFrame:

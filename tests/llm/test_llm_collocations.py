@@ -105,3 +105,19 @@ def test_scores_past_64_bits(spark):
 def test_no_words(spark, rows):
     df = spark.createDataFrame(rows, DOC_KIND)
     assert collocations.mine(df, least=1).count() == 0
+
+
+def test_filter_holds_the_frequent_fingerprints_in_parts_of_any_size(spark):
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    grams = [np.repeat(keys, rng.integers(1, 9, len(keys))) for _ in range(3)]
+    total = Counter(np.concatenate(grams).tolist())
+    pieces = spark.createDataFrame([r for g in grams for b in collocations._counted([g]) for r in map(lambda x: tuple(x.values()), b.to_pylist())],
+                                   collocations.PIECE)
+    often = np.array([k for k, c in total.items() if c >= 15], np.uint64)
+    for bits, entries in ((26, 1 << 20), (26, 3), (10, 1)):
+        f = collocations._filter(pieces, 15, bits, entries)
+        assert f(often).all()
+        want = np.zeros(1 << bits, bool)
+        want[often >> np.uint64(64 - bits)] = True
+        assert (f(keys) == want[keys >> np.uint64(64 - bits)]).all()
