@@ -29,8 +29,17 @@ def _axis(listed: str, kind: str) -> Column:
 
 
 def _short(c: Column) -> Column:
-    """A double without a trailing ``.0``."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+    """A double in six significant digits, without trailing zeros, as ``{:g}`` prints it.
+
+    Plain decimals for exponents from -4 to 5, else a mantissa and an exponent
+    of two digits or more.
+    """
+    sci = F.format_string("%.5e", c)        # the exponent after rounding to six digits
+    power = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
+    trim = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.array(*[F.format_string(f"%.{5 - p}f", c) for p in range(-4, 6)])
+    small = trim(F.element_at(plain, F.greatest(F.least(power, F.lit(5)), F.lit(-4)) + 5))
+    return F.when(power.between(-4, 5), small).otherwise(F.concat(trim(F.regexp_extract(sci, r"^(.*)e", 1)), F.regexp_extract(sci, r"(e[+-]\d+)$", 1)))
 
 
 def with_cells(df: DataFrame, temperatures: str, top_ps: str, top_ks: str) -> DataFrame:

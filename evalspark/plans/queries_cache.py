@@ -9,6 +9,7 @@ hit it.
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from evalspark.operators import cache as C
 from evalspark.plans import views as V
 from evalspark.plans.queries_scoring import QA_STOPS
 from evalspark.plans.registry import finish, register
+from evalspark.session import ensure_checkpoint_dir
 
 
 def _params_sql(with_override: bool) -> str:
@@ -72,10 +74,54 @@ def c1_cache_key(spark, sf):
 WITH {_REQ_SQL}
 SELECT conv_id, turn, key IN (SELECT key FROM prev) AS hit FROM keyed""", ["generations"])
 def c2_cache_lookup(spark, sf):
-    hits = C.lookup(_requests(spark, sf), _prev_cache(spark, sf).dropDuplicates(["key"]))
+    prev = _prev_cache(spark, sf)
+    versions = prev.unionByName(prev.withColumn("created_at", F.lit(0.5)))      # an older version of every key
+    hits = C.lookup(_requests(spark, sf), versions)
     return finish(hits.select("conv_id", "turn", "hit"))
 
 
+def _layered(spark, sf):
+    """The previous run's responses as a base, every third again with a newer text, and later an older version."""
+    store = C.LayeredCache(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/cache-{uuid.uuid4().hex}", buckets=8)
+    prev = C.compact(_prev_cache(spark, sf))
+    picked = prev.filter(F.ascii(F.substring("key", 1, 1)) % 3 == 0)
+    store.write_delta(prev)
+    store.compact()
+    store.write_delta(picked.withColumn("response", F.lit('{"text":"newer"}')).withColumn("created_at", F.lit(2.0)))
+    store.write_delta(picked.withColumn("response", F.lit('{"text":"older"}')).withColumn("created_at", F.lit(0.5)))
+    return store
+
+
+_LAYERED_SQL = f"""{_REQ_SQL},
+latest AS (SELECT key, CASE WHEN ascii(substr(key, 1, 1)) % 3 = 0 THEN 'newer' ELSE 'first' END AS version FROM (SELECT DISTINCT key FROM prev))"""
+
+
+@register("c2_layered_lookup", f"""
+WITH {_LAYERED_SQL}
+SELECT conv_id, turn, version IS NOT NULL AS hit, version FROM keyed LEFT JOIN latest USING (key)""", ["generations"])
+def c2_layered_lookup(spark, sf):
+    """C2 over a base and two deltas with several versions of a key."""
+    hits = _layered(spark, sf).lookup(_requests(spark, sf))
+    text = F.get_json_object("response", "$.text")
+    version = F.when(text == "newer", text).when(F.col("response") == '{"text":"older"}', "older").when(F.col("hit"), "first")
+    return finish(hits.select("conv_id", "turn", "hit", version.alias("version")))
+
+
+@register("c4_layered_write_back", f"""
+WITH {_LAYERED_SQL},
+fresh AS (SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM latest))
+SELECT key, 'computed' AS version, true AS in_last_layer FROM fresh UNION ALL SELECT key, version, false FROM latest""", ["generations"])
+def c4_layered_write_back(spark, sf):
+    """C4 and C6 over the layered store: the write-back's layer holds the new keys only; the read merges all."""
+    store = _layered(spark, sf)
+    _, merged = C.score_with_cache(_requests(spark, sf), store, _word_count_model, batch_id=1, created_at=F.lit(3.0))
+    last = store.layers()[-1].select(F.col("key").alias("k"), F.lit(True).alias("in_last_layer"))
+    text = F.get_json_object("response", "$.text")
+    version = F.when(F.col("batch_id") == 1, "computed").when(F.col("created_at") == 2.0, text).when(F.col("created_at") == 1.0, "first")
+    out = merged.join(last, F.col("key") == F.col("k"), "left")
+    return finish(out.select("key", version.alias("version"), F.coalesce("in_last_layer", F.lit(False)).alias("in_last_layer")))
+
+
 @register("c3_cache_misses", f"""
 WITH {_REQ_SQL}
 SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM prev)""", ["generations"])

@@ -22,19 +22,23 @@ from evalspark.plans.registry import finish, register
 # The default sweep grid: 3 temperatures × 3 nucleus thresholds × top-k off.
 GRID = {"temperatures": "0.0,0.3,0.7", "top_ps": "0.9,0.95,1.0", "top_ks": "0"}
 PREFIX = "Repeat: "
+FAILING = (0.7, 0.95)
 
 
 def _repeat_model(batches):
     """Stand-in generator: repeats the first words of the text after the prefix.
 
     Fewer words at higher temperature (``max(1, 3 - floor(3t))``); a trailing
-    period when ``top_p < 1``. Reads the decoding params from the request.
+    period when ``top_p < 1``. Reads the decoding params from the request. In
+    one cell it fails on every text of odd length, and takes its whole batch along.
     """
     for pdf in batches:
         out = []
         for prompt, params in zip(pdf["prompt"], pdf["params"]):
             kv = dict(x.split("=", 1) for x in params.split(";"))
             t, p = float(kv["temperature"]), float(kv["top_p"])
+            if (t, p) == FAILING and len(prompt) % 2:
+                raise RuntimeError("out of memory")
             n = max(1, 3 - math.floor(t * 3))
             text = " ".join(prompt[len(PREFIX):].split()[:n]) + ("." if p < 1 else "")
             out.append(json.dumps({"text": text}))
@@ -53,10 +57,12 @@ x AS (SELECT q.*, c.* FROM q CROSS JOIN cells c),
 gen AS (SELECT *, array_to_string({Q.words('output')}[1:greatest(1, 3 - CAST(floor(temperature * 3) AS INTEGER))], ' ')
                   || CASE WHEN top_p < 1 THEN '.' ELSE '' END AS text FROM x),
 res AS (SELECT cell, temperature, top_p, top_k,
+               temperature = {FAILING[0]} AND top_p = {FAILING[1]} AND length(output) % 2 = {(1 + len(PREFIX)) % 2} AS lost,
                {Q.normalise_answer(_trunc_sql('text'))} = {Q.normalise_answer('answer')} AS correct FROM gen)
 SELECT cell, round(temperature, 9) AS temperature, round(top_p, 9) AS top_p, CAST(top_k AS BIGINT) AS top_k,
-  count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct, round(avg(CAST(correct AS DOUBLE)), 9) AS accuracy,
-  CAST(0 AS BIGINT) AS errors, false AS failed, false AS loglik_only
+  count(*) AS n, count(*) FILTER (WHERE correct AND NOT lost) AS n_correct,
+  round(coalesce(avg(CASE WHEN NOT lost THEN CAST(correct AS DOUBLE) END), 0.0), 9) AS accuracy,
+  count(*) FILTER (WHERE lost) AS errors, bool_or(lost) AS failed, false AS loglik_only
 FROM res GROUP BY ALL""", ["qa_items"])
 def w4_sweep(spark, sf):
     sweep.check_task("custom_qa")

@@ -67,3 +67,79 @@ def test_score_with_cache_computes_each_miss_once(spark):
     got = sorted((r["prompt"], r["source"], json.loads(r["response"])["text"]) for r in results.collect())
     assert got == [("a", "cache", "cached"), ("b", "computed", "B"), ("b", "computed", "B")]
     assert new_cache.count() == 2
+
+
+def _rows(spark, versions):
+    """Cache rows of (key, created_at, batch_id, text)."""
+    return spark.createDataFrame([(k, "m", "p" + k, "", json.dumps({"text": t}), float(c), b) for k, c, b, t in versions], schemas.CACHE)
+
+
+def _asked(spark, keys):
+    return spark.createDataFrame([(i, k, "m", "p" + k, "") for i, k in enumerate(keys)], "i int, key string, model string, prompt string, params string")
+
+
+def test_lookup_takes_the_newest_version_once_per_request(spark):
+    cache = _rows(spark, [("a", 1, 0, "old"), ("a", 3, 0, "new"), ("a", 3, 0, "new"), ("b", 1, 1, "first"), ("b", 1, 2, "second")])
+    got = sorted((r.i, r.hit, r.response and json.loads(r.response)["text"]) for r in C.lookup(_asked(spark, ["a", "b", "a", "z"]), cache).collect())
+    assert got == [(0, True, "new"), (1, True, "second"), (2, True, "new"), (3, False, None)]
+
+
+def test_layers_read_like_one_table(spark, scratch):
+    store = C.LayeredCache(spark, f"{scratch}/cache", buckets=4)
+    asked = _asked(spark, ["a", "b", "c", "zz", "a"])
+    assert store.read().count() == 0 and not any(r.hit for r in store.lookup(asked).collect()) and store.misses(asked).count() == 4
+    deltas = [[(k, 1, 0, "base") for k in "abcdefgh"], [("a", 5, 1, "a5"), ("x", 5, 1, "x5")], [("a", 2, 2, "a2"), ("b", 9, 2, "b9"), ("b", 8, 2, "b8")]]
+    for d in deltas:
+        store.write_delta(_rows(spark, d))
+    flat = [v for d in deltas for v in d]
+    want = {k: max((c, b, t) for q, c, b, t in flat if q == k)[2] for k in {v[0] for v in flat}}
+
+    def seen(cache):
+        assert {r.key: json.loads(r.response)["text"] for r in cache.read().collect()} == want and cache.read().count() == len(want)
+        got = sorted((r.i, r.hit, r.response and json.loads(r.response)["text"]) for r in cache.lookup(asked).collect())
+        assert got == [(0, True, "a5"), (1, True, "b9"), (2, True, "base"), (3, False, None), (4, True, "a5")]
+        assert [r.key for r in cache.misses(asked).collect()] == ["zz"]
+
+    seen(store)
+    assert [x.count() for x in store.layers()] == [8, 2, 2]
+    store.compact()
+    assert len(store.layers()) == 1
+    seen(C.LayeredCache(spark, f"{scratch}/cache"))       # another reader finds buckets and layers in the manifest
+    store.write_delta(_rows(spark, [("a", 4, 3, "late")]))
+    seen(store)
+
+
+def test_a_lookup_shuffles_the_requests_only(spark, scratch):
+    store = C.LayeredCache(spark, f"{scratch}/cache", buckets=4)
+    for c in (1, 2):
+        store.write_delta(_rows(spark, [(f"k{i}", c, c, "t") for i in range(50)]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = store.lookup(_asked(spark, ["k1", "k2"]))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2
+
+
+def _fragile(batches):
+    for pdf in batches:
+        if any("bad" in p for p in pdf["prompt"]):
+            raise ValueError("no such prompt")
+        if any("flaky" in p for p in pdf["prompt"]):
+            pdf = pdf[~pdf["prompt"].str.contains("flaky")]
+        yield pd.DataFrame({"key": pdf["key"], "response": [json.dumps({"text": p.upper()}) for p in pdf["prompt"]]})
+
+
+def test_a_failing_request_stands_alone(spark, scratch):
+    asked = _requests(spark, [("m", p, (0.0, 8, [])) for p in ["bad one", "a", "b", "bad two", "c", "flaky", "a"]]).coalesce(1)
+    store = C.LayeredCache(spark, f"{scratch}/cache", buckets=2)
+    empty = spark.createDataFrame([], schemas.CACHE)
+    for cache in (empty, store):
+        results, stored = C.score_with_cache(asked, cache, _fragile, batch_id=1, created_at=F.lit(1.0), retries=2)
+        got = sorted((r.prompt, r.source, r.response and json.loads(r.response)["text"], r.error, r.attempts) for r in results.collect())
+        assert got == [("a", "computed", "A", None, 1), ("a", "computed", "A", None, 1), ("b", "computed", "B", None, 1),
+                       ("bad one", "failed", None, "ValueError: no such prompt", 3), ("bad two", "failed", None, "ValueError: no such prompt", 3),
+                       ("c", "computed", "C", None, 1), ("flaky", "failed", None, "the model gave no response", 1)]
+        assert sorted(r.prompt for r in stored.collect()) == ["a", "b", "c"]      # failures aren't cached
+    again, _ = C.score_with_cache(asked, store, _model, batch_id=2, created_at=F.lit(2.0))
+    assert {(r.prompt, r.source) for r in again.collect()} == {("a", "cache"), ("b", "cache"), ("c", "cache"), ("bad one", "computed"), ("bad two", "computed"), ("flaky", "computed")}

@@ -22,6 +22,12 @@ def test_grid_and_labels(spark):
     sweep.check_task("custom_qa")
 
 
+def test_labels_print_numbers_like_g(spark):
+    values = [0.0, 1.0, 0.3, 0.00001, 0.0001, 0.1234567, 123456.0, 1234567.0, 999999.5, 1e-7, 2.5e20, 0.1 + 0.2, 100.0, -0.5, 0.99999949, 9.9999995e-5, 1e100]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", sweep._short(F.col("v")).alias("s")).collect()
+    assert {r.v: r.s for r in rows} == {v: f"{v:g}" for v in values}
+
+
 def test_expand_cells(spark):
     items = spark.range(3).select(F.col("id").alias("i"))
     x = sweep.with_cells(items, "0.0,0.3", "1.0", "0")
