@@ -231,7 +231,7 @@ def speedup(df: DataFrame, pass_col: str, sequential: str, concurrent: str) -> D
         (F.max("ended_at") - F.min("started_at")).alias("pass_wall_s"),
         F.avg("wall_s").alias("mean_wall_s"),
         F.max("wall_s").alias("max_wall_s"),
-    ).cache()
+    ).checkpoint()
     # Two rows (one per pass): the ratio is computed from their two walls.
     walls = {r[pass_col]: r["pass_wall_s"] for r in per.select(pass_col, "pass_wall_s").collect()}
     seq, con = walls.get(sequential), walls.get(concurrent)

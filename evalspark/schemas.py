@@ -29,6 +29,7 @@ LOGPROB_PAYLOAD = _struct(
     ("top_logprobs", T.ArrayType(T.MapType(S, D))),
 )
 
+# Column order of the request log (fixed by the log format).
 REQUEST_COLUMNS = (
     "idx", "prompt_kind", "prompt_chars", "max_tokens", "mode", "wall_s", "ttft_s",
     "output_tokens", "status", "error", "started_at", "ended_at",
