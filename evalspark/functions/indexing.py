@@ -47,3 +47,20 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "_i
         .withColumn(name, (F.col("_off") + local).cast("bigint"))
         .drop("_mid", "_part", "_off")
     )
+
+
+def with_running_sums(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str]) -> DataFrame:
+    """Add running sums over the whole table in ``order`` (a total order): ``sums`` maps new columns to summed ones.
+
+    Distributed prefix sums: a range-partitioned sort, one row of totals per
+    partition, their running offsets (added back by a broadcast join of one
+    row per partition), and running sums within each partition.
+    """
+    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    s = s.withColumn("_part", F.shiftright("_mid", 33))
+    totals = s.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    upto = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    return (s.join(F.broadcast(offsets), "_part")
+            .select(*df.columns, *[(F.col(f"_o_{n}") + F.sum(c).over(upto)).alias(n) for n, c in sums.items()]))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.indexing import with_running_sums
 from evalspark.operators.scoring import predict_long
 
 
@@ -71,3 +72,22 @@ def coverage_curve(conf: DataFrame, thresholds: Sequence[float], by: str = "p_ma
         F.avg(F.when(F.col("_c") >= F.col("threshold"), F.col("_y"))).alias("accuracy"),
         F.count_if(F.col("_c") >= F.col("threshold")).alias("kept"),
     )
+
+
+def risk_coverage(conf: DataFrame, by: str = "p_max", correct: str = "correct") -> DataFrame:
+    """The whole risk-coverage curve: a row (threshold, kept, coverage, accuracy, area) per distinct confidence.
+
+    Keeping the items with ``by >= threshold`` gives ``kept``, their share
+    and their accuracy. ``area``, the same on every row, is the area under risk
+    (1 - accuracy) over coverage, as a step at every threshold. Items of one
+    confidence are added up before the sort, and the counts above a threshold
+    are distributed prefix sums. Items without confidence or flag are left
+    out; no item gives no row.
+    """
+    points = (conf.filter(F.col(by).isNotNull() & ~F.isnan(by) & F.col(correct).isNotNull()).groupBy(F.col(by).cast("double").alias("threshold"))
+              .agg(F.count("*").alias("_n"), F.sum(F.col(correct).cast("bigint")).alias("_y")))
+    curve = with_running_sums(points, [F.desc("threshold")], {"kept": "_n", "_right": "_y"}).checkpoint()
+    risk = 1 - F.col("_right") / F.col("kept")
+    total, area = curve.agg(F.max("kept"), F.sum(F.col("_n") * risk)).first()
+    return curve.select("threshold", "kept", (F.col("kept") / F.lit(total)).alias("coverage"), (F.col("_right") / F.col("kept")).alias("accuracy"),
+                        F.lit(area / total if total else None).cast("double").alias("area"))

@@ -22,7 +22,8 @@ def _repr_sql(v: str) -> str:
             f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END")
 
 
-_LETTER = "upper(substr(output, 1, 1)) || CASE WHEN turn % 2 = 0 THEN '.' ELSE '' END"
+# Every third output is a letter that its length gives, the others are validated as they are.
+_LETTER = "CASE WHEN turn % 3 = 0 THEN chr(CAST(65 + length(output) % 7 AS INTEGER)) || CASE WHEN turn % 2 = 0 THEN '.' ELSE '' END ELSE output END"
 
 
 @register("g1_mcq_letter", f"""
@@ -35,7 +36,8 @@ FROM v""", ["generations"])
 def g1_mcq_letter(spark, sf):
     g = V.generations(spark, sf).select(
         "conv_id", "turn",
-        F.concat(F.upper(F.substring("output", 1, 1)), F.when(F.col("turn") % 2 == 0, ".").otherwise("")).alias("value"))
+        F.when(F.col("turn") % 3 == 0, F.concat(F.char(65 + F.char_length("output") % 7), F.when(F.col("turn") % 2 == 0, ".").otherwise("")))
+        .otherwise(F.col("output")).alias("value"))
     return finish(guard.validate(g, "value", "mcq_letter").select("conv_id", "turn", "value", "error"))
 
 
@@ -55,6 +57,36 @@ def g1_short_answer_schema(spark, sf):
     return finish(guard.validate(qa, "answer", "short_answer").select("qid", "answer", "error"))
 
 
+DOC_SCHEMA = {
+    "type": "object", "required": ["id", "lang", "parts"], "additionalProperties": False,
+    "properties": {"id": {"type": "integer", "minimum": 3}, "lang": {"enum": ["en", "de", "fr"]},
+                   "parts": {"type": "array", "maxItems": 2,
+                             "items": {"anyOf": [{"type": "integer", "minimum": 300}, {"type": "string", "pattern": "^src1"}]}}},
+}
+
+
+@register("g1_nested_schema", """
+WITH d AS (SELECT doc_id, lang, source, length(text) AS n FROM documents)
+SELECT doc_id, CASE
+  WHEN doc_id % 7 = 0 THEN '''lang'' is a required property'
+  WHEN doc_id < 3 THEN '$.id: ' || doc_id || ' is less than the minimum of 3'
+  WHEN lang NOT IN ('en', 'de', 'fr') THEN '$.lang: ''' || lang || ''' is not one of [''en'', ''de'', ''fr'']'
+  WHEN n < 300 THEN '$.parts[0]: ' || n || ' is not valid under any of the given schemas'
+  WHEN NOT starts_with(source, 'src1') THEN '$.parts[1]: ''' || source || ''' is not valid under any of the given schemas'
+  WHEN doc_id % 4 = 0 THEN '$.parts: [' || n || ',"' || source || '",999] is too long'
+  WHEN doc_id % 6 = 0 THEN 'Additional properties are not allowed (''extra'' was unexpected)' ELSE '' END AS error
+FROM d""")
+def g1_nested_schema(spark, sf):
+    """A schema of objects, arrays, enum and anyOf over a JSON text per document."""
+    d = read_table(spark, sf, "documents")
+    put = lambda when, text: F.when(when, F.lit(text)).otherwise("")
+    doc = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"),
+                   F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit(', "lang": "'), "lang", F.lit('"'))),
+                   F.lit(', "parts": ['), F.char_length("text").cast("string"), F.lit(', "'), F.col("source"), F.lit('"'),
+                   put(F.col("doc_id") % 4 == 0, ", 999"), F.lit("]"), put(F.col("doc_id") % 6 == 0, ', "extra": 1'), F.lit("}"))
+    return finish(guard.validate_json(d.select("doc_id", doc.alias("doc")), "doc", DOC_SCHEMA).select("doc_id", "error"))
+
+
 @register("g1_option_index", """
 WITH v AS (SELECT doc_id, CAST(doc_id % 6 - 1 AS BIGINT) AS k, (doc_id % 12) / 2.0 - 1.0 AS x FROM documents)
 SELECT doc_id, k, round(x, 9) AS x,

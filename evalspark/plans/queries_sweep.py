@@ -158,9 +158,30 @@ SELECT threshold, round(avg(CAST(p_max >= threshold AS DOUBLE)), 9) AS coverage,
   count(*) FILTER (WHERE p_max >= threshold) AS kept
 FROM j CROSS JOIN t GROUP BY threshold""", ["lp_tokens"])
 def x4_coverage_curve(spark, sf):
-    s = scoring.option_scores(V.logprob_payloads(spark, sf))
+    return finish(extras.coverage_curve(_confident(spark, sf), THRESHOLDS))
+
+
+def _confident(spark, sf):
+    """(ind, p_max, margin, entropy, correct): confidence and prediction from one pass over the payloads."""
+    s = scoring.option_scores(V.logprob_payloads(spark, sf)).select("ind", "option", "score_length_norm").checkpoint()
     arr = s.groupBy("ind").agg(F.transform(F.array_sort(F.collect_list(F.struct("option", "score_length_norm"))),
                                            lambda x: x.getField("score_length_norm")).alias("scores"))
     conf = arr.select("ind", *extras.confidence("scores"))
-    preds = _results(spark, sf).filter(F.col("variant") == "length_norm").select("ind", "correct")
-    return finish(extras.coverage_curve(conf.join(preds, "ind"), THRESHOLDS))
+    pred = scoring.predict_long(s.withColumnRenamed("score_length_norm", "score"), "score", ["ind"])
+    flags = scoring.mark_correct(pred, V.items(spark, sf).select("ind", "label")).select("ind", "correct")
+    return conf.join(flags, "ind")
+
+
+@register("x4_risk_coverage", f"""
+WITH {_PRED_SQL},
+{_CONF_TAIL},
+j AS (SELECT round(c.p_max, 9) AS threshold, count(*) AS n, count(*) FILTER (WHERE p.correct) AS y
+      FROM conf c JOIN results p ON c.ind = p.ind WHERE p.variant = 'length_norm' GROUP BY 1),
+k AS (SELECT threshold, n, sum(n) OVER w AS kept, sum(y) OVER w AS hits FROM j WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))
+SELECT threshold, CAST(kept AS BIGINT) AS kept, round(kept / sum(n) OVER (), 9) AS coverage, round(hits / kept, 9) AS accuracy,
+  round(sum(n * (1 - hits / kept)) OVER () / sum(n) OVER (), 9) AS area
+FROM k""", ["lp_tokens"])
+def x4_risk_coverage(spark, sf):
+    """The curve over every distinct confidence, and the area under it."""
+    conf = _confident(spark, sf).select(F.round("p_max", 9).alias("p_max"), "correct")
+    return finish(extras.risk_coverage(conf))

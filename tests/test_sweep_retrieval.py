@@ -177,3 +177,19 @@ def test_tfidf_vocabulary_cap(spark):
     assert terms == ["aa", "aa bb", "bb"] and n == 2
     capped = sorted(r["term"] for r in retrieval.tfidf_fit(pool, "pool_id", "ctx", max_features=4)[0].collect())
     assert capped == ["aa", "aa aa", "aa bb", "bb"]  # the 1-count tie is broken by term order
+
+
+def test_risk_coverage_against_plain_python(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(c), bool(rng.random() < c)) for c in np.r_[rng.random(300).round(2), [1.0] * 40, [0.0]]] + [(None, True), (float("nan"), True), (0.5, None)]
+    df = spark.createDataFrame(rows, "p_max double, correct boolean").repartition(7)
+    good = [r for r in rows if r[0] is not None and r[0] == r[0] and r[1] is not None]
+    got = {r.threshold: r for r in extras.risk_coverage(df).collect()}
+    assert set(got) == {c for c, _ in good}
+    area = 0.0
+    for t in got:
+        kept = [y for c, y in good if c >= t]
+        assert (got[t].kept, got[t].coverage, got[t].accuracy) == (len(kept), pytest.approx(len(kept) / len(good)), pytest.approx(np.mean(kept)))
+        area += sum(c == t for c, _ in good) / len(good) * (1 - np.mean(kept))
+    assert all(r.area == pytest.approx(area) for r in got.values())
+    assert extras.risk_coverage(df.limit(0)).count() == 0
