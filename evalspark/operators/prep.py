@@ -53,15 +53,23 @@ def split_items(items: DataFrame, n_eval: int, n_pool: int, seed: int = 42, chec
     """Seeded shuffle; the first ``n_eval`` rows are ``eval``, the next ``n_pool`` ``pool``.
 
     The shuffle order is ``md5(seed:ind)`` then ``ind``: deterministic,
-    independent of partitioning, and the two splits are disjoint. The rows
-    themselves get a contiguous index from a range-partitioned sort, so a
-    repeated or null ``ind`` is counted row by row. The result carries
-    ``split`` and ``rank`` (0-based position in the shuffle).
+    independent of partitioning, and the two splits are disjoint. Counts per
+    first four hex digits (at most 65,536) tell up to which digits rows can be
+    among the first; only those rows are sorted, and get a contiguous index
+    from a range-partitioned sort, so a repeated or null ``ind`` is counted row
+    by row. The result carries ``split`` and ``rank`` (0-based position in the
+    shuffle).
     """
     if check:
         require_rows(items, n_eval + n_pool)
-    key = F.md5(seeded_key(seed, F.col("ind")))
-    placed = with_row_index(items.withColumn("_key", key), ["_key", "ind"], "rank")
+    keyed = items.withColumn("_key", F.md5(seeded_key(seed, F.col("ind"))))
+    digits = F.coalesce(F.substring("_key", 1, 4), F.lit(""))
+    seen, last = 0, ""
+    for r in sorted(keyed.groupBy(digits.alias("d")).agg(F.count("*").alias("n")).collect()):
+        if seen >= n_eval + n_pool:
+            break
+        seen, last = seen + r["n"], r["d"]
+    placed = with_row_index(keyed.filter(digits <= last), ["_key", "ind"], "rank")
     ranked = placed.filter(F.col("rank") < n_eval + n_pool).withColumn("rank", F.col("rank").cast("int"))
     return ranked.withColumn("split", F.when(F.col("rank") < n_eval, "eval").otherwise("pool")).drop("_key")
 

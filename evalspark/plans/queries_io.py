@@ -13,9 +13,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from evalspark import schemas
-from evalspark.operators import perf, runlog
+from evalspark.functions import logprob as LP
+from evalspark.operators import perf, runlog, scoring
 from evalspark.plans import views as V
-from evalspark.plans.queries_compare import _PRED_SQL, _results
+from evalspark.plans.queries_compare import _PRED_SQL
 from evalspark.plans.registry import finish, register
 from evalspark.session import ensure_checkpoint_dir
 from evalspark.sources import readers, writers
@@ -85,14 +86,33 @@ def s9_outputs_jsonl(spark, sf):
 
 
 @register("s11_example_results", f"""
-WITH {_PRED_SQL}
-SELECT variant, ind, CAST(label AS BIGINT) AS label, CAST(predicted AS BIGINT) AS predicted, correct FROM results
-WHERE variant = 'length_norm'""", ["lp_tokens"])
+WITH {_PRED_SQL},
+lists AS (SELECT ind, list(round(score_length_norm, 9) ORDER BY option) AS scores FROM modes GROUP BY ind)
+SELECT variant, ind, CAST(label AS BIGINT) AS label, CAST(predicted AS BIGINT) AS predicted, correct, scores
+FROM results JOIN lists USING (ind) WHERE variant = 'length_norm'""", ["lp_tokens"])
 def s11_example_results(spark, sf):
+    """Every variant's results with the scores of all options, one variant read back."""
     path = _folder(spark, "results")
-    rows = _results(spark, sf).withColumn("run_id", F.lit(1).cast("long")).withColumn("scores", F.array().cast("array<double>"))
+    s = scoring.option_scores(V.logprob_payloads(spark, sf))
+    long = s.select("ind", "option", F.explode(F.array(*[
+        F.struct(F.lit("baseline" if m == "sum" else m).alias("variant"), F.round(F.col(f"score_{m}"), 9).alias("score"))
+        for m in LP.SCORING_MODES])).alias("m")).select("ind", "option", "m.*").checkpoint()
+    lists = long.groupBy("ind", "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("option", "score"))), lambda x: x["score"]).alias("scores"))
+    flags = scoring.mark_correct(scoring.predict_long(long, "score", ["ind", "variant"]), V.items(spark, sf).select("ind", "label"))
+    rows = flags.join(lists, ["ind", "variant"]).withColumn("run_id", F.lit(1).cast("long"))
     writers.write_example_results(rows, path)
-    return finish(writers.read_example_results(spark, path, "length_norm").select("variant", "ind", "label", "predicted", "correct"))
+    return finish(writers.read_example_results(spark, path, "length_norm").select("variant", "ind", "label", "predicted", "correct", "scores"))
+
+
+@register("s12_run_meta", """
+SELECT CAST((SELECT count(*) FROM items) AS VARCHAR) AS "limit", (SELECT max(model) FROM runs) AS model, '' AS notes, '42' AS seed""",
+          ["items", "runs"])
+def s12_run_meta(spark, sf):
+    """A run's metadata written and read back: sorted keys, values as text, nothing as empty text."""
+    path = _folder(spark, "meta")
+    model = V.runs(spark, sf).agg(F.max("model")).first()[0]
+    writers.write_run_meta(spark, {"seed": 42, "model": model, "notes": None, "limit": V.items(spark, sf).count()}, path)
+    return finish(spark.read.schema("`limit` string, model string, notes string, seed string").json(path))
 
 
 @register("s12_task_metrics", """

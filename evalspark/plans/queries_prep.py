@@ -31,10 +31,12 @@ def p1_normalise_items(spark, sf):
 
 @register("p2_labelled_items", f"""
 WITH {_NORM_SQL}
-SELECT label AS label, count(*) AS n FROM (SELECT CAST(label AS BIGINT) AS label FROM norm WHERE label >= 0 AND len(endings) > 0)
+SELECT label AS label, count(*) AS n FROM (SELECT CAST(label AS BIGINT) AS label FROM norm WHERE label >= 0 AND len(endings) > 0 AND CAST(ind AS BIGINT) % 9 <> 0)
 GROUP BY label""", ["raw_items"])
 def p2_labelled_items(spark, sf):
-    lab = prep.labelled(prep.normalise_items(V.raw_items(spark, sf)))
+    """Every ninth raw item has lost its endings, some have no label."""
+    raw = V.raw_items(spark, sf).withColumn("endings", F.when(F.col("ind") % 9 != 0, F.col("endings")))
+    lab = prep.labelled(prep.normalise_items(raw))
     return finish(lab.groupBy("label").agg(F.count("*").alias("n")))
 
 
@@ -170,13 +172,18 @@ def t5_fewshot_pairs(spark, sf):
 
 @register("p3_require_rows", f"""
 WITH {_NORM_SQL}
-SELECT count(*) AS available, CAST(300 AS BIGINT) AS needed, count(*) >= 300 AS ok
-FROM norm WHERE label >= 0 AND len(endings) > 0""", ["raw_items"])
+SELECT needed, count(*) AS available, count(*) >= needed AS ok FROM norm, (VALUES (300::BIGINT), (1000000000)) v(needed)
+WHERE label >= 0 AND len(endings) > 0 GROUP BY needed""", ["raw_items"])
 def p3_require_rows(spark, sf):
-    """P3 as a table: labelled rows available vs the split's need (the gate raises on ``ok = false``)."""
+    """The gate asked for 300 labelled rows, and for more than there are."""
     lab = prep.labelled(prep.normalise_items(V.raw_items(spark, sf)))
-    return finish(lab.agg(F.count("*").alias("available")).select(
-        "available", F.lit(300).cast("bigint").alias("needed"), (F.col("available") >= 300).alias("ok")))
+    available, rows = prep.require_rows(lab, 0), []
+    for needed in (300, 10**9):
+        try:
+            rows.append((needed, prep.require_rows(lab, needed), True))
+        except prep.ContractError:
+            rows.append((needed, available, False))
+    return spark.createDataFrame(rows, "needed bigint, available bigint, ok boolean")
 
 
 @register("p7_sanity_gate", """
