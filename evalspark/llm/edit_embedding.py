@@ -3,22 +3,19 @@
 A walk reads a text: at step j it writes the character under its pointer and
 moves on if a random function h(j, character), shared by all texts, says so.
 Two texts that differ by a few edits soon read the same characters at the
-same steps again, so the written sequences differ in few places. A text is
-walked in blocks of 512 characters, each for three steps per character; every
-32nd step or so is sampled, and its character hashed to a digit 1-15 (0: the
-block had ended). The digits of all blocks, as hexadecimal text, are the
-fingerprint of the whole text; likeness is the share of equal digits.
-
-These blocks start at fixed offsets, so an insertion shifts all later blocks
-and is paid for in each. The content fingerprint walks blocks that the text
-itself cuts: after 8 characters whose hash says so (one place in 256), or 512
-characters after the last cut. Blocks after an edit are the same again;
-content likeness aligns the blocks of two texts and compares their digits.
+same steps again, so the written sequences differ in few places. Texts are
+walked in blocks that the text itself cuts: after 8 characters whose hash says
+so (one place in 256), or 512 characters after the last cut; so blocks after
+an edit are the same again. A block is walked for three steps per
+character; every 32nd step or so is sampled (more at the start of a text), and
+its character hashed to a digit 1-15. The digits of all blocks, as
+hexadecimal text, are the fingerprint of the whole text. Likeness aligns the
+blocks of two texts and gives the share of equal digits.
 
 Near duplicates: bands of digits propose candidates, and the likeness of the
-whole content fingerprints verifies them. Bands are sampled digits of the
-first block, and all runs of eight digits of every content block, wherever in
-the text the block is.
+whole fingerprints verifies them. Bands are all runs of eight sampled
+digits of every block, wherever in the text the block is, and those of the
+first block's extra digits, which short texts have, too.
 """
 
 from __future__ import annotations
@@ -42,8 +39,7 @@ BLOCK = 512
 STEPS = 3 * BLOCK
 SAMPLES = STEPS // 32        # sampled steps of every block
 FIRST = 32                   # more of them in the first 128 steps of a text
-BANDS, BAND_DIGITS = 8, 6    # of the first block
-RUN_DIGITS, LEAST_DIGITS = 8, 4   # of every content block: runs of eight digits; a block of four or more is one run
+RUN_DIGITS, LEAST_DIGITS = 8, 4   # bands: runs of eight digits; a block of four or more is one run
 RANGE_ROWS = 4096            # documents in a range of doc_ids, about
 MAX_RANGES = 10_000
 BLOCK_ROWS = 256
@@ -54,7 +50,7 @@ HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 @lru_cache(maxsize=4)
 def _walk_tables(seed: int):
-    """h(step, class) as 0/1, the sampled steps of the first and of later blocks, digit tables, band positions."""
+    """h(step, class) as 0/1, the sampled steps of the first and of later blocks, digit tables."""
     rng = np.random.default_rng(seed)
     move = rng.integers(0, 2, (STEPS, 256), dtype=np.int64)
     move[:, 0] = 0  # class 0 is the end of a block
@@ -63,41 +59,13 @@ def _walk_tables(seed: int):
     steps = np.union1d(later, np.append(np.arange(8), rng.choice(extra, FIRST - 8, replace=False)))  # step 0 reads the first character
     digit = rng.integers(1, 16, (len(steps), 256), dtype=np.uint8)
     digit[:, 0] = 0
-    bands = np.stack([rng.choice(len(steps) // 2, BAND_DIGITS, replace=False) for _ in range(BANDS)])
-    return move, steps, np.isin(steps, later), digit, bands
+    return move, steps, np.isin(steps, later), digit
 
 
 def _classes(cp: np.ndarray) -> np.ndarray:
     return (mix64(cp.astype(np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
 
-def embed(texts: list[str], seed: int = 7) -> list[np.ndarray]:
-    """Digits of every text (an empty text has none)."""
-    move, steps, is_later, digit, _ = _walk_tables(seed)
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    blocks = np.array([-(-len(p) // BLOCK) for p in points], np.int64)
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    n = int(first[-1])
-    flat = np.zeros(n * (BLOCK + 1), np.uint8)
-    if n:
-        size = np.array([len(p) for p in points], np.int64)
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        at = (np.repeat(first[:-1], size) + within // BLOCK) * (BLOCK + 1) + within % BLOCK
-        flat[at] = _classes(np.concatenate(points))
-    pointer = np.arange(n) * (BLOCK + 1)
-    out = np.zeros((n, len(steps)), np.uint8)
-    sampled = {int(s): k for k, s in enumerate(steps)}
-    for j in range(STEPS if n else 0):
-        c = flat[pointer]
-        k = sampled.get(j)
-        if k is not None:
-            out[:, k] = digit[k][c]
-        pointer += move[j][c]
-    rest = out[:, is_later]
-    return [np.concatenate([out[a], rest[a + 1:b].ravel()]) if b > a else np.zeros(0, np.uint8)
-            for a, b in zip(first, first[1:])]
-
-
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of equal digits among those that either text has; 1 for two empty texts."""
     n = max(len(a), len(b))
@@ -135,12 +103,12 @@ def _content_starts(points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def content_prints(texts: list[str], seed: int = 7) -> list[str]:
-    """Content fingerprint of every text: the first block's extra digits, then the digits of each block, joined by dots.
+    """Fingerprint of every text: the first block's extra digits, then the digits of each block, joined by dots.
 
-    Digits as in ``embed``, but three steps for each character that a block
-    has, without zeros at the end. An empty text has the empty fingerprint.
+    A block has a digit for each sampled step it reaches, without zeros at
+    the end. An empty text has the empty fingerprint.
     """
-    move, steps, is_later, digit, _ = _walk_tables(seed)
+    move, steps, is_later, digit = _walk_tables(seed)
     points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     if not any(map(len, points)):
         return [""] * len(texts)
@@ -201,7 +169,7 @@ def _aligned(x: list[str], y: list[str]) -> Iterator[tuple[str, str]]:
 
 
 def content_likeness(a: str, b: str) -> float:
-    """``likeness`` of two content fingerprints whose blocks are aligned first."""
+    """``likeness`` of two fingerprints whose blocks are aligned first."""
     if a == b:
         return 1.0
     a, b = sorted((a, b))
@@ -210,58 +178,50 @@ def content_likeness(a: str, b: str) -> float:
     return likeness(from_text("".join(p.ljust(n, "0") for p, _, n in pairs)), from_text("".join(q.ljust(n, "0") for _, q, n in pairs)))
 
 
-def band_keys(digits: np.ndarray, content: str, seed: int = 7) -> list[int]:
-    """Distinct keys of a text's bands (none for an empty text).
+def band_keys(content: str, seed: int = 7) -> list[int]:
+    """Distinct keys of a fingerprint's bands (none for an empty text).
 
-    One per band of sampled digits of the first block (``digits`` as from
-    ``embed``), and one for each run of digits of every block of its
-    ``content`` fingerprint; a block's number is no part of the key.
+    One for each run of digits of every block, and of the first block's
+    extra digits; a block's number is no part of the key.
     """
     import xxhash
 
-    bands = _walk_tables(seed)[4]
-    if not len(digits):
-        return []
-    value = np.zeros(len(bands), np.uint64)
-    for column in digits[bands].T:
-        value = value * np.uint64(16) + column
-    keys = mix64(value + (np.arange(len(bands), dtype=np.uint64) << np.uint64(32))).view(np.int64).tolist()
+    head, *blocks = content.split(".")
     runs = set()
-    for block in set(content.split(".")[1:]):
-        last = max(0, len(block) - RUN_DIGITS)
-        if len(block) >= LEAST_DIGITS:
-            runs.update(f"{k}:{block[k:k + RUN_DIGITS]}" for k in [*range(0, last, RUN_DIGITS), last])
-    return list(dict.fromkeys(keys + np.array([xxhash.xxh64_intdigest(r, seed) for r in sorted(runs)], np.uint64).view(np.int64).tolist()))
+    for name, digits, least in [("h", head, 1), *(("", block, LEAST_DIGITS) for block in set(blocks))]:
+        last = max(0, len(digits) - RUN_DIGITS)
+        if len(digits) >= least:
+            runs.update(f"{name}{k}:{digits[k:k + RUN_DIGITS]}" for k in [*range(0, last, RUN_DIGITS), last])
+    return np.array([xxhash.xxh64_intdigest(r, seed) for r in sorted(runs)], np.uint64).view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, fingerprint, content_fingerprint, bands) of every row of ``docs`` (doc_id, text); null is an empty text.
+    """(doc_id, fingerprint, bands) of every row of ``docs`` (doc_id, text); null is an empty text.
 
     Equal texts have equal fingerprints; an empty text has the empty one and
     no bands. One row per input row; other columns aren't read.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            digits, content = embed(texts, seed), content_prints(texts, seed)
+            content = content_prints([t or "" for t in part.column("text").to_pylist()], seed)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(map(to_text, digits), pa.string()), pa.array(content, pa.string()),
-                 pa.array([band_keys(d, c, seed) for d, c in zip(digits, content)], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "content_fingerprint", "bands"])
+                [part.column("doc_id"), pa.array(content, pa.string()), pa.array([band_keys(c, seed) for c in content], pa.list_(pa.int64()))],
+                ["doc_id", "fingerprint", "bands"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, fingerprint string, content_fingerprint string, bands array<long>"))
+            .mapInArrow(run, "doc_id long, fingerprint string, bands array<long>"))
 
 
 def near_duplicates(prints: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, component_id) of every row of ``prints`` (doc_id, content_fingerprint, bands).
+    """(doc_id, component_id) of every row of ``prints`` (doc_id, fingerprint, bands).
 
-    Fingerprints that share a band and have a content likeness of ``threshold`` or
+    Fingerprints that share a band and have a likeness of ``threshold`` or
     more link; component_id is the smallest doc_id reachable. Equal
     fingerprints are one node; empty ones belong together. Every candidate
     of a band is compared, in blocks of bounded size; bands that hold the
     same fingerprints (near copies share most of theirs) are compared once.
     """
-    rows = prints.select("doc_id", F.col("content_fingerprint").alias("fingerprint"), "bands", F.xxhash64("content_fingerprint").alias("fh"))
+    rows = prints.select("doc_id", "fingerprint", "bands", F.xxhash64("fingerprint").alias("fh"))
     nodes = materialise(rows.groupBy("fingerprint", "fh").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
     keys = ["key", "_bi", "_bj"]
     posts = nodes.select("fh", F.explode("bands").alias("key"))
@@ -299,9 +259,7 @@ def with_next(docs: DataFrame, seed: int = 7, range_rows: int = RANGE_ROWS) -> D
     """Fingerprints of every document, of its edited text, and their likeness.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, bands, and the same four by content blocks:
-    content_fingerprint, edited_content_fingerprint, content_near_edited,
-    content_near_next. The edited text has its last
+    near_edited, near_next, bands. The edited text has its last
     floor(n_chars / 4) code points replaced by the first as many (or all) of
     the next document by doc_id (after the last: the first; rows of one
     doc_id by the hash of their texts, a null doc_id before all others).
@@ -360,25 +318,19 @@ def with_next(docs: DataFrame, seed: int = 7, range_rows: int = RANGE_ROWS) -> D
         for i in at:
             cut = len(texts[i]) // 4
             edited.append(texts[i][:len(texts[i]) - cut] + texts[i + 1][:cut])
-        prints, new = embed(texts, seed), embed(edited, seed)
-        content, new_content = content_prints(texts, seed), content_prints(edited, seed)
+        prints, new = content_prints(texts, seed), content_prints(edited, seed)
         yield pa.RecordBatch.from_arrays([
             pa.array([rows[i][1] for i in at], pa.int64()), pa.array([len(texts[i]) for i in at], pa.int64()),
             pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-            pa.array([to_text(prints[i]) for i in at]), pa.array([to_text(d) for d in new]),
-            pa.array([likeness(prints[i], d) for i, d in zip(at, new)]),
-            pa.array([likeness(prints[i], prints[i + 1]) for i in at]),
-            pa.array([band_keys(prints[i], content[i], seed) for i in at], pa.list_(pa.int64())),
-            pa.array([content[i] for i in at]), pa.array(new_content),
-            pa.array([content_likeness(content[i], d) for i, d in zip(at, new_content)]),
-            pa.array([content_likeness(content[i], content[i + 1]) for i in at])],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands",
-             "content_fingerprint", "edited_content_fingerprint", "content_near_edited", "content_near_next"])
+            pa.array([prints[i] for i in at], pa.string()), pa.array(new, pa.string()),
+            pa.array([content_likeness(prints[i], d) for i, d in zip(at, new)]),
+            pa.array([content_likeness(prints[i], prints[i + 1]) for i in at]),
+            pa.array([band_keys(prints[i], seed) for i in at], pa.list_(pa.int64()))],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands"])
 
     text = F.col("text").cast("string")
     dealt = (docs.select(F.col("doc_id").cast("long"), key.alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
              .mapInArrow(deal, "pid int, extra boolean, k long, h long, doc_id long, z binary"))
     return (dealt.repartition("pid").sortWithinPartitions("pid", "extra", "k", "h").select("extra", "doc_id", "z")
             .mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-                              "near_edited double, near_next double, bands array<long>, content_fingerprint string,"
-                              "edited_content_fingerprint string, content_near_edited double, content_near_next double"))
+                              "near_edited double, near_next double, bands array<long>"))

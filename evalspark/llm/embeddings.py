@@ -31,6 +31,8 @@ ROUNDS = 8
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component goes first, so no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 

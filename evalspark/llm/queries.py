@@ -105,7 +105,7 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     """Language of every document; profiles from documents whose crc32 remainder isn't 2."""
     docs = table(spark, sf_dir, "documents")
-    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(common.crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     profiles = langid.fit(docs, ~held_out)
     return langid.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -138,7 +138,7 @@ def op5(spark, sf_dir):
     """Toxicity of every document; the model learns from labels whose crc32 remainder isn't 2."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.train_labels(table(spark, sf_dir, "labels")))
-    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(common.crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
 
 

@@ -1,42 +1,18 @@
 import random
 from hashlib import sha256
 
-import numpy as np
 from llm_cases import awkward_docs, classes, docs, prose, with_clashes
 
 from evalspark.llm import edit_embedding as ee
 
 
-def plain_walk(text, seed=7):
-    """The digits of one text, one character and one step at a time."""
-    move, steps, is_later, digit, _ = ee._walk_tables(seed)
-    cls = ee._classes(np.array([ord(c) for c in text], np.uint32)) if text else []
-    out = []
-    for a in range(0, len(text), ee.BLOCK):
-        block, i = [int(c) for c in cls[a:a + ee.BLOCK]] + [0], 0
-        for j in range(ee.STEPS):
-            k = np.flatnonzero(steps == j)
-            if len(k) and (a == 0 or is_later[k[0]]):
-                out.append(int(digit[k[0], block[i]]))
-            i += int(move[j, block[i]])
-    return out
-
-
-def test_walk_matches_the_definition():
-    texts = ["", "a", "é🎉", prose(1, 30), prose(2, 400)[:1200], "x" * ee.BLOCK, "y" * (ee.BLOCK + 1)]
-    for t, d in zip(texts, ee.embed(texts)):
-        assert d.tolist() == plain_walk(t), t[:20]
-        assert np.array_equal(ee.from_text(ee.to_text(d)), d)
-
-
 def test_few_edits_keep_most_digits():
     rng = random.Random(1)
     for i in range(10):
         t = prose(i, 300)
         p = rng.randrange(len(t))
-        near = ee.likeness(*ee.embed([t, t[:p] + "#" + t[p:]]))
-        far = ee.likeness(*ee.embed([t, prose(100 + i, 300)]))
-        assert near > 0.75 > 0.4 > far
+        a, edited_, other = ee.content_prints([t, t[:p] + "#" + t[p:], prose(100 + i, 300)])
+        assert ee.content_likeness(a, edited_) > 0.75 > 0.4 > ee.content_likeness(a, other)
 
 
 def edited(rows):
@@ -59,10 +35,10 @@ def test_edited_texts_and_likeness(spark):
         got = {r.doc_id: r for r in ee.with_next(with_clashes(docs(spark, rows)).repartition(4), range_rows=range_rows).collect()}
         assert len(got) == len(rows)
         for doc_id, t, new, nxt in edited(rows):
-            r, (a, b, c) = got[doc_id], ee.embed([t, new, nxt])
+            r, (a, b, c) = got[doc_id], ee.content_prints([t, new, nxt])
             assert (r.n_chars, r.edited_sha256) == (len(t), sha256(new.encode()).hexdigest())
-            assert (r.fingerprint, r.edited_fingerprint) == (ee.to_text(a), ee.to_text(b))
-            assert (r.near_edited, r.near_next) == (ee.likeness(a, b), ee.likeness(a, c))
+            assert (r.fingerprint, r.edited_fingerprint) == (a, b)
+            assert (r.near_edited, r.near_next) == (ee.content_likeness(a, b), ee.content_likeness(a, c))
 
 
 def test_repeated_ids_single_rows_and_empty_tables(spark):
@@ -74,10 +50,10 @@ def test_repeated_ids_single_rows_and_empty_tables(spark):
 
 
 def test_near_duplicates_by_bands_and_verification(spark):
-    rows = [(1, prose(1, 200)), (2, prose(1, 200) + " end"), (3, prose(2, 200)), (7, prose(2, 200)), (5, ""), (6, None), (8, prose(3, 200))]
+    rows = [(50, "a short one"), (51, "a short one!"), (1, prose(1, 200)), (2, prose(1, 200) + " end"), (3, prose(2, 200)), (7, prose(2, 200)), (5, ""), (6, None), (8, prose(3, 200))]
     rows += [(100 + i, prose(9, 200) + " x" * i) for i in range(12)]
     prints = ee.fingerprints(docs(spark, [(i, t, None, None, None) for i, t in rows]))
-    digits = {i: ee.embed([t or ""])[0] for i, t in rows}
-    want = classes(digits, lambda a, b: ee.likeness(digits[a], digits[b]) >= 0.8)
+    digits = {i: ee.content_prints([t or ""])[0] for i, t in rows}
+    want = classes(digits, lambda a, b: ee.content_likeness(digits[a], digits[b]) >= 0.8)
     for block_rows in (3, 256):
         assert {r.doc_id: r.component_id for r in ee.near_duplicates(prints, block_rows=block_rows).collect()} == want

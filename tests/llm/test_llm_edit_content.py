@@ -27,7 +27,7 @@ def plain_cuts(text):
 
 
 def plain_print(text, seed=7):
-    move, steps, is_later, digit, _ = ee._walk_tables(seed)
+    move, steps, is_later, digit = ee._walk_tables(seed)
     head, bodies = "", []
     for a, b in pairwise(plain_cuts(text)):
         block, i, row = [*ee._classes(np.array([ord(c) for c in text[a:b]], np.uint32)).tolist(), 0], 0, [0] * len(steps)
@@ -62,10 +62,10 @@ def test_next_document_with_an_inserted_sentence_is_near(spark):
     t = prose(5, 3000)
     rows = [(1, t, None, None, None), (2, t[:90] + " one more sentence, put in early. " + t[90:], None, None, None), (3, prose(6, 3000), None, None, None)]
     got = {r.doc_id: r for r in ee.with_next(docs(spark, rows)).collect()}
-    assert got[1].content_near_next > 0.85 > 0.2 > max(got[2].content_near_next, got[3].content_near_next)
+    assert got[1].near_next > 0.85 > 0.2 > max(got[2].near_next, got[3].near_next)
     for r in got.values():
-        assert r.content_near_edited == ee.content_likeness(r.content_fingerprint, r.edited_content_fingerprint)
-        assert r.content_fingerprint == ee.content_prints([rows[r.doc_id - 1][1]])[0]
+        assert r.near_edited == ee.content_likeness(r.fingerprint, r.edited_fingerprint)
+        assert r.fingerprint == ee.content_prints([rows[r.doc_id - 1][1]])[0]
 
 
 def test_near_copies_meet_wherever_they_differ(spark):
