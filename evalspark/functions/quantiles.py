@@ -92,8 +92,15 @@ def exact_percentiles(
     targets = targets.withColumn("_v", F.when(settled, F.col("_v"))).withColumn("_w", F.when(settled, F.col("_w"))).checkpoint()
 
     def inside(intervals: DataFrame) -> DataFrame:
-        rows = join_small(base, intervals, g)
-        return rows.filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+        held = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
+        if keys:
+            return join_small(base, intervals, g).filter(held)
+        # one group: at most one interval per percentile, as literals
+        names = intervals.columns[1:]
+        options = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[1:])]) for r in intervals.collect()]
+        if not options:
+            options = [F.struct(*[F.lit(None).cast(intervals.schema[n].dataType).alias(n) for n in names])]
+        return base.select("_all", "_x", F.inline(F.array(*options))).filter(held)
 
     while not targets.filter(F.col("_v").isNull() & (F.col("_cnt") > limit)).isEmpty():
         wide = F.col("_v").isNull() & (F.col("_cnt") > limit)
