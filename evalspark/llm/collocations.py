@@ -33,14 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import SLICE_BYTES, UPPER, materialise, mix64, text_slices
+from evalspark.llm.common import UPPER, materialise, mix64, text_slices
 from evalspark.llm.packed import rows_of, squeeze, squeeze_keys, unsqueeze, unsqueeze_keys
 
 LEAST = 100              # occurrences of a candidate
 LONGEST = 5              # words of a candidate
 TOP = 2000               # candidates reported per language
 FILTER_BITS = 26         # the filter has 2^26 bits (8 MB)
-ENTRIES = 4 << 20        # fingerprints gathered in a task before they're summed up, and wanted in a part
+SLICE = 1 << 20          # bytes of text in a slice: its prefix sums take eight times as much, each
+ENTRIES = 2 << 20        # fingerprints gathered in a task before they're summed up, and wanted in a part
 PART_BITS = 8            # first bits of a fingerprint that name its part of the key range
 PHRASE = ["lang", "phrase", "words", "c", "first_doc_id"]
 PIECE = "part long, m long, keys binary, counts binary"
@@ -166,12 +167,12 @@ def _prints_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Prints, list
     """(prints, language names, language and doc_id of each text) of every blob of a partition."""
     import xxhash
 
-    for part in text_slices(batches):
+    for part in text_slices(batches, max_bytes=SLICE):
         langs = part.column("lang").dictionary_encode()
         names = langs.dictionary.to_pylist()
         seeds = np.array([xxhash.xxh64_intdigest(x, 7) for x in names], np.uint64)
         lang, ids = langs.indices.to_numpy(), part.column("doc_id").to_numpy()
-        for blob, start in blobs(part.column("text"), SLICE_BYTES):
+        for blob, start in blobs(part.column("text"), SLICE):
             words = cut_words(blob, start)
             if len(words.start):
                 yield Prints(words, seeds[lang]), names, lang, ids
