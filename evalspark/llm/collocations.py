@@ -46,7 +46,7 @@ PART_BITS = 8            # first bits of a fingerprint that name its part of the
 PHRASE = ["lang", "phrase", "words", "c", "first_doc_id"]
 PIECE = "part long, m long, keys binary, counts binary"
 ROWS_AT_ONCE = 1 << 17
-PHRASES_AT_ONCE = 1 << 20
+PHRASES_AT_ONCE = 1 << 19
 BASE = 0x9E3779B97F4A7C15    # odd, so it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
 NO_ID = (1 << 63) - 1
