@@ -128,7 +128,9 @@ def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int, query_id: str, query
     known, _ = broadcast_if_small(vocab.join(tops, "idx").select("term", "idx", "idf", "top").checkpoint())
 
     # one row per query: its terms by falling impact, each with what it and the terms after it can add
-    rows = (_counts(queries, F.col(query_id).alias("qid"), F.col(query_text)).join(known, "term")
+    # (terms that the pool doesn't have go before they're counted: most bigrams of a text do)
+    said = _with_terms(queries, F.col(query_id).alias("qid"), F.col(query_text)).select("qid", F.explode("terms").alias("term"))
+    rows = (said.join(known, "term").groupBy("qid", "idx").agg(F.count("*").alias("tf"), F.max("idf").alias("idf"), F.max("top").alias("top"))
             .select("qid", "idx", "top", (F.col("tf") * F.col("idf")).alias("w")))
     listed = rows.groupBy("qid").agg(F.collect_list(F.struct("idx", "w", "top")).alias("v"))
     norm = F.sqrt(F.aggregate(F.array_sort("v"), F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
