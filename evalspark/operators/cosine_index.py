@@ -7,12 +7,18 @@ whose cosine bounds the cell's best score. Two rounds of Spark joins:
 
 1. a query visits its best cells by bound until they hold more than k
    vectors; the k-th score found is a floor under the final one;
-2. it visits the other cells whose bound reaches that floor.
-
-A cell's members are dealt to blocks of ``cell_rows``, its queries to chunks,
-so a hot cell is many bounded tasks; a vector travels only to the cells that
-its query visits. Copies of a pool vector are cut to the k + 1 lowest ids
-first (no more can be returned, one may be the query itself).
+2. it visits every cell whose bound reaches that floor.
+
+A vector doesn't travel once per cell: cells lie one after the other in
+``REGIONS`` regions, queries are dealt to as many chunks, and a task joins a
+region with a chunk. A query goes once to each region that has a cell to
+visit, a pool vector once to each chunk, so what is shuffled is a fixed number
+of copies of the tables however many cells there are (until regions reach
+``TASK_ROWS``, which bounds a task's memory; then there are more of them).
+Within a task neighbouring queries are taken together, and only the cells that
+one of them visits are scored. A cell larger than a region is spread over several. Copies of a pool vector are cut
+to the k + 1 lowest ids first (no more can be returned, one may be the query
+itself).
 
 Scores are compared after rounding to 1e-9; ties go to the lower pool id.
 """
@@ -30,12 +36,21 @@ from pyspark.sql import functions as F
 
 SCORE_DIGITS = 9
 SLACK = 1e-7             # bounds come from arc cosines, which are off by up to 2e-8 near 1
-CELL_ROWS = 4096         # wanted vectors of a cell, and bound of a block
-CHUNK_ROWS = 20_000      # queries of a cell that one task takes
+CELL_ROWS = 4096         # wanted vectors of a cell
+CHUNK_ROWS = 20_000      # queries of a task that are scored together, at most
+REGIONS = 8              # regions of the pool, and chunks of the queries
+REGION_ROWS = 256        # smaller tables have fewer
+TASK_ROWS = 200_000      # larger ones more
 PIVOT_BYTES = 32 << 20   # pivots, and the sample they're drawn from, are never larger
 SAMPLE_FACTOR = 16       # sampled vectors per pivot
 ROUNDS = 4
 SUB_BATCH = 512
+SCORES = 1 << 21         # scores that a task holds at once
+
+
+def _parts(rows: int) -> int:
+    """Number of regions, or chunks, of a table."""
+    return max(1, min(REGIONS, rows // REGION_ROWS), math.ceil(rows / TASK_ROWS))
 
 
 def l2_normalize(vec: Column | str) -> Column:
@@ -82,13 +97,20 @@ class _Cells(NamedTuple):
         at = self.first[dim]
         size = self.size[at:at + len(self.pivots[dim]) + 1]
         bound = self.bounds(dim, queries)
+        if floor is not None:
+            return (size > 0) & (bound >= floor[:, None] - SLACK)
         order = np.argsort(-bound, axis=1, kind="stable")
         before = np.cumsum(size[order], axis=1) - size[order]
         begun = np.zeros(bound.shape, bool)
         np.put_along_axis(begun, order, before <= k, axis=1)
-        if floor is None:
-            return begun & (size > 0)
-        return ~begun & (size > 0) & (bound >= floor[:, None] - SLACK)
+        return begun & (size > 0)
+
+    def spans(self, regions: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last region of every cell, when the pool's rows lie cell after cell in regions of equal size."""
+        end = np.cumsum(self.size)
+        rows = max(1, int(end[-1]) if len(end) else 1)
+        place = lambda at: np.clip(at * regions // rows, 0, regions - 1)
+        return place(end - self.size), place(np.maximum(end - 1, end - self.size))
 
 
 def _pivots(sample: np.ndarray, m: int) -> np.ndarray:
@@ -121,9 +143,13 @@ def _assign(pool: DataFrame, cells: _Cells) -> DataFrame:
     return pool.mapInArrow(run, "pid long, v array<double>, cell long, cosine double")
 
 
-def _visits(queries: DataFrame, cells: _Cells, k: int, first_round: bool) -> DataFrame:
-    """(qid, v, cell) for every cell that a query visits; the second round reads the column ``floor``."""
+def _visits(queries: DataFrame, cells: _Cells, k: int, first_round: bool, regions: int = 1) -> DataFrame:
+    """(qid, v, dim, floor, region, cells) for every region that a query visits, with its cells there.
+
+    The second round reads the column ``floor``; its tasks find the cells again, which may be many, from it.
+    """
     qtype = queries.schema["qid"].dataType.simpleString()
+    low, high = cells.spans(regions)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -135,57 +161,85 @@ def _visits(queries: DataFrame, cells: _Cells, k: int, first_round: bool) -> Dat
                         continue
                     part = batch.filter(pa.array(dims == dim))
                     floor = None if first_round else part.column("floor").to_numpy(zero_copy_only=False)
-                    row, cell = np.nonzero(cells.visits(dim, _matrix(part.column("v")), k, floor))
-                    at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
-                    visited = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell + cells.first[dim]))
-                    yield pa.RecordBatch.from_arrays([part.column("qid"), part.column("v"), visited], ["qid", "v", "cells"])
-
-    return (queries.mapInArrow(run, f"qid {qtype}, v array<double>, cells array<bigint>")
-            .select("qid", "v", F.explode("cells").alias("cell")))
-
-
-def _best(qid: pa.Array, pid: np.ndarray, scores: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The k best of every row of ``scores`` (-inf: not there); columns are in order of pool id."""
-    rounded = np.round(scores, SCORE_DIGITS)
-    kk = min(k, scores.shape[1])
-    last = -np.partition(-rounded, kk - 1, axis=1)[:, kk - 1]
-    row, col = np.nonzero((rounded >= last[:, None]) & np.isfinite(rounded))
-    order = np.lexsort((col, -rounded[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col = row[place < k], col[place < k]
-    return qid.take(pa.array(row)), pid[col], scores[row, col]
-
-
-def _score(visits: DataFrame, pool: DataFrame, k: int, exclude_self: bool, cell_rows: int, chunk_rows: int) -> DataFrame:
-    """(qid, pid, score): the k best of every visit's block."""
-    chunks = visits.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    blocks = pool.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
-    deal = lambda many, key: F.pmod(F.xxhash64(key), many).cast("int")
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    left = (visits.join(chunks, "cell").join(blocks, "cell").withColumn("chunk", deal(F.col("chunks"), "qid"))
-            .withColumn("block", every("blocks")).select("cell", "chunk", "block", "qid", "v"))
-    right = (pool.join(blocks, "cell").join(chunks, "cell").withColumn("block", deal(F.col("blocks"), "pid"))
-             .withColumn("chunk", every("chunks")).select("cell", "chunk", "block", "pid", "v"))
+                    seen = cells.visits(dim, _matrix(part.column("v")), k, floor)
+                    numbers = np.arange(seen.shape[1]) + cells.first[dim]
+                    for region in range(regions):
+                        here = seen & (low[numbers] <= region) & (region <= high[numbers])
+                        goes = np.flatnonzero(here.any(axis=1))
+                        if not len(goes):
+                            continue
+                        row, cell = np.nonzero(here[goes] if first_round else np.zeros((len(goes), 0), bool))
+                        at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(goes)))])
+                        listed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell + cells.first[dim]))
+                        rows = part.take(pa.array(goes))
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.column("qid"), rows.column("v"), rows.column("dim"), pa.array(np.full(len(goes), -2.0) if floor is None else floor[goes]),
+                             pa.array(np.full(len(goes), region, np.int32)), listed], ["qid", "v", "dim", "floor", "region", "cells"])
+
+    return queries.mapInArrow(run, f"qid {qtype}, v array<double>, dim int, floor double, region int, cells array<bigint>")
+
+
+def _score(visits: DataFrame, pool: DataFrame, cells: _Cells, k: int, exclude_self: bool, first_round: bool, regions: int, chunks: int,
+           chunk_rows: int) -> DataFrame:
+    """(qid, pid, score): the k best of every query in each region that it visits."""
     qtype = visits.schema["qid"].dataType.simpleString()
     qkind = visits.limit(0).select("qid").toArrow().schema.field("qid").type
+    left = visits.withColumn("chunk", F.pmod(F.xxhash64("qid"), chunks).cast("int"))
+    right = pool.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def best(row: np.ndarray, pid: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of every row."""
+        order = np.lexsort((pid, -np.round(score, SCORE_DIGITS), row))
+        row, pid, score = row[order], pid[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], pid[kept], score[kept]
+
+    def some(part: pa.Table, pid: np.ndarray, v: np.ndarray, members: np.ndarray) -> Iterator[tuple]:
+        """Candidates of some queries among the given rows of ``v``, a bounded number of scores at a time."""
+        x, qid = _matrix(part.column("v")), part.column("qid").combine_chunks()
+        floor = part.column("floor").to_numpy() - SLACK
+        step = max(1, SCORES // len(x))
+        for a in range(0, len(members), step):
+            here = members[a:a + step]
+            scores = x @ v[here].T
+            least = floor
+            if len(here) > k + 1 and np.count_nonzero(scores >= least[:, None]) > 2 * k * len(x):     # one may be the query itself
+                least = np.maximum(least, np.partition(scores, -k - 1, axis=1)[:, -k - 1] - SLACK)
+            row, col = np.nonzero(scores >= least[:, None])
+            if exclude_self and pa.types.is_integer(qid.type):          # other ids equal no pool id
+                other = qid.to_numpy(zero_copy_only=False)[row] != pid[here[col]]
+                row, col = row[other], col[other]
+            yield best(row, pid[here[col]], scores[row, col])
 
     def run(q: pa.Table, p: pa.Table) -> pa.Table:
         found: list[tuple] = []
-        if q.num_rows and p.num_rows:
-            p = p.sort_by("pid")
-            pid, members = p.column("pid").to_numpy(), _matrix(p.column("v"))
-            for a in range(0, q.num_rows, SUB_BATCH):
-                part = q.slice(a, SUB_BATCH)
-                qid = part.column("qid").combine_chunks()
-                scores = _matrix(part.column("v")) @ members.T
-                if exclude_self:
-                    scores[np.array(qid.to_pylist(), object)[:, None] == pid[None]] = -np.inf
-                found.append(_best(qid, pid, scores, k))
+        dims, places = q.column("dim").to_numpy(), p.column("cell").to_numpy()
+        for dim in np.unique(dims).tolist():
+            at, width = cells.first[dim], len(cells.pivots[dim]) + 1
+            kin = p.filter(pa.array((places >= at) & (places < at + width)))
+            if not kin.num_rows:
+                continue
+            pid, v, cell = kin.column("pid").to_numpy(), _matrix(kin.column("v")), kin.column("cell").to_numpy() - at
+            asked = q.filter(pa.array(dims == dim))
+            nearest = np.concatenate([cells.bounds(dim, _matrix(asked.column("v").slice(a, SUB_BATCH))).argmax(axis=1)
+                                      for a in range(0, asked.num_rows, SUB_BATCH)])
+            asked = asked.take(pa.array(np.argsort(nearest, kind="stable")))      # neighbours ask the same cells
+            size = max(1, min(SUB_BATCH, chunk_rows))
+            for a in range(0, asked.num_rows, size):
+                part = asked.slice(a, size).combine_chunks()
+                visited = np.zeros(width, bool)
+                if first_round:
+                    visited[part.column("cells").combine_chunks().flatten().to_numpy() - at] = True
+                else:
+                    visited = cells.visits(dim, _matrix(part.column("v")), k, part.column("floor").to_numpy()).any(axis=0)
+                got = list(some(part, pid, v, np.flatnonzero(visited[cell])))
+                if got:
+                    row, ids, score = best(*(np.concatenate([g[i] for g in got]) for i in range(3)))
+                    found.append((part.column("qid").combine_chunks().take(pa.array(row)), ids, score))
         return pa.table([pa.chunked_array([f[0] for f in found], qkind), pa.array(np.concatenate([f[1] for f in found]) if found else [], pa.int64()),
                          pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.float64())], names=["qid", "pid", "score"])
 
-    keys = ["cell", "chunk", "block"]
+    keys = ["region", "chunk"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"qid {qtype}, pid long, score double")
 
 
@@ -237,12 +291,20 @@ class CosineIndex:
         floors = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         floor = F.when(F.col("n") >= self.k, F.col("least")).otherwise(-2.0)
         again = rows.join(floors, "qid", "left").withColumn("floor", F.coalesce(floor, F.lit(-2.0)))
-        second = self._found(again, False, exclude_self)
-        return _ranked(first.drop("rank").unionByName(second.drop("rank")), self.k)
+        return self._found(again, False, exclude_self)
 
     def _found(self, rows: DataFrame, first_round: bool, exclude_self: bool) -> DataFrame:
-        visits = _visits(rows, self.cells, self.k, first_round)
-        return _ranked(_score(visits, self.pool, self.k, exclude_self, self.cell_rows, self.chunk_rows), self.k)
+        regions, chunks = _parts(int(self.cells.size.sum())), _parts(rows.count())
+        visits = _visits(rows, self.cells, self.k, first_round, regions)
+        return _ranked(_score(visits, self._regions(regions), self.cells, self.k, exclude_self, first_round, regions, chunks, self.chunk_rows), self.k)
+
+    def _regions(self, regions: int) -> DataFrame:
+        """The pool with each row's region; rows of a cell that spans several are dealt by id."""
+        low, high = self.cells.spans(regions)
+        spans = self.pool.sparkSession.createDataFrame([(i, int(a), int(b - a) + 1) for i, (a, b) in enumerate(zip(low, high))],
+                                                       "cell bigint, low int, many int")
+        return (self.pool.join(F.broadcast(spans), "cell")
+                .select("pid", "v", "cell", (F.col("low") + F.pmod(F.xxhash64("pid"), F.col("many"))).cast("int").alias("region")))
 
     def share_scored(self, queries: DataFrame, query_id: str, vector: str, exclude_self: bool = False) -> float:
         """Share of all (query, pool) pairs whose score :meth:`top` computes."""
@@ -250,9 +312,19 @@ class CosineIndex:
         first = self._found(rows, True, exclude_self).checkpoint()
         floors = first.groupBy("qid").agg(F.when(F.count("*") >= self.k, F.min("score")).otherwise(-2.0).alias("floor"))
         again = rows.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-        seen = _visits(rows, self.cells, self.k, True).union(_visits(again, self.cells, self.k, False)).groupBy("cell").count().collect()
-        scored = sum(int(self.cells.size[r["cell"]]) * r["count"] for r in seen)
-        return scored / max(1, rows.count() * int(self.cells.size.sum()))
+        cells, k = self.cells, self.k
+
+        def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = batch.column("dim").to_numpy()
+                for dim in [d for d in np.unique(dims).tolist() if d in cells.pivots]:
+                    part = batch.filter(pa.array(dims == dim))
+                    at, x = cells.first[dim], _matrix(part.column("v"))
+                    seen = cells.visits(dim, x, k, None) | cells.visits(dim, x, k, part.column("floor").to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([pa.array(seen @ cells.size[at:at + seen.shape[1]])], ["n"])
+
+        total = again.mapInArrow(pairs, "n long").agg(F.sum("n")).first()[0] or 0
+        return total / max(1, rows.count() * int(self.cells.size.sum()))
 
 
 def topk_cosine(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool_id: str, vector: str,

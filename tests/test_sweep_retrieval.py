@@ -193,3 +193,26 @@ def test_risk_coverage_against_plain_python(spark):
         area += sum(c == t for c, _ in good) / len(good) * (1 - np.mean(kept))
     assert all(r.area == pytest.approx(area) for r in got.values())
     assert extras.risk_coverage(df.limit(0)).count() == 0
+
+
+def test_cosine_vectors_travel_once_per_region(spark):
+    """Vectors without any structure: every query visits nearly every cell, yet travels to each region at most once."""
+    from evalspark.operators import cosine_index
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = retrieval.CosineIndex(df.withColumnRenamed("id", "pid"), 5, "pid", "v", cell_rows=8)
+    queries = df.select(F.col("id").alias("qid"), retrieval.l2_normalize("v").alias("v"), F.lit(16).alias("dim"), F.lit(-2.0).alias("floor"))
+    sent = cosine_index._visits(queries, index.cells, 5, False, 3)
+    assert len(index.cells.size) > 40 and sent.count() == 600 * 3 == sent.select("qid", "region").distinct().count()
+    got = index.top(df, "id", "v", True).collect()
+    assert {(r.qid, r.rank): (r.pid, r.score) for r in got} == top_by_hand(rows, rows, 5, True)
+
+
+def test_cosine_cell_larger_than_a_region_is_spread(spark):
+    from evalspark.operators import cosine_index
+
+    cells = cosine_index._Cells({2: np.eye(2)}, {2: 0}, np.array([10, 85, 5]), np.ones(3), np.ones(3))
+    low, high = cells.spans(4)
+    assert low.tolist() == [0, 0, 3] and high.tolist() == [0, 3, 3]
