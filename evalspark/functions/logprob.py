@@ -67,11 +67,10 @@ def cont_len_ablation(n_prompt, n_full, n_tokens) -> Column:
 
 def argmax_key(m) -> Column:
     """Key of the largest value of a map; the first such entry in map order wins ties."""
-    entries = F.map_entries(_c(m))
-    return F.aggregate(
-        entries, F.element_at(entries, 1),
-        lambda acc, e: F.when(e.getField("value") > acc.getField("value"), e).otherwise(acc),
-    ).getField("key")
+    keys, values = F.map_keys(_c(m)), F.map_values(_c(m))
+    best = F.array_position(values, F.array_max(values)).cast("int")
+    # an entry is only replaced by a larger one, so a first value of null stays
+    return F.get(keys, F.when(F.get(values, 0).isNull(), 0).otherwise(best - 1))
 
 
 def is_greedy(tokens, top_logprobs, n) -> Column:

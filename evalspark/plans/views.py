@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.functions.hashing import md5_bucket
+from evalspark.functions.hashing import md5_buckets
 from evalspark.sources.readers import read_table
 
 
@@ -138,12 +138,8 @@ def logprob_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = it.select("ind", "ctx", F.posexplode("endings").alias("option", "ending"))
     toks = F.filter(F.split(F.concat_ws(" ", "ctx", "ending"), r"\s+"), lambda x: x != "")
 
-    def lp(pos: Column, salt: str) -> Column:
-        key = F.concat_ws(":", F.col("ind"), F.col("option").cast("string"), pos.cast("string"))
-        if salt:
-            key = F.concat(key, F.lit(salt))
-        return -(md5_bucket(key, 1000)) / F.lit(100.0)
-
+    key = F.concat_ws(":", "ind", F.col("option").cast("string"))
+    lp = lambda hashes, i: -F.get(hashes, i).cast("bigint") / F.lit(100.0)
     return ex.select(
         "ind",
         F.col("option").cast("int").alias("option"),
@@ -152,11 +148,14 @@ def logprob_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         toks.alias("tokens"),
     ).select(
         "ind", "option", "ctx", "ending", "tokens",
-        F.transform("tokens", lambda t, i: F.when(i > 0, lp(i, ""))).alias("token_logprobs"),
+        md5_buckets(key, F.size("tokens"), 1000).alias("_said"),
+        md5_buckets(key, F.size("tokens"), 1000, ":alt").alias("_other"),
+    ).select(
+        "ind", "option", "ctx", "ending", "tokens",
+        F.transform("_said", lambda h, i: F.when(i > 0, -h.cast("bigint") / F.lit(100.0))).alias("token_logprobs"),
         F.transform(
             "tokens",
-            lambda t, i: F.when(i > 0, F.map_from_arrays(F.array(t, F.lit("<alt>")),
-                                                         F.array(lp(i, ""), lp(i, ":alt")))),
+            lambda t, i: F.when(i > 0, F.create_map(t, lp(F.col("_said"), i), F.lit("<alt>"), lp(F.col("_other"), i))),
         ).alias("top_logprobs"),
     )
 

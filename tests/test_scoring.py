@@ -120,3 +120,39 @@ def test_perplexities(spark):
     r = df.select(*LP.perplexities("ll", "w", "b")).first()
     assert r["word_perplexity"] == pytest.approx(math.exp(2.0))
     assert r["bits_per_byte"] == pytest.approx(10.0 / (20 * math.log(2)))
+
+
+def test_md5_buckets_equal_hashlib(spark):
+    """Arrays of hashes in one call; keys of several MD5 blocks, null counts and empty ones among them."""
+    import hashlib
+
+    from evalspark.functions.hashing import md5_bucket, md5_buckets
+
+    keys = ["7:0", "", "x" * 47, "x" * 52, "y" * 200, "é:1", "9:3"]
+    rows = [(k, n) for k, n in zip(keys, [1200, 3, 1100, 12, 5, 9000, 0])] + [("z", None)]
+    df = spark.createDataFrame(rows, "key string, n int").coalesce(1)
+    for salt in ("", ":alt"):
+        got = df.select("key", md5_buckets(F.col("key"), F.col("n"), 1000, salt).alias("h")).collect()
+        assert {r.key: r.h for r in got} == {
+            k: [int(hashlib.md5(f"{k}:{i}{salt}".encode()).hexdigest()[:8], 16) % 1000 for i in range(n or 0)] for k, n in rows}
+    one = spark.range(1).select(md5_bucket(F.lit("9:3:0"), 1000).alias("h")).first().h
+    assert one == int(hashlib.md5(b"9:3:0").hexdigest()[:8], 16) % 1000
+
+
+def test_logprob_hashes_are_vector_operations(spark):
+    """The payload's hashes aren't made by interpreted string functions, one token at a time."""
+    import os
+
+    from evalspark.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        plan = V.logprob_payloads(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5(" not in plan and "conv(" not in plan
+
+
+def test_argmax_key_ties_nan_and_nulls(spark):
+    df = spark.createDataFrame([(1, {"a": 1.0, "b": 2.0, "c": 2.0}), (2, {"a": None, "b": 2.0}), (3, {"a": 1.0, "b": None}),
+                                (4, {"a": 1.0, "b": float("nan")}), (5, {"a": -0.0, "b": 0.0})], "id int, m map<string,double>")
+    got = {r.id: r.k for r in df.select("id", LP.argmax_key("m").alias("k")).collect()}
+    assert got == {1: "b", 2: "a", 3: "a", 4: "b", 5: "a"}
