@@ -208,22 +208,34 @@ def isolated(fn: ScoreFn, batch: pd.DataFrame, retries: int = 1, attempts: int =
     what fails stands alone; that request is tried ``retries`` more times, then
     carries the error. A request that the model leaves out has an error, too.
     """
-    try:
-        got = pd.concat([*fn(iter([batch]))] or [pd.DataFrame({"key": [], "response": []})])[["key", "response"]].drop_duplicates("key")
-    except Exception as e:  # whatever the model raises belongs to its request
-        if len(batch) > 1:
-            half = len(batch) // 2
-            yield from isolated(fn, batch.iloc[:half], retries, attempts)
-            yield from isolated(fn, batch.iloc[half:], retries, attempts)
-        elif attempts <= retries:
-            yield from isolated(fn, batch, retries, attempts + 1)
-        else:
-            yield batch.assign(response=None, error=f"{type(e).__name__}: {e}", attempts=attempts)
-        return
-    out = batch.merge(got, on="key", how="left")
-    out["response"] = out["response"].where(out["response"].notna(), None)
-    out["error"] = out["response"].map(lambda r: "the model gave no response" if r is None else None)
-    yield out.assign(attempts=attempts)
+    answers = list(_answers(fn, batch, retries, attempts))
+    whole = batch.iloc[[i for part in answers for i in part[0]]]
+    columns = {name: [x for part in answers for x in part[at]] for at, name in ((1, "response"), (2, "error"), (3, "attempts"))}
+    yield whole.assign(**{name: pd.Series(values, whole.index, "int64" if name == "attempts" else object) for name, values in columns.items()})
+
+
+def _answers(fn: ScoreFn, batch: pd.DataFrame, retries: int, attempts: int) -> Iterator[tuple[range, list, list, list]]:
+    """(places in the batch, responses, errors, attempts); lists, as frames cost more than a request when many fail."""
+    waiting = [(0, len(batch), attempts)]
+    while waiting:
+        low, high, tried = waiting.pop()
+        part = batch.iloc[low:high]
+        try:
+            said: dict = {}
+            for frame in fn(iter([part])):
+                for key, response in zip(frame["key"], frame["response"]):
+                    said.setdefault(key, response)
+        except Exception as e:  # whatever the model raises belongs to its request
+            if high - low > 1:
+                half = low + (high - low) // 2
+                waiting += [(half, high, tried), (low, half, tried)]
+            elif tried <= retries:
+                waiting.append((low, high, tried + 1))
+            else:
+                yield range(low, high), [None], [f"{type(e).__name__}: {e}"], [tried]
+            continue
+        responses = [None if pd.isna(r) else r for r in map(said.get, part["key"])]
+        yield range(low, high), responses, [None if r is not None else "the model gave no response" for r in responses], [tried] * (high - low)
 
 
 def score_with_cache(requests: DataFrame, cache: DataFrame | LayeredCache, fn: ScoreFn, batch_id: int,

@@ -143,3 +143,19 @@ def test_a_failing_request_stands_alone(spark, scratch):
         assert sorted(r.prompt for r in stored.collect()) == ["a", "b", "c"]      # failures aren't cached
     again, _ = C.score_with_cache(asked, store, _model, batch_id=2, created_at=F.lit(2.0))
     assert {(r.prompt, r.source) for r in again.collect()} == {("a", "cache"), ("b", "cache"), ("c", "cache"), ("bad one", "computed"), ("bad two", "computed"), ("flaky", "computed")}
+
+
+def test_failing_requests_make_no_frames_of_their_own():
+    """A batch comes back as one frame, however often it was halved."""
+    def model(batches):
+        for pdf in batches:
+            if any(int(k) % 18 == 5 for k in pdf["key"]):
+                raise RuntimeError("out of memory")
+            yield pd.DataFrame({"key": pdf["key"], "response": [None if k == "7" else "r" + k for k in pdf["key"]]})
+
+    asked = pd.DataFrame({"key": [str(i) for i in range(100)], "model": "m", "prompt": "p", "params": "x"}, index=range(50, 150))
+    parts = list(C.isolated(model, asked, retries=2))
+    assert len(parts) == 1
+    got = {r.key: (r.response, r.error, r.attempts) for r in parts[0].itertuples()}
+    fails = {str(i): (None, "RuntimeError: out of memory", 3) for i in range(5, 100, 18)}
+    assert got == {str(i): ("r" + str(i), None, 1) for i in range(100)} | {"7": (None, "the model gave no response", 1)} | fails
