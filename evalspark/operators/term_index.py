@@ -8,8 +8,9 @@ of Spark joins:
 1. each query's terms of highest impact find pool rows; partial scores are
    lower bounds, so the k-th of them is a floor under the final k-th score;
 2. terms are taken by falling impact until the impacts of the rest add up to
-   less than the floor: a row that has none of them can't be returned. Rows
-   whose partial score plus the rest can reach the floor are scored exactly.
+   less than ``NEED`` of the floor: a row that has none of them can't be returned. The
+   k-th partial score over these terms is a floor too, and mostly a higher
+   one. Rows whose partial score plus the rest can reach it are scored exactly.
 
 Nothing is dense: a vector is the terms it has. Scores are compared after
 rounding to 1e-9; ties go to the lower pool id, and rows that share no term
@@ -34,6 +35,8 @@ TFIDF_MAX_FEATURES = 8192
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 SEEDS = 4                # terms of highest impact that find the floor
+CHUNK = 256              # rows scored at once for a query
+NEED = 0.25              # share of the floor that the terms left out stay below: the less they can add, the fewer rows are scored
 SLACK = 1e-8
 
 
@@ -54,11 +57,21 @@ def _with_terms(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
     return t.select(t.columns[0], F.concat("_t", bigrams).alias("terms"))
 
 
+def _exploded(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
+    """(id, term) per occurrence; a text without terms has one null term.
+
+    ``explode`` would make the planner filter on the array's size below the
+    projection of the tokens, so the regex would run several times per text.
+    """
+    terms = _with_terms(df, id_col, text)
+    return terms.select(terms.columns[0], F.explode_outer("terms").alias("term"))
+
+
 def _counts(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
     """(id, term, tf)."""
-    terms = _with_terms(df, id_col, text)
+    terms = _exploded(df, id_col, text)
     key = terms.columns[0]
-    return terms.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return terms.filter(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def _vectors(counts: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
@@ -88,22 +101,80 @@ def tfidf_fit(pool: DataFrame, pool_id: str, text: str, max_features: int | None
     return vocab, _vectors(tf, "pid", broadcast_if_small(vocab)[0]), n
 
 
-def _dots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(qid, pid, score) of rows (qid, pid, qvec, pvec): products of the terms that both have."""
+def _flat(col: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Each element's row, and the elements."""
+    return np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy())), col.flatten()
+
+
+def _numbers(items: pa.StructArray, name: str) -> np.ndarray:
+    return items.field(name).to_numpy(zero_copy_only=False)
+
+
+def _impacts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, qvec, led) of rows (qid, v): the unit vector by idx, and its terms by falling impact,
+    each with what it and the terms after it can add."""
     for batch in batches:
-        def flat(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            col = batch.column(name)
-            row = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
-            items = col.flatten()
-            return row, items.field("idx").to_numpy(zero_copy_only=False), items.field("w").to_numpy(zero_copy_only=False)
+        row, items = _flat(batch.column("v"))
+        idx, w, top = (_numbers(items, x) for x in ("idx", "w", "top"))
+        at = np.lexsort((idx, row))
+        idx, w, top = idx[at], w[at], top[at]
+        w = w / np.sqrt(np.bincount(row, w * w, minlength=batch.num_rows))[row]
+        impact = w * top
+        led = np.lexsort((idx, -impact, row))
+        starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        onward = impact[led]
+        for a, b in zip(starts[:-1], starts[1:]):  # per row: one running sum over all rows would lose digits
+            onward[a:b] = np.cumsum(onward[a:b][::-1])[::-1]
+
+        def listed(**cols: np.ndarray) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in cols.values()], [*cols]))
+
+        yield pa.RecordBatch.from_arrays([batch.column("qid"), listed(idx=idx, w=w), listed(idx=idx[led], w=w[led], onward=onward)], ["qid", "qvec", "led"])
+
+
+def _dots(k: int):
+    """(qid, pid, score) of rows (qid, qvec, rows): products of the terms that both have, of a row's first k rows (and ties)."""
+    def dots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows = _flat(batch.column("rows"))
+            (qrow, qvec), (at, pvec) = _flat(batch.column("qvec")), _flat(rows.field("pvec"))
+            qidx, pidx = _numbers(qvec, "idx"), _numbers(pvec, "idx")
+            span = int(max(qidx.max(initial=0), pidx.max(initial=0))) + 1
+            have, ask = qrow * span + qidx, of[at] * span + pidx   # have rises: vectors are sorted by idx
+            place = np.minimum(np.searchsorted(have, ask), max(0, len(have) - 1))
+            hit = have[place] == ask if len(have) else np.zeros(len(ask), bool)
+            score = np.bincount(at[hit], _numbers(qvec, "w")[place[hit]] * _numbers(pvec, "w")[hit], minlength=len(of))
+            order = np.lexsort((-score, of))
+            starts = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            last = np.minimum(starts[:-1] + k, starts[1:]) - 1      # rows has one at least
+            keep = score >= (score[order][last] - SLACK)[of]
+            yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(of[keep])), rows.field("pid").filter(pa.array(keep)), pa.array(score[keep])],
+                                             ["qid", "pid", "score"])
+    return dots
+
+
+def _reach(listed: DataFrame, postings: DataFrame, k: int, seeds: int) -> DataFrame:
+    """(qid, pid, place) of the rows that can be among a query's first ``k``, by falling partial score.
+
+    ``listed`` is (qid, led) of :func:`_impacts`, ``postings`` (idx, pid, pw).
+    """
+    def partial(chosen: DataFrame) -> DataFrame:
+        # (partitioned by query before its rows multiply: no shuffle of them follows where the postings are broadcast;
+        # inline would have the planner compute the arrays once more, to filter on their size)
+        return (chosen.repartition("qid").select("qid", F.inline_outer("led")).join(postings, "idx").groupBy("qid", "pid")
+                .agg(F.sum(F.col("w") * F.col("pw")).alias("part")))
 
-        (qrow, qidx, qw), (prow, pidx, pw) = flat("qvec"), flat("pvec")
-        span = int(max(qidx.max(initial=0), pidx.max(initial=0))) + 1
-        have, ask = prow * span + pidx, qrow * span + qidx   # both rise: vectors are sorted by idx
-        at = np.minimum(np.searchsorted(have, ask), max(0, len(have) - 1))
-        hit = have[at] == ask if len(have) else np.zeros(len(ask), bool)
-        score = np.bincount(qrow[hit], qw[hit] * pw[at[hit]], minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("pid"), pa.array(score)], ["qid", "pid", "score"])
+    order = Window.partitionBy("qid").orderBy(F.desc("part"))
+    floors = (partial(listed.select("qid", F.slice("led", 1, seeds).alias("led"))).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+              .groupBy("qid").agg(F.when(F.count("*") >= k, F.min("part")).alias("floor")))
+    told = listed.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
+    told = told.withColumn("n", F.size(F.filter("led", lambda t: t["onward"] >= F.col("floor") * NEED))).checkpoint()
+    more = F.coalesce(F.get("led", F.col("n"))["onward"], F.lit(0.0))
+    kth = F.nth_value("part", k).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))  # null before the k-th row
+    parts = (partial(told.select("qid", F.slice("led", F.lit(1), F.col("n")).alias("led")))
+             .select("qid", "pid", "part", F.row_number().over(order).alias("place"), (kth - SLACK).alias("kth")))
+    return (parts.join(told.select("qid", "floor", more.alias("more")), "qid")
+            .filter(F.col("part") + F.col("more") >= F.greatest("floor", "kth")).select("qid", "pid", "place"))
 
 
 def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int, query_id: str, query_text: str, pool_id: str,
@@ -129,31 +200,18 @@ def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int, query_id: str, query
 
     # one row per query: its terms by falling impact, each with what it and the terms after it can add
     # (terms that the pool doesn't have go before they're counted: most bigrams of a text do)
-    said = _with_terms(queries, F.col(query_id).alias("qid"), F.col(query_text)).select("qid", F.explode("terms").alias("term"))
+    said = _exploded(queries, F.col(query_id).alias("qid"), F.col(query_text))
     rows = (said.join(known, "term").groupBy("qid", "idx").agg(F.count("*").alias("tf"), F.max("idf").alias("idf"), F.max("top").alias("top"))
             .select("qid", "idx", "top", (F.col("tf") * F.col("idf")).alias("w")))
-    listed = rows.groupBy("qid").agg(F.collect_list(F.struct("idx", "w", "top")).alias("v"))
-    norm = F.sqrt(F.aggregate(F.array_sort("v"), F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    unit = F.transform("v", lambda x: F.struct((-x["w"] / F.col("norm") * x["top"]).alias("loss"), x["idx"].alias("idx"), (x["w"] / F.col("norm")).alias("w")))
-    terms = (listed.withColumn("norm", norm).select("qid", F.posexplode(F.array_sort(unit)).alias("place", "t"))
-             .select("qid", "place", "t.idx", "t.w", (-F.col("t.loss")).alias("impact")))
-    rest = Window.partitionBy("qid").orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    terms = terms.withColumn("onward", F.sum("impact").over(rest)).checkpoint()
-
-    def partial(chosen: DataFrame) -> DataFrame:
-        return (chosen.join(postings, "idx").groupBy("qid", "pid").agg(F.sum(F.col("w") * F.col("pw")).alias("part")))
-
-    order = Window.partitionBy("qid").orderBy(F.desc("part"))
-    floors = (partial(terms.filter(F.col("place") < seeds)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-              .groupBy("qid").agg(F.when(F.count("*") >= k, F.min("part")).alias("floor")))
-    told = terms.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
-    needed = told.filter(F.col("onward") >= F.col("floor"))
-    left_out = told.groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("onward") < F.col("floor"), F.col("onward"))), F.lit(0.0)).alias("more"),
-                                       F.first("floor").alias("floor"))
-    reach = partial(needed).join(left_out, "qid").filter(F.col("part") + F.col("more") >= F.col("floor")).select("qid", "pid")
-    qvec = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("qvec"))
-    found = (reach.join(qvec, "qid").join(pvec.select("pid", F.col("vec").alias("pvec")), "pid")
-             .select("qid", "pid", "qvec", "pvec").mapInArrow(_dots, f"qid {qtype}, pid bigint, score double")).checkpoint()
+    vec = "array<struct<idx: bigint, w: double>>"
+    listed = (rows.groupBy("qid").agg(F.collect_list(F.struct("idx", "w", "top")).alias("v"))
+              .mapInArrow(_impacts, f"qid {qtype}, qvec {vec}, led array<struct<idx: bigint, w: double, onward: double>>").checkpoint())
+    # a query's vector goes along once per CHUNK of its rows
+    chunk = F.floor((F.col("place") - 1) / CHUNK).alias("chunk")
+    reach = _reach(listed.select("qid", "led"), broadcast_if_small(postings)[0], k, seeds)
+    found = (reach.join(broadcast_if_small(pvec.withColumnRenamed("vec", "pvec"))[0], "pid").groupBy("qid", chunk)
+             .agg(F.collect_list(F.struct("pid", "pvec")).alias("rows")).join(listed.select("qid", "qvec"), "qid")
+             .select("qid", "qvec", "rows").mapInArrow(_dots(k), f"qid {qtype}, pid bigint, score double")).checkpoint()
 
     # queries with fewer than k rows above 0 take the lowest pool ids that they share no term with: of k + k ids, k are left
     enough = (found.filter(F.round("score", SCORE_DIGITS) > 0).groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("qid"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.operators import extras, retrieval, sweep
+from evalspark.operators import extras, retrieval, sweep, term_index
 
 
 def test_grid_and_labels(spark):
@@ -146,6 +146,34 @@ def test_tfidf_index_equals_all_pairs(spark, k, features, seeds):
     assert {(r.qid, r.rank): (r.pool_id, r.score) for r in got} == tfidf_by_hand(queries, pool, k, features)
 
 
+def test_tfidf_scores_few_rows_under_a_weak_floor(spark):
+    """One seed term that fewer than k rows have gives no floor; the partial scores over all terms do."""
+    led = [(7, 1.0, 1.7), (0, 0.5, 0.7), (1, 0.2, 0.2)]
+    listed = spark.createDataFrame([(1, led)], "qid long, led array<struct<idx: bigint, w: double, onward: double>>")
+    rows = [(7, 3, 0.7)] + [(0, i, i / 100) for i in range(40)] + [(1, i, 0.5) for i in range(40)]
+    postings = spark.createDataFrame(rows, "idx long, pid long, pw double")
+    got = sorted(term_index._reach(listed, postings, 3, 1).collect(), key=lambda r: r.place)
+    assert [(r.qid, r.pid) for r in got] == [(1, 3), (1, 39), (1, 38)]
+
+
+def test_tfidf_keeps_rows_whose_left_out_terms_decide(spark):
+    """Rows within reach of the k-th partial score stay, whatever the terms left out add."""
+    led = [(7, 0.9, 0.96), (8, 0.3, 0.06)]
+    listed = spark.createDataFrame([("a", led)], "qid string, led array<struct<idx: bigint, w: double, onward: double>>")
+    postings = spark.createDataFrame([(7, 1, 0.9), (7, 2, 0.88), (7, 3, 0.5), (8, 2, 0.2), (8, 3, 0.2)], "idx long, pid long, pw double")
+    assert {r.pid for r in term_index._reach(listed, postings, 1, 1).collect()} == {1, 2}
+
+
+def test_tfidf_tokens_are_found_once_per_text(spark):
+    """The planner's filter on an exploded array's size would repeat the regex below the projection of the tokens."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "qid long, text string")
+    out = term_index._exploded(df, F.col("qid"), F.col("text"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.qid, r.term or "") for r in out.collect()) == [(1, "two"), (1, "two words"), (1, "words"), (2, ""), (3, "")]
+
+
 def test_tfidf_prefers_shared_words_and_fills_k(spark):
     pool = spark.createDataFrame([(1, "A chef slices onions in the kitchen"), (2, "A runner ties shoes"),
                                   (3, "A scientist writes equations")], "pool_id long, ctx string")
