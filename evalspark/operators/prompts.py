@@ -22,9 +22,12 @@ QA_INSTRUCTION = "Answer the question with a single short answer (one or two wor
 
 
 def _pairs(items: DataFrame, prompt: Column, keep: Sequence[str] = ()) -> DataFrame:
-    return items.select(
-        "ind", *keep, prompt.alias("prompt"), F.posexplode("endings").alias("option", "_ending"),
-    ).select(
+    # A prompt is built before the endings multiply its item, so once. (posexplode would have the planner filter
+    # on the number of endings, below everything that builds them.)
+    built = items.select("ind", *keep, prompt.alias("prompt"), F.col("endings").alias("_endings"))
+    return built.select(
+        "ind", *keep, "prompt", F.posexplode_outer("_endings").alias("option", "_ending"),
+    ).filter(F.col("option").isNotNull()).select(
         "ind", *keep, F.col("option").cast("int").alias("option"), "prompt",
         as_continuation("_ending").alias("continuation"),
     )

@@ -112,3 +112,15 @@ def test_split_counts_repeated_and_null_ids_row_by_row(spark):
     order = sorted(ids, key=lambda x: (hashlib.md5(f"5:{x}".encode()).hexdigest(), x))
     known = [r["ind"] for r in sorted(got, key=lambda r: r["rank"]) if r["ind"] is not None]
     assert known == order[:len(known)]
+
+
+def test_prompts_are_built_once_per_item(spark):
+    """Below the unrolled endings, and without a filter that builds the endings again; items without endings have no pairs."""
+    rows = [("1", "[tag] some words", "act", "a,b"), ("2", "x", "act", None)]
+    items = (spark.createDataFrame(rows, "ind string, ctx string, activity_label string, e string")
+             .withColumn("endings", F.split(F.col("e"), ",")))
+    pairs = prompts.clean_pairs(items)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("regexp_replace(ctx") and plan.count("split(") == 1
+    assert sorted((r.ind, r.option, r.prompt, r.continuation) for r in pairs.collect()) == [
+        ("1", 0, "some words", " a"), ("1", 1, "some words", " b")]
