@@ -20,7 +20,8 @@ deals all of them out.
 
 Disk: sketches have 48 bytes and travel once per pair of blocks, packed;
 blocks grow with a label, so a sketch travels four times at most until a label
-has two million representatives. A vector travels only if its sketch links.
+has a million representatives. The vectors are written once and meet the ids
+of those whose sketches link; only these go to the second pass.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ MAX_CELLS = 256
 CELL_ROWS = 20_000      # wanted representatives per cell
 BLOCK_ROWS = 4096       # wanted rows of a block in the products, until a group has SPREAD blocks
 SPREAD = 4              # blocks of a group, as long as they aren't larger than they may be
-MOST_ROWS = 1 << 19     # sketches of a block at most
+MOST_ROWS = 1 << 18     # sketches of a block at most
 MOST_BYTES = 32 << 20   # vectors (double precision) of a block at most
 ROUNDS = 8
 AXES = 23
@@ -109,11 +110,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
     comes more than once is one vector: the smallest (label, embedding) of
     its rows counts. An empty table gives an empty result; other columns are
     ignored. At most ``sample_rows`` vectors (by hash of vec_id) fit the
-    centroids; every vector is compared. ``vectors`` is read four times.
+    centroids; every vector is compared.
     """
     kind = vectors.schema["embedding"].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"
-    given = _described(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), "label"))
+    given = materialise(_described(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), "label")))
     fitted = _fitted(given, sample_rows, cell_rows)
     rows = _one_each(given, fitted)
     reps = materialise(rows.filter("dim is not null").groupBy("label", "dim", "h1", "h2")
