@@ -199,9 +199,9 @@ def _one_each(given: DataFrame, fitted: dict) -> DataFrame:
     return materialise(one.filter("not differ").select(*kept).union(sketched(_described(smallest)).select(*kept)))
 
 
-def _blocks(n: Column, wanted: int, most: Column) -> Column:
+def _blocks(n: Column, wanted: int, most: Column, spread: int = SPREAD) -> Column:
     """Blocks of a group of n rows."""
-    return F.greatest(F.least(F.ceil(n / wanted), F.lit(SPREAD)), F.ceil(n / most)).cast("int")
+    return F.greatest(F.least(F.ceil(n / wanted), F.lit(spread)), F.ceil(n / most)).cast("int")
 
 
 def _units(dealt: DataFrame, *group: str) -> DataFrame:
@@ -327,8 +327,9 @@ def _linked(given: DataFrame, reps: DataFrame, maybe: DataFrame, threshold: floa
     group = ["root", "label", "dim"]
     most = F.greatest(F.lit(block_rows), F.floor(F.lit(MOST_BYTES / 8) / F.col("dim")))
     wanted = materialise(reps.drop("sketch").join(maybe, reps.rep == maybe.node).drop("node"))
+    spread = max(2, min(SPREAD, reps.count() // max(1, wanted.count())))  # the more vectors go, the fewer times each
     sizes = (wanted.groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1")
-             .withColumn("_nb", _blocks(F.col("_n"), block_rows, most)))
+             .withColumn("_nb", _blocks(F.col("_n"), block_rows, most, spread)))
     dealt = (wanted.join(sizes, group).withColumn("_b", F.pmod(F.xxhash64("rep"), "_nb").cast("int"))
              .select(F.col("rep").alias("vec_id"), "h1", "h2", F.xxhash64(*group).alias("key"), "dim", "m", "_nb", "_b"))
     full = given.filter("dim is not null").select("vec_id", "h1", "h2", "embedding").join(dealt, ["vec_id", "h1", "h2"])
